@@ -36,8 +36,6 @@ class WordBpe:
         return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
-        if len(self.chunks) + len(new) > self.most:
-            self.chunks.clear()
         plain = {c: _PIECES.findall(c.lower()) for c in new if _PLAIN.match(c) and "<|" not in c}
         odd = [c for c in new if c not in plain]
         self.chunks.update(zip(odd, self._encode(self.whole, odd)))
@@ -51,14 +49,17 @@ class WordBpe:
     def ids(self, texts: list[str | None]) -> list[bytes]:
         out = []
         for s in range(0, len(texts), 64):
-            split = [None if t and _CONTROL.search(t) else (t or "").split() for t in texts[s : s + 64]]
-            new = list({c for words in split if words for c in words if c not in self.chunks})
+            part = texts[s : s + 64]
+            split = [None if t and _CONTROL.search(t) else (t or "").split() for t in part]
+            seen = set().union(*(words for words in split if words))
+            new = seen.difference(self.chunks)
             if len(self.chunks) + len(new) > self.most:
                 self.chunks.clear()
-                new = list({c for words in split if words for c in words})
-            self._learn(new)
-            for words, text in zip(split, texts[s : s + 64]):
-                out.append(self._encode(self.whole, [text])[0] if words is None else b"".join([self.chunks[c] for c in words]))
+                new = seen
+            self._learn(list(new))
+            get = self.chunks.__getitem__
+            for words, text in zip(split, part):
+                out.append(self._encode(self.whole, [text])[0] if words is None else b"".join(map(get, words)))
         return out
 
 
