@@ -114,8 +114,8 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 5, block: int = 4096, ch
     2. Every vector goes to its list; lists are dealt into blocks of about `block` rows, so a hot list has many blocks.
        Queries go to the lists that they probe, in chunks of about `chunk`.
     3. Each block and chunk of a list meet once. Vectors are rotated and scanned in column blocks; a hypothesis test on
-       the partial distance abandons candidates early (adaptive_scan). The threshold starts at the k-th
-       best distance within the sample, an upper bound of the true one.
+       the partial distance abandons candidates early (adaptive_scan). The threshold is the k-th best distance
+       among at most 512 seeds of the sample, an upper bound of the true one; the k best seeds are candidates too.
     4. The k best of each block are merged by a ranked window, pre-ranked within tasks.
 
     Unusable vectors (null, zero, non-finite) take no part on either side; nor do null ids or lengths other than
@@ -135,10 +135,12 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 5, block: int = 4096, ch
     picked = picked[picked["embedding"].map(len) == dim].drop_duplicates("vec_id")
     rows, asked = (x.where(F.size("embedding") == dim) for x in (rows, asked))
     x = unit(np.stack(picked["embedding"].to_numpy()))
-    lists = int(min(most_lists, max(1, rows.count() // list_rows), max(1, len(x) // 4)))
+    total = rows.count()
+    lists = int(min(most_lists, max(1, total // list_rows), max(1, len(x) // 4)))
     centroids = spherical_kmeans(x, lists)
     probes = probes_for(x, centroids, k, target)
-    near_ids, near = picked["vec_id"].to_numpy()[:4096], x[:4096]
+    seeds = min(len(x), 512, max(4 * k, total // 16))
+    near_ids, near, plain = picked["vec_id"].to_numpy()[:seeds], x[:seeds], np.stack(picked["embedding"].to_numpy()[:seeds]).astype(float)
 
     def assign(batches):
         for pdf in batches:
@@ -160,6 +162,20 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 5, block: int = 4096, ch
             n = order.shape[1]
             yield pd.DataFrame({"query_id": np.repeat(pdf["query_id"].to_numpy(), n), "qvec": np.repeat(np.array([a.astype(kind).tobytes() for a in v], object), n), "tau": np.repeat(tau, n), "list": order.ravel()})
 
+    def seeded(batches):
+        """Each query's k best seeds: where the tests abandon true neighbours, it still gets k rows."""
+        for pdf in batches:
+            for s in range(0, len(pdf), 256):
+                part = pdf.iloc[s : s + 256]
+                v = np.stack(part["embedding"].to_numpy()).astype(float)
+                i, j = np.nonzero(part["query_id"].to_numpy()[:, None] != near_ids)
+                a, b = v[i], plain[j]
+                score = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
+                order = np.lexsort((near_ids[j], -score, i))
+                i, j, score = i[order], j[order], score[order]
+                top = np.arange(len(i)) - np.searchsorted(i, i) < k
+                yield pd.DataFrame({"query_id": part["query_id"].to_numpy()[i[top]], "vec_id": near_ids[j[top]], "score": score[top]})
+
     placed = written(rows.mapInPandas(assign, "vec_id long, vec binary, list long"))
     probed = written(asked.mapInPandas(probe, "query_id long, qvec binary, tau double, list long"))
     sizes = placed.groupBy("list").agg(F.count("*").alias("n")).join(probed.groupBy("list").agg(F.count("*").alias("q")), "list").toPandas()
@@ -182,6 +198,7 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 5, block: int = 4096, ch
     meet = meet.select(F.concat_ws("-", "list", "i").alias("key_b"), F.concat_ws("-", "list", "j").alias("key_c"))
     pairs = meet.join(blocks, "key_b").join(chunks, "key_c").repartition(min(100_000, tasks // 4 + 1), "key_b", "key_c")
     found = pairs.select("ids", "vec", "qids", "qvec", "tau").mapInPandas(_scan(k, dim, kind), "query_id long, vec_id long, score double")
+    found = found.union(asked.mapInPandas(seeded, "query_id long, vec_id long, score double"))
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

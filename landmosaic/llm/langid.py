@@ -30,13 +30,13 @@ def ngrams(text: str | None, longest: int = 3) -> tuple[np.ndarray, np.ndarray]:
     if not letter.any():
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     before = np.concatenate([[True], letter[:-1]])
-    s = np.where(letter, raw, 0)[letter | before].astype(np.int64)
-    s = np.concatenate([[0], s, [0]])
-    found = [s[s > 0]]
+    s = np.where(letter, raw, 1)[letter | before].astype(np.int64)  # 1: the space
+    s = np.concatenate([[1], s, [1]])
+    found = [s[s > 1]]
     if longest >= 2:
-        found.append((s[:-1] | s[1:] << 21)[(s[:-1] > 0) | (s[1:] > 0)])
+        found.append((s[:-1] | s[1:] << 21)[(s[:-1] > 1) | (s[1:] > 1)])
     if longest >= 3:
-        found.append((s[:-2] | s[1:-1] << 21 | s[2:] << 42)[s[1:-1] > 0])
+        found.append((s[:-2] | s[1:-1] << 21 | s[2:] << 42)[s[1:-1] > 1])
     return np.unique(np.concatenate(found), return_counts=True)
 
 
@@ -74,7 +74,7 @@ def profiles(docs: DataFrame, top: int = 400) -> DataFrame:
 
 
 def identify(docs: DataFrame, profile: DataFrame, top: int = 400) -> DataFrame:
-    """docs' other columns but text, with lang_pred and score.
+    """docs' other columns but text, with lang_pred and score (columns of these names are replaced).
 
     The language with the least out-of-place distance between the text's ranked n-grams and its profile (a missing
     n-gram costs `top`), ties to the first in alphabetical order. score is that language's share of all languages'
@@ -87,6 +87,7 @@ def identify(docs: DataFrame, profile: DataFrame, top: int = 400) -> DataFrame:
     codes = np.unique(rows["code"].to_numpy(np.int64))
     ranks = np.full((len(codes) + 1, len(langs)), -1, np.int32)
     ranks[np.searchsorted(codes, rows["code"].to_numpy(np.int64)), [langs.index(x) for x in rows["lang"]]] = rows["rank"]
+    docs = docs.drop("lang_pred", "score")
     keep = [c for c in docs.columns if c != "text"]
 
     def best(text: str | None) -> tuple[str, float]:

@@ -72,7 +72,7 @@ def slots(found: list[Pattern]) -> pd.DataFrame:
             rows.append((length, p.count * copies, base, copies, offset))
             offset += length * copies
         base += p.count
-    out = pd.DataFrame(rows, columns=["length", "n", "sequence", "copies", "offset"]).sort_values(["length", "sequence"], kind="stable")
+    out = pd.DataFrame(rows, columns=["length", "n", "sequence", "copies", "offset"]).astype("int64").sort_values(["length", "sequence"], kind="stable")
     out["first"] = out.groupby("length")["n"].cumsum() - out["n"]
     return out
 
