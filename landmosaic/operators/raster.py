@@ -12,13 +12,23 @@ FEATURES = ("evt", "evh", "evc", "sclass", "fdist", "ch", "cc")
 REQUIRED = ("evt", "evh", "evc", "sclass", "ch", "cc")
 
 
+def dense(df: DataFrame, keys: tuple[str, ...], row: Column, col: Column, value: Column, side: int, fill=None) -> DataFrame:
+    """keys, data: a flat side x side array per key, `fill` where there's no row; first rows of the array, then the whole."""
+    line = F.transform(F.sequence(F.lit(0), F.lit(side - 1)), lambda i: F.coalesce(F.col("m_")[i], F.lit(fill).cast("int")))
+    rows = df.select(*keys, row.cast("int").alias("r_"), col.cast("int").alias("c_"), value.cast("int").alias("v_"))
+    lines = rows.groupBy(*keys, "r_").agg(F.map_from_entries(F.collect_list(F.struct("c_", "v_"))).alias("m_")).select(*keys, "r_", line.alias("line_"))
+    blank = F.array_repeat(F.lit(fill).cast("int"), side)
+    whole = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(side - 1)), lambda i: F.coalesce(F.col("m_")[i], blank)))
+    return lines.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("r_", "line_"))).alias("m_")).select(*keys, whole.alias("data"))
+
+
 def tiled(pixels: DataFrame, features: tuple[str, ...] = FEATURES, size: int = 64) -> DataFrame:
     """Long tile table: feature, tile_r, tile_c, data (array of size * size, NULL where there is no pixel)."""
     long = pixels.select("row_id", "col_id", F.posexplode(F.array(*(F.col(f).cast("int") for f in features))).alias("f", "value"))
-    place = (F.col("row_id") % size) * size + F.col("col_id") % size
-    by_tile = long.groupBy("f", F.floor(F.col("row_id") / size).alias("tile_r"), F.floor(F.col("col_id") / size).alias("tile_c")).agg(F.map_from_entries(F.collect_list(F.struct(place.cast("int"), "value"))).alias("m"))
+    keyed = long.withColumns({"tile_r": F.floor(F.col("row_id") / size), "tile_c": F.floor(F.col("col_id") / size)})
+    flat = dense(keyed, ("f", "tile_r", "tile_c"), F.col("row_id") % size, F.col("col_id") % size, F.col("value"), size)
     name = F.element_at(F.array(*(F.lit(f) for f in features)), F.col("f") + 1)
-    return by_tile.select(name.alias("feature"), "tile_r", "tile_c", F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda i: F.col("m")[i]).alias("data"))
+    return flat.select(name.alias("feature"), "tile_r", "tile_c", "data")
 
 
 def as_rows(tiles: DataFrame, size: int = 64) -> DataFrame:
@@ -111,10 +121,9 @@ def patches(centres: DataFrame, pixels: DataFrame, key: str, value: str, side: i
     at = at.withColumn("tr_", F.explode(tiles("top_"))).withColumn("tc_", F.explode(tiles("left_")))
     cells = pixels.select(F.floor(F.col("row_id") / side).alias("tr_"), F.floor(F.col("col_id") / side).alias("tc_"), "row_id", "col_id", F.coalesce(unmasked(F.col(value)), F.lit(fill)).alias("v_"))
     inside = F.col("row_id").between(F.col("top_"), F.col("top_") + side - 1) & F.col("col_id").between(F.col("left_"), F.col("left_") + side - 1)
-    place = ((F.col("row_id") - F.col("top_")) * side + F.col("col_id") - F.col("left_")).cast("int")
-    found = at.join(cells, ["tr_", "tc_"]).where(inside).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(place, "v_"))).alias("m_"))
+    found = dense(at.join(cells, ["tr_", "tc_"]).where(inside), (key,), F.col("row_id") - F.col("top_"), F.col("col_id") - F.col("left_"), F.col("v_"), side, fill)
     whole = centres.select(key).join(found, key, "left")
-    return whole.select(key, F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda i: F.coalesce(F.col("m_")[i], F.lit(fill))).alias("patch"))
+    return whole.select(key, F.coalesce("data", F.array_repeat(F.lit(fill), side * side)).alias("patch"))
 
 
 def aligned(reference: DataFrame, source: DataFrame, scale: float, row_shift: float = 0.0, col_shift: float = 0.0) -> DataFrame:
