@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .graph import components
+from .graph import components, forest
 
 RADII = (2.0, 1.0, 0.5, 0.25, 0.125, 0.0)
 EPS = 1e-9
@@ -122,23 +122,6 @@ def _matrix(blob: bytes, dim: int, kind: str) -> np.ndarray:
     return unit(np.frombuffer(blob, kind).reshape(-1, dim))
 
 
-def _forest(n: int, batches: Iterator[tuple[np.ndarray, np.ndarray]], add) -> np.ndarray:
-    """Roots of the n rows joined by all batches of pairs; add(p, q) sees each batch. Memory: n, plus a batch."""
-    root = np.arange(n)
-    for p, q in batches:
-        add(p, q)
-        while True:
-            rp, rq = root[p], root[q]
-            apart = rp != rq
-            if not apart.any():
-                break
-            p, q, rp, rq = p[apart], q[apart], rp[apart], rq[apart]
-            np.minimum.at(root, np.maximum(rp, rq), np.minimum(rp, rq))
-            while (root[root] != root).any():
-                root = root[root]
-    return root
-
-
 def _traverse(cosine: float, kind: str):
     """For each pair of blocks: how many linked vectors each row has in the other block, and a spanning forest."""
 
@@ -167,7 +150,7 @@ def _traverse(cosine: float, kind: str):
                     to[:] += np.bincount(at, many_a[p], len(to)).astype(np.int64)
 
                 pairs = dual(tree_a, tree_b, cosine, same)
-                root = _forest(n if same else n + len(ids_b), pairs if same else ((p, q + n) for p, q in pairs), add)
+                root = forest(n if same else n + len(ids_b), pairs if same else ((p, q + n) for p, q in pairs), add)
                 ids = ids_a if same else np.concatenate([ids_a, ids_b])
                 count = count_a if same else np.concatenate([count_a, count_b])
                 found = np.flatnonzero(count)

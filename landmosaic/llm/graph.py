@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,3 +56,21 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     leaves = now.select(F.col("u").alias("node"), F.col("v").alias("component_id"))
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component_id")).distinct()
     return written(leaves.union(roots))
+
+
+def forest(n: int, batches: Iterable[tuple[np.ndarray, np.ndarray]], add: Callable | None = None) -> np.ndarray:
+    """Roots (least positions) of n rows joined by all batches of pairs, within a task; add(p, q) sees each batch."""
+    root = np.arange(n)
+    for p, q in batches:
+        if add:
+            add(p, q)
+        while True:
+            rp, rq = root[p], root[q]
+            apart = rp != rq
+            if not apart.any():
+                break
+            p, q, rp, rq = p[apart], q[apart], rp[apart], rq[apart]
+            np.minimum.at(root, np.maximum(rp, rq), np.minimum(rp, rq))
+            while (root[root] != root).any():
+                root = root[root]
+    return root

@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small, written
-from .graph import components
+from .graph import components, forest
 from .shingles import MinHash, digest, shingle_set
 
 SKETCH = "doc_id long, n_shingles long, digest binary, sketch binary, bands array<long>"
 SETS = "doc_id long, items binary"
 GUESSED = "u long, v long, est double"
+#: Buckets of up to so many members are compared pair by pair; larger ones in blocks of about so many rows and bytes.
+SMALL_BUCKET, BLOCK_ROWS, BLOCK_BYTES = 24, 256, 4_000_000
 CHECKED = "u long, v long, linked boolean, far double"
 
 
@@ -106,8 +108,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     2. Class representatives meet in band buckets. Each bucket's least id is its hub; the other members are
        checked against the hub (signature, then full sets), which gives at most one pair per member and band.
     3. Star components. Where a bucket still spans several components, its members of different components
-       are compared as well, unless their distances to the hub differ by more than 1 - percent / 100
-       (Jaccard distance is a metric, so such pairs can't be linked). No bucket is capped.
+       are compared as well (see _rest): pair by pair in small buckets, unless their distances to the hub differ by
+       more than 1 - percent / 100 (Jaccard distance is a metric, so they can't be linked), in blocks of sets in
+       larger ones. No bucket is capped.
     4. Star components of all links. A pair at the threshold misses every bucket with probability
        (1 - s^rows)^bands: 7e-9 at 0.85 and 2e-6 at 0.8 with the defaults.
 
@@ -131,10 +134,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     links = first.where("linked").select("u", "v")
     label = components(links)
 
-    more = _rest(shared, first, label, percent)
-    if not more.isEmpty():
-        second = _verified(texts, reps, more, k, percent, bands * rows)
-        links = written(links.union(second.where("linked").select("u", "v")))
+    more = _rest(texts, reps, shared, first, label, k, percent, bands * rows)
+    if more is not None:
+        links = written(links.union(more))
     repeats = known.join(classes, "digest").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a != b")
     links = links.union(repeats.select(F.col("a").alias("u"), F.col("b").alias("v")))
     label = components(links)
@@ -145,16 +147,79 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _rest(shared: DataFrame, first: DataFrame, label: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket, but of different components, that the members' distances to the hub leave possible."""
+def _rest(texts: DataFrame, reps: DataFrame, shared: DataFrame, first: DataFrame, label: DataFrame, k: int, percent: int, places: int) -> DataFrame | None:
+    """Links between members of one bucket that are in different components so far; None if no bucket has such members.
+
+    Buckets with the same members (in several bands) count once. In small buckets the pairs that the members'
+    distances to the hub leave possible are verified one by one. Larger ones are dealt into blocks of full shingle sets;
+    each pair of blocks is compared as a whole and gives at most one link per member, so no pairs are emitted.
+    """
     named = shared.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component_id", "doc_id"))
     named = named.select("key", "hub", "doc_id", "comp")
-    mixed = written(named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"))
+    groups = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("h")).where("lo < hi and n > 2")
+    mixed = written(groups.groupBy("n", "h").agg(F.min("key").alias("key")).select("key", "n"))
     if mixed.isEmpty():
-        return mixed.sparkSession.createDataFrame([], "u long, v long")
+        return None
     far = first.select(F.col("u").alias("hub"), F.col("v").alias("doc_id"), "lo", "hi")
-    left = written(named.join(mixed, "key", "left_semi").where("doc_id != hub").join(far, ["hub", "doc_id"]))
-    a, b = (left.select("key", *(F.col(c).alias(f"{c}_{i}") for c in ("doc_id", "comp", "lo", "hi"))) for i in "uv")
+    left = written(named.join(mixed, "key").where("doc_id != hub").join(far, ["hub", "doc_id"]).select("key", "n", "doc_id", "comp", "lo", "hi"))
+
+    few = left.where(F.col("n") <= SMALL_BUCKET)
+    a, b = (few.select("key", *(F.col(c).alias(f"{c}_{i}") for c in ("doc_id", "comp", "lo", "hi"))) for i in "uv")
     gap = F.greatest(F.col("lo_u") - F.col("hi_v"), F.col("lo_v") - F.col("hi_u"))
     pairs = a.join(b, "key").where((F.col("doc_id_u") < F.col("doc_id_v")) & (F.col("comp_u") != F.col("comp_v")) & (gap <= 1 - percent / 100 + 1e-9))
-    return written(pairs.select(F.col("doc_id_u").alias("u"), F.col("doc_id_v").alias("v")).distinct())
+    pairs = written(pairs.select(F.col("doc_id_u").alias("u"), F.col("doc_id_v").alias("v")).distinct())
+    links = _verified(texts, reps, pairs, k, percent, places).where("linked").select("u", "v")
+
+    many = left.where(F.col("n") > SMALL_BUCKET).select("key", "doc_id", "comp")
+    ids = written(many.select("doc_id").distinct())
+    if ids.isEmpty():
+        return links
+    sets = written(texts.join(small(ids), "doc_id", "left_semi").mapInPandas(_sets(k), SETS).withColumn("bytes", F.length("items").cast("long")))
+    sizes = many.join(sets.select("doc_id", "bytes"), "doc_id").groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("bytes") / BLOCK_BYTES)).alias("salts"))
+    dealt = many.join(written(sizes), "key").withColumn("salt", F.pmod(F.xxhash64("doc_id"), "salts")).join(sets, "doc_id")
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "salt": [pdf["salt"].iloc[0]], "ids": [pdf["doc_id"].to_numpy()], "comps": [pdf["comp"].to_numpy()], "sizes": [pdf["bytes"].to_numpy() // 8], "items": [b"".join(pdf["items"])]})
+
+    blocks = written(dealt.select("key", "salt", "doc_id", "comp", "bytes", "items").groupBy("key", "salt").applyInPandas(pack, "key long, salt long, ids array<long>, comps array<long>, sizes array<long>, items binary"))
+    side = lambda i: blocks.select("key", *(F.col(c).alias(f"{c}_{i}") for c in ("salt", "ids", "comps", "sizes", "items")))
+    met = side("a").join(side("b"), "key").where("salt_a <= salt_b").repartition("key", "salt_a", "salt_b")
+    return links.union(met.mapInPandas(_block_links(percent), "u long, v long"))
+
+
+def _block_links(percent: int):
+    """Links between members of different components of two blocks of full sets: for each linked row, one that joins it on.
+
+    Only shingles that both blocks have can be shared; their incidence matrices are multiplied in column chunks.
+    """
+
+    def incidence(items, sizes, common):
+        at = np.searchsorted(common, items)
+        at[at == len(common)] = 0
+        held = common[at] == items
+        return np.repeat(np.arange(len(sizes)), sizes)[held], at[held]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for ia, ib, ca, cb, sa, sb, xa, xb in zip(*(pdf[c] for c in ("ids_a", "ids_b", "comps_a", "comps_b", "sizes_a", "sizes_b", "items_a", "items_b"))):
+                ia, ib, ca, cb, sa, sb = (np.asarray(x) for x in (ia, ib, ca, cb, sa, sb))
+                xa, xb = np.frombuffer(xa, np.uint64), np.frombuffer(xb, np.uint64)
+                common = np.intersect1d(np.unique(xa), np.unique(xb), assume_unique=True)
+                if not len(common):
+                    continue
+                (ra, pa), (rb, pb) = incidence(xa, sa, common), incidence(xb, sb, common)
+                both = np.zeros((len(ia), len(ib)))
+                for s in range(0, len(common), 8192):
+                    width = min(8192, len(common) - s)
+                    m, n = np.zeros((len(ia), width), np.float32), np.zeros((len(ib), width), np.float32)
+                    here, there = (pa >= s) & (pa < s + width), (pb >= s) & (pb < s + width)
+                    m[ra[here], pa[here] - s], n[rb[there], pb[there] - s] = 1, 1
+                    both += m @ n.T
+                hit = (100 * both >= percent * (sa[:, None] + sb - both)) & (ca[:, None] != cb)
+                p, q = np.nonzero(hit)
+                ids = np.concatenate([ia, ib])
+                root = forest(len(ids), [(p, q + len(ia))])
+                moved = np.flatnonzero(root != np.arange(len(ids)))
+                yield pd.DataFrame({"u": ids[root[moved]], "v": ids[moved]})
+
+    return run

@@ -71,8 +71,10 @@ def test_minhash_matches_brute_force(spark, k, percent):
     assert {d: (r["n_shingles"], r["component_id"], r["kept"]) for d, r in got.items()} == {d: (len(s), want[d], want[d] == d) for d, s in sets.items()}
 
 
-def test_minhash_chains_within_a_bucket(spark):
+@pytest.mark.parametrize("pairwise", [True, False])
+def test_minhash_chains_within_a_bucket(spark, monkeypatch, pairwise):
     """Neighbours of a chain are linked though its ends aren't alike: no link is lost behind a bucket's hub."""
+    monkeypatch.setattr(minhash, "SMALL_BUCKET", 24 if pairwise else 2)
     base = [f"t{i}" for i in range(100)]
     texts = [" ".join(base[:100 - 4 * j] + [f"n{i}" for i in range(4 * j)]) for j in range(12)]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
