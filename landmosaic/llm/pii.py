@@ -79,31 +79,41 @@ def disclosing_terms(docs: DataFrame, threshold: float = 0.9, support: int = 3,
     """mark (md5 of a text), terms: the terms to sanitise in the texts with that mark. All texts are counted.
 
     Every base match is a protected entity e. A term t (a word of at least four letters, lower-cased) co-occurs with e
-    where it stands within `reach` characters of it. Counted in distinct texts, so that copies count once: n(t, e),
+    where it stands whole within `reach` characters of it. Counted in distinct texts, so that copies count once: n(t, e),
     n(t), n(e), of N. e has the information IC(e) = ln(N / n(e)), and t reveals
     PMI(t; e) = ln(n(t, e) N / (n(t) n(e))) of it. t discloses e if PMI >= threshold * IC and at least
     `support` texts have both; it is then sanitised in the texts that have it close to e.
 
-    Mentions, not all pairs of a text's words and entities, are counted. n(t) is only kept for terms that some entity has often enough.
+    Mentions, not all pairs of a text's words and entities, are counted. The texts that have t close to any entity are
+    some of those that have t; a pair (t, e) that fails with their number in place of n(t) fails with n(t) too. So n(t) is
+    counted in all texts, but only for the terms of pairs that hold against this bound: common words near many entities drop out.
     """
     text = docs.select(F.col("text"), F.md5(F.col("text").cast("binary")).alias("mark")).where("text is not null")
     entity = lambda k: lambda m: F.struct(F.concat(F.lit(f"{k}:"), F.lower(m["value"])).alias("entity"), m["start"].alias("start"), m["end"].alias("end"))
     kinds = [F.transform(v, entity(k)) for k, v in found(F.col("text")).items()]
     mentions = text.select("mark", "text", F.explode(F.concat(*kinds)).alias("m"))
-    first = F.greatest(F.col("m.start") - reach, F.lit(0))
-    left = F.substring(F.col("text"), (first + 1).cast("int"), (F.col("m.start") - first).cast("int"))
-    right = F.substring(F.col("text"), (F.col("m.end") + 1).cast("int"), F.lit(reach))
+    # each window has one character more on either side, so that a word that crosses its edge is seen and left out
+    first = F.greatest(F.col("m.start") - reach - 1, F.lit(0))
+    left = F.regexp_replace(F.substring(F.col("text"), (first + 1).cast("int"), (F.col("m.start") + 1 - first).cast("int")), r"\p{L}+\z", "")
+    left = F.when(F.col("m.start") > reach, F.regexp_replace(left, r"\A\p{L}+", "")).otherwise(left)
+    right = F.substring(F.col("text"), F.col("m.end").cast("int"), F.lit(reach + 2))
+    right = F.regexp_replace(F.when(F.length(right) == reach + 2, F.regexp_replace(right, r"\p{L}+\z", "")).otherwise(right), r"\A\p{L}+", "")
     near = F.regexp_extract_all(F.lower(F.concat_ws(" ", left, right)), F.lit(TERM), F.lit(0))
     pairs = written(mentions.select("mark", F.col("m.entity").alias("entity"), F.explode_outer(F.array_distinct(near)).alias("term")).distinct())
     n_e = pairs.select("mark", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     n_te = written(pairs.where("term is not null").groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support))
-    terms = written(n_te.select("term").distinct())
+    total = written(text.agg(F.count_distinct("mark").cast("double").alias("n")))
+    n_near = pairs.where("term is not null").select("mark", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+
+    def discloses(n_t: str) -> Column:
+        pmi, ic = F.log(F.col("n_te") * F.col("n") / (F.col(n_t) * F.col("n_e"))), F.log(F.col("n") / F.col("n_e"))
+        return (ic > 0) & (pmi >= threshold * ic - 1e-9)
+
+    possible = written(n_te.join(n_near, "term").join(n_e, "entity").crossJoin(F.broadcast(total)).where(discloses("n_near")).select("entity", "term", "n_te", "n_e", "n"))
+    terms = written(possible.select("term").distinct())
     words = text.select("mark", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
     n_t = words.join(small(terms), "term").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    total = text.agg(F.count_distinct("mark").cast("double").alias("n"))
-    counted = n_te.join(n_t, "term").join(n_e, "entity").crossJoin(F.broadcast(total))
-    pmi, ic = F.log(F.col("n_te") * F.col("n") / (F.col("n_t") * F.col("n_e"))), F.log(F.col("n") / F.col("n_e"))
-    chosen = written(counted.where((ic > 0) & (pmi >= threshold * ic - 1e-9)).select("entity", "term"))
+    chosen = written(possible.join(n_t, "term").where(discloses("n_t")).select("entity", "term"))
     return written(pairs.join(chosen, ["entity", "term"]).groupBy("mark").agg(F.array_sort(F.collect_set("term")).alias("terms")))
 
 

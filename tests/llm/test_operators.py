@@ -215,6 +215,35 @@ def test_pii_terms_that_disclose(spark):
     assert all(got[100 + i]["clean"] == dict(rows)[100 + i] and not got[100 + i]["spans"] for i in range(60))
 
 
+def test_pii_terms_equal_brute_force(spark):
+    r = np.random.default_rng(8)
+    vocabulary = [f"word{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(40)] + ["Éclair", "cut"]
+    texts = []
+    for _ in range(300):
+        e = int(r.integers(0, 12))
+        words = list(r.choice(vocabulary, r.integers(3, 30))) + ([f"secret{'abcdefghijkl'[e]}"] if r.random() < 0.7 else [])
+        r.shuffle(words)
+        texts.append(" ".join(words[:6]) + f" é{'u' * (e + 1)}@x.com" + "éa " * int(r.integers(0, 2)) + " " + " ".join(words[6:]) + "\n")
+    texts += [None, "", "no mention of wordak here", texts[0]]
+    different, near, has = sorted({t for t in texts if t is not None}), {}, {}
+    for i, t in enumerate(different):
+        runs = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W\d_]{4,}", t)]
+        for w in {w for _, _, w in runs}:
+            has.setdefault(w, set()).add(i)
+        for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t):
+            close = {w for s, e, w in runs if (m.start() - 60 <= s and e <= m.start()) or (m.end() <= s and e <= m.end() + 60)}
+            near.setdefault(m[0].lower(), {})[i] = near.get(m[0].lower(), {}).get(i, set()) | close
+    want = {}
+    for e, found in near.items():
+        for w in set().union(*found.values()):
+            both, ic = [i for i in found if w in found[i]], np.log(len(different) / len(found))
+            if len(both) >= 3 and ic > 0 and np.log(len(both) * len(different) / (len(has[w]) * len(found))) >= 0.9 * ic - 1e-9:
+                for i in both:
+                    want.setdefault(hashlib.md5(different[i].encode()).hexdigest(), set()).add(w)
+    got = {x["mark"]: set(x["terms"]) for x in pii.disclosing_terms(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    assert got == want and want
+
+
 def test_weights_and_mixture(spark, odd):
     docs = spark.createDataFrame([(i, "w " * (1 + i % 7), "big" if i % 3 else f"s{i % 5}") for i in range(3000)], "doc_id long, text string, source string")
     plan = {r["mix_key"]: r for r in mixing.weights(mixing.sizes(docs), entropy=0.95, repetition=3.0).collect()}
