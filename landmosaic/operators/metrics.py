@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import cross_entropy, probability
+from .ranks import running
 
 
 def views_averaged(scores: DataFrame, key: str = "point_id") -> DataFrame:
@@ -19,9 +20,8 @@ def by_score(df: DataFrame, group: tuple[str, ...] = (), score: str = "logit") -
 
 
 def roc_auc(df: DataFrame, group: tuple[str, ...] = (), score: str = "logit") -> DataFrame:
-    """Mann-Whitney AUC with average ranks for ties; NULL if one class is missing. The window runs over distinct scores."""
-    w = Window.partitionBy(*group).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    r = by_score(df, group, score).withColumn("rank", F.coalesce(F.sum("c").over(w), F.lit(0)) + (F.col("c") + 1) / 2)
+    """Mann-Whitney AUC with average ranks for ties; NULL if one class is missing. Ranks run over distinct scores."""
+    r = running(by_score(df, group, score), ["s"], group, ("c",)).withColumn("rank", F.col("run_c") - F.col("c") + (F.col("c") + 1) / 2)
     p, n = F.sum("pos"), F.sum(F.col("c") - F.col("pos"))
     auc = F.when((p > 0) & (n > 0), (F.sum(F.col("rank") * F.col("pos")) - p * (p + 1) / 2) / (p * n))
     return r.groupBy(*group).agg(auc.alias("auc"))
@@ -29,18 +29,17 @@ def roc_auc(df: DataFrame, group: tuple[str, ...] = (), score: str = "logit") ->
 
 def average_precision(df: DataFrame, key: str = "point_id", group: tuple[str, ...] = (), score: str = "logit") -> DataFrame:
     """Mean precision at the positives, by descending score, ties by key."""
-    w = Window.partitionBy(*group).orderBy(F.desc(score), key).rowsBetween(Window.unboundedPreceding, 0)
-    at = df.withColumn("hits_", F.sum("y").over(w)).withColumn("at_", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(score), key)))
-    return at.groupBy(*group).agg((F.sum(F.when(F.col("y") == 1, F.col("hits_") / F.col("at_"))) / F.sum("y")).alias("ap"))
+    at = running(df, [F.desc(score), F.col(key)], group, ("y",))
+    return at.groupBy(*group).agg((F.sum(F.when(F.col("y") == 1, F.col("run_y") / F.col("pos_"))) / F.sum("y")).alias("ap"))
 
 
 def best_threshold(df: DataFrame, score: str = "logit") -> DataFrame:
     """threshold, accuracy of the first accuracy maximum: midway between neighbouring scores, 1e-6 beyond the ends."""
-    c = by_score(df, (), score)
-    order = Window.orderBy("s")
-    run = order.rowsBetween(Window.unboundedPreceding, -1)
+    c = running(by_score(df, (), score), ["s"], (), ("c", "pos"))
     totals = c.agg(F.sum("c").alias("n_"), F.sum("pos").alias("p_"), F.max("s").alias("top_"))
-    low = c.withColumns({"below": F.coalesce(F.sum(F.col("c") - F.col("pos")).over(run), F.lit(0.0)), "lost": F.coalesce(F.sum("pos").over(run), F.lit(0.0)), "prev": F.lag("s").over(order)}).crossJoin(F.broadcast(totals))
+    previous = c.select((F.col("pos_") + 1).alias("pos_"), F.col("s").alias("prev"))
+    lost = F.col("run_pos") - F.col("pos")
+    low = c.join(previous, "pos_", "left").withColumns({"lost": lost, "below": F.col("run_c") - F.col("c") - lost}).crossJoin(F.broadcast(totals))
     cut = low.select(F.coalesce((F.col("s") + F.col("prev")) / 2, F.col("s") - 1e-6).alias("threshold"), ((F.col("below") + F.col("p_") - F.col("lost")) / F.col("n_")).alias("accuracy"))
     end = totals.select((F.col("top_") + 1e-6).alias("threshold"), ((F.col("n_") - F.col("p_")) / F.col("n_")).alias("accuracy"))
     return cut.unionByName(end).orderBy(F.desc("accuracy"), "threshold").limit(1)

@@ -69,12 +69,12 @@ def collapsed(df: DataFrame, key: tuple[str, ...] = ("region",), places: int = 5
     )
 
 
-def pairs_within(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
-    """Rows of a joined to rows of b at most radius away (distance), by grid cells; columns of both need distinct names but x, y."""
+def pairs_within(a: DataFrame, b: DataFrame, radius: float, same: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of a joined to rows of b at most radius away (distance) that agree in `same`, by grid cells; other columns of both need distinct names but x, y."""
     left = cells(a, radius)
     right = cells(b.withColumnsRenamed({"x": "bx", "y": "by"}).withColumns({"x": F.col("bx"), "y": F.col("by")}), radius, neighbours=True).drop("x", "y")
     d = F.sqrt((F.col("x") - F.col("bx")) ** 2 + (F.col("y") - F.col("by")) ** 2)
-    return left.join(right, ["cx", "cy"]).withColumn("distance", d).where(F.col("distance") <= radius).drop("cx", "cy", "bx", "by")
+    return left.join(right, [*same, "cx", "cy"]).withColumn("distance", d).where(F.col("distance") <= radius).drop("cx", "cy", "bx", "by")
 
 
 def nearest_within(a: DataFrame, b: DataFrame, key: str, radius: float) -> DataFrame:
@@ -115,14 +115,14 @@ def thinned(df: DataFrame, key: str, spacing: float, priority=None) -> DataFrame
 def density(df: DataFrame, key: str, strata: tuple[str, ...] = (), extra: tuple[str, ...] = (), bandwidth: float = BANDWIDTH, least: int = 30) -> DataFrame:
     """df with a Gaussian kernel density at its points, within the cutoff of 6 bandwidths.
 
-    strata: densities within classes, NULL in classes under `least` rows. extra: further standardised axes (population
-    deviation, 0 counts as 1), scaled by the bandwidth. Equal locations are one weighted point before the join, so a hot
+    strata: densities within classes, NULL in classes under `least` rows. extra: further axes standardised within the
+    classes (population deviation, 0 counts as 1), scaled by the bandwidth. Equal locations are one weighted point before the join, so a hot
     pin isn't joined with itself row by row; pairs meet by cell.
     """
     scaled = df
     if extra:
-        stats = df.agg(*(F.avg(c).alias(f"m_{c}") for c in extra), *(F.when(F.stddev_pop(c) == 0, 1.0).otherwise(F.stddev_pop(c)).alias(f"s_{c}") for c in extra))
-        scaled = df.crossJoin(F.broadcast(stats)).withColumns({f"z_{c}": (F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}") * bandwidth for c in extra})
+        stats = df.groupBy(*strata).agg(*(F.avg(c).alias(f"m_{c}") for c in extra), *(F.when(F.stddev_pop(c) == 0, 1.0).otherwise(F.stddev_pop(c)).alias(f"s_{c}") for c in extra))
+        scaled = (df.join(F.broadcast(stats), list(strata)) if strata else df.crossJoin(F.broadcast(stats))).withColumns({f"z_{c}": (F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}") * bandwidth for c in extra})
     axes = [f"z_{c}" for c in extra]
     where = [*strata, "x", "y", *axes]
     spots = saved(scaled.groupBy(*where).agg(F.count("*").alias("many")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import hash_share
+from .ranks import running
 
 
 def block_holdout(df: DataFrame, share: float = 0.2, seed: int = 42) -> DataFrame:
@@ -36,10 +37,13 @@ def first_at_location(df: DataFrame, key: str, places: int = 5) -> DataFrame:
 
 
 def quota(df: DataFrame, group: tuple[str, ...], year_cap: int, cap: int, key: str) -> DataFrame:
-    """At most cap rows per group: up to year_cap of each year first, in year order, then left-overs in year order."""
+    """At most cap rows per group: up to year_cap of each year first, in year order, then left-overs in year order.
+
+    A row with cap rows of its own year before it is never taken, so both ranks are limited within tasks before the shuffle.
+    """
     rank = F.row_number().over(Window.partitionBy(*group, "year").orderBy(key))
     order = Window.partitionBy(*group).orderBy((F.col("r_") > year_cap).cast("int"), "year", "r_")
-    return df.withColumn("r_", rank).withColumn("o_", F.row_number().over(order)).where(F.col("o_") <= cap).drop("r_", "o_")
+    return df.withColumn("r_", rank).where(F.col("r_") <= cap).withColumn("o_", F.row_number().over(order)).where(F.col("o_") <= cap).drop("r_", "o_")
 
 
 def caps(df: DataFrame, group: tuple[str, ...], needed: int, species: int, years: int, headroom: float = 6.0) -> DataFrame:
@@ -61,7 +65,7 @@ def weighted_sample(df: DataFrame, key: str, targets: DataFrame, nonveg_cap: flo
     targets: split, target (a few rows). df: split, nonveg, weight.
     """
     draw = df.withColumn("draw_", -F.log(uniform(seed, F.col(key))) / F.col("weight"))
-    ranked = draw.withColumn("pos_", F.row_number().over(Window.partitionBy("split", "nonveg").orderBy("draw_", key)))
+    ranked = running(draw, ["draw_", key], ("split", "nonveg"))
     have = df.groupBy("split").agg(F.sum(F.col("nonveg").cast("long")).alias("bare_"), F.sum((~F.col("nonveg")).cast("long")).alias("green_"))
     plan = have.join(F.broadcast(targets), "split")
     bare = F.least("bare_", F.floor(F.col("target") * nonveg_cap))
@@ -73,7 +77,7 @@ def weighted_sample(df: DataFrame, key: str, targets: DataFrame, nonveg_cap: flo
 def balanced_batches(df: DataFrame, key: str, batch: int = 8, seed: int = 42) -> DataFrame:
     """batch_id, slot, key, y: batches alternate between a quarter and three quarters of positives; the rarer class is recycled."""
     n = df.groupBy("y").agg(F.count("*").alias("n_"))
-    rows = df.withColumn("pos_", F.row_number().over(Window.partitionBy("y").orderBy(uniform(seed, F.col(key)), key)) - 1).select(key, "y", "pos_")
+    rows = running(df.select(key, "y", uniform(seed, F.col(key)).alias("draw_")), ["draw_", key], ("y",)).select(key, "y", (F.col("pos_") - 1).alias("pos_"))
     total = n.agg(F.max("n_").alias("most_"), F.count("*").alias("classes_"))
     few = batch // 4
     slots = total.where("classes_ = 2").withColumn("batch_id", F.explode(F.sequence(F.lit(0).cast("long"), 2 * F.ceil(F.col("most_") / batch) - 1))).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(batch - 1))))

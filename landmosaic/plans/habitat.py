@@ -57,13 +57,13 @@ def sample_layers(spark, sf):
     return used(spark, sf).select("region", "sid", *R.FEATURES, "evt_phys", "nonveg")
 
 
-@query(f"{PIX}, {SIGHT} SELECT s.region, s.sid, {MASK.format('p.evt')} AS evt, p.ch FROM coll s JOIN fx_pixels p ON p.row_id = CAST(floor((48e0 - lat) / 0.01e0) AS INT) AND p.col_id = CAST(floor((lon + 74e0) / 0.01e0) AS INT) WHERE s.region = 'NH'")
+@query(f"{PIX}, {SIGHT} SELECT s.region, s.sid, CAST({MASK.format('p.evt')} AS DOUBLE) AS evt, p.ch FROM coll s JOIN fx_pixels p ON p.row_id = CAST(floor((48e0 - lat) / 0.01e0) AS INT) AND p.col_id = CAST(floor((lon + 74e0) / 0.01e0) AS INT)")
 def sample_tiles(spark, sf):
     """The same sampling from a tile table, by an equi-join on the tile."""
-    at = R.indexed(P.collapsed(clipped(spark, sf)).where("region = 'NH'"))
-    got = R.sampled_from_tiles(at, R.tiled(pixels(spark, sf), ("evt", "ch")), "sid", ("evt", "ch"))
-    inside = at.join(pixels(spark, sf).select("row_id", "col_id"), ["row_id", "col_id"], "left_semi").select("region", "sid")
-    return inside.join(got, "sid").select("region", "sid", "evt", "ch")
+    at = R.indexed(P.collapsed(clipped(spark, sf))).withColumn("point", F.concat_ws(":", "region", "sid"))
+    got = R.sampled_from_tiles(at, R.tiled(pixels(spark, sf), ("evt", "ch")), "point", ("evt", "ch"))
+    inside = at.join(pixels(spark, sf).select("row_id", "col_id"), ["row_id", "col_id"], "left_semi").select("region", "sid", "point")
+    return inside.join(got, "point").select("region", "sid", F.col("evt").cast("double").alias("evt"), "ch")
 
 
 @query(f"{ENV} SELECT envelope_id, sightings, avail_n, round(used_pct, 9) AS used_pct, round(avail_pct, 9) AS avail_pct, round(selection_ratio, 9) AS selection_ratio, classification FROM cls")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import albers_sql, block_id, hash_share, projected
 from ..operators import points as P
 from ..operators import sampling as S
+from ..operators.ranks import running
 from .fixtures import fx, with_fx
 from .registry import query
 
@@ -129,95 +130,97 @@ def visit_concentration(spark, sf):
 
 def _kde(extra: str = "0e0", dims: int = 2, where: str = "true", strata: str = "") -> str:
     norm = f"pow(2 * pi(), {dims / 2!r}) * pow(3000e0, {dims})"
-    by = f"PARTITION BY {strata}" if strata else ""
-    same = f"AND a.{strata} = b.{strata}" if strata else ""
-    return f"""dens AS (SELECT a.sid, sum(exp(-((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + {extra}) / (2 * 9e6))) / (any_value(b.n) * {norm}) AS density, any_value(b.n) AS n
-      FROM pts a JOIN (SELECT *, count(*) OVER ({by}) AS n FROM pts) b ON abs(a.x - b.x) <= 18000 AND abs(a.y - b.y) <= 18000 {same} AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 324e6 WHERE {where} GROUP BY a.sid)"""
+    by = f"PARTITION BY region{strata and ', ' + strata}"
+    same = "AND a.region = b.region" + (f" AND a.{strata} = b.{strata}" if strata else "")
+    return f"""dens AS (SELECT a.region, a.sid, sum(exp(-((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + {extra}) / (2 * 9e6))) / (any_value(b.n) * {norm}) AS density, any_value(b.n) AS n
+      FROM pts a JOIN (SELECT *, count(*) OVER ({by}) AS n FROM pts) b ON abs(a.x - b.x) <= 18000 AND abs(a.y - b.y) <= 18000 {same} AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 324e6 WHERE {where} GROUP BY a.region, a.sid)"""
 
 
-NH = f"{PROJ}, pts AS (SELECT *, sid % 3 AS phys FROM proj WHERE region = 'NH')"
+PTS = f"{PROJ}, pts AS (SELECT *, sid % 3 AS phys FROM proj)"
 
 
-def nh(spark, sf):
-    return habitat_points(spark, sf).where("region = 'NH'").withColumn("phys", F.col("sid") % 3)
+def classed(spark, sf):
+    return habitat_points(spark, sf).withColumn("phys", F.col("sid") % 3)
 
 
-ZONES = "CASE WHEN density >= quantile_cont(density, 0.9) OVER () THEN 'Hot' WHEN density <= quantile_cont(density, 0.1) OVER () THEN 'Cold' ELSE 'Moderate' END"
+ZONES = "CASE WHEN density >= quantile_cont(density, 0.9) OVER (PARTITION BY region) THEN 'Hot' WHEN density <= quantile_cont(density, 0.1) OVER (PARTITION BY region) THEN 'Cold' ELSE 'Moderate' END"
 
 
 def shown(df):
-    return df.select("sid", F.round(F.col("density") * 1e12, 3).alias("density"))
+    return df.select("region", "sid", F.round(F.col("density") * 1e12, 3).alias("density"))
 
 
-@query(f"{NH}, {_kde()} SELECT sid, round(density * 1e12, 3) AS density FROM dens")
+@query(f"{PTS}, {_kde()} SELECT region, sid, round(density * 1e12, 3) AS density FROM dens")
 def kde_spatial(spark, sf):
-    """D7."""
-    return shown(P.density(nh(spark, sf), "sid"))
+    """D7, within each region."""
+    return shown(P.density(classed(spark, sf), "sid", strata=("region",), least=0))
 
 
-@query(f"{NH}, {_kde()} SELECT zone AS spatial_zone, n > 0 AS any FROM (SELECT zone, count(*) AS n FROM (SELECT {ZONES} AS zone FROM dens) GROUP BY zone)")
+@query(f"{PTS}, {_kde()} SELECT region, zone AS spatial_zone, n > 0 AS any FROM (SELECT region, zone, count(*) AS n FROM (SELECT region, {ZONES} AS zone FROM dens) GROUP BY region, zone)")
 def kde_zones(spark, sf):
     """Which zones occur (counts at the very decile depend on the last bits of the sums)."""
-    return P.zoned(P.density(nh(spark, sf), "sid")).groupBy("spatial_zone").agg((F.count("*") > 0).alias("any"))
+    return P.zoned(P.density(classed(spark, sf), "sid", strata=("region",), least=0), strata=("region",)).groupBy("region", "spatial_zone").agg((F.count("*") > 0).alias("any"))
 
 
-@query(f"{NH}, {_kde(strata='phys')} SELECT sid, round(CASE WHEN n >= 30 THEN density * 1e12 END, 3) AS density FROM dens")
+@query(f"{PTS}, {_kde(strata='phys')} SELECT region, sid, round(CASE WHEN n >= 30 THEN density * 1e12 END, 3) AS density FROM dens")
 def kde_stratified(spark, sf):
     """D9."""
-    return shown(P.density(nh(spark, sf), "sid", strata=("phys",)))
+    return shown(P.density(classed(spark, sf), "sid", strata=("region", "phys")))
 
 
-Z = "((a.year - b.year) / (SELECT CASE WHEN stddev_pop(year) = 0 THEN 1 ELSE stddev_pop(year) END FROM pts) * 3000e0)"
+Z = "((a.year - b.year) / a.dev * 3000e0)"
+PTS_DEV = f"{PROJ}, pts AS (SELECT *, CASE WHEN stddev_pop(year) OVER (PARTITION BY region) = 0 THEN 1 ELSE stddev_pop(year) OVER (PARTITION BY region) END AS dev FROM proj)"
 
 
-@query(f"{NH}, {_kde(extra=f'{Z} * {Z}', dims=3)} SELECT sid, round(density * 1e15, 3) AS density FROM dens")
+@query(f"{PTS_DEV}, {_kde(extra=f'{Z} * {Z}', dims=3)} SELECT region, sid, round(density * 1e15, 3) AS density FROM dens")
 def kde_joint(spark, sf):
     """With a standardised third axis."""
-    return P.density(nh(spark, sf), "sid", extra=("year",)).select("sid", F.round(F.col("density") * 1e15, 3).alias("density"))
+    return P.density(classed(spark, sf), "sid", strata=("region",), extra=("year",), least=0).select("region", "sid", F.round(F.col("density") * 1e15, 3).alias("density"))
 
 
-GRID = "grid AS (SELECT i, j, x0 + i * (x1 - x0) / 19 AS x, y0 + j * (y1 - y0) / 19 AS y FROM (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM pts), (SELECT unnest(range(20)) AS i), (SELECT unnest(range(20)) AS j))"
-SURF = f"""{GRID}, s AS (SELECT i, j, sum(exp(-((g.x - p.x) * (g.x - p.x) + (g.y - p.y) * (g.y - p.y)) / (2 * 9e6))) AS d FROM grid g JOIN pts p ON (g.x - p.x) * (g.x - p.x) + (g.y - p.y) * (g.y - p.y) <= 324e6 GROUP BY i, j)"""
+def _surface(by: str) -> str:
+    same = " AND ".join(f"g.{c} = p.{c}" for c in by.split(", "))
+    return f"""grid AS (SELECT {by}, i, j, x0 + i * (x1 - x0) / 19 AS x, y0 + j * (y1 - y0) / 19 AS y FROM (SELECT {by}, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM pts GROUP BY {by} HAVING count(*) >= 20), (SELECT unnest(range(20)) AS i), (SELECT unnest(range(20)) AS j)),
+    s AS (SELECT {', '.join('g.' + c for c in by.split(', '))}, i, j, sum(exp(-((g.x - p.x) * (g.x - p.x) + (g.y - p.y) * (g.y - p.y)) / (2 * 9e6))) AS d FROM grid g JOIN pts p ON {same} AND (g.x - p.x) * (g.x - p.x) + (g.y - p.y) * (g.y - p.y) <= 324e6 GROUP BY ALL),
+    top AS (SELECT *, max(d) OVER (PARTITION BY {by}) AS top FROM s)"""
 
 
-def surface(points, n=20):
-    """A regular grid over the points' extent and the density summed at its nodes, by cells."""
-    box = points.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+def surface(points, by, n=20, least=20):
+    """For each class with enough points a regular grid over their extent and the density summed at its nodes, with the class's greatest (top)."""
+    box = points.groupBy(*by).agg(F.count("*").alias("many"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
     at = lambda lo, hi, k: F.col(lo) + F.col(k) * (F.col(hi) - F.col(lo)) / (n - 1)
-    grid = box.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    grid = grid.select("i", "j", at("x0", "x1", "i").alias("x"), at("y0", "y1", "j").alias("y"))
-    near = P.pairs_within(grid, points.select("x", "y"), P.CUTOFF * P.BANDWIDTH)
-    return near.groupBy("i", "j").agg(F.sum(F.exp(-(F.col("distance") ** 2) / (2 * P.BANDWIDTH**2))).alias("d"))
+    grid = box.where(F.col("many") >= least).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    grid = grid.select(*by, "i", "j", at("x0", "x1", "i").alias("x"), at("y0", "y1", "j").alias("y"))
+    near = P.pairs_within(grid, points.select(*by, "x", "y"), P.CUTOFF * P.BANDWIDTH, same=by)
+    s = P.saved(near.groupBy(*by, "i", "j").agg(F.sum(F.exp(-(F.col("distance") ** 2) / (2 * P.BANDWIDTH**2))).alias("d")))
+    return s.join(F.broadcast(s.groupBy(*by).agg(F.max("d").alias("top"))), list(by))
 
 
-@query(f"{NH}, {SURF} SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(d, 6) AS d FROM s WHERE d >= 0.005 * (SELECT max(d) FROM s)")
+@query(f"{PTS}, {_surface('region')} SELECT region, CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(d, 6) AS d FROM top WHERE d >= 0.005 * top")
 def density_surface(spark, sf):
     """D11 with its mask at half a percent of the greatest value."""
-    s = surface(nh(spark, sf))
-    return s.crossJoin(F.broadcast(s.agg(F.max("d").alias("top")))).where("d >= 0.005 * top").select("i", "j", F.round("d", 6).alias("d"))
+    return surface(classed(spark, sf), ("region",)).where("d >= 0.005 * top").select("region", "i", "j", F.round("d", 6).alias("d"))
 
 
-@query(f"{NH}, cnt AS (SELECT CAST(floor(x / 3000e0) AS BIGINT) AS bx, count(*) AS n FROM pts GROUP BY 1) SELECT bx, n, round(100e0 * (row_number() OVER (ORDER BY n, bx) - 1) / greatest((SELECT count(*) FROM cnt) - 1, 1), 9) AS pct FROM cnt")
+@query(f"{PTS}, cnt AS (SELECT region, CAST(floor(x / 3000e0) AS BIGINT) AS bx, count(*) AS n FROM pts GROUP BY 1, 2) SELECT region, bx, n, round(100e0 * (row_number() OVER (PARTITION BY region ORDER BY n, bx) - 1) / greatest(count(*) OVER (PARTITION BY region) - 1, 1), 9) AS pct FROM cnt")
 def percentile_rank(spark, sf):
-    """Rank 0 to 100 with the cell's id as tie-break."""
-    from pyspark.sql import Window
+    """Rank 0 to 100 within the region, with the cell's id as tie-break."""
+    cnt = classed(spark, sf).groupBy("region", F.floor(F.col("x") / 3000).alias("bx")).agg(F.count("*").alias("n"))
+    ranked = running(cnt, ["n", "bx"], ("region",))
+    total = cnt.groupBy("region").agg(F.count("*").alias("t"))
+    pct = 100 * (F.col("pos_") - 1) / F.greatest(F.col("t") - 1, F.lit(1))
+    return ranked.join(F.broadcast(total), "region").select("region", "bx", "n", F.round(pct, 9).alias("pct"))
 
-    cnt = nh(spark, sf).groupBy(F.floor(F.col("x") / 3000).alias("bx")).agg(F.count("*").alias("n"))
-    total = cnt.agg(F.count("*").alias("t"))
-    pct = 100 * (F.row_number().over(Window.orderBy("n", "bx")) - 1) / F.greatest(F.col("t") - 1, F.lit(1))
-    return cnt.crossJoin(F.broadcast(total)).select("bx", "n", F.round(pct, 9).alias("pct"))
 
-
-@query(f"{NH.replace('AS (SELECT *, sid % 3 AS phys FROM proj WHERE', 'AS (SELECT *, sid % 3 AS phys FROM proj WHERE sid % 3 = 1 AND')}, {SURF} SELECT level, CAST(count(*) AS BIGINT) AS nodes FROM s, (SELECT unnest([0.35e0, 0.6e0, 0.85e0]) AS level) WHERE d >= level * (SELECT max(d) FROM s) GROUP BY level")
+@query(f"{PTS}, {_surface('region, phys')} SELECT region, phys, level, count(*) AS nodes FROM top, (SELECT unnest([0.35e0, 0.6e0, 0.85e0]) AS level) WHERE d >= level * top GROUP BY ALL")
 def rare_contours(spark, sf):
-    """The surface of a subset (at least 20 records) and its contour levels."""
-    part = nh(spark, sf).where("phys = 1")
-    s = surface(part)
+    """The surface of each class with at least 20 records and its contour levels."""
+    s = surface(classed(spark, sf), ("region", "phys"))
     levels = F.explode(F.array(*(F.lit(x) for x in (0.35, 0.6, 0.85))))
-    return s.crossJoin(F.broadcast(s.agg(F.max("d").alias("top")))).withColumn("level", levels).where("d >= level * top").groupBy("level").agg(F.count("*").alias("nodes"))
+    return s.withColumn("level", levels).where("d >= level * top").groupBy("region", "phys", "level").agg(F.count("*").alias("nodes"))
 
 
 @query(None)
 def thin_by_spacing(spark, sf):
-    """C14: maximal subset at least 30 m apart; tests compare it with taking records in order."""
-    return P.thinned(habitat_points(spark, sf).where("region = 'NH'"), "sid", 30.0).select("sid", "year")
+    """C14: maximal subset at least 30 m apart (a record in several regions counts once); tests compare it with taking records in order."""
+    return P.thinned(habitat_points(spark, sf).select("sid", "year", "x", "y").dropDuplicates(["sid"]), "sid", 30.0).select("sid", "year")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from landmosaic.operators import envelopes, metrics, points, sampling
+from landmosaic.operators import envelopes, metrics, points, ranks, sampling
 from landmosaic.plans.fixtures import TABLES
 from landmosaic.plans.points import habitat_points
 from landmosaic.plans.registry import ORACLE_SQL, QUERIES
@@ -67,3 +67,15 @@ def test_weighted_sample_fills_targets(spark):
 
 def test_schemes():
     assert len(envelopes.schemes({"a": ("raw", 2), "b": (3,)})) == 5
+
+
+def test_running_equals_one_window(spark):
+    rows = [(None if i % 3 == 2 else f"g{i % 3}", i * 7919 % 1009, i, None if i % 11 == 0 else i % 2) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, v long, id long, y int")
+    got = {(r["id"], r["pos_"], r["run_y"]) for r in ranks.running(df.repartition(7), [F.desc("v"), F.col("id")], ("g",), ("y",)).collect()}
+    want, pos, hits = set(), {}, {}
+    for g, v, i, y in sorted(rows, key=lambda r: (-r[1], r[2])):
+        pos[g], hits[g] = pos.get(g, 0) + 1, hits.get(g, 0) + (y or 0)
+        want.add((i, pos[g], hits[g]))
+    assert got == want
+    assert ranks.running(df.limit(0), ["v", "id"]).count() == 0
