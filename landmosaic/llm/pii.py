@@ -76,7 +76,7 @@ def _replaced(text: Column, pattern: str, test: Column, new) -> Column:
 
 
 def disclosing_terms(docs: DataFrame, threshold: float = 0.9, support: int = 3, reach: int = 60) -> DataFrame:
-    """mark (md5 of a text), terms: the terms to sanitise in the texts with that mark. All texts are counted.
+    """mark (md5 of a text), terms: the terms to sanitise in the texts with that mark, of those near a mention only. All texts are counted.
 
     Every base match is a protected entity e. A term t (a word of at least four letters, lower-cased) co-occurs with e
     where it stands whole within `reach` characters of it. Counted in distinct texts, so that copies count once: n(t, e),
@@ -117,19 +117,62 @@ def disclosing_terms(docs: DataFrame, threshold: float = 0.9, support: int = 3,
     return written(pairs.join(chosen, ["entity", "term"]).groupBy("mark").agg(F.array_sort(F.collect_set("term")).alias("terms")))
 
 
-def sanitised(docs: DataFrame, threshold: float = 0.9, support: int = 3, reach: int = 60) -> DataFrame:
+def cooccurring_terms(docs: DataFrame, threshold: float = 0.9, support: int = 3) -> DataFrame:
+    """mark (md5 of a text), terms: the terms to sanitise in the texts with that mark, wherever in the text they stand.
+
+    Every base match is a protected entity e, every word of at least four letters, lower-cased, a term t, also
+    one within a mention, as a name in an address. Counted in whole distinct texts, so that copies count once: n(t, e), n(t), n(e), of N. e has the information IC(e) = ln(N / n(e)), and
+    t reveals PMI(t; e) = ln(n(t, e) N / (n(t) n(e))) of it. t discloses e if PMI >= threshold * IC, IC > 0 and at least
+    `support` texts have both; it is then sanitised in every text that has both.
+
+    The bounds are exact: n(t, e) is at most n(e), and at most m(t), the number of texts with any entity that have t. So
+    entities in fewer than `support` texts and terms with m(t) < support have no pair that could disclose, a term that fails
+    with n(t, e) = n(e) = m(t) fails with all entities, and a text's terms and entities are paired only where they hold
+    with n(t, e) = min(n(e), m(t)). n(t) is counted without a shuffle of texts: k copies of a text add k rows to the group (t, k).
+    """
+    text = docs.select(F.col("text"), F.md5(F.col("text").cast("binary")).alias("mark")).where("text is not null")
+    copies = written(text.groupBy("mark").agg(F.count("*").alias("copies")))
+    total = copies.agg(F.count("*").cast("double").alias("n")).collect()[0]["n"]
+    kinds = [F.transform(v, lambda m, k=k: F.concat(F.lit(f"{k}:"), F.lower(m["value"]))) for k, v in found(F.col("text")).items()]
+    mentions = written(text.select("mark", F.explode(F.array_distinct(F.concat(*kinds))).alias("entity")).distinct())
+    n_e = written(mentions.groupBy("entity").agg(F.count("*").alias("n_e")).where((F.col("n_e") >= support) & (F.col("n_e") < total)))
+    kept = written(mentions.join(small(n_e, 200_000), "entity"))
+    marks = written(kept.select("mark").distinct())
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
+    texts = written(text.join(small(marks, 200_000), "mark", "left_semi").dropDuplicates(["mark"]).select("mark", words.alias("words")))
+    held = texts.select("mark", F.explode("words").alias("term"))
+    m_t = written(held.groupBy("term").agg(F.count("*").alias("m_t")).where(F.col("m_t") >= support))
+
+    def discloses(both, n_e) -> Column:
+        pmi, ic = F.log(both * total / (F.col("n_t") * n_e)), F.log(total / n_e)
+        return pmi >= threshold * ic - 1e-9
+
+    many = small(copies.where("copies > 1"), 200_000)
+    every = text.join(many, "mark", "left").select(F.coalesce("copies", F.lit(1)).alias("copies"), F.explode(words).alias("term"))
+    every = every.join(small(m_t.select("term"), 200_000), "term", "left_semi").groupBy("term", "copies").agg(F.count("*").alias("rows"))
+    n_t = every.groupBy("term").agg(F.sum(F.expr("rows div copies")).alias("n_t"))
+    viable = written(n_t.join(m_t, "term").where(discloses(F.col("m_t"), F.col("m_t"))))
+    has = written(held.join(small(viable, 200_000), "term"))
+    pairs = has.join(small(kept, 200_000), "mark")
+    n_te = pairs.where(discloses(F.least("n_e", "m_t"), F.col("n_e"))).groupBy("entity", "term", "n_e", "n_t").agg(F.count("*").alias("n_te"))
+    chosen = written(n_te.where((F.col("n_te") >= support) & discloses(F.col("n_te"), F.col("n_e"))).select("entity", "term"))
+    return written(pairs.join(small(chosen, 200_000), ["entity", "term"]).groupBy("mark").agg(F.array_sort(F.collect_set("term")).alias("terms")))
+
+
+def sanitised(docs: DataFrame, threshold: float = 0.9, support: int = 3, reach: int | None = None) -> DataFrame:
     """docs with base (array of kind, start, end by kind and place), spans (base, then terms) and clean (the sanitised text).
 
     Base spans are those of KINDS that pass their checks (ip: parts up to 255; card: 16 to 19 digits and Luhn; phone: 8 to 15
-    digits); a failing match is dropped and not tried again. Terms come from disclosing_terms(); all their
-    occurrences in the text as whole words count, except those that overlap a base span. In clean, base spans
+    digits); a failing match is dropped and not tried again. Terms come from cooccurring_terms(), or, where
+    `reach` is given, from disclosing_terms() within that many characters of a mention; all their occurrences in the text as whole words count, except those that overlap a base span. In clean, base spans
     are generalised to a placeholder for their kind and terms to <TERM>.
 
     Null text counts as empty; rows, null ids and repeated rows stay as they are. Other columns named base, spans or clean
     are replaced. The texts aren't shuffled as long as the table of terms is small enough to broadcast.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    terms = disclosing_terms(docs, threshold, support, reach).select(F.col("mark").alias("pii_mark"), F.col("terms").alias("pii_terms"))
+    terms = cooccurring_terms(docs, threshold, support) if reach is None else disclosing_terms(docs, threshold, support, reach)
+    terms = terms.select(F.col("mark").alias("pii_mark"), F.col("terms").alias("pii_terms"))
     rows = docs.drop("base", "spans", "clean").withColumn("pii_found", F.md5(F.col("text").cast("binary")))
     rows = rows.join(small(terms, 200_000), F.col("pii_found") == F.col("pii_mark"), "left")
     each = found(text)

@@ -244,6 +244,43 @@ def test_pii_terms_equal_brute_force(spark):
     assert got == want and want
 
 
+def test_pii_terms_far_from_the_mention(spark):
+    gap = lambda i: " ".join(f"gap{chr(97 + i % 26)}{chr(97 + j)}word" for j in range(20))
+    rows = [(i, f"Zorblatt {gap(i)} z.o@corp.example.com") for i in range(6)] + [(6, "Zorblatt alone"), (50, f"Zorblatt {gap(0)} z.o@corp.example.com")]
+    rows += [(100 + i, f"{gap(i + 10)} said {i}") for i in range(60)] + [(200, None)]
+    got = {r["doc_id"]: r for r in pii.sanitised(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i]["clean"].startswith("<TERM> gap") and got[i]["clean"].endswith("word <EMAIL>") for i in (0, 1, 2, 3, 4, 5, 50))
+    assert got[6]["clean"] == "Zorblatt alone" and got[200]["clean"] is None
+
+
+def test_pii_terms_of_whole_texts_equal_brute_force(spark):
+    r = np.random.default_rng(9)
+    vocabulary = [f"word{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(90)] + ["Éclair", "cut"]
+    texts = []
+    for _ in range(400):
+        named = [int(e) for e in r.integers(0, 14, r.integers(0, 3))]
+        words = list(r.choice(vocabulary, r.integers(3, 40))) + [f"secret{'abcdefghijklmn'[e]}" for e in named if r.random() < 0.8] + [f"u{e}@x.com" for e in named]
+        r.shuffle(words)
+        texts.append(" ".join(words))
+    texts += [None, "", *texts[:40], *texts[:20]]
+    different = sorted({t for t in texts if t is not None})
+    has, of = {}, {}
+    for i, t in enumerate(different):
+        for w in re.findall(r"[^\W\d_]{4,}", t.lower()):
+            has.setdefault(w, set()).add(i)
+        for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t):
+            of.setdefault(m[0], set()).add(i)
+    want, n = {}, len(different)
+    for e in of.values():
+        for w, at in has.items():
+            both, ic = at & e, np.log(n / len(e))
+            if len(both) >= 3 and ic > 0 and np.log(len(both) * n / (len(at) * len(e))) >= 0.9 * ic - 1e-9:
+                for i in both:
+                    want.setdefault(hashlib.md5(different[i].encode()).hexdigest(), set()).add(w)
+    got = {x["mark"]: set(x["terms"]) for x in pii.cooccurring_terms(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    assert got == want and want
+
+
 def test_weights_and_mixture(spark, odd):
     docs = spark.createDataFrame([(i, "w " * (1 + i % 7), "big" if i % 3 else f"s{i % 5}") for i in range(3000)], "doc_id long, text string, source string")
     plan = {r["mix_key"]: r for r in mixing.weights(mixing.sizes(docs), entropy=0.95, repetition=3.0).collect()}
