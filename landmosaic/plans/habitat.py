@@ -12,7 +12,7 @@ from ..operators import points as P
 from ..operators import raster as R
 from .fixtures import fx, with_fx
 from .points import COLLAPSED, clipped
-from .registry import query
+from .registry import ORACLE_SQL, query
 
 PIX = with_fx("fx_pixels", "fx_crosswalk")
 MASK = "NULLIF(NULLIF(NULLIF(NULLIF({0}, -9999), -32768), 32767), -1111)"
@@ -44,10 +44,14 @@ def used(spark, sf):
     return E.with_nonveg(R.classified(R.sampled(at, pixels(spark, sf)), fx(spark, sf, "fx_crosswalk")))
 
 
-def enveloped(spark, sf):
+#: Left out of the SQL of the queries that count availability on every pixel.
+LATTICE = " AND (row_id * 720 + col_id) % 7 = 0"
+
+
+def enveloped(spark, sf, where="(row_id * 720 + col_id) % 7 = 0"):
     u = used(spark, sf).where("not nonveg")
     fitted = E.edges(u)
-    background = available(spark, sf).where("not nonveg and (row_id * 720 + col_id) % 7 = 0")
+    background = available(spark, sf).where("not nonveg").where(where)
     return E.with_envelope(u, fitted), E.with_envelope(background, fitted)
 
 
@@ -68,22 +72,51 @@ def sample_tiles(spark, sf):
 
 @query(f"{ENV} SELECT envelope_id, sightings, avail_n, round(used_pct, 9) AS used_pct, round(avail_pct, 9) AS avail_pct, round(selection_ratio, 9) AS selection_ratio, classification FROM cls")
 def selection_ratio(spark, sf):
+    """D5, D6, C8, C20, B14, B15, B19, B22, with availability on a seventh of the pixels; selection_ratio_all counts every pixel."""
+    return ratios(*enveloped(spark, sf))
+
+
+@query(ORACLE_SQL["selection_ratio"].replace(LATTICE, ""))
+def selection_ratio_all(spark, sf):
     """D5, D6, C8, C20, B14, B15, B19, B22."""
-    s = E.selection(*enveloped(spark, sf))
+    return ratios(*enveloped(spark, sf, "true"))
+
+
+def ratios(u, a):
+    s = E.selection(u, a)
     return s.select("envelope_id", "sightings", "avail_n", *(F.round(c, 9).alias(c) for c in ("used_pct", "avail_pct", "selection_ratio")), "classification")
 
 
 @query(f"{ENV} SELECT envelope_id, classification, round(selection_ratio, 9) AS selection_ratio FROM cls WHERE avail_n >= 15 AND selection_ratio IS NOT NULL ORDER BY selection_ratio DESC, envelope_id LIMIT 10")
 def most_selected(spark, sf):
+    """the limit is the feature; availability as in selection_ratio."""
+    return most(*enveloped(spark, sf))
+
+
+@query(ORACLE_SQL["most_selected"].replace(LATTICE, ""))
+def most_selected_all(spark, sf):
     """the limit is the feature."""
-    s = E.selection(*enveloped(spark, sf)).where("avail_n >= 15 and selection_ratio is not null")
+    return most(*enveloped(spark, sf, "true"))
+
+
+def most(u, a):
+    s = E.selection(u, a).where("avail_n >= 15 and selection_ratio is not null")
     return s.orderBy(F.desc("selection_ratio"), "envelope_id").limit(10).select("envelope_id", "classification", F.round("selection_ratio", 9).alias("selection_ratio"))
 
 
 @query(f"{ENV} SELECT classification, count(*) AS records FROM ue LEFT JOIN cls USING (envelope_id) GROUP BY 1")
 def class_lookup(spark, sf):
+    """Each record's envelope class, with a default; availability as in selection_ratio."""
+    return classes(*enveloped(spark, sf))
+
+
+@query(ORACLE_SQL["class_lookup"].replace(LATTICE, ""))
+def class_lookup_all(spark, sf):
     """Each record's envelope class, with a default."""
-    u, a = enveloped(spark, sf)
+    return classes(*enveloped(spark, sf, "true"))
+
+
+def classes(u, a):
     s = E.selection(u, a).select("envelope_id", "classification")
     return u.join(s, "envelope_id", "left").groupBy(F.coalesce("classification", F.lit("Neutral")).alias("classification")).agg(F.count("*").alias("records"))
 
@@ -110,8 +143,17 @@ def rare_records(spark, sf):
 
 @query(f"{ENV} SELECT classification, round(avg(CASE WHEN n_visits > 2 THEN 1e0 ELSE 0e0 END), 9) AS hot_share, round(count(*) / CAST((SELECT count(*) FROM ue) AS DOUBLE), 9) AS share FROM ue LEFT JOIN cls USING (envelope_id) GROUP BY 1")
 def zone_overlap(spark, sf):
+    """Share of hotspots in each class, and the classes' shares; availability as in selection_ratio."""
+    return overlap(*enveloped(spark, sf))
+
+
+@query(ORACLE_SQL["zone_overlap"].replace(LATTICE, ""))
+def zone_overlap_all(spark, sf):
     """Share of hotspots in each class, and the classes' shares."""
-    u, a = enveloped(spark, sf)
+    return overlap(*enveloped(spark, sf, "true"))
+
+
+def overlap(u, a):
     joined = u.join(E.selection(u, a).select("envelope_id", "classification"), "envelope_id", "left")
     g = joined.groupBy("classification").agg(F.avg((F.col("n_visits") > 2).cast("double")).alias("hot_share"), F.count("*").alias("n"))
     return g.select("classification", F.round("hot_share", 9).alias("hot_share"), F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 9).alias("share"))
@@ -281,6 +323,18 @@ def patch_windows(spark, sf):
     return p.select("pid", total("patch").alias("total")).join(inside.select("pid", total("patch").alias("inside")), "pid")
 
 
+@query(f"""{PIX}, {SIGHT}, pts AS (SELECT region, sid, CAST(floor((48e0 - lat) / 0.01e0) AS INT) AS r, CAST(floor((lon + 74e0) / 0.01e0) AS INT) AS c FROM coll),
+win AS (SELECT r, c, CAST(sum(coalesce({MASK.format('p.evt')}, 0)) AS BIGINT) AS total, count(*) AS inside FROM (SELECT DISTINCT r, c FROM pts) JOIN fx_pixels p ON p.row_id BETWEEN r - 32 AND r + 31 AND p.col_id BETWEEN c - 32 AND c + 31 GROUP BY 1, 2)
+SELECT region, sid, coalesce(total, 0) AS total, coalesce(inside, 0) AS inside FROM pts LEFT JOIN win USING (r, c)""")
+def patch_windows_all(spark, sf):
+    """The 64 x 64 window round every collapsed sighting, padded outside; sightings on one pixel share its window."""
+    at = R.indexed(P.collapsed(clipped(spark, sf))).select("region", "sid", F.concat_ws(":", "row_id", "col_id").alias("pid"), "row_id", "col_id")
+    centres = P.saved(at.select("pid", "row_id", "col_id").distinct())
+    total = lambda df, v: R.patches(centres, df, "pid", v, 64).select("pid", F.aggregate("patch", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
+    windows = total(pixels(spark, sf), "evt").withColumnRenamed("n", "total").join(total(pixels(spark, sf).withColumn("one", F.lit(1)), "one").withColumnRenamed("n", "inside"), "pid")
+    return at.join(windows, "pid").select("region", "sid", "total", "inside")
+
+
 @query(f"{PIX} SELECT r.row_id, r.col_id, s.ch AS value FROM fx_pixels r LEFT JOIN fx_pixels s ON s.row_id = CAST(floor((r.row_id + 0.5) / 3) AS INT) AND s.col_id = CAST(floor((r.col_id + 0.5) / 3) AS INT) WHERE r.row_id % 10 = 0")
 def align_layers(spark, sf):
     """Nearest resampling of a coarser grid."""
@@ -288,6 +342,13 @@ def align_layers(spark, sf):
     return R.aligned(p.where("row_id % 10 = 0").select("row_id", "col_id"), p.select("row_id", "col_id", F.col("ch").alias("value")), 3.0)
 
 
+@query(ORACLE_SQL["align_layers"].replace(" WHERE r.row_id % 10 = 0", ""))
+def align_layers_all(spark, sf):
+    """C19, over every pixel."""
+    p = pixels(spark, sf)
+    return R.aligned(p.select("row_id", "col_id"), p.select("row_id", "col_id", F.col("ch").alias("value")), 3.0)
+
+
 @query(f"{PIX}, q AS (SELECT quantile_cont(ch, 0.02) AS a, quantile_cont(ch, 0.98) AS b FROM fx_pixels) SELECT ch, round(CASE WHEN ch >= 20 THEN pow(greatest(least((ch - a) / (b - a), 1), 0), 3) END, 9) AS shade, count(*) AS n FROM fx_pixels, q GROUP BY 1, 2")
 def stretch_surface(spark, sf):
     """B33."""

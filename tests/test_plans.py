@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from landmosaic.operators import envelopes, metrics, points, ranks, sampling
 from landmosaic.plans.fixtures import TABLES
+from landmosaic.plans.habitat import available, pixels
 from landmosaic.plans.points import habitat_points
 from landmosaic.plans.registry import ORACLE_SQL, QUERIES
 
@@ -79,3 +80,10 @@ def test_running_equals_one_window(spark):
         want.add((i, pos[g], hits[g]))
     assert got == want
     assert ranks.running(df.limit(0), ["v", "id"]).count() == 0
+
+
+def test_availability_counts_every_pixel(spark, sf):
+    every = available(spark, sf).where("not nonveg").count()
+    assert QUERIES["selection_ratio_all"](spark, sf).agg(F.sum("avail_n")).collect()[0][0] == every
+    assert QUERIES["align_layers_all"](spark, sf).count() == pixels(spark, sf).count()
+    assert QUERIES["patch_windows_all"](spark, sf).count() == QUERIES["collapse_visits"](spark, sf).count()
