@@ -9,20 +9,22 @@ from ..functions.geo import hash_share
 from .ranks import running
 
 
-def block_holdout(df: DataFrame, share: float = 0.2, seed: int = 42) -> DataFrame:
-    """block_id, split: blocks in hash order go to val until its records reach the rounded share (the crossing block is included)."""
-    blocks = df.groupBy("block_id").agg(F.count("*").alias("c"))
-    total = df.agg(F.count("*").alias("n_"))
-    before = Window.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "block_id").cast("binary")), "block_id").rowsBetween(Window.unboundedPreceding, -1)
-    held = F.coalesce(F.sum("c").over(before), F.lit(0)) < F.bround(F.col("n_") * share)
-    return blocks.crossJoin(F.broadcast(total)).select("block_id", F.when(held, "val").otherwise("train").alias("split"))
-
-
-def with_split(df: DataFrame, blocks: DataFrame, seed: int = 42) -> DataFrame:
-    """df with its block's split; blocks without one are drawn by hash at the share of val blocks."""
-    share = blocks.agg(F.avg((F.col("split") == "val").cast("double")).alias("share_"))
+def block_holdout(df: DataFrame, share: float = 0.2, seed: int = 42, group: tuple[str, ...] = ()) -> DataFrame:
+    """group, block_id, split: within a group, blocks in hash order go to val until its records reach the rounded share (the crossing block is included)."""
+    blocks = df.groupBy(*group, "block_id").agg(F.count("*").alias("c"))
+    whole = Window.partitionBy(*group)
+    before = whole.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "block_id").cast("binary")), "block_id").rowsBetween(Window.unboundedPreceding, -1)
+    held = F.coalesce(F.sum("c").over(before), F.lit(0)) < F.bround(F.sum("c").over(whole) * share)
+    return blocks.select(*group, "block_id", F.when(held, "val").otherwise("train").alias("split"))
+
+
+def with_split(df: DataFrame, blocks: DataFrame, seed: int = 42, group: tuple[str, ...] = ()) -> DataFrame:
+    """df with its block's split within its group; blocks without one are drawn by hash at the group's share of val blocks."""
+    share = blocks.groupBy(*group).agg(F.avg((F.col("split") == "val").cast("double")).alias("share_"))
     drawn = F.when(hash_share(seed, F.col("block_id")) < F.col("share_") * 10000, "val").otherwise("train")
-    return df.join(blocks, "block_id", "left").crossJoin(F.broadcast(share)).withColumn("split", F.coalesce("split", drawn)).drop("share_")
+    joined = df.join(blocks, [*group, "block_id"], "left")
+    joined = joined.join(F.broadcast(share), list(group), "left") if group else joined.crossJoin(F.broadcast(share))
+    return joined.withColumn("split", F.coalesce("split", drawn)).drop("share_")
 
 
 def certain(df: DataFrame, metres: float = 1000.0) -> DataFrame:

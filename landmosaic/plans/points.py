@@ -8,7 +8,7 @@ from ..functions.geo import albers_sql, block_id, hash_share, projected
 from ..operators import points as P
 from ..operators import sampling as S
 from ..operators.ranks import running
-from .fixtures import fx, with_fx
+from .fixtures import FX, fx, with_fx
 from .registry import query
 
 X, Y = albers_sql("lon", "lat")
@@ -84,7 +84,7 @@ hold AS (SELECT block_id, CASE WHEN coalesce(sum(c) OVER (ORDER BY md5('42:' ||
 
 @query(f"{HOLDOUT} SELECT block_id, split FROM hold")
 def block_holdout(spark, sf):
-    """E3, G5."""
+    """E3, G5, for NH; block_holdout_regions has all regions."""
     return S.block_holdout(blocked(spark, sf).where("region = 'NH'"))
 
 
@@ -93,17 +93,50 @@ HASH = """CAST(((('0x' || substr(md5('42:' || block_id), 1, 16))::UBIGINT % 1000
 
 @query(f"{BLOCKS} SELECT DISTINCT block_id, {HASH} AS share FROM blk")
 def hash_split(spark, sf):
-    """The md5 remainder that splits blocks without positives."""
+    """The md5 remainder that splits blocks without positives, by block name; hash_split_regions keeps regions apart."""
     return blocked(spark, sf).select("block_id").distinct().withColumn("share", hash_share(42, F.col("block_id")))
 
 
 @query(f"""{HOLDOUT}, b AS (SELECT DISTINCT block_id FROM blk) SELECT b.block_id, coalesce(hold.split, CASE WHEN {HASH.replace("block_id", "b.block_id")} < (SELECT avg(CASE WHEN split = 'val' THEN 1e0 ELSE 0e0 END) FROM hold) * 10000 THEN 'val' ELSE 'train' END) AS split FROM b LEFT JOIN hold USING (block_id)""")
 def split_lookup(spark, sf):
-    """Block split with the hash fallback at the share of val blocks."""
+    """Block split with the hash fallback at the share of val blocks, by NH's holdout and the block's name; split_lookup_regions keeps regions apart."""
     pts = blocked(spark, sf)
     return S.with_split(pts.select("block_id").distinct(), S.block_holdout(pts.where("region = 'NH'")))
 
 
+HOLDOUTS = f"""{BLOCKS}, cnt AS (SELECT region, block_id, count(*) AS c FROM blk GROUP BY region, block_id),
+hold AS (SELECT region, block_id, CASE WHEN coalesce(sum(c) OVER (PARTITION BY region ORDER BY md5('42:' || block_id), block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < round_even(sum(c) OVER (PARTITION BY region) * 0.2, 0) THEN 'val' ELSE 'train' END AS split FROM cnt)"""
+
+
+@query(f"{HOLDOUTS} SELECT region, block_id, split FROM hold")
+def block_holdout_regions(spark, sf):
+    """E3, G5, within each region."""
+    return S.block_holdout(blocked(spark, sf), group=("region",))
+
+
+@query(f"{BLOCKS} SELECT DISTINCT region, block_id, {HASH} AS share FROM blk")
+def hash_split_regions(spark, sf):
+    """B21 by region and block."""
+    return blocked(spark, sf).select("region", "block_id").distinct().withColumn("share", hash_share(42, F.col("block_id")))
+
+
+CANDIDATES = FX["fx_candidates"]
+
+
+@query(f"""{HOLDOUTS}, cand AS (SELECT region, {X} AS x, {Y} AS y FROM ({CANDIDATES}) JOIN fx_regions ON {IN_BOX}),
+b AS (SELECT DISTINCT region, CAST(floor((x - x0) / 3000e0) AS BIGINT) || '_' || CAST(floor((y - y0) / 3000e0) AS BIGINT) AS block_id FROM cand JOIN org USING (region) UNION SELECT region, block_id FROM blk),
+part AS (SELECT region, avg(CASE WHEN split = 'val' THEN 1e0 ELSE 0e0 END) AS val FROM hold GROUP BY region)
+SELECT b.region, b.block_id, coalesce(hold.split, CASE WHEN {HASH.replace("block_id", "b.block_id")} < part.val * 10000 THEN 'val' ELSE 'train' END) AS split FROM b JOIN part USING (region) LEFT JOIN hold ON hold.region = b.region AND hold.block_id = b.block_id""")
+def split_lookup_regions(spark, sf):
+    """C15 within each region: the blocks of sightings and of candidates, which may have no sighting and are then drawn by hash."""
+    pts = habitat_points(spark, sf)
+    origin = F.broadcast(pts.groupBy("region").agg(F.min("x").alias("x0"), F.min("y").alias("y0")))
+    named = lambda df: df.join(origin, "region").select("region", block_id(F.col("x"), F.col("y"), F.col("x0"), F.col("y0")).alias("block_id"))
+    mine = named(pts)
+    others = named(projected(P.clipped(fx(spark, sf, "fx_candidates"), fx(spark, sf, "fx_regions"))))
+    return S.with_split(mine.unionByName(others).distinct(), S.block_holdout(mine, group=("region",)), group=("region",)).select("region", "block_id", "split")
+
+
 @query(f"""{CLIP}, tag AS (SELECT c.*, unnest(['all', CASE WHEN year >= 2020 THEN 'recent' END, CASE WHEN sid % 4 = 0 THEN 'quarter' END]) AS subset FROM clip c),
 g AS (SELECT region, subset, round(lon, 5) AS a, round(lat, 5) AS b, count(*) AS n FROM tag WHERE subset IS NOT NULL GROUP BY ALL)
 SELECT region, subset, CAST(sum(n) AS BIGINT) AS records, count(*) AS locations, CAST(sum(CASE WHEN n > 1 THEN n ELSE 0 END) AS BIGINT) AS repeated, max(n) AS most FROM g GROUP BY region, subset""")

@@ -1,5 +1,7 @@
 """Every registered query against its SQL in DuckDB, and those without SQL against brute force."""
 
+import hashlib
+
 import duckdb
 import numpy as np
 import pytest
@@ -87,3 +89,20 @@ def test_availability_counts_every_pixel(spark, sf):
     assert QUERIES["selection_ratio_all"](spark, sf).agg(F.sum("avail_n")).collect()[0][0] == every
     assert QUERIES["align_layers_all"](spark, sf).count() == pixels(spark, sf).count()
     assert QUERIES["patch_windows_all"](spark, sf).count() == QUERIES["collapse_visits"](spark, sf).count()
+
+
+def test_holdout_within_each_group(spark):
+    rows = [(g, f"{b}_{b % 3}") for k, g in enumerate(("ME", "NH", "VT")) for b in range(12) for _ in range(1 + b * (k + 2) % 7)]
+    df = spark.createDataFrame(rows, "region string, block_id string")
+    held = sampling.block_holdout(df, group=("region",))
+    got = {(r["region"], r["block_id"]): r["split"] for r in held.collect()}
+    want = {}
+    for g in ("ME", "NH", "VT"):
+        mine = [b for region, b in rows if region == g]
+        taken = 0
+        for b in sorted(set(mine), key=lambda b: (hashlib.md5(f"42:{b}".encode()).hexdigest(), b)):
+            want[g, b] = "val" if taken < round(0.2 * len(mine)) else "train"
+            taken += mine.count(b)
+    assert got == want and len({frozenset(b for (r, b), s in got.items() if r == g and s == "val") for g in ("ME", "NH", "VT")}) > 1
+    looked = {(r["region"], r["block_id"]): r["split"] for r in sampling.with_split(df.distinct(), held, group=("region",)).collect()}
+    assert looked == got
