@@ -142,7 +142,7 @@ def balanced_batches(spark, sf):
 
 @query(None)
 def suitability_model(spark, sf):
-    """Two differently configured fits on sampled layers, their z-scored average and its AUC per member."""
+    """Part of M2 and M4: two differently configured, unweighted fits on the pixel under each point, their z-scored average and its AUC per member."""
     from .modelling import suitability
 
     return suitability(used(spark, sf))
