@@ -1,66 +1,87 @@
-"""Token ids of a word-level BPE tokenizer file, with a bounded cache of chunks (pieces between white space)."""
+"""Token ids of a word-level BPE tokenizer file, with bounded caches of its pieces."""
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
+from collections.abc import Callable
 from functools import cache
 
-import numpy as np
-import regex
-from tokenizers import Tokenizer, pre_tokenizers
+from tokenizers import Tokenizer
 
-#: The split pattern of the word_bpe_49k tokenizer file (fixed by that file).
-_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-_PLAIN = re.compile(r"[!-~\xa1-\xff]+\Z")
+#: Letters and digits of lower-cased Latin-1, and with them the split pattern of the word_bpe_49k tokenizer file (fixed by that file).
+_LETTERS, _DIGITS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^\s{_LETTERS}{_DIGITS}]+")
+_LATIN = re.compile(r"[\t-\r -~\x85\xa0-\xff]*\Z")
 _CONTROL = re.compile(r"[\x1c-\x1f]")
 
 
+def byte_characters() -> dict[int, str]:
+    """For str.translate: each Latin-1 character beyond ASCII as the characters that stand for its UTF-8 bytes in a byte-level vocabulary.
+
+    A byte that is a printable Latin-1 character stands for itself, the others are numbered from 256 on.
+    """
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    sign = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    return {c: "".join(sign[b] for b in chr(c).encode()) for c in range(128, 256)}
+
+
+class Recent(dict):
+    """A cache of find(key) that keeps the last `most` to 2 * `most` keys: what is full becomes the elder half."""
+
+    def __init__(self, find: Callable[[str], bytes], most: int):
+        self.find, self.most, self.elder = find, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.elder.get(key)
+        if value is None:
+            value = self.find(key)
+        if len(self) >= self.most:
+            self.elder = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class WordBpe:
     """ids(texts) as Tokenizer.encode(text, add_special_tokens=False).ids gives them, little-endian 32-bit.
 
-    The tokenizer drops white space and never merges across it, so a text's ids are its chunks' ids in a row. Words repeat,
-    so chunks and word pieces are cached (at most `most` of each, then dropped). Chunks of printable Latin-1
-    characters are lower-cased and split here and their pieces merged by the tokenizer's model; any other chunk, and
-    the special tokens' strings, go through the whole tokenizer.
+    The tokenizer drops white space and never merges across pieces, so a text's ids are its pieces' ids in a row. Pieces
+    repeat, so they are cached. A text of Latin-1 characters is lower-cased and split here, and its pieces are merged by the
+    tokenizer's model. Of other texts the chunks between white space are looked at in the same way; chunks with other
+    characters, and those with the special tokens' strings, go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.whole, self.model = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.model.normalizer = None
-        self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.most, self.chunks, self.pieces = most, {}, {}
-
-    def _encode(self, tokenizer: Tokenizer, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, new: list[str]) -> None:
-        plain = {c: _PIECES.findall(c.lower()) for c in new if _PLAIN.match(c) and "<|" not in c}
-        odd = [c for c in new if c not in plain]
-        self.chunks.update(zip(odd, self._encode(self.whole, odd)))
-        if len(self.pieces) > self.most:
-            self.pieces.clear()
-        missing = list({p for ps in plain.values() for p in ps if p not in self.pieces})
-        self.pieces.update(zip(missing, self._encode(self.model, missing)))
-        for c, ps in plain.items():
-            self.chunks[c] = self.pieces[ps[0]] if len(ps) == 1 else b"".join([self.pieces[p] for p in ps])
+        self.whole = Tokenizer.from_file(path)
+        merge, signs = self.whole.model.tokenize, byte_characters()
+
+        def piece(text: str) -> bytes:
+            return array("I", [t.id for t in merge(text if text.isascii() else text.translate(signs))]).tobytes()
+
+        self.pieces, self.chunks = Recent(piece, most), Recent(self._chunk, most // 8)
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text.lower())))
+
+    def _chunk(self, chunk: str) -> bytes:
+        return self._plain(chunk) if _LATIN.match(chunk) and "<|" not in chunk else self._whole(chunk)
+
+    def _ids(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if "<|" not in text and _LATIN.match(text):
+            return self._plain(text)
+        return self._whole(text) if _CONTROL.search(text) else b"".join(map(self.chunks.__getitem__, text.split()))
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        out = []
-        for s in range(0, len(texts), 64):
-            part = texts[s : s + 64]
-            split = [None if t and _CONTROL.search(t) else (t or "").split() for t in part]
-            seen = set().union(*(words for words in split if words))
-            new = seen.difference(self.chunks)
-            if len(self.chunks) + len(new) > self.most:
-                self.chunks.clear()
-                new = seen
-            self._learn(list(new))
-            get = self.chunks.__getitem__
-            for words, text in zip(split, part):
-                out.append(self._encode(self.whole, [text])[0] if words is None else b"".join(map(get, words)))
-        return out
+        return [self._ids(t) for t in texts]
 
 
 @cache
