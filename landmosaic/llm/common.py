@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if it has at most this many rows of fixed width (16 bytes or so each).
 BROADCAST_ROWS = 1_000_000
+#: Python workers are handed batches of at most so many bytes, whatever the number of rows.
+BATCH_BYTES = 8_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,12 +21,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests).
+
+    On a cluster it has to be set: a folder of the driver's own isn't seen by executors.
+    """
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known
     own = spark.conf.get("landmosaic.shared.dir", None)
     if not own:
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         own = tempfile.mkdtemp(prefix="landmosaic-")
         spark.conf.set("landmosaic.shared.dir", own)
     return own
@@ -40,6 +49,20 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def batched(spark: SparkSession) -> None:
+    """Bound the batches that go to Python workers by bytes, so that very long texts don't add up to 10,000 rows of them."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).rstrip("bB")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def in_batches(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """df.mapInPandas(run, schema) with batches bounded by bytes."""
+    batched(df.sparkSession)
+    return df.mapInPandas(run, schema)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if a count shows that it has few rows, else df as it is (Spark then shuffles).
 
