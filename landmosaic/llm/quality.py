@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import batched, in_batches
 from .shingles import stream, word_hashes
 
 PASSAGE_WORDS = 64
@@ -121,23 +122,20 @@ class GatedAttention:
         return {"W": x.T @ pre, "b": pre.sum(axis=0), "V": f["h"].T @ dv, "U": f["h"].T @ du, "w": (f["v"] * f["u"]).T @ de, "c": f["z"].T @ out, "d": np.array([out.sum()])}
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, passages: int = 128) -> GatedAttention:
-    """Fit on a bounded sample: the `sample` labelled documents that are first by a hash of their doc_id.
+def train(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> GatedAttention:
+    """Fit on a bounded sample: the `sample` labelled documents that are first by a hash of their doc_id, with all their passages.
 
     labels has doc_id and quality; rows with other values than 0 and 1 don't count, and of several labels of a
-    document the lower one does. Texts with more than `passages` passages give that many, evenly spread, to the fit
-    (scores always use all passages). Without labels the score is 0.5, with labels of one kind their mean.
+    document the lower one does. Without labels the score is 0.5, with labels of one kind their mean.
     """
     good = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     picked = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [encode(t) for t in pdf["text"]]
-            got = [x[np.linspace(0, len(x) - 1, passages).astype(int)] if len(x) > passages else x for x in got]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "quality": pdf["quality"], "bag": [x.astype("<f4").tobytes() for x in got]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "quality": pdf["quality"], "bag": [encode(t).astype("<f4").tobytes() for t in pdf["text"]]})
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").mapInPandas(bags, "doc_id long, quality int, bag binary").toPandas()
+    rows = in_batches(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), bags, "doc_id long, quality int, bag binary").toPandas()
     rows = rows.sort_values(["doc_id", "bag"])
     return GatedAttention().fit([np.frombuffer(b, "<f4").reshape(-1, WIDTH).astype(float) for b in rows["bag"]], rows["quality"].to_numpy(float))
 
@@ -146,16 +144,15 @@ def scored(docs: DataFrame, model: GatedAttention) -> DataFrame:
     """docs with a double column `score` (0 to 1, higher: label 1 likelier; it replaces a column of that name).
 
     Reads every passage of every text; null and empty texts are scored as texts without words. Rows are kept as they are.
+    Only the texts go to the Python workers, in batches bounded by bytes; the other columns stay in the JVM.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            score = np.zeros(len(pdf))
-            texts = pdf["text"].to_numpy()
-            for s in range(0, len(pdf), 64):
-                score[s : s + 64] = model.score([encode(t) for t in texts[s : s + 64]])
-            yield pdf.assign(score=score)
-
-    rest = docs.drop("score")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
-    return rest.mapInPandas(run, f"{kinds}, score double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            score = np.zeros(len(texts))
+            for s in range(0, len(texts), 64):
+                score[s : s + 64] = model.score([encode(t) for t in texts.iloc[s : s + 64]])
+            yield pd.Series(score)
+
+    batched(docs.sparkSession)
+    return docs.drop("score").withColumn("score", F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER)("text"))
