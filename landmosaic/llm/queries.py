@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, chat, covertree, editcount, langid, minhash, mixing, packing, pii, quality
-from .common import table
+from .common import table, written
 
 
 def tokenizer_path(name: str) -> str:
@@ -52,8 +52,9 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return editcount.edited_counts(editcount.derived_edits(docs), tokenizer_path("byte_bpe_50k.tiktoken"))
+    vocabulary = tokenizer_path("byte_bpe_50k.tiktoken")
+    kept = written(editcount.with_trees(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary))
+    return editcount.edited_counts(editcount.derived_edits(kept), vocabulary)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
