@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import in_batches, written
 from .graph import components, forest
 
 RADII = (2.0, 1.0, 0.5, 0.25, 0.125, 0.0)
@@ -22,6 +23,12 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
+@cache
+def _turn(dim: int) -> np.ndarray:
+    """A random orthogonal matrix that depends on the dimension alone."""
+    return np.linalg.qr(np.random.default_rng(17).standard_normal((dim, dim)))[0]
+
+
 def _distance(cos: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * cos))
 
@@ -51,6 +58,9 @@ class CoverTree:
 
     def __init__(self, x: np.ndarray):
         self.x = x
+        front = max(1, -(-x.shape[1] // 4))
+        turned = x @ _turn(x.shape[1])
+        self.front = np.hstack([turned[:, :front], np.sqrt((turned[:, front:] ** 2).sum(axis=1))[:, None]])
         levels = [np.zeros(1, int)]
         for radius in RADII[1:]:
             levels.append(net(x, radius, levels[-1]))
@@ -78,11 +88,21 @@ class CoverTree:
             self.radius.insert(0, radius)
 
 
-def dual(a: CoverTree, b: CoverTree, cosine: float, same: bool, rows: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _close(a: CoverTree, p: np.ndarray, b: CoverTree, q: np.ndarray, cosine: float, seen: list | None) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the pairs (p of a, q of b) have a cosine of at least the threshold, 65,536 at a time."""
+    if seen is not None:
+        seen[1] += len(p)
+    hit = np.concatenate([np.zeros(0, bool)] + [(a.x[p[i : i + 65536]] * b.x[q[i : i + 65536]]).sum(axis=1) >= cosine for i in range(0, len(p), 65536)])
+    return p[hit], q[hit]
+
+
+def dual(a: CoverTree, b: CoverTree, cosine: float, same: bool, rows: int = 1024, seen: list | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of row positions (i of a, j of b) with a cosine of at least the threshold, in bounded batches.
 
     Node pairs go down level by level; a pair is pruned once its centres are farther apart than the link distance
-    plus both covering radii, since no row below it can link. If a and b are the same tree, i < j.
+    plus both covering radii, since no row below it can link. Pairs of rows that are left are bounded first by a quarter of
+    the rotated columns: the cosine is at most their dot product plus the product of the norms of the rest. Only pairs
+    over that bound are computed whole. `seen` counts [pairs of rows bounded, pairs computed]. If a and b are the same tree, i < j.
     """
     reach = np.sqrt(2 - 2 * cosine)
     depth = max(len(a.levels), len(b.levels))
@@ -100,16 +120,21 @@ def dual(a: CoverTree, b: CoverTree, cosine: float, same: bool, rows: int = 1024
             live = np.flatnonzero(parents.any(axis=0)[right])
             if not len(live):
                 continue
-            cos = a.x[a.levels[i][s : s + rows]] @ y[live].T
             if last:
-                hit = (cos >= cosine) & parents[:, right[live]]
-                p, q = np.nonzero(hit)
-                p, q = a.levels[i][s : s + rows][p], b.levels[j][live][q]
+                own, other = a.levels[i][s : s + rows], b.levels[j][live]
+                bound = a.front[own] @ b.front[other].T
+                if seen is not None:
+                    seen[0] += bound.size
+                p, q = np.nonzero(bound >= cosine - EPS)
+                there = parents[p, right[live][q]]
+                p, q = own[p[there]], other[q[there]]
                 if same:
                     p, q = p[p < q], q[p < q]
+                p, q = _close(a, p, b, q, cosine, seen)
                 if len(p):
                     yield p, q
             else:
+                cos = a.x[a.levels[i][s : s + rows]] @ y[live].T
                 near = _distance(cos) <= reach + a.radius[i][s : s + rows, None] + b.radius[j][live] + EPS
                 grown[s : s + rows, live] = near & parents[:, right[live]]
         if not last:
@@ -177,14 +202,20 @@ def usable(df: DataFrame, column: str = "embedding") -> DataFrame:
     return df.where(v.isNotNull() & finite & F.exists(v, lambda x: x != 0))
 
 
-def embedding_links(df: DataFrame, cosine: float = 0.95, block: int = 4096, sample: int = 8192, most_cells: int = 256) -> DataFrame:
+def sampled(df: DataFrame, number: Column, total: int, sample: int) -> DataFrame:
+    """About `sample` of the `total` rows, those whose number (a 64-bit hash) is under a threshold; at most twice as many."""
+    share = min(1.0, sample / max(1, total))
+    return df.where(F.pmod(number, F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * sample) if share < 1 else df.limit(2 * sample)
+
+
+def embedding_links(df: DataFrame, cosine: float = 0.95, block: int = 4096, sample: int = 8192) -> DataFrame:
     """One row per row of df (vec_id, embedding): vec_id, n_links, component_id, kept.
 
     Vectors link if their cosine in double precision is at least the threshold.
 
     1. Equal vectors are collapsed to one with a multiplicity, so copies are never paired.
-    2. The coarse levels of a cover tree over a bounded sample (at most `sample` vectors by hash) give cell centres
-       (at most most_cells, broadcast). Each vector goes to its nearest centre; each cell has a covering radius.
+    2. The coarse levels of a cover tree over a bounded sample (about `sample` vectors by a threshold on a hash) give cell
+       centres (as many as blocks, at most a quarter of the sample; broadcast). Each vector goes to its nearest centre; each cell has a covering radius.
        Large cells are dealt into blocks of about `block` vectors, so no task holds a whole cell.
     3. Cell pairs are pruned by the covering-radius bound; the blocks of the others are joined pair by pair.
     4. Each block pair is traversed by two cover trees (nested levels, halving radii). It returns counts and
@@ -201,12 +232,12 @@ def embedding_links(df: DataFrame, cosine: float = 0.95, block: int = 4096, samp
     distinct = good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.countDistinct("vec_id").alias("many"))
     distinct = written(distinct.withColumn("dim", F.size("v")))
 
-    picked = distinct.orderBy(F.xxhash64("rep")).limit(sample).select("v").toPandas()["v"]
+    total = distinct.count()
+    picked = sampled(distinct, F.xxhash64("v"), total, sample).select("v").toPandas()["v"]
     by_dim: dict[int, list] = {}
     for v in picked:
         by_dim.setdefault(len(v), []).append(v)
-    total = distinct.count()
-    most = int(min(most_cells, max(1, total // block)))
+    most = int(min(sample // 4, max(1, total // block)))
     centres = {d: _centres(unit(np.array(vs)), most) for d, vs in by_dim.items()}
 
     def assign(batches):
@@ -219,7 +250,7 @@ def embedding_links(df: DataFrame, cosine: float = 0.95, block: int = 4096, samp
                     cell[at], far[at] = cos.argmax(axis=1), _distance(cos.max(axis=1))
             yield pdf.drop(columns="v").assign(blob=[np.asarray(v, kind).tobytes() for v in pdf["v"]], cell=cell, far=far)
 
-    placed = written(distinct.mapInPandas(assign, "rep long, many long, dim int, blob binary, cell long, far double"))
+    placed = written(in_batches(distinct, assign, "rep long, many long, dim int, blob binary, cell long, far double"))
     cells = placed.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).toPandas()
     cells["blocks"] = np.maximum(1, -(-cells["n"] // block))
     reach = np.sqrt(2 - 2 * cosine)
@@ -247,7 +278,7 @@ def embedding_links(df: DataFrame, cosine: float = 0.95, block: int = 4096, samp
     grid = grid.select(F.concat_ws("-", "dim", "ca", "i").alias("key_a"), F.concat_ws("-", "dim", "cb", "j").alias("key_b"))
     side = lambda s: blocks.select(F.col("key").alias(f"key_{s}"), F.col("ids").alias(f"ids_{s}"), F.col("many").alias(f"many_{s}"), F.col("vec").alias(f"vec_{s}"), *([F.col("dim")] if s == "a" else []))
     matched = grid.join(side("a"), "key_a").join(side("b"), "key_b").repartition(min(100_000, tasks // 4 + 1), "key_a", "key_b")
-    found = written(matched.mapInPandas(_traverse(cosine, kind), "vec_id long, links long, root long"))
+    found = written(in_batches(matched, _traverse(cosine, kind), "vec_id long, links long, root long"))
 
     sums = written(found.groupBy("vec_id").agg(F.sum("links").alias("links")))
     label = components(found.where("vec_id != root").select(F.col("vec_id").alias("u"), F.col("root").alias("v")))
