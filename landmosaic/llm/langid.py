@@ -10,9 +10,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import in_batches, written
+
 UNKNOWN = "und"
-#: More rows than this in all profiles together mean that lang isn't a language column; they are never sent out then.
-MOST_PROFILE_ROWS = 1_000_000
+#: Profiles of up to so many rows are sent to all tasks (12 MB); larger ones are joined.
+SENT_ROWS = 1_000_000
 
 
 @cache
@@ -68,7 +70,7 @@ def profiles(docs: DataFrame, top: int = 400) -> DataFrame:
             for codes, n in merged(parts):
                 yield pd.DataFrame({"lang": lang, "code": codes, "n": n})
 
-    counts = docs.where("lang is not null and text is not null").select("lang", "text").mapInPandas(count, "lang string, code long, n long")
+    counts = in_batches(docs.where("lang is not null and text is not null").select("lang", "text"), count, "lang string, code long, n long")
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
     return counts.groupBy("lang", "code").agg(F.sum("n").alias("n")).withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < top).select("lang", "code", "rank")
 
@@ -80,14 +82,14 @@ def identify(docs: DataFrame, profile: DataFrame, top: int = 400) -> DataFrame:
     n-gram costs `top`), ties to the first in alphabetical order. score is that language's share of all languages'
     closeness (1 - distance / greatest distance). No letter or null text: 'und', score 0. No profile at all: the same.
     """
-    rows = profile.limit(MOST_PROFILE_ROWS + 1).toPandas()
-    if len(rows) > MOST_PROFILE_ROWS:
-        raise ValueError(f"over {MOST_PROFILE_ROWS} rows in the profiles; is lang a language?")
+    docs = docs.drop("lang_pred", "score")
+    rows = profile.limit(SENT_ROWS + 1).toPandas()
+    if len(rows) > SENT_ROWS:
+        return _joined(docs, profile, top)
     langs = sorted(rows["lang"].unique())
     codes = np.unique(rows["code"].to_numpy(np.int64))
     ranks = np.full((len(codes) + 1, len(langs)), -1, np.int32)
     ranks[np.searchsorted(codes, rows["code"].to_numpy(np.int64)), [langs.index(x) for x in rows["lang"]]] = rows["rank"]
-    docs = docs.drop("lang_pred", "score")
     keep = [c for c in docs.columns if c != "text"]
 
     def best(text: str | None) -> tuple[str, float]:
@@ -107,4 +109,30 @@ def identify(docs: DataFrame, profile: DataFrame, top: int = 400) -> DataFrame:
             yield pdf[keep].assign(lang_pred=[f[0] for f in found], score=[f[1] for f in found])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return docs.mapInPandas(run, f"{kinds}, lang_pred string, score double")
+    return in_batches(docs, run, f"{kinds}, lang_pred string, score double")
+
+
+def _joined(docs: DataFrame, profile: DataFrame, top: int) -> DataFrame:
+    """identify() for profiles of any size: the ranked n-grams of the documents are joined to the profiles by code.
+
+    A language's closeness is the sum of top - |difference of ranks| over the n-grams that it shares with the text, over top
+    times their number; languages that share none are 0 close.
+    """
+
+    def ranks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = [ranked(*ngrams(t), top) for t in pdf["text"]]
+            sizes = [len(g) for g in got]
+            yield pd.DataFrame({"at": np.repeat(pdf["at"].to_numpy(), sizes), "of": np.repeat(sizes, sizes), "code": np.concatenate([np.zeros(0, np.int64), *got]), "place": np.concatenate([np.zeros(0, np.int64), *(np.arange(n) for n in sizes)])})
+
+    numbered = written(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("at")))
+    grams = in_batches(numbered.select("at", F.col("doc.text").alias("text")), ranks, "at long, of long, code long, place long")
+    near = grams.join(profile, "code").groupBy("at", "of", "lang").agg(F.sum(top - F.abs(F.col("rank") - F.col("place"))).alias("n"))
+    best = near.groupBy("at", "of").agg(F.min(F.struct((-F.col("n")).alias("n"), "lang")).alias("best"), F.sum("n").alias("n"))
+    first = profile.agg(F.min("lang").alias("first"))
+    has = F.col("doc.text").rlike(r"\p{L}")
+    out = numbered.join(best, "at", "left").crossJoin(F.broadcast(first))
+    none = F.col("best").isNull() | (F.col("n") == 0)
+    pred = F.when(~F.coalesce(has, F.lit(False)), F.lit(UNKNOWN)).when(none, F.coalesce("first", F.lit(UNKNOWN))).otherwise(F.col("best.lang"))
+    score = F.when(none, F.lit(0.0)).otherwise(-F.col("best.n") / F.col("n"))
+    return out.select(*(F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c != "text"), pred.alias("lang_pred"), score.alias("score"))

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import in_batches, written
 from .tokens import word_bpe
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -93,7 +93,7 @@ def pieces(docs: DataFrame, tokenizer: str, end: int = 2, size: int = 4096) -> D
                 frame["doc_id"] = part["doc_id"].to_numpy()[frame["doc_id"]]
                 yield frame
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, PIECES)
+    return in_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, PIECES)
 
 
 def pack(docs: DataFrame, tokenizer: str, end: int = 2, size: int = 4096, bucket: int = 2048) -> DataFrame:
@@ -129,4 +129,4 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 2, size: int = 4096, bucket
             inner = rank - first[at]
             yield pdf[["doc_id", "start", "length", "ids_crc32", "doc_tokens"]].assign(sequence_id=sequence[at] + inner // copies[at], offset=offset[at] + inner % copies[at] * length)
 
-    return ranked.mapInPandas(place, f"{PIECES}, sequence_id long, offset long")
+    return in_batches(ranked, place, f"{PIECES}, sequence_id long, offset long")
