@@ -13,6 +13,7 @@ NONVEG_CLASSES = (111, 112, 120, 132, 180)
 NONVEG_TERMS = ("Developed", "Open Water", "Agricultur", "Barren", "Snow")
 WEIGHT_FLOOR, WEIGHT_CAP, NEUTRAL, NONVEG_WEIGHT = 0.1, 10.0, 1.0, 10.0
 MIN_AVAILABLE, HIGH, LOW = 15, 2.0, 0.5
+LANDSCAPE_RARE = "Landscape-Rare (availability too low to judge)"
 
 
 def unmasked(value: Column, *nodata: int) -> Column:
@@ -58,7 +59,13 @@ def envelope_id(parts: dict[str, Column]) -> Column:
 
 
 def selection_class(available: Column, ratio: Column) -> Column:
-    return F.when(available < MIN_AVAILABLE, "Landscape-Rare").when(ratio >= HIGH, "Selected").when(ratio <= LOW, "Avoided").otherwise("Neutral")
+    return F.when(available < MIN_AVAILABLE, LANDSCAPE_RARE).when(ratio >= HIGH, "Selected").when(ratio <= LOW, "Avoided").otherwise("Proportional")
+
+
+def env_zone(classification: Column) -> Column:
+    """The zone of a record by its envelope's class; records of unknown envelopes count as proportional."""
+    name = F.when(classification == LANDSCAPE_RARE, "Landscape-Rare").when(classification.isin("Selected", "Avoided"), classification).otherwise("Proportional")
+    return F.concat(name, F.lit(" Envelope"))
 
 
 def inverse_weight(nonveg: Column, ratio: Column) -> tuple[Column, Column]:

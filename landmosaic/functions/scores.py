@@ -18,10 +18,10 @@ def cross_entropy(logit: Column, y: Column) -> Column:
 
 
 def focal_loss(logit: Column, y: Column, alpha: float = 0.25, gamma: float = 2.0) -> Column:
-    p = probability(logit)
-    hit = F.when(y > 0.5, p).otherwise(1 - p)
+    """The hit probability is exp(-cross entropy), with the target as it is: smoothed, if it is smoothed."""
+    entropy = cross_entropy(logit, y)
     share = F.when(y > 0.5, F.lit(alpha)).otherwise(F.lit(1 - alpha))
-    return share * F.pow(1 - hit, F.lit(gamma)) * cross_entropy(logit, y)
+    return share * F.pow(1 - F.exp(-entropy), F.lit(gamma)) * entropy
 
 
 def training_loss(logit: Column, y: Column, weight: Column, smoothing: float = 0.05, band: float = 0.75) -> Column:

@@ -7,7 +7,8 @@ import itertools
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.binning import envelope_id, inner_edges, nonvegetated, right_closed, selection_class
+from ..functions.binning import env_zone, envelope_id, inner_edges, nonvegetated, right_closed, selection_class
+from .ranks import running
 
 #: A scheme: column to 'raw' or a number of quantile bins.
 SCHEME = {"evt_phys": "raw", "sclass": "raw", "evh": 2}
@@ -50,16 +51,25 @@ def rarest(df: DataFrame, share: float = 10.0) -> DataFrame:
 
     Envelopes are few next to records, so the running sum goes over the aggregate only.
     """
-    c = df.groupBy("envelope_id").agg(F.count("*").alias("n"))
-    run = Window.orderBy("n", "envelope_id").rowsBetween(Window.unboundedPreceding, 0)
+    c = running(df.groupBy("envelope_id").agg(F.count("*").alias("n")), ["n", "envelope_id"], (), ("n",))
     total = df.agg(F.count("*").alias("t_"))
-    return c.crossJoin(F.broadcast(total)).withColumn("cum_pct", 100.0 * F.sum("n").over(run) / F.col("t_")).where(F.col("cum_pct") <= share).drop("t_")
+    return c.crossJoin(F.broadcast(total)).withColumn("cum_pct", 100.0 * F.col("run_n") / F.col("t_")).where(F.col("cum_pct") <= share).select("envelope_id", "n", "cum_pct")
+
+
+def with_zones(used: DataFrame, metrics: DataFrame) -> DataFrame:
+    """used with env_zone by its envelope's class. Without any availability, where selection can't be judged, the rarest envelopes
+    (up to a tenth of the records) are the avoided ones and all others proportional."""
+    judged = metrics.agg(F.sum("avail_n").alias("judged_"))
+    rare = rarest(used).select("envelope_id", F.lit(True).alias("rare_"))
+    joined = used.join(metrics.select("envelope_id", F.col("classification").alias("class_")), "envelope_id", "left").join(rare, "envelope_id", "left").crossJoin(F.broadcast(judged))
+    plain = F.when(F.col("rare_"), "Avoided Envelope").otherwise("Proportional Envelope")
+    return joined.withColumn("env_zone", F.when(F.coalesce("judged_", F.lit(0)) > 0, env_zone(F.col("class_"))).otherwise(plain)).drop("class_", "rare_", "judged_")
 
 
 def breakdown(df: DataFrame) -> DataFrame:
-    """Counts of non-vegetated records by class label."""
+    """Counts of non-vegetated records by class label; those that the physiognomy alone gives away by their physiognomy."""
     labels = F.create_map(*(F.lit(x) for kv in {111: "Water", 112: "Snow", 120: "Developed", 132: "Barren", 180: "Agriculture"}.items() for x in kv))
-    return df.where("nonveg").groupBy(F.coalesce(labels[F.col("sclass")], F.lit("By physiognomy")).alias("label")).agg(F.count("*").alias("n"))
+    return df.where("nonveg").groupBy(F.coalesce(labels[F.col("sclass")], F.concat("evt_phys", F.lit(" (via EVT_PHYS)"))).alias("label")).agg(F.count("*").alias("n"))
 
 
 def variants(df: DataFrame, columns: dict[str, tuple]) -> DataFrame:

@@ -48,11 +48,16 @@ def quota(df: DataFrame, group: tuple[str, ...], year_cap: int, cap: int, key: s
     return df.withColumn("r_", rank).where(F.col("r_") <= cap).withColumn("o_", F.row_number().over(order)).where(F.col("o_") <= cap).drop("r_", "o_")
 
 
-def caps(df: DataFrame, group: tuple[str, ...], needed: int, species: int, years: int, headroom: float = 6.0) -> DataFrame:
-    """Rows held against the cap of each group, its yearly cap, and whether it is met."""
+def caps(df: DataFrame, fetched: DataFrame, group: tuple[str, ...], needed: int, species: int, years: int, headroom: float = 6.0) -> DataFrame:
+    """Rows held against the cap of each group, its yearly cap, and whether it is met; if not, whether the source ran dry.
+
+    fetched: group, year, exhausted. A group is exhausted if that holds for all of its years, else short.
+    """
     cap = F.ceil(F.lit(needed * headroom / species))
     out = df.groupBy(*group).agg(F.count("*").alias("held")).withColumn("cap", cap).withColumn("year_cap", F.ceil(cap / years))
-    return out.withColumn("status", F.when(F.col("held") >= F.col("cap"), "met").when(F.col("held") >= F.col("cap") / 2, "short").otherwise("exhausted"))
+    dry = fetched.groupBy(*group).agg((F.bool_and("exhausted") & (F.count_distinct("year") == years)).alias("dry_"))
+    status = F.when(F.col("held") >= F.col("cap"), "met").when(F.col("dry_"), "exhausted").otherwise("short")
+    return out.join(dry, list(group), "left").withColumn("status", status).drop("dry_")
 
 
 def uniform(seed: int, key: Column) -> Column:
@@ -60,17 +65,22 @@ def uniform(seed: int, key: Column) -> Column:
     return (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary")), 1, 13), 16, 10).cast("double") + 1) / (16.0**13 + 2)
 
 
+def targets_for(positives: DataFrame, ratio: float) -> DataFrame:
+    """split, target: so many negatives for the positives of each split, rounded (halves to even)."""
+    return positives.groupBy("split").agg(F.bround(F.count("*") * F.lit(float(ratio))).cast("long").alias("target"))
+
+
 def weighted_sample(df: DataFrame, key: str, targets: DataFrame, nonveg_cap: float = 0.3, seed: int = 42) -> DataFrame:
     """Weighted sampling without replacement per split (exponential keys -ln(u) / w): up to nonveg_cap of the target from
     the non-vegetated pool, the rest vegetated; a shortfall of one pool is topped up from the other.
 
-    targets: split, target (a few rows). df: split, nonveg, weight.
+    targets: split, target (a few rows), as targets_for() gives them. df: split, nonveg, weight.
     """
     draw = df.withColumn("draw_", -F.log(uniform(seed, F.col(key))) / F.col("weight"))
     ranked = running(draw, ["draw_", key], ("split", "nonveg"))
     have = df.groupBy("split").agg(F.sum(F.col("nonveg").cast("long")).alias("bare_"), F.sum((~F.col("nonveg")).cast("long")).alias("green_"))
     plan = have.join(F.broadcast(targets), "split")
-    bare = F.least("bare_", F.floor(F.col("target") * nonveg_cap))
+    bare = F.least("bare_", F.bround(F.col("target") * nonveg_cap).cast("long"))
     plan = plan.withColumn("take_green", F.least("green_", F.col("target") - bare)).withColumn("take_bare", F.least("bare_", F.col("target") - F.col("take_green")))
     joined = ranked.join(F.broadcast(plan.select("split", "take_green", "take_bare")), "split")
     return joined.where(F.col("pos_") <= F.when(F.col("nonveg"), F.col("take_bare")).otherwise(F.col("take_green"))).drop("draw_", "pos_", "take_green", "take_bare")

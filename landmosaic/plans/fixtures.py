@@ -51,6 +51,15 @@ SELECT r.i AS row_id, c.i AS col_id,
 FROM fx_axis r CROSS JOIN fx_axis c
 WHERE r.i < 540"""
 
+FX["fx_layers"] = """
+SELECT DISTINCT region, year, feature
+FROM (SELECT CASE o_custkey % 3 WHEN 0 THEN 'ME' WHEN 1 THEN 'NH' ELSE 'VT' END AS region,
+             CAST(CASE WHEN o_orderkey % 7 = 6 THEN 2016 ELSE 2016 + o_orderkey % 9 END AS INT) AS year,
+             CASE o_orderkey % 7 WHEN 0 THEN 'evt' WHEN 1 THEN 'sclass' WHEN 2 THEN 'evh' WHEN 3 THEN 'evc' WHEN 4 THEN 'ch' WHEN 5 THEN 'cc' ELSE 'slope' END AS feature,
+             (o_orderkey % 9 + o_orderkey % 7 + o_custkey % 3) % 4 AS gap
+      FROM orders) t
+WHERE NOT (feature = 'ch' AND region = 'NH') AND (feature = 'slope' OR gap <> 0)"""
+
 FX["fx_scores"] = """
 SELECT d.doc_id AS point_id, v.rot AS rot,
        CAST(d.n_chars % 97 - 48 AS DOUBLE) / 12e0 + 0.8e0 * l.quality
@@ -81,4 +90,5 @@ def fx(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def with_fx(*names: str) -> str:
     """The same fixtures as the head of a DuckDB query."""
     every = dict.fromkeys(n for name in names for n in (*NEEDS.get(name, ()), name))
-    return "WITH " + ",\n".join(f"{n} AS ({FX[n]})" for n in every)
+    kept = lambda n: " MATERIALIZED" if n in ("fx_axis", "fx_pixels") else ""
+    return "WITH " + ",\n".join(f"{n} AS{kept(n)} ({FX[n]})" for n in every)

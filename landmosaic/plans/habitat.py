@@ -27,7 +27,7 @@ ae AS (SELECT a.*, 'EVT_PHYS:' || phys || '|SCLASS:' || sclass || '|EVH:' || CAS
 uc AS (SELECT envelope_id, count(*) AS sightings FROM ue GROUP BY 1), ac AS (SELECT envelope_id, count(*) AS avail_n FROM ae GROUP BY 1),
 sel AS (SELECT *, CASE WHEN avail_n > 0 THEN used_pct / avail_pct END AS selection_ratio FROM (SELECT coalesce(uc.envelope_id, ac.envelope_id) AS envelope_id, coalesce(sightings, 0) AS sightings, coalesce(avail_n, 0) AS avail_n,
   100e0 * coalesce(sightings, 0) / (SELECT sum(sightings) FROM uc) AS used_pct, 100e0 * coalesce(avail_n, 0) / (SELECT sum(avail_n) FROM ac) AS avail_pct FROM uc FULL JOIN ac ON uc.envelope_id = ac.envelope_id)),
-cls AS (SELECT *, CASE WHEN avail_n < 15 THEN 'Landscape-Rare' WHEN selection_ratio >= 2 THEN 'Selected' WHEN selection_ratio <= 0.5 THEN 'Avoided' ELSE 'Neutral' END AS classification FROM sel)"""
+cls AS (SELECT *, CASE WHEN avail_n < 15 THEN 'Landscape-Rare (availability too low to judge)' WHEN selection_ratio >= 2 THEN 'Selected' WHEN selection_ratio <= 0.5 THEN 'Avoided' ELSE 'Proportional' END AS classification FROM sel)"""
 
 
 def pixels(spark, sf):
@@ -104,7 +104,10 @@ def most(u, a):
     return s.orderBy(F.desc("selection_ratio"), "envelope_id").limit(10).select("envelope_id", "classification", F.round("selection_ratio", 9).alias("selection_ratio"))
 
 
-@query(f"{ENV} SELECT classification, count(*) AS records FROM ue LEFT JOIN cls USING (envelope_id) GROUP BY 1")
+ZONE = "coalesce(CASE WHEN classification LIKE 'Landscape-Rare%' THEN 'Landscape-Rare Envelope' ELSE classification || ' Envelope' END, 'Proportional Envelope')"
+
+
+@query(f"{ENV} SELECT {ZONE} AS env_zone, count(*) AS records FROM ue LEFT JOIN cls USING (envelope_id) GROUP BY 1")
 def class_lookup(spark, sf):
     """Each record's envelope class, with a default; availability as in selection_ratio."""
     return classes(*enveloped(spark, sf))
@@ -117,8 +120,15 @@ def class_lookup_all(spark, sf):
 
 
 def classes(u, a):
-    s = E.selection(u, a).select("envelope_id", "classification")
-    return u.join(s, "envelope_id", "left").groupBy(F.coalesce("classification", F.lit("Neutral")).alias("classification")).agg(F.count("*").alias("records"))
+    return E.with_zones(u, E.selection(u, a)).groupBy("env_zone").agg(F.count("*").alias("records"))
+
+
+@query(f"""{ENV}, rare AS (SELECT envelope_id FROM (SELECT *, 100e0 * sum(sightings) OVER (ORDER BY sightings, envelope_id ROWS UNBOUNDED PRECEDING) / (SELECT sum(sightings) FROM uc) AS cum FROM uc) WHERE cum <= 10)
+SELECT CASE WHEN envelope_id IN (SELECT envelope_id FROM rare) THEN 'Avoided Envelope' ELSE 'Proportional Envelope' END AS env_zone, count(*) AS records FROM ue GROUP BY 1""")
+def zones_without_background(spark, sf):
+    """Where no background can be had, the rarest envelopes count as avoided."""
+    u, a = enveloped(spark, sf)
+    return classes(u, a.where("false"))
 
 
 @query(f"{ENV} SELECT count(*) AS n_envelopes, median(sightings) AS median_n, max(sightings) AS max_n, CAST(count(*) FILTER (sightings = 1) AS BIGINT) AS singletons, CAST(count(*) FILTER (sightings >= 30) AS BIGINT) AS viable FROM uc")
@@ -159,7 +169,7 @@ def overlap(u, a):
     return g.select("classification", F.round("hot_share", 9).alias("hot_share"), F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 9).alias("share"))
 
 
-@query(f"{USED} SELECT CASE sclass WHEN 111 THEN 'Water' WHEN 112 THEN 'Snow' WHEN 120 THEN 'Developed' WHEN 132 THEN 'Barren' WHEN 180 THEN 'Agriculture' ELSE 'By physiognomy' END AS label, count(*) AS n FROM used WHERE nonveg GROUP BY 1")
+@query(f"{USED} SELECT CASE sclass WHEN 111 THEN 'Water' WHEN 112 THEN 'Snow' WHEN 120 THEN 'Developed' WHEN 132 THEN 'Barren' WHEN 180 THEN 'Agriculture' ELSE phys || ' (via EVT_PHYS)' END AS label, count(*) AS n FROM used WHERE nonveg GROUP BY 1")
 def nonveg_breakdown(spark, sf):
     """D3, B9."""
     return E.breakdown(used(spark, sf))
@@ -181,19 +191,19 @@ def binned_columns(spark, sf):
     return b.groupBy("ch", "ch_bin", "slope", "fd").agg(F.count("*").alias("n"))
 
 
-LAYERS = "lay AS (SELECT 'ME' AS region, 2016 AS year, 'evt' AS feature UNION ALL SELECT 'ME', 2020, 'evt' UNION ALL SELECT 'ME', 2023, 'evt' UNION ALL SELECT 'NH', 2016, 'evt' UNION ALL SELECT 'NH', 2016, 'slope' UNION ALL SELECT 'ME', 2016, 'slope' UNION ALL SELECT 'NH', 2022, 'ch')"
+LAYERS = with_fx("fx_layers") + ", lay AS (SELECT * FROM fx_layers)"
 
 
-def layers(spark):
-    return spark.createDataFrame([("ME", 2016, "evt"), ("ME", 2020, "evt"), ("ME", 2023, "evt"), ("NH", 2016, "evt"), ("NH", 2016, "slope"), ("ME", 2016, "slope"), ("NH", 2022, "ch")], "region string, year int, feature string")
+def layers(spark, sf):
+    return fx(spark, sf, "fx_layers")
 
 
-@query(f"""WITH {LAYERS}, y AS (SELECT DISTINCT CAST(2016 + event_id % 9 AS INT) AS year FROM events), p AS (SELECT DISTINCT y.year, feature FROM y CROSS JOIN lay)
+@query(f"""{LAYERS}, y AS (SELECT DISTINCT CAST(2016 + event_id % 9 AS INT) AS year FROM events), p AS (SELECT DISTINCT y.year, feature FROM y CROSS JOIN lay)
 SELECT p.year, p.feature, arg_min(lay.year, abs(lay.year - p.year) * 10000 + lay.year) AS layer_year FROM p JOIN lay USING (feature) GROUP BY 1, 2""")
 def nearest_layer_year(spark, sf):
     """Nearest year, ties to the earlier."""
     years = spark.read.parquet(f"{sf}/events.parquet").select((2016 + F.col("event_id") % 9).cast("int").alias("year")).distinct()
-    have = layers(spark).select("year", "feature").distinct()
+    have = layers(spark, sf).select("year", "feature").distinct()
     return R.nearest_year(years.crossJoin(F.broadcast(have.select("feature").distinct())), have)
 
 
@@ -227,28 +237,27 @@ def background_layer_year(spark, sf):
     return R.newest_usable(layered(spark, sf))
 
 
-@query(f"""WITH {LAYERS}, e AS (SELECT region, year, feature FROM (SELECT DISTINCT region FROM lay) CROSS JOIN (SELECT DISTINCT CAST(2016 + event_id % 9 AS INT) AS year FROM events) CROSS JOIN (SELECT DISTINCT feature FROM lay) WHERE feature <> 'slope' OR year = 2016)
+@query(f"""{LAYERS}, e AS (SELECT region, year, feature FROM (SELECT DISTINCT region FROM lay) CROSS JOIN (SELECT DISTINCT CAST(2016 + event_id % 9 AS INT) AS year FROM events) CROSS JOIN (SELECT DISTINCT feature FROM lay) WHERE feature <> 'slope' OR year = 2016)
 SELECT e.* FROM e ANTI JOIN lay USING (region, year, feature) WHERE NOT (e.year = 2017 AND e.feature = 'ch')""")
 def coverage_gaps(spark, sf):
     """A10, A12."""
-    have = layers(spark)
+    have = layers(spark, sf)
     years = spark.read.parquet(f"{sf}/events.parquet").select((2016 + F.col("event_id") % 9).cast("int").alias("year")).distinct()
     unknown = spark.createDataFrame([(2017, "ch")], "year int, feature string")
     return R.gaps(have.select("region").distinct(), years, have.select("feature").distinct(), have, unknown, ("slope",)).select("region", "year", "feature")
 
 
-@query(f"""WITH {LAYERS}, y AS (SELECT DISTINCT CAST(2016 + event_id % 9 AS INT) AS year FROM events) SELECT * FROM lay UNION ALL SELECT region, y.year, feature FROM lay, y WHERE lay.year = 2016 AND feature = 'slope' AND NOT EXISTS (SELECT 1 FROM lay b WHERE b.region = lay.region AND b.year = y.year AND b.feature = 'slope')""")
+@query(f"""{LAYERS}, y AS (SELECT DISTINCT CAST(2016 + event_id % 9 AS INT) AS year FROM events) SELECT * FROM lay UNION ALL SELECT region, y.year, feature FROM lay, y WHERE lay.year = 2016 AND feature = 'slope' AND NOT EXISTS (SELECT 1 FROM lay b WHERE b.region = lay.region AND b.year = y.year AND b.feature = 'slope')""")
 def static_carry_forward(spark, sf):
     """A13."""
     years = spark.read.parquet(f"{sf}/events.parquet").select((2016 + F.col("event_id") % 9).cast("int").alias("year")).distinct()
-    return R.carried_forward(layers(spark), years, 2016, ("slope",))
+    return R.carried_forward(layers(spark, sf), years, 2016, ("slope",))
 
 
-@query(f"WITH {LAYERS}, have AS (SELECT DISTINCT region, feature FROM lay), n AS (SELECT count(DISTINCT region) AS n FROM events, lay) SELECT feature FROM have GROUP BY feature HAVING count(*) = (SELECT n FROM n)")
+@query(f"{LAYERS}, have AS (SELECT DISTINCT region, feature FROM lay), n AS (SELECT count(DISTINCT region) AS n FROM lay) SELECT feature FROM have GROUP BY feature HAVING count(*) = (SELECT n FROM n)")
 def shared_features(spark, sf):
     """G4."""
-    seen = spark.read.parquet(f"{sf}/events.parquet").limit(1).select(F.lit(1).alias("one"))
-    return R.common_features(layers(spark).crossJoin(F.broadcast(seen)).drop("one"))
+    return R.common_features(layers(spark, sf))
 
 
 @query(f"{PIX} SELECT evt_phys AS meaning, p.evt AS value, count(*) AS n FROM fx_pixels p JOIN fx_crosswalk c ON p.evt = c.value WHERE evt_phys ILIKE '%Exotic%' OR p.evt = 7007 GROUP BY 1, 2")

@@ -51,10 +51,12 @@ def quota_rollover(spark, sf):
 
 
 @query(f"""{CAND} SELECT species, count(*) AS held, CAST(ceil(200 * 6e0 / 6) AS BIGINT) AS cap, CAST(ceil(ceil(200 * 6e0 / 6) / 6) AS BIGINT) AS year_cap,
-  CASE WHEN count(*) >= 200 THEN 'met' WHEN count(*) >= 100 THEN 'short' ELSE 'exhausted' END AS status FROM fx_candidates GROUP BY species""")
+  CASE WHEN count(*) >= 200 THEN 'met' WHEN bool_and(species % 2 = 1 OR year % 6 <> 3) AND count(DISTINCT year) = 6 THEN 'exhausted' ELSE 'short' END AS status FROM fx_candidates GROUP BY species""")
 def quota_report(spark, sf):
-    """A8, D22, D23."""
-    return S.caps(fx(spark, sf, "fx_candidates"), ("species",), 200, 6, 6)
+    """A source has run dry for odd species, and in all years but one for even ones."""
+    rows = fx(spark, sf, "fx_candidates")
+    fetched = rows.select("species", "year", ((F.col("species") % 2 == 1) | (F.col("year") % 6 != 3)).alias("exhausted")).distinct()
+    return S.caps(rows, fetched, ("species",), 200, 6, 6)
 
 
 WEIGHT = "CASE WHEN species = 0 THEN 10e0 WHEN ratio IS NULL THEN 1e0 ELSE 1e0 / least(greatest(ratio, 0.1e0), 10e0) END"
@@ -75,18 +77,18 @@ def negative_weights(spark, sf):
 
 
 def drawn(spark, sf):
-    rows = weighted(spark, sf).withColumn("split", F.when(F.col("gbif_id") % 5 == 0, "val").otherwise("train"))
-    targets = rows.groupBy("split").agg(F.floor(F.count("*") / 4).alias("target"))
-    return S.weighted_sample(rows, "gbif_id", targets)
+    split = lambda key: F.when(F.col(key) % 5 == 0, "val").otherwise("train")
+    rows = weighted(spark, sf).withColumn("split", split("gbif_id"))
+    return S.weighted_sample(rows, "gbif_id", S.targets_for(habitat_points(spark, sf).withColumn("split", split("sid")), 0.75))
 
 
 U = "((('0x' || substr(md5('42:' || gbif_id), 1, 13))::BIGINT + 1) / 4503599627370498e0)"
 
 
-@query(f"""{WEIGHTED}, k AS (SELECT *, CASE WHEN gbif_id % 5 = 0 THEN 'val' ELSE 'train' END AS split, species = 0 AS nonveg, -ln({U}) / ({WEIGHT}) AS draw FROM w),
+@query(f"""{PROJ}, {WEIGHTED.removeprefix('WITH ').replace(', w AS (', ', wc AS (')}, goal AS (SELECT CASE WHEN sid % 5 = 0 THEN 'val' ELSE 'train' END AS split, CAST(round_even(count(*) * 0.75e0, 0) AS BIGINT) AS target FROM proj GROUP BY 1), k AS (SELECT *, CASE WHEN gbif_id % 5 = 0 THEN 'val' ELSE 'train' END AS split, species = 0 AS nonveg, -ln({U}) / ({WEIGHT}) AS draw FROM wc),
 r AS (SELECT *, row_number() OVER (PARTITION BY split, nonveg ORDER BY draw, gbif_id) AS pos FROM k),
-have AS (SELECT split, count(*) FILTER (nonveg) AS bare, count(*) FILTER (NOT nonveg) AS green, count(*) // 4 AS target FROM k GROUP BY split),
-pl AS (SELECT *, least(green, target - least(bare, CAST(floor(target * 0.3) AS BIGINT))) AS tg FROM have)
+have AS (SELECT split, count(*) FILTER (nonveg) AS bare, count(*) FILTER (NOT nonveg) AS green, any_value(target) AS target FROM k JOIN goal USING (split) GROUP BY split),
+pl AS (SELECT *, least(green, target - least(bare, CAST(round_even(target * 0.3e0, 0) AS BIGINT))) AS tg FROM have)
 SELECT gbif_id, split, nonveg FROM r JOIN pl USING (split) WHERE pos <= CASE WHEN nonveg THEN least(bare, target - tg) ELSE tg END""")
 def weighted_negatives(spark, sf):
     """Weighted sample without replacement with the cap on non-vegetated ground and its top-up."""

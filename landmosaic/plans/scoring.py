@@ -29,7 +29,7 @@ def view_average(spark, sf):
 CE = "(greatest(logit, 0) - logit * y + ln(1 + exp(-abs(logit))))"
 
 
-@query(f"""{SC} SELECT y, round(avg({P_}), 9) AS p, round(avg((CASE WHEN y > 0.5 THEN 0.25 ELSE 0.75 END) * pow(1 - CASE WHEN y > 0.5 THEN {P_} ELSE 1 - {P_} END, 2) * {CE}), 9) AS focal, round(sum({CE}), 5) AS ce FROM fx_scores GROUP BY y""")
+@query(f"""{SC} SELECT y, round(avg({P_}), 9) AS p, round(avg((CASE WHEN y > 0.5 THEN 0.25 ELSE 0.75 END) * pow(1 - exp(-{CE}), 2) * {CE}), 9) AS focal, round(sum({CE}), 5) AS ce FROM fx_scores GROUP BY y""")
 def losses(spark, sf):
     """B27, B28."""
     s = fx(spark, sf, "fx_scores")
@@ -38,10 +38,10 @@ def losses(spark, sf):
 
 SHIFT = "(logit - CASE WHEN y > 0.5 THEN ln(3) ELSE -ln(3) END)"
 SOFT = "(y * 0.95 + 0.025)"
-PS = f"(1 / (1 + exp(-{SHIFT})))"
+SOFT_CE = f"(greatest({SHIFT}, 0) - {SHIFT} * {SOFT} + ln(1 + exp(-abs({SHIFT}))))"
 
 
-@query(f"""{SC} SELECT y, round(avg((CASE WHEN {SOFT} > 0.5 THEN 0.25 ELSE 0.75 END) * pow(1 - CASE WHEN {SOFT} > 0.5 THEN {PS} ELSE 1 - {PS} END, 2) * (greatest({SHIFT}, 0) - {SHIFT} * {SOFT} + ln(1 + exp(-abs({SHIFT})))) * (1 + point_id % 3)), 8) AS loss FROM fx_scores GROUP BY y""")
+@query(f"""{SC} SELECT y, round(avg((CASE WHEN {SOFT} > 0.5 THEN 0.25 ELSE 0.75 END) * pow(1 - exp(-{SOFT_CE}), 2) * {SOFT_CE} * (1 + point_id % 3)), 8) AS loss FROM fx_scores GROUP BY y""")
 def training_loss(spark, sf):
     """Smoothing, strict margin, sample weight."""
     return fx(spark, sf, "fx_scores").groupBy("y").agg(F.round(F.avg(C.training_loss(F.col("logit"), F.col("y"), 1.0 + F.col("point_id") % 3)), 8).alias("loss"))
@@ -90,13 +90,14 @@ def calibration_error(spark, sf):
 
 @query(None)
 def temperature_scaling(spark, sf):
-    """The fitted scale, metrics before and after, and the verdict; ranking is the same by construction."""
+    """The fitted scale, metrics and AUC of the scores before and after, and the verdict."""
     pt = points(spark, sf)
     scale = M.fit_temperature(pt)
     both = None
     for stage, g in (("before", 1.0), ("after", scale)):
-        row = M.summary(pt.withColumn("logit", F.col("logit") * g)).select(F.lit(stage).alias("stage"), F.lit(g).alias("scale"), "brier", "nll")
-        row = row.crossJoin(M.calibration_error(M.reliability(pt.withColumn("logit", F.col("logit") * g)))).crossJoin(M.roc_auc(pt))
+        at = pt.withColumn("logit", F.col("logit") * g)
+        row = M.summary(at).select(F.lit(stage).alias("stage"), F.lit(g).alias("scale"), "brier", "nll")
+        row = row.crossJoin(M.calibration_error(M.reliability(at))).crossJoin(M.roc_auc(at))
         both = row if both is None else both.unionByName(row)
     verdict = F.when(F.col("scale") > 1.05, "underconfident").when(F.col("scale") < 0.95, "overconfident").otherwise("calibrated")
     return both.withColumn("verdict", verdict)
@@ -106,10 +107,12 @@ EP = with_fx("fx_epochs")
 
 
 @query(f"""{EP}, d AS (SELECT *, coalesce(strict > lag(strict) OVER w AND auc < lag(auc) OVER w AND ap < lag(ap) OVER w, false) AS bad, row_number() OVER w AS seq FROM fx_epochs WINDOW w AS (PARTITION BY run_id ORDER BY epoch)),
-i AS (SELECT run_id, epoch, seq - row_number() OVER (PARTITION BY run_id ORDER BY epoch) AS isle FROM d WHERE bad), p AS (SELECT run_id, epoch, row_number() OVER (PARTITION BY run_id, isle ORDER BY epoch) AS place FROM i) SELECT run_id, epoch FROM p WHERE place % 1 = 0""")
+i AS (SELECT run_id, epoch, seq - row_number() OVER (PARTITION BY run_id ORDER BY epoch) AS isle FROM d WHERE bad), p AS (SELECT run_id, epoch, row_number() OVER (PARTITION BY run_id, isle ORDER BY epoch) AS place FROM i) SELECT k.k AS patience, run_id, epoch FROM p, (SELECT unnest([1, 2, 3]) AS k) k WHERE place % k.k = 0""")
 def divergence_guard(spark, sf):
-    """E7."""
-    return M.divergence(fx(spark, sf, "fx_epochs"), patience=1)
+    """E7, with three limits of patience."""
+    history = fx(spark, sf, "fx_epochs")
+    each = [M.divergence(history, patience=k).select(F.lit(k).alias("patience"), "run_id", "epoch") for k in (1, 2, 3)]
+    return each[0].unionByName(each[1]).unionByName(each[2])
 
 
 @query(f"""{EP} SELECT run_id, epoch, round(auc, 9) AS auc FROM (SELECT *, max(auc) OVER (PARTITION BY run_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM fx_epochs) WHERE best IS NULL OR auc > best""")
