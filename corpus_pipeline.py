@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landmosaic.llm import minhash, mixing, packing, pii, quality
-from landmosaic.llm.common import table, written
+from landmosaic.llm.common import small, table, written
 from landmosaic.llm.queries import held_out, tokenizer_path
 
 
@@ -24,7 +24,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, 0.8) the document with the least doc_id stays."""
     found = minhash.near_duplicates(docs, k=5, percent=80)
     dropped = written(found.where("not kept").select("doc_id").distinct())
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(small(dropped), "doc_id", "left_anti").select(*docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
