@@ -103,8 +103,8 @@ WITH RECURSIVE sized AS (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS mix_key,
     CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS n_tokens
   FROM documents),
-src AS (SELECT mix_key, count(*) AS docs, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM sized GROUP BY 1 HAVING sum(n_tokens) > 0),
-shares AS (SELECT *, CAST(tokens AS DOUBLE) / sum(tokens) OVER () AS p, CAST(sum(tokens) OVER () AS BIGINT) AS total FROM src),
+src AS (SELECT mix_key, count(*) AS docs, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM sized GROUP BY 1),
+shares AS (SELECT *, CAST(tokens AS DOUBLE) / sum(tokens) OVER () AS p, CAST(sum(tokens) OVER () AS BIGINT) AS total FROM src WHERE tokens > 0),
 spread AS (SELECT min(p) / max(p) AS s, max(p) AS top, 0.95 * ln(CAST(count(*) AS DOUBLE)) AS target FROM shares),
 flat(i, lo, hi) AS (
   SELECT 0, 0e0, 1e0
@@ -122,8 +122,9 @@ expo AS (SELECT greatest(
     CASE WHEN pow(s, -1e0) <= 4 THEN 0e0 ELSE (SELECT lo FROM reps WHERE i = 50) END) AS e, top FROM spread),
 plan AS (SELECT mix_key, docs, tokens, CAST(ceil(docs / 1024e0) AS BIGINT) AS blocks,
     greatest(round(pow(p, e) / norm * (total * top / (pow(top, e) / norm))), 1) AS budget
-  FROM shares, expo, (SELECT sum(pow(p, e)) AS norm FROM shares, expo)),
-epochs AS (SELECT *, unnest(range(0, CAST(greatest(ceil(budget / tokens) - 1, 0) AS BIGINT) + 1)) AS epoch FROM plan),
+  FROM shares, expo, (SELECT sum(pow(p, e)) AS norm FROM shares, expo)
+  UNION ALL SELECT mix_key, docs, tokens, CAST(ceil(docs / 1024e0) AS BIGINT), 0 FROM src WHERE tokens = 0),
+epochs AS (SELECT *, unnest(range(0, CAST(CASE WHEN tokens > 0 THEN greatest(ceil(budget / tokens) - 1, 0) ELSE 0 END AS BIGINT) + 1)) AS epoch FROM plan),
 dealt AS (SELECT d.*, epoch, tokens, budget, CAST('0x' || substr(md5('1/' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) % blocks AS block
   FROM sized d JOIN epochs USING (mix_key)),
 sums AS (SELECT mix_key, block, epoch, sum(n_tokens) AS n, md5('1/' || epoch || '/' || mix_key || '/' || block) AS turn FROM dealt GROUP BY mix_key, block, epoch),
@@ -131,5 +132,6 @@ starts AS (SELECT mix_key, block, epoch, coalesce(sum(n) OVER (PARTITION BY mix_
 placed AS (SELECT doc_id, source, epoch, n_tokens, budget, epoch * tokens + begin
     + coalesce(sum(n_tokens) OVER (PARTITION BY mix_key, epoch, block ORDER BY md5('1/' || epoch || '/' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
   FROM dealt JOIN starts USING (mix_key, block, epoch))
-SELECT doc_id, source, epoch, n_tokens, round(CAST(pos AS DOUBLE) / budget, 6) AS mix_order FROM placed WHERE pos < budget
+SELECT doc_id, source, epoch, n_tokens, CASE WHEN budget > 0 THEN round(CAST(pos AS DOUBLE) / budget, 6) ELSE 0 END AS mix_order
+FROM placed WHERE pos < budget OR epoch = 0
 """
