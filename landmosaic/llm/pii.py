@@ -16,7 +16,9 @@ KINDS = {
     "card": (r"[0-9](?:[ -]?[0-9])++", lambda t: t.rlike(r"[0-9][ -]?[0-9]"), "<CARD>"),
     "phone": (r"\+[0-9][ ().0-9-]+[0-9]", lambda t: t.contains("+"), "<PHONE>"),
 }
-TERM = r"\p{L}{4,}"
+TERM = r"\p{L}++"
+#: Matches of a text are folded in chunks of so many, since each step of a fold copies what it has so far.
+CHUNK = 64
 SPAN = "struct<kind:string,start:bigint,end:bigint>"
 
 
@@ -51,15 +53,24 @@ def matches(text: Column, pattern: str, test: Column) -> Column:
     """start, end (code points) and value of each leftmost non-overlapping match, from the pieces between the matches."""
     pieces, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     empty = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
-    start = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out"))
+    begin = lambda at, out: F.struct(at.cast("long").alias("at"), out.alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         first = acc["at"] + F.length(x["piece"])
         last = first + F.length(x["value"])
-        return F.struct(last.alias("at"), F.array_append(acc["out"], F.struct(first.alias("start"), last.alias("end"), x["value"].alias("value"))).alias("out"))
+        return begin(last, F.array_append(acc["out"], F.struct(first.alias("start"), last.alias("end"), x["value"].alias("value"))))
+
+    def chunk(acc: Column, part: Column) -> Column:
+        done = F.aggregate(part, begin(acc["at"], empty), step)
+        return F.transform(F.array(done), lambda r: begin(r["at"], F.array_append(acc["out"], r["out"])))[0]
 
     pairs = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(values)).alias("piece"), values.alias("value"))
-    return F.when(test, F.aggregate(pairs, start, step)["out"]).otherwise(empty)
+
+    def folded(all_pairs: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_pairs) - 1) / CHUNK).cast("int")), lambda c: F.slice(all_pairs, c * CHUNK + 1, F.lit(CHUNK)))
+        return F.flatten(F.aggregate(chunks, begin(F.lit(0), F.array().cast("array<array<struct<start:bigint,end:bigint,value:string>>>")), chunk)["out"])
+
+    return F.when(test, F.transform(F.array(pairs), lambda p: F.when(F.size(p) > 0, folded(p)).otherwise(empty))[0]).otherwise(empty)
 
 
 def found(text: Column) -> dict[str, Column]:
@@ -68,62 +79,44 @@ def found(text: Column) -> dict[str, Column]:
     return {kind: F.filter(matches(text, pattern, test(text)), passes(kind)) for kind, (pattern, test, _) in KINDS.items()}
 
 
-def _replaced(text: Column, pattern: str, test: Column, new) -> Column:
-    """text with each match replaced by new(match)."""
-    pieces, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    swapped = F.concat(F.transform(values, new), F.array(F.lit("")))
-    return F.when(test, F.array_join(F.zip_with(pieces, swapped, lambda p, v: F.concat(p, v)), "")).otherwise(text)
+def merged(spans: Column) -> Column:
+    """Spans in order of place; those that overlap become one, of the first one's kind."""
+    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    empty = F.array().cast("array<struct<start:bigint,end:bigint,kind:string>>")
 
+    def step(out: Column, s: Column) -> Column:
+        last = F.element_at(out, -1)
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
+        joins = (F.size(out) > 0) & (s["start"] < F.try_element_at(out, F.lit(-1))["end"])
+        return F.when(joins, F.array_append(F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))), longer)).otherwise(F.array_append(out, s))
 
-def disclosing_terms(docs: DataFrame, threshold: float = 0.9, support: int = 3, reach: int = 60) -> DataFrame:
-    """mark (md5 of a text), terms: the terms to sanitise in the texts with that mark, of those near a mention only. All texts are counted.
+    def one(found: Column) -> Column:
+        overlap = F.exists(F.sequence(F.lit(1), F.greatest(F.size(found) - 1, F.lit(1))), lambda i: F.get(found, i)["start"] < F.get(found, i - 1)["end"])
+        return F.when(overlap, F.aggregate(found, empty, step)).otherwise(found)
 
-    Every base match is a protected entity e. A term t (a word of at least four letters, lower-cased) co-occurs with e
-    where it stands whole within `reach` characters of it. Counted in distinct texts, so that copies count once: n(t, e),
-    n(t), n(e), of N. e has the information IC(e) = ln(N / n(e)), and t reveals
-    PMI(t; e) = ln(n(t, e) N / (n(t) n(e))) of it. t discloses e if PMI >= threshold * IC and at least
-    `support` texts have both; it is then sanitised in the texts that have it close to e.
+    return F.transform(F.array(order), one)[0]
 
-    Mentions, not all pairs of a text's words and entities, are counted. The texts that have t close to any entity are
-    some of those that have t; a pair (t, e) that fails with their number in place of n(t) fails with n(t) too. So n(t) is
-    counted in all texts, but only for the terms of pairs that hold against this bound: common words near many entities drop out.
-    """
-    text = docs.select(F.col("text"), F.md5(F.col("text").cast("binary")).alias("mark")).where("text is not null")
-    entity = lambda k: lambda m: F.struct(F.concat(F.lit(f"{k}:"), F.lower(m["value"])).alias("entity"), m["start"].alias("start"), m["end"].alias("end"))
-    kinds = [F.transform(v, entity(k)) for k, v in found(F.col("text")).items()]
-    mentions = text.select("mark", "text", F.explode(F.concat(*kinds)).alias("m"))
-    # each window has one character more on either side, so that a word that crosses its edge is seen and left out
-    first = F.greatest(F.col("m.start") - reach - 1, F.lit(0))
-    left = F.regexp_replace(F.substring(F.col("text"), (first + 1).cast("int"), (F.col("m.start") + 1 - first).cast("int")), r"\p{L}+\z", "")
-    left = F.when(F.col("m.start") > reach, F.regexp_replace(left, r"\A\p{L}+", "")).otherwise(left)
-    right = F.substring(F.col("text"), F.col("m.end").cast("int"), F.lit(reach + 2))
-    right = F.regexp_replace(F.when(F.length(right) == reach + 2, F.regexp_replace(right, r"\p{L}+\z", "")).otherwise(right), r"\A\p{L}+", "")
-    near = F.regexp_extract_all(F.lower(F.concat_ws(" ", left, right)), F.lit(TERM), F.lit(0))
-    pairs = written(mentions.select("mark", F.col("m.entity").alias("entity"), F.explode_outer(F.array_distinct(near)).alias("term")).distinct())
-    n_e = pairs.select("mark", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    n_te = written(pairs.where("term is not null").groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support))
-    total = written(text.agg(F.count_distinct("mark").cast("double").alias("n")))
-    n_near = pairs.where("term is not null").select("mark", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
-
-    def discloses(n_t: str) -> Column:
-        pmi, ic = F.log(F.col("n_te") * F.col("n") / (F.col(n_t) * F.col("n_e"))), F.log(F.col("n") / F.col("n_e"))
-        return (ic > 0) & (pmi >= threshold * ic - 1e-9)
-
-    possible = written(n_te.join(n_near, "term").join(n_e, "entity").crossJoin(F.broadcast(total)).where(discloses("n_near")).select("entity", "term", "n_te", "n_e", "n"))
-    terms = written(possible.select("term").distinct())
-    words = text.select("mark", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    n_t = words.join(small(terms), "term").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    chosen = written(possible.join(n_t, "term").where(discloses("n_t")).select("entity", "term"))
-    return written(pairs.join(chosen, ["entity", "term"]).groupBy("mark").agg(F.array_sort(F.collect_set("term")).alias("terms")))
+
+def generalised(text: Column, spans: Column) -> Column:
+    """text with each of the spans (merged, in order) replaced by the mark of its kind."""
+    mark = lambda s: F.coalesce(*(F.when(s["kind"] == k, F.lit(m)) for k, (_, _, m) in KINDS.items()), F.lit("<TERM>"))
+
+    def whole(found: Column) -> Column:
+        end = lambda i: F.coalesce(F.get(found, i)["end"], F.lit(0).cast("long")).cast("int")
+        parts = F.transform(found, lambda s, i: F.concat(F.substring(text, end(i - 1) + 1, (s["start"] - end(i - 1)).cast("int")), mark(s)))
+        return F.concat(F.array_join(parts, ""), F.substring(text, end(F.size(found) - 1) + 1, F.length(text)))
+
+    return F.when(F.size(spans) > 0, F.transform(F.array(spans), whole)[0]).otherwise(text)
 
 
 def cooccurring_terms(docs: DataFrame, threshold: float = 0.9, support: int = 3) -> DataFrame:
     """mark (md5 of a text), terms: the terms to sanitise in the texts with that mark, wherever in the text they stand.
 
-    Every base match is a protected entity e, every word of at least four letters, lower-cased, a term t, also
-    one within a mention, as a name in an address. Counted in whole distinct texts, so that copies count once: n(t, e), n(t), n(e), of N. e has the information IC(e) = ln(N / n(e)), and
-    t reveals PMI(t; e) = ln(n(t, e) N / (n(t) n(e))) of it. t discloses e if PMI >= threshold * IC, IC > 0 and at least
-    `support` texts have both; it is then sanitised in every text that has both.
+    Every base match is a protected entity e, every word (run of letters), lower-cased, a term t, also one within a mention, as
+    a name in an address. Counted in whole distinct texts, so that copies count once: n(t, e), n(t), n(e), of N. e has
+    the information IC(e) = ln(N / n(e)), and t reveals PMI(t; e) = ln(n(t, e) N / (n(t) n(e))) of it. t discloses e if
+    PMI >= threshold * IC, IC > 0 and at least `support` texts have both. A disclosing term is sanitised in every text that
+    has it, since a text that names the term alone discloses the entity too.
 
     The bounds are exact: n(t, e) is at most n(e), and at most m(t), the number of texts with any entity that have t. So
     entities in fewer than `support` texts and terms with m(t) < support have no pair that could disclose, a term that fails
@@ -155,40 +148,34 @@ def cooccurring_terms(docs: DataFrame, threshold: float = 0.9, support: int = 3)
     has = written(held.join(small(viable, 200_000), "term"))
     pairs = has.join(small(kept, 200_000), "mark")
     n_te = pairs.where(discloses(F.least("n_e", "m_t"), F.col("n_e"))).groupBy("entity", "term", "n_e", "n_t").agg(F.count("*").alias("n_te"))
-    chosen = written(n_te.where((F.col("n_te") >= support) & discloses(F.col("n_te"), F.col("n_e"))).select("entity", "term"))
-    return written(pairs.join(small(chosen, 200_000), ["entity", "term"]).groupBy("mark").agg(F.array_sort(F.collect_set("term")).alias("terms")))
+    chosen = written(n_te.where((F.col("n_te") >= support) & discloses(F.col("n_te"), F.col("n_e"))).select("term").distinct())
+    named = text.select("mark", F.explode(words).alias("term")).join(small(chosen, 200_000), "term", "left_semi")
+    return written(named.groupBy("mark").agg(F.array_sort(F.collect_set("term")).alias("terms")))
 
 
-def sanitised(docs: DataFrame, threshold: float = 0.9, support: int = 3, reach: int | None = None) -> DataFrame:
+def sanitised(docs: DataFrame, threshold: float = 0.9, support: int = 3) -> DataFrame:
     """docs with base (array of kind, start, end by kind and place), spans (base, then terms) and clean (the sanitised text).
 
     Base spans are those of KINDS that pass their checks (ip: parts up to 255; card: 16 to 19 digits and Luhn; phone: 8 to 15
-    digits); a failing match is dropped and not tried again. Terms come from cooccurring_terms(), or, where
-    `reach` is given, from disclosing_terms() within that many characters of a mention; all their occurrences in the text as whole words count, except those that overlap a base span. In clean, base spans
-    are generalised to a placeholder for their kind and terms to <TERM>.
+    digits); a failing match is dropped and not tried again. Terms come from cooccurring_terms(); all their occurrences in the
+    text as whole words count, except those that overlap a base span. In clean, every span is gone: base spans are
+    generalised to a placeholder for their kind (overlapping ones to one, of the first one's kind) and terms to <TERM>.
 
     Null text counts as empty; rows, null ids and repeated rows stay as they are. Other columns named base, spans or clean
     are replaced. The texts aren't shuffled as long as the table of terms is small enough to broadcast.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    terms = cooccurring_terms(docs, threshold, support) if reach is None else disclosing_terms(docs, threshold, support, reach)
-    terms = terms.select(F.col("mark").alias("pii_mark"), F.col("terms").alias("pii_terms"))
+    terms = cooccurring_terms(docs, threshold, support).select(F.col("mark").alias("pii_mark"), F.col("terms").alias("pii_terms"))
     rows = docs.drop("base", "spans", "clean").withColumn("pii_found", F.md5(F.col("text").cast("binary")))
     rows = rows.join(small(terms, 200_000), F.col("pii_found") == F.col("pii_mark"), "left")
-    each = found(text)
     span = lambda k: lambda m: F.struct(F.lit(k).alias("kind"), m["start"].alias("start"), m["end"].alias("end"))
-    base = F.concat(*(F.transform(v, span(k)) for k, v in each.items())).cast(f"array<{SPAN}>")
+    base = F.concat(*(F.transform(v, span(k)) for k, v in found(text).items())).cast(f"array<{SPAN}>")
     rows = rows.withColumn("base", base)
-    hit = F.col("pii_terms").isNotNull()
-    known = F.filter(matches(text, r"\p{L}++", hit), lambda m: F.array_contains("pii_terms", F.lower(m["value"])))
+    known = F.filter(matches(text, r"\p{L}++", F.col("pii_terms").isNotNull()), lambda m: F.array_contains("pii_terms", F.lower(m["value"])))
     apart = lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
     extra = F.transform(F.filter(known, apart), span("term"))
     rows = rows.withColumn("spans", F.concat("base", extra).cast(f"array<{SPAN}>"))
-    generalise = lambda kind, mark: lambda v: F.when(valid(kind, v), F.lit(mark)).otherwise(v)
-    clean = text
-    for kind, (pattern, test, mark) in KINDS.items():
-        clean = _replaced(clean, pattern, (F.size("base") > 0) & test(clean), generalise(kind, mark))
-    clean = _replaced(clean, r"(?<![<\p{L}])\p{L}++", hit, lambda v: F.when(F.array_contains("pii_terms", F.lower(v)), F.lit("<TERM>")).otherwise(v))
+    clean = generalised(text, merged(F.col("spans")))
     return rows.withColumn("clean", F.when(F.col("text").isNotNull(), clean)).drop("pii_found", "pii_mark", "pii_terms")
 
 
