@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from landmosaic.llm import ann, chat, covertree, editcount, graph, langid, minhash, mixing, packing, pii, quality, queries
-from landmosaic.llm.common import table
+from landmosaic.llm.common import table, written
 from landmosaic.llm.tokens import WordBpe
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, rank int"
@@ -114,7 +114,7 @@ def test_cover_tree_links(vectors):
     link = cos >= 0.95
     np.fill_diagonal(link, False)
     want = roots(range(len(x)), zip(*np.nonzero(link)))
-    got = covertree.embedding_links(df, block=128, most_cells=16).collect()
+    got = covertree.embedding_links(df, block=128).collect()
     assert len(got) == df.count()
     for r in got:
         v = r["vec_id"]
@@ -135,6 +135,36 @@ def test_dual_traversal_finds_the_same_pairs_as_all_products():
     assert got == set(zip(*(y.tolist() for y in np.nonzero(x[:350] @ x[350:].T >= 0.95))))
 
 
+def test_most_pairs_of_rows_are_settled_by_a_quarter_of_the_columns():
+    x = covertree.unit(np.random.default_rng(4).normal(size=(1500, 64)))
+    x[700:760] = covertree.unit(x[700] + np.random.default_rng(5).normal(0, 0.02, (60, 64)))
+    tree, seen = covertree.CoverTree(x), [0, 0]
+    got = {(int(i), int(j)) for p, q in covertree.dual(tree, tree, 0.95, True, seen=seen) for i, j in zip(p, q)}
+    assert got == {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(x @ x.T >= 0.95, 1)))} and len(got) > 1000
+    assert seen[1] < 0.02 * seen[0]
+
+
+def test_adaptive_scan_abandons_early_and_keeps_the_near():
+    r = np.random.default_rng(7)
+    x = covertree.unit(r.normal(size=(6000, 64))) @ ann.rotation(64)
+    q, seen = x[:40], []
+    far = np.sqrt(((q[:, None] - x[None]) ** 2).sum(axis=2))
+    tau = np.sort(far, axis=1)[:, 5]
+    i, j = ann.adaptive_scan(x, q, tau, seen=seen)
+    want = set(zip(*(v.tolist() for v in np.nonzero(far <= tau[:, None]))))
+    found = set(zip(i.tolist(), j.tolist()))
+    assert found <= {(a, b) for a, b in zip(*np.nonzero(far <= tau[:, None] + 1e-6))} and len(found & want) >= 0.95 * len(want)
+    assert seen[1] < 0.5 * far.size and seen[2] < 0.1 * far.size
+
+
+def test_nearest_of_huge_and_tiny_vectors(spark):
+    rows = [(i, [10.0**p * v for v in (1.0, 0.1 * i, 0.2)]) for i, p in enumerate((200, -200, 0, 150, 1))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(df, df.select(F.col("vec_id").alias("query_id"), "embedding"), k=4).collect()
+    u = covertree.unit(np.array([r[1] for r in rows]))
+    assert len(got) == 20 and all(abs(r["score"] - u[r["query_id"]] @ u[r["vec_id"]]) < 1e-12 for r in got)
+
+
 def test_nearest(vectors):
     df, x = vectors
     asked = df.where("vec_id % 10 = 0 or vec_id >= 1000").select(F.col("vec_id").alias("query_id"), "embedding", "score")
@@ -215,42 +245,31 @@ def test_pii_terms_that_disclose(spark):
     assert all(got[100 + i]["clean"] == dict(rows)[100 + i] and not got[100 + i]["spans"] for i in range(60))
 
 
-def test_pii_terms_equal_brute_force(spark):
-    r = np.random.default_rng(8)
-    vocabulary = [f"word{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(40)] + ["Éclair", "cut"]
-    texts = []
-    for _ in range(300):
-        e = int(r.integers(0, 12))
-        words = list(r.choice(vocabulary, r.integers(3, 30))) + ([f"secret{'abcdefghijkl'[e]}"] if r.random() < 0.7 else [])
-        r.shuffle(words)
-        texts.append(" ".join(words[:6]) + f" é{'u' * (e + 1)}@x.com" + "éa " * int(r.integers(0, 2)) + " " + " ".join(words[6:]) + "\n")
-    texts += [None, "", "no mention of wordak here", texts[0]]
-    different, near, has = sorted({t for t in texts if t is not None}), {}, {}
-    for i, t in enumerate(different):
-        runs = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W\d_]{4,}", t)]
-        for w in {w for _, _, w in runs}:
-            has.setdefault(w, set()).add(i)
-        for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t):
-            close = {w for s, e, w in runs if (m.start() - 60 <= s and e <= m.start()) or (m.end() <= s and e <= m.end() + 60)}
-            near.setdefault(m[0].lower(), {})[i] = near.get(m[0].lower(), {}).get(i, set()) | close
-    want = {}
-    for e, found in near.items():
-        for w in set().union(*found.values()):
-            both, ic = [i for i in found if w in found[i]], np.log(len(different) / len(found))
-            if len(both) >= 3 and ic > 0 and np.log(len(both) * len(different) / (len(has[w]) * len(found))) >= 0.9 * ic - 1e-9:
-                for i in both:
-                    want.setdefault(hashlib.md5(different[i].encode()).hexdigest(), set()).add(w)
-    got = {x["mark"]: set(x["terms"]) for x in pii.disclosing_terms(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
-    assert got == want and want
-
-
 def test_pii_terms_far_from_the_mention(spark):
     gap = lambda i: " ".join(f"gap{chr(97 + i % 26)}{chr(97 + j)}word" for j in range(20))
     rows = [(i, f"Zorblatt {gap(i)} z.o@corp.example.com") for i in range(6)] + [(6, "Zorblatt alone"), (50, f"Zorblatt {gap(0)} z.o@corp.example.com")]
     rows += [(100 + i, f"{gap(i + 10)} said {i}") for i in range(60)] + [(200, None)]
     got = {r["doc_id"]: r for r in pii.sanitised(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[i]["clean"].startswith("<TERM> gap") and got[i]["clean"].endswith("word <EMAIL>") for i in (0, 1, 2, 3, 4, 5, 50))
-    assert got[6]["clean"] == "Zorblatt alone" and got[200]["clean"] is None
+    assert got[6]["clean"] == "<TERM> alone" and got[200]["clean"] is None
+
+
+def test_pii_clean_holds_no_character_of_a_span(spark):
+    texts = ["call +33.1.42.68.53.00 now", "4111 1111 1111 1111@x.com!", "a +1.2.3.4567 b", "é 𝒳 x@y.de, 1.2.3.4 and 4111-1111-1111-1111", "x@y.de" * 300, "1.2.3.4 " * 700, "<Zorblatt writes"] + [f"Zorblatt{'!' * i} z.o@corp.com" for i in range(14)] + [f"plain {i}" for i in range(200)]
+    texts.append("Zorblatt says so " * 500)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for row in pii.sanitised(df).collect():
+        text, out, at, groups = texts[row["doc_id"]], "", 0, []
+        for s in sorted(row["spans"], key=lambda s: (s["start"], s["end"])):
+            if groups and s["start"] < groups[-1][1]:
+                groups[-1][1] = max(groups[-1][1], s["end"])
+            else:
+                groups.append([s["start"], s["end"], s["kind"]])
+        for first, last, kind in groups:
+            out += text[at:first] + {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "term": "<TERM>"}[kind]
+            at = last
+        assert row["clean"] == out + text[at:]
+        assert "Zorblatt" not in row["clean"] and "42.68" not in row["clean"] and "1111" not in row["clean"]
 
 
 def test_pii_terms_of_whole_texts_equal_brute_force(spark):
@@ -266,7 +285,7 @@ def test_pii_terms_of_whole_texts_equal_brute_force(spark):
     different = sorted({t for t in texts if t is not None})
     has, of = {}, {}
     for i, t in enumerate(different):
-        for w in re.findall(r"[^\W\d_]{4,}", t.lower()):
+        for w in re.findall(r"[^\W\d_]+", t.lower()):
             has.setdefault(w, set()).add(i)
         for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t):
             of.setdefault(m[0], set()).add(i)
@@ -275,7 +294,7 @@ def test_pii_terms_of_whole_texts_equal_brute_force(spark):
         for w, at in has.items():
             both, ic = at & e, np.log(n / len(e))
             if len(both) >= 3 and ic > 0 and np.log(len(both) * n / (len(at) * len(e))) >= 0.9 * ic - 1e-9:
-                for i in both:
+                for i in at:
                     want.setdefault(hashlib.md5(different[i].encode()).hexdigest(), set()).add(w)
     got = {x["mark"]: set(x["terms"]) for x in pii.cooccurring_terms(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
     assert got == want and want
@@ -300,8 +319,27 @@ def test_weights_and_mixture(spark, odd):
         assert not g.duplicated(["doc_id", "epoch"]).any()
     assert set(mixing.mixed(docs, entropy=0.95, repetition=3.0).columns) == set(docs.columns)
     out = mixing.mixed(odd)
-    assert out.columns == odd.columns and out.where("doc_id = 3").count() >= 1
-    assert mixing.mixture(odd.limit(0)).count() == 0
+    assert out.columns == odd.columns and {r["doc_id"] for r in out.collect()} == {r["doc_id"] for r in odd.collect()}
+    assert mixing.mixture(odd.limit(0)).count() == 0 and mixing.mixed(odd.limit(0)).count() == 0
+
+
+def test_mixed_takes_what_the_mixture_takes(spark):
+    """Row copies equal the mixture's, whether the budget ends within a block or between two; no document is lost."""
+    rows = [(i, "w " * (1 + i % 7), "big" if i % 3 else f"s{i % 5}", "k") for i in range(900)] + [(2000, " ", "blank", "k"), (2001, None, "blank", "k"), (2002, "", "big", "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_key string")
+    want = {r["doc_id"]: r["count"] for r in mixing.mixture(docs, 0.97, 5.0, block=32).groupBy("doc_id").count().collect()}
+    got = {r["doc_id"]: r["count"] for r in mixing.mixed(docs, 0.97, 5.0, block=32).groupBy("doc_id").count().collect()}
+    assert got == want and set(want) == {r[0] for r in rows} and max(want.values()) > 1
+
+
+def test_weights_of_many_sources_equal_those_in_one_row(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "w " * (1 + i % 7), "big" if i % 3 else f"s{i % 5}") for i in range(600)], "doc_id long, text string, source string")
+    sized = mixing.sizes(docs)
+    for entropy, repetition in ((0.95, 3.0), (0.2, 9.0), (1.0, 50.0)):
+        monkeypatch.setattr(mixing, "ONE_ROW", 100_000)
+        one = sorted(mixing.weights(sized, entropy, repetition).select("mix_key", "budget", F.round("exponent", 6)).collect())
+        monkeypatch.setattr(mixing, "ONE_ROW", 0)
+        assert sorted(mixing.weights(sized, entropy, repetition).select("mix_key", "budget", F.round("exponent", 6)).collect()) == one
 
 
 def test_language_profiles(spark, odd):
@@ -315,6 +353,39 @@ def test_language_profiles(spark, odd):
     assert {r["lang_pred"] for r in none.collect()} == {"und"}
 
 
+def plain_profile(texts, top):
+    from collections import Counter
+
+    counts = Counter()
+    for t in texts:
+        for w in re.findall(r"[^\W\d_]+", t.lower()):
+            counts.update(w)
+            counts.update(f" {w} "[i : i + n] for n in (2, 3) for i in range(len(w) + 3 - n))
+    code = lambda g: sum((1 if c == " " else ord(c)) << 21 * i for i, c in enumerate(g))
+    return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], code(x[0])))[:top]]
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_language_distances_equal_brute_force(spark, monkeypatch, most):
+    """Ranks, out-of-place distances and scores, both with profiles sent out and with profiles joined."""
+    monkeypatch.setattr(langid, "SENT_ROWS", most)
+    learned = {"aa": ["the cat sat on the mat", "a hat and the bat"], "bb": ["der hund und die katze", "über das öl"], "cc": ["le chat est sur la table"]}
+    asked = ["the hat", "und das öl 12", "la table", "zzz qqq", "", None, "12 !", "the hat", "x", "the cat und der hund"]
+    profile = langid.profiles(spark.createDataFrame([(x, t) for x, ts in learned.items() for t in ts], "lang string, text string"), top=30)
+    got = langid.identify(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), profile, top=30).collect()
+    known = {x: plain_profile(ts, 30) for x, ts in learned.items()}
+    assert len(got) == len(asked)
+    for r in got:
+        mine = plain_profile([asked[r["doc_id"]] or ""], 30)
+        if not mine:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        away = {x: sum(abs(p.index(g) - i) if g in p else 30 for i, g in enumerate(mine)) for x, p in known.items()}
+        best = min(sorted(away), key=away.get)
+        close = {x: 1 - d / (30 * len(mine)) for x, d in away.items()}
+        assert r["lang_pred"] == best and abs(r["score"] - (close[best] / sum(close.values()) if sum(close.values()) else 0)) < 1e-9
+
+
 def test_ngrams_match_plain_counting():
     from collections import Counter
 
@@ -397,22 +468,67 @@ def test_patterns_place_every_length():
     assert back == h
 
 
-def test_edits_match_whole_counts(spark):
-    path = queries.tokenizer_path("byte_bpe_50k.tiktoken")
-    c = editcount.counter(path)
+@pytest.mark.parametrize("pool", [["", "x", " ", "'s", "  ", "\n", "hello world " * 3, "z" * 200, " a b" * 400], list("'lrevsmdt  \n!1")])
+def test_edits_match_whole_counts(pool):
+    c = editcount.counter(queries.tokenizer_path("byte_bpe_50k.tiktoken"))
     r = np.random.default_rng(6)
-    for text in ["", " ", "a", "it's  \n\n an  edge", "the cat sat on the mat " * 90]:
-        tree, s = editcount.TokenTree(text, c), text
-        for _ in range(60):
+    for text in ["", " ", "a", "it's  \n\n an  edge", "they'lx go", "we'v", "".join(r.choice(list("'lrevs "), 3000)), "the cat sat on the mat " * 90]:
+        tree, s = editcount.TokenTree.of(text, c), text
+        for _ in range(250):
             a = int(r.integers(0, len(s) + 1))
-            b = min(len(s), a + int(r.choice([0, 1, 5, 60, 10**6], p=[0.3, 0.3, 0.2, 0.19, 0.01])))
-            new = str(r.choice(["", "x", " ", "'s", "  ", "\n", "hello world " * 3, "z" * 200, " a b" * 400]))
+            b = min(len(s), a + int(r.choice([0, 1, 5, 60, 10**6], p=[0.3, 0.3, 0.2, 0.195, 0.005])))
+            new = str(r.choice(pool))
             tree.edit(a, b, new)
             s = s[:a] + new + s[b:]
-            assert tree.text == s and tree.tokens == len(c.bpe.encode_ordinary(s))
-    df = spark.createDataFrame([(1, "abc def", [(0, 3, "xyz"), None, (4, None, "q")], 5), (2, None, None, 5), (3, "a", [(-5, 99, "")], 5)], "doc_id long, text string, edits array<struct<start:long,stop:long,new:string>>, tokens int")
-    got = {x["doc_id"]: x for x in editcount.edited_counts(df, path).collect()}
-    assert got[1]["tokens_after"] == len(c.bpe.encode_ordinary("xyz def")) and got[2]["tokens_after"] == 0 and got[3]["tokens_after"] == 0 and got[3]["tokens"] == 5
+            assert tree.text == s and tree.tokens == len(c.bpe.encode_ordinary(s)) and sum(n for n, _ in tree.leaves) == len(s)
+
+
+def test_patterns_equal_plain_shortest_pack_first():
+    """Each piece by itself, longest first, into the emptiest sequence with room; where none has room, each piece left of that length opens one."""
+    r = np.random.default_rng(11)
+    for _ in range(20):
+        lengths = sorted(r.integers(1, 65, 300).tolist(), reverse=True)
+        packs: list[list[int]] = []
+        for n in sorted(set(lengths), reverse=True):
+            for left in range(lengths.count(n), 0, -1):
+                room = [p for p in packs if sum(p) + n <= 64]
+                if not room:
+                    packs += [[n] for _ in range(left)]
+                    break
+                min(room, key=sum).append(n)
+        plain = sorted(sum(p) for p in packs)
+        found = packing.patterns(dict(zip(*(v.tolist() for v in np.unique(lengths, return_counts=True)))), 64)
+        assert sorted(p.used() for p in found for _ in range(p.count)) == plain
+
+
+def test_quality_scores_equal_plain_attention(spark, odd):
+    model = quality.GatedAttention(seed=3)
+    model.mean, model.scale = np.full(quality.WIDTH, 0.1), np.full(quality.WIDTH, 0.5)
+    p = model.p
+    for r in quality.scored(odd, model).collect():
+        h = [np.tanh((x - 0.1) / 0.5 @ p["W"] + p["b"]) for x in quality.encode(r["text"])]
+        e = np.array([p["w"] @ (np.tanh(x @ p["V"]) / (1 + np.exp(-x @ p["U"]))) for x in h])
+        a = np.exp(e) / np.exp(e).sum()
+        want = 1 / (1 + np.exp(-(sum(w * x for w, x in zip(a, h)) @ p["c"] + p["d"][0])))
+        assert abs(r["score"] - want) < 1e-9
+
+
+def test_kept_trees_take_edits(spark):
+    path = queries.tokenizer_path("byte_bpe_50k.tiktoken")
+    c = editcount.counter(path)
+    kind = "array<struct<start:long,stop:long,new:string>>"
+    long = "the cat sat on the mat " * 900
+    rows = [(1, "abc def", [(0, 3, "xyz"), None, (4, None, "q")], 5), (1, "abc def", [(0, 3, "xyz"), None, (4, None, "q")], 5), (2, None, None, 5), (3, "a", [(-5, 99, "")], 5), (None, "they'lx go", [(6, 7, "l")], 5), (4, long, [(9000, 9001, "''")], 5)]
+    kept = written(editcount.with_trees(spark.createDataFrame(rows, f"doc_id long, text string, edits {kind}, tokens_before int"), path))
+    got = {x["doc_id"]: x for x in editcount.edited_counts(kept, path).collect()}
+    want = {1: "xyz def", 2: "", 3: "", None: "they'll go", 4: long[:9000] + "''" + long[9001:]}
+    assert {k: x["tokens_after"] for k, x in got.items()} == {k: len(c.bpe.encode_ordinary(t)) for k, t in want.items()}
+    assert {k: x["tokens_before"] for k, x in got.items()} == {r[0]: len(c.bpe.encode_ordinary(r[1] or "")) for r in rows}
+    assert got[4]["reencoded_chars"] < 200 and got[4]["edited_chars"] == len(long) + 1
+    again = written(editcount.edited(kept, path)).withColumn("edits", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("stop"), F.lit("so ").alias("new"))))
+    assert again.count() == len(rows)
+    assert {x["doc_id"]: x["tokens_after"] for x in editcount.edited_counts(again, path).collect()} == {k: len(c.bpe.encode_ordinary("so " + t)) for k, t in want.items()}
+    assert editcount.edited_counts(kept.limit(0), path).count() == 0
 
 
 def test_chat_round_trip_and_branches(spark):
