@@ -79,6 +79,7 @@ def fit_temperature(df: DataFrame, low: float = 0.02, high: float = 20.0, points
         grid = [lo * (hi / lo) ** (i / (points - 1)) for i in range(points)]
         row = counts.agg(*(F.sum(F.col("c") * cross_entropy(F.col("logit") * g, F.col("y"))).alias(f"g{i}") for i, g in enumerate(grid))).first()
         if row[0] is None:
+            counts.unpersist()
             return 1.0
         best = min(range(points), key=lambda i: row[i])
         lo, hi = grid[max(0, best - 1)], grid[min(points - 1, best + 1)]

@@ -17,10 +17,13 @@ CUTOFF = 6.0
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a Parquet table in the shared checkpoint folder (a folder of our own where none is set)."""
+    """Cut the lineage by a Parquet table in the shared checkpoint folder (in local mode a folder of our own where none is set)."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("landmosaic.points.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="landmosaic-")
         spark.conf.set("landmosaic.points.dir", base)
     path = f"{base.rstrip('/')}/points-{uuid.uuid4().hex}"

@@ -60,7 +60,7 @@ def classified(df: DataFrame, crosswalk: DataFrame, default: str = "Unmapped") -
     """df with evt_phys from the crosswalk (value, evt_phys; the last row of a value wins by `ord` if there is one)."""
     if "ord" in crosswalk.columns:
         crosswalk = crosswalk.groupBy("value").agg(F.max_by("evt_phys", "ord").alias("evt_phys"))
-    joined = df.join(F.broadcast(crosswalk.limit(100_000)).select(F.col("value").alias("value_"), "evt_phys"), F.col("evt") == F.col("value_"), "left")
+    joined = df.join(crosswalk.select(F.col("value").alias("value_"), "evt_phys"), F.col("evt") == F.col("value_"), "left")
     return joined.withColumn("evt_phys", F.coalesce("evt_phys", F.lit(default))).drop("value_")
 
 

@@ -48,13 +48,15 @@ def quota(df: DataFrame, group: tuple[str, ...], year_cap: int, cap: int, key: s
     return df.withColumn("r_", rank).where(F.col("r_") <= cap).withColumn("o_", F.row_number().over(order)).where(F.col("o_") <= cap).drop("r_", "o_")
 
 
-def caps(df: DataFrame, fetched: DataFrame, group: tuple[str, ...], needed: int, species: int, years: int, headroom: float = 6.0) -> DataFrame:
+def caps(df: DataFrame, group: tuple[str, ...], needed: int, species: int, years: int, headroom: float = 6.0, fetched: DataFrame | None = None) -> DataFrame:
     """Rows held against the cap of each group, its yearly cap, and whether it is met; if not, whether the source ran dry.
 
-    fetched: group, year, exhausted. A group is exhausted if that holds for all of its years, else short.
+    fetched: group, year, exhausted. A group is exhausted if that holds for all of its years, else short; without it, short.
     """
     cap = F.ceil(F.lit(needed * headroom / species))
     out = df.groupBy(*group).agg(F.count("*").alias("held")).withColumn("cap", cap).withColumn("year_cap", F.ceil(cap / years))
+    if fetched is None:
+        return out.withColumn("status", F.when(F.col("held") >= F.col("cap"), "met").otherwise("short"))
     dry = fetched.groupBy(*group).agg((F.bool_and("exhausted") & (F.count_distinct("year") == years)).alias("dry_"))
     status = F.when(F.col("held") >= F.col("cap"), "met").when(F.col("dry_"), "exhausted").otherwise("short")
     return out.join(dry, list(group), "left").withColumn("status", status).drop("dry_")

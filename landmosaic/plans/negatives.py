@@ -56,7 +56,7 @@ def quota_report(spark, sf):
     """A source has run dry for odd species, and in all years but one for even ones."""
     rows = fx(spark, sf, "fx_candidates")
     fetched = rows.select("species", "year", ((F.col("species") % 2 == 1) | (F.col("year") % 6 != 3)).alias("exhausted")).distinct()
-    return S.caps(rows, fetched, ("species",), 200, 6, 6)
+    return S.caps(rows, ("species",), 200, 6, 6, fetched=fetched)
 
 
 WEIGHT = "CASE WHEN species = 0 THEN 10e0 WHEN ratio IS NULL THEN 1e0 ELSE 1e0 / least(greatest(ratio, 0.1e0), 10e0) END"

@@ -61,7 +61,7 @@ def read_crosswalk(spark: SparkSession, path: str) -> DataFrame:
 
 def write_by_state(df: DataFrame, states: DataFrame, path: str) -> None:
     """Partitioned by state and year; rows of unmapped states or without a year are left out. states: stateProvince, state."""
-    mapped = df.where("year is not null").join(F.broadcast(states.limit(1000)), "stateProvince")
+    mapped = df.where("year is not null").join(states, "stateProvince")
     mapped.repartition("state", "year").write.mode("overwrite").partitionBy("state", "year").parquet(path)
 
 

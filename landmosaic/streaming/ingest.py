@@ -21,6 +21,6 @@ def ingest(spark: SparkSession, source: str, sink: str, checkpoint: str) -> None
     rows.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def held(spark: SparkSession, sink: str, needed: int, species: int, years: int) -> DataFrame:
-    """Rows held against the caps by state and species."""
-    return caps(spark.read.parquet(sink), ("state", "common_name"), needed, species, years)
+def held(spark: SparkSession, sink: str, needed: int, species: int, years: int, fetched: DataFrame | None = None) -> DataFrame:
+    """Rows held against the caps by state and species; fetched (state, common_name, year, exhausted) tells which sources ran dry."""
+    return caps(spark.read.parquet(sink), ("state", "common_name"), needed, species, years, fetched=fetched)
