@@ -22,6 +22,12 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, _ESCAPED, "$1$2$3")
 
 
+def _unique(messages: DataFrame, *more: Column) -> DataFrame:
+    """One row per conv_id and node with parent, score and more: the least by parent, score and more, in this order."""
+    one = F.struct("parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"), *more)
+    return messages.where("conv_id is not null and node is not null").groupBy("conv_id", "node").agg(F.min(one).alias("m")).select("conv_id", "node", "m.*")
+
+
 def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     """conv_id, leaf, branch (rank from 1), node, depth (from the leaf up) of the best paths of each reply tree.
 
@@ -31,7 +37,7 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     Branches rank by the sum of their scores (null: 0), ties to the longer path, then the smaller leaf.
     A message above which there's no root (a circle of replies) has no path.
     """
-    nodes = written(messages.select("conv_id", "node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score")).where("conv_id is not null and node is not null").dropDuplicates(["conv_id", "node"]))
+    nodes = written(_unique(messages))
     known = nodes.select("conv_id", F.col("node").alias("up"))
     jump = written(nodes.where("parent is not null").select("conv_id", "node", F.col("parent").alias("up")).join(known, ["conv_id", "up"], "left_semi").select("conv_id", "node", "up"))
     parents = jump.select("conv_id", F.col("up").alias("node"))
@@ -56,12 +62,12 @@ def formatted(messages: DataFrame, branches: int = 1) -> DataFrame:
 
     messages: conv_id, node, parent, role, text, score; other columns aren't read. A turn is <s>[ROLE]role[/ROLE], the
     text (a user's within [INST] and [/INST]) and </s>. The loss mask covers each assistant's text as it stands there, escaped.
-    Null role or text: empty. Null conv_id or node: left out. Of rows that repeat a node, one is taken.
+    Null role or text: empty. Null conv_id or node: left out. Of rows that repeat a node, the least by parent, score, role and text is taken.
     Trees of one message give one turn; an empty table gives no rows. A conversation is one row by its nature; its turns
     meet only when the row is built.
     """
     chosen = paths(messages, branches)
-    text = messages.select("conv_id", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["conv_id", "node"])
+    text = _unique(messages, F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).select("conv_id", "node", "role", "text")
     turn = F.struct((-F.col("depth")).alias("at"), F.col("role"), escaped(F.col("text")).alias("text"))
     turns = chosen.join(text, ["conv_id", "node"]).groupBy("conv_id", "leaf", "branch").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     head = lambda t: F.concat(F.lit("<s>[ROLE]"), escaped(t["role"]), F.lit("[/ROLE]"), F.when(t["role"] == "user", "[INST]").otherwise(""))

@@ -550,6 +550,8 @@ def test_chat_round_trip_and_branches(spark):
         named.setdefault((r["conv_id"], r["branch"]), []).append(r["node"])
     assert named == {(1, 1): [1, 3, 4], (1, 2): [1, 2], (2, 1): list(range(20))}
     assert chat.formatted(messages.limit(0)).count() == 0
+    twice = spark.createDataFrame([(1, 1, None, 2.0, "user", "b"), (1, 1, None, 2.0, "user", "a"), (1, 1, 7, 0.0, "user", "c")], messages.select("conv_id", "node", "parent", "score", "role", "text").schema)
+    assert [chat_row["formatted"] for chat_row in chat.formatted(twice).collect()] == ["<s>[ROLE]user[/ROLE][INST]a[/INST]</s>"]
 
 
 def test_pii_oracle_hash(spark, sf):
