@@ -30,9 +30,12 @@ def with_nonveg(df: DataFrame) -> DataFrame:
 
 
 def selection(used: DataFrame, available: DataFrame) -> DataFrame:
-    """Envelope metrics: counts and shares of used and available records, their ratio (NULL if unavailable) and its class."""
+    """Envelope metrics: counts and shares of used and available records, their ratio (NULL if unavailable) and its class.
+
+    available may be counted already: a column n_ is then the number of records that a row stands for.
+    """
     u = used.groupBy("envelope_id").agg(F.count("*").alias("sightings"))
-    a = available.groupBy("envelope_id").agg(F.count("*").alias("avail_n"))
+    a = available.groupBy("envelope_id").agg((F.sum("n_") if "n_" in available.columns else F.count("*")).alias("avail_n"))
     both = u.join(a, "envelope_id", "full_outer").select("envelope_id", F.coalesce("sightings", F.lit(0)).alias("sightings"), F.coalesce("avail_n", F.lit(0)).alias("avail_n"))
     totals = both.agg(F.sum("sightings").alias("nu_"), F.sum("avail_n").alias("na_"))
     shares = both.crossJoin(F.broadcast(totals)).withColumn("used_pct", 100.0 * F.col("sightings") / F.col("nu_")).withColumn("avail_pct", 100.0 * F.col("avail_n") / F.col("na_"))
@@ -66,6 +69,18 @@ def with_zones(used: DataFrame, metrics: DataFrame) -> DataFrame:
     return joined.withColumn("env_zone", F.when(F.coalesce("judged_", F.lit(0)) > 0, env_zone(F.col("class_"))).otherwise(plain)).drop("class_", "rare_", "judged_")
 
 
+def zone_lift(df: DataFrame) -> DataFrame:
+    """For each (region, env_zone): records, their shares of hot and cold spatial zones, those of the whole region, and the ratios (NULL over 0)."""
+    parts = {"hot": "Hot", "cold": "Cold"}
+    counts = [F.count("*").alias("n"), *(F.sum((F.col("spatial_zone") == z).cast("long")).alias(f"{k}_") for k, z in parts.items())]
+    g = df.groupBy("region", "env_zone").agg(*counts)
+    base = g.groupBy("region").agg(*((F.sum(f"{k}_") / F.sum("n")).alias(f"{k}_all") for k in parts))
+    out = g.join(F.broadcast(base), "region")
+    share = lambda k: F.col(f"{k}_") / F.col("n")
+    shown = [c for k in parts for c in (F.round(share(k), 9).alias(f"{k}_share"), F.round(f"{k}_all", 9).alias(f"{k}_base"), F.round(share(k) / F.nullif(F.col(f"{k}_all"), F.lit(0.0)), 9).alias(f"{k}_lift"))]
+    return out.select("region", "env_zone", "n", *shown)
+
+
 def breakdown(df: DataFrame) -> DataFrame:
     """Counts of non-vegetated records by class label; those that the physiognomy alone gives away by their physiognomy."""
     labels = F.create_map(*(F.lit(x) for kv in {111: "Water", 112: "Snow", 120: "Developed", 132: "Barren", 180: "Agriculture"}.items() for x in kv))

@@ -67,6 +67,13 @@ def uniform(seed: int, key: Column) -> Column:
     return (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary")), 1, 13), 16, 10).cast("double") + 1) / (16.0**13 + 2)
 
 
+def background_points(ids: DataFrame, key: str, boxes: DataFrame, seed: int = 1) -> DataFrame:
+    """region, key, lon, lat: a point drawn uniformly in every box (a few rows) for each id, by hashes of region and id."""
+    place = F.concat_ws(":", "region", F.col(key).cast("string"))
+    between = lambda lo, hi, k: F.col(lo) + uniform(seed + k, place) * (F.col(hi) - F.col(lo))
+    return ids.select(key).crossJoin(F.broadcast(boxes)).select("region", key, between("min_lon", "max_lon", 0).alias("lon"), between("min_lat", "max_lat", 1).alias("lat"))
+
+
 def targets_for(positives: DataFrame, ratio: float) -> DataFrame:
     """split, target: so many negatives for the positives of each split, rounded (halves to even)."""
     return positives.groupBy("split").agg(F.bround(F.count("*") * F.lit(float(ratio))).cast("long").alias("target"))

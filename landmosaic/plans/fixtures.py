@@ -37,19 +37,20 @@ SELECT 7001 AS value, 'Hardwood' AS evt_phys UNION ALL SELECT 7002, 'Conifer' UN
 UNION ALL SELECT 7004, 'Grassland' UNION ALL SELECT 7005, 'Riparian' UNION ALL SELECT 7006, 'Exotic Tree-Shrub'
 UNION ALL SELECT 7007, 'Developed-Low Intensity' UNION ALL SELECT 7008, 'Open Water'"""
 
-FX["fx_axis"] = "SELECT CAST(event_id AS INT) AS i FROM events WHERE event_id < 720"
-
+#: Every order is a tile of 8 x 8 pixels; 6,120 of them (68 x 90) fill a sheet in scattered order, further sheets lie south of it.
 FX["fx_pixels"] = """
-SELECT r.i AS row_id, c.i AS col_id,
-       CASE WHEN (r.i * 13 + c.i * 7) % 97 = 0 THEN -9999 ELSE 7001 + (r.i * 5 + c.i * 3) % 9 END AS evt,
-       CASE WHEN (r.i + c.i) % 19 = 0 THEN 111 ELSE 1 + (r.i * 3 + c.i) % 7 END AS sclass,
-       100 + (r.i * 7 + c.i * 13) % 60 AS evh,
-       100 + (r.i * 11 + c.i * 5) % 80 AS evc,
-       CASE WHEN (r.i * c.i) % 11 = 0 THEN 1 + (r.i + c.i) % 30 ELSE NULL END AS fdist,
-       (r.i * 17 + c.i * 3) % 300 AS ch,
-       (r.i * 3 + c.i * 19) % 100 AS cc
-FROM fx_axis r CROSS JOIN fx_axis c
-WHERE r.i < 540"""
+SELECT row_id, col_id,
+       CAST(CASE WHEN (row_id * 13 + col_id * 7) % 97 = 0 THEN -9999 ELSE 7001 + (row_id * 5 + col_id * 3) % 9 END AS INT) AS evt,
+       CAST(CASE WHEN (row_id + col_id) % 19 = 0 THEN 111 ELSE 1 + (row_id * 3 + col_id) % 7 END AS INT) AS sclass,
+       CAST(100 + (row_id * 7 + col_id * 13) % 60 AS INT) AS evh,
+       CAST(100 + (row_id * 11 + col_id * 5) % 80 AS INT) AS evc,
+       CAST(CASE WHEN (row_id * col_id) % 11 = 0 THEN 1 + (row_id + col_id) % 30 ELSE NULL END AS INT) AS fdist,
+       CAST((row_id * 17 + col_id * 3) % 300 AS INT) AS ch,
+       CAST((row_id * 3 + col_id * 19) % 100 AS INT) AS cc
+FROM (SELECT row_id, unnest(range(first_col, first_col + 8)) AS col_id
+      FROM (SELECT first_col, unnest(range(first_row, first_row + 8)) AS row_id
+            FROM (SELECT sheet * 544 + CAST(floor(place / 90e0) AS BIGINT) * 8 AS first_row, place % 90 * 8 AS first_col
+                  FROM (SELECT CAST(floor(o_orderkey / 6120e0) AS BIGINT) AS sheet, (o_orderkey % 6120) * 1327 % 6120 AS place FROM orders) s) t) u) v"""
 
 FX["fx_layers"] = """
 SELECT DISTINCT region, year, feature
@@ -73,15 +74,13 @@ SELECT CAST(event_id % 4 AS INT) AS run_id, CAST(EXTRACT(DAY FROM ts) AS INT) AS
        AVG(value) AS strict, AVG(value * CAST(event_id % 7 AS DOUBLE)) AS auc, AVG(value * CAST(event_id % 5 AS DOUBLE)) AS ap
 FROM events GROUP BY 1, 2"""
 
-NEEDS = {"fx_pixels": ("fx_axis",)}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
 def fx(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fixture as a DataFrame over the tables of sf_dir."""
-    text = FX[name]
+    text = re.sub(r"unnest\(range\((\w+), \w+ \+ 8\)\)", r"explode(sequence(\1, \1 + 7))", FX[name])
     frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"\b(FROM|JOIN) {t}\b", text)}
-    frames |= {n: fx(spark, sf_dir, n) for n in NEEDS.get(name, ())}
     for t in frames:
         text = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", text)
     return spark.sql(text, **frames)
@@ -89,6 +88,5 @@ def fx(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_fx(*names: str) -> str:
     """The same fixtures as the head of a DuckDB query."""
-    every = dict.fromkeys(n for name in names for n in (*NEEDS.get(name, ()), name))
-    kept = lambda n: " MATERIALIZED" if n in ("fx_axis", "fx_pixels") else ""
-    return "WITH " + ",\n".join(f"{n} AS{kept(n)} ({FX[n]})" for n in every)
+    kept = lambda n: " MATERIALIZED" if n == "fx_pixels" else ""
+    return "WITH " + ",\n".join(f"{n} AS{kept(n)} ({FX[n]})" for n in names)

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions import binning as B
 from ..functions import scores as C
+from ..functions.geo import projected
 from ..operators import envelopes as E
 from ..operators import points as P
 from ..operators import raster as R
+from ..operators import sampling as S
 from .fixtures import fx, with_fx
-from .points import COLLAPSED, clipped
-from .registry import ORACLE_SQL, query
+from .points import COLLAPSED, X, Y, ZONES, clipped, kde_sql, shown
+from .registry import query
 
 PIX = with_fx("fx_pixels", "fx_crosswalk")
 MASK = "NULLIF(NULLIF(NULLIF(NULLIF({0}, -9999), -32768), 32767), -1111)"
@@ -20,23 +22,38 @@ GOOD = f"good AS (SELECT row_id, col_id, {MASK.format('evt')} AS evt, sclass, ev
 NONVEG = "sclass IN (111, 112, 120, 132, 180) OR regexp_matches(lower(phys), 'developed|open water|agricultur|barren|snow')"
 SIGHT = COLLAPSED.removeprefix("WITH ")
 LABELLED = f"""lab AS (SELECT g.*, coalesce(c.evt_phys, 'Unmapped') AS phys FROM good g LEFT JOIN fx_crosswalk c ON g.evt = c.value), avl AS (SELECT *, {NONVEG} AS nonveg FROM lab)"""
-USED = f"{PIX}, {SIGHT}, {GOOD}, {LABELLED}, used AS (SELECT s.region, s.sid, s.n_visits, a.* FROM coll s JOIN avl a ON a.row_id = CAST(floor((48e0 - lat) / 0.01e0) AS INT) AND a.col_id = CAST(floor((lon + 74e0) / 0.01e0) AS INT))"
-ENV = f"""{USED}, edge AS (SELECT quantile_cont(evh, 0.5) AS mid FROM used WHERE NOT nonveg),
+USED = f"{PIX}, {SIGHT}, {GOOD}, {LABELLED}, used AS (SELECT s.region, s.sid, s.n_visits, s.lon, s.lat, a.* FROM coll s JOIN avl a ON a.row_id = CAST(floor((48e0 - lat) / 0.01e0) AS INT) AND a.col_id = CAST(floor((lon + 74e0) / 0.01e0) AS INT))"
+
+
+def env_sql(background: str = "avl") -> str:
+    return f"""{USED}, edge AS (SELECT quantile_cont(evh, 0.5) AS mid FROM used WHERE NOT nonveg),
 ue AS (SELECT u.*, 'EVT_PHYS:' || phys || '|SCLASS:' || sclass || '|EVH:' || CASE WHEN evh > mid THEN 'Q2' ELSE 'Q1' END AS envelope_id FROM used u, edge WHERE NOT nonveg),
-ae AS (SELECT a.*, 'EVT_PHYS:' || phys || '|SCLASS:' || sclass || '|EVH:' || CASE WHEN evh > mid THEN 'Q2' ELSE 'Q1' END AS envelope_id FROM avl a, edge WHERE NOT nonveg AND (row_id * 720 + col_id) % 7 = 0),
+ae AS (SELECT a.*, 'EVT_PHYS:' || phys || '|SCLASS:' || sclass || '|EVH:' || CASE WHEN evh > mid THEN 'Q2' ELSE 'Q1' END AS envelope_id FROM {background} a, edge WHERE NOT nonveg),
 uc AS (SELECT envelope_id, count(*) AS sightings FROM ue GROUP BY 1), ac AS (SELECT envelope_id, count(*) AS avail_n FROM ae GROUP BY 1),
 sel AS (SELECT *, CASE WHEN avail_n > 0 THEN used_pct / avail_pct END AS selection_ratio FROM (SELECT coalesce(uc.envelope_id, ac.envelope_id) AS envelope_id, coalesce(sightings, 0) AS sightings, coalesce(avail_n, 0) AS avail_n,
   100e0 * coalesce(sightings, 0) / (SELECT sum(sightings) FROM uc) AS used_pct, 100e0 * coalesce(avail_n, 0) / (SELECT sum(avail_n) FROM ac) AS avail_pct FROM uc FULL JOIN ac ON uc.envelope_id = ac.envelope_id)),
 cls AS (SELECT *, CASE WHEN avail_n < 15 THEN 'Landscape-Rare (availability too low to judge)' WHEN selection_ratio >= 2 THEN 'Selected' WHEN selection_ratio <= 0.5 THEN 'Avoided' ELSE 'Proportional' END AS classification FROM sel)"""
 
 
+ENV = env_sql()
+
+
 def pixels(spark, sf):
     return fx(spark, sf, "fx_pixels")
 
 
+def good_pixels(spark, sf):
+    return pixels(spark, sf).select("row_id", "col_id", *(B.unmasked(F.col(f)).alias(f) for f in R.FEATURES)).dropna(subset=list(R.REQUIRED)).withColumn("fdist", F.coalesce("fdist", F.lit(-1)))
+
+
 def available(spark, sf):
-    good = pixels(spark, sf).select("row_id", "col_id", *(B.unmasked(F.col(f)).alias(f) for f in R.FEATURES)).dropna(subset=list(R.REQUIRED)).withColumn("fdist", F.coalesce("fdist", F.lit(-1)))
-    return E.with_nonveg(R.classified(good, fx(spark, sf, "fx_crosswalk")))
+    return E.with_nonveg(R.classified(good_pixels(spark, sf), fx(spark, sf, "fx_crosswalk")))
+
+
+def available_tuples(spark, sf):
+    """Distinct values of the scheme's columns among the good pixels with their number (n_): labels are made for these, not for every pixel."""
+    tuples = good_pixels(spark, sf).groupBy("evt", "sclass", "evh").agg(F.count("*").alias("n_"))
+    return E.with_nonveg(R.classified(tuples, fx(spark, sf, "fx_crosswalk")))
 
 
 def used(spark, sf):
@@ -44,14 +61,11 @@ def used(spark, sf):
     return E.with_nonveg(R.classified(R.sampled(at, pixels(spark, sf)), fx(spark, sf, "fx_crosswalk")))
 
 
-#: Left out of the SQL of the queries that count availability on every pixel.
-LATTICE = " AND (row_id * 720 + col_id) % 7 = 0"
-
-
-def enveloped(spark, sf, where="(row_id * 720 + col_id) % 7 = 0"):
-    u = used(spark, sf).where("not nonveg")
+def enveloped(spark, sf, background=None):
+    """Envelope ids, by the edges of the used records, of these and of the background (every pixel, or what is given). The used records are written once."""
+    u = P.saved(used(spark, sf).where("not nonveg"))
     fitted = E.edges(u)
-    background = available(spark, sf).where("not nonveg").where(where)
+    background = (available_tuples(spark, sf) if background is None else background).where("not nonveg")
     return E.with_envelope(u, fitted), E.with_envelope(background, fitted)
 
 
@@ -72,16 +86,10 @@ def sample_tiles(spark, sf):
 
 @query(f"{ENV} SELECT envelope_id, sightings, avail_n, round(used_pct, 9) AS used_pct, round(avail_pct, 9) AS avail_pct, round(selection_ratio, 9) AS selection_ratio, classification FROM cls")
 def selection_ratio(spark, sf):
-    """D5, D6, C8, C20, B14, B15, B19, B22, with availability on a seventh of the pixels; selection_ratio_all counts every pixel."""
+    """D5, D6, C8, C20, B14, B15, B19, B22, with availability on every pixel."""
     return ratios(*enveloped(spark, sf))
 
 
-@query(ORACLE_SQL["selection_ratio"].replace(LATTICE, ""))
-def selection_ratio_all(spark, sf):
-    """D5, D6, C8, C20, B14, B15, B19, B22."""
-    return ratios(*enveloped(spark, sf, "true"))
-
-
 def ratios(u, a):
     s = E.selection(u, a)
     return s.select("envelope_id", "sightings", "avail_n", *(F.round(c, 9).alias(c) for c in ("used_pct", "avail_pct", "selection_ratio")), "classification")
@@ -89,14 +97,8 @@ def ratios(u, a):
 
 @query(f"{ENV} SELECT envelope_id, classification, round(selection_ratio, 9) AS selection_ratio FROM cls WHERE avail_n >= 15 AND selection_ratio IS NOT NULL ORDER BY selection_ratio DESC, envelope_id LIMIT 10")
 def most_selected(spark, sf):
-    """the limit is the feature; availability as in selection_ratio."""
-    return most(*enveloped(spark, sf))
-
-
-@query(ORACLE_SQL["most_selected"].replace(LATTICE, ""))
-def most_selected_all(spark, sf):
     """the limit is the feature."""
-    return most(*enveloped(spark, sf, "true"))
+    return most(*enveloped(spark, sf))
 
 
 def most(u, a):
@@ -109,14 +111,8 @@ ZONE = "coalesce(CASE WHEN classification LIKE 'Landscape-Rare%' THEN 'Landscape
 
 @query(f"{ENV} SELECT {ZONE} AS env_zone, count(*) AS records FROM ue LEFT JOIN cls USING (envelope_id) GROUP BY 1")
 def class_lookup(spark, sf):
-    """Each record's envelope class, with a default; availability as in selection_ratio."""
-    return classes(*enveloped(spark, sf))
-
-
-@query(ORACLE_SQL["class_lookup"].replace(LATTICE, ""))
-def class_lookup_all(spark, sf):
     """Each record's envelope class, with a default."""
-    return classes(*enveloped(spark, sf, "true"))
+    return classes(*enveloped(spark, sf))
 
 
 def classes(u, a):
@@ -153,22 +149,82 @@ def rare_records(spark, sf):
 
 @query(f"{ENV} SELECT classification, round(avg(CASE WHEN n_visits > 2 THEN 1e0 ELSE 0e0 END), 9) AS hot_share, round(count(*) / CAST((SELECT count(*) FROM ue) AS DOUBLE), 9) AS share FROM ue LEFT JOIN cls USING (envelope_id) GROUP BY 1")
 def zone_overlap(spark, sf):
-    """Share of hotspots in each class, and the classes' shares; availability as in selection_ratio."""
+    """Share of records with more than two visits in each class, and the classes' shares."""
     return overlap(*enveloped(spark, sf))
 
 
-@query(ORACLE_SQL["zone_overlap"].replace(LATTICE, ""))
-def zone_overlap_all(spark, sf):
-    """Share of hotspots in each class, and the classes' shares."""
-    return overlap(*enveloped(spark, sf, "true"))
-
-
 def overlap(u, a):
     joined = u.join(E.selection(u, a).select("envelope_id", "classification"), "envelope_id", "left")
     g = joined.groupBy("classification").agg(F.avg((F.col("n_visits") > 2).cast("double")).alias("hot_share"), F.count("*").alias("n"))
     return g.select("classification", F.round("hot_share", 9).alias("hot_share"), F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 9).alias("share"))
 
 
+SPATIAL = f"""{ENV}, pts AS (SELECT u.region, u.sid, u.envelope_id, u.phys, {X} AS x, {Y} AS y FROM ue u), {kde_sql()},
+zn AS (SELECT region, sid, {ZONES} AS zone FROM (SELECT region, sid, round(density * 1e12, 3) AS density FROM dens)),
+h AS (SELECT p.region, phys, zone, {ZONE} AS env_zone FROM pts p JOIN zn USING (region, sid) LEFT JOIN cls USING (envelope_id))"""
+
+
+def spatially_zoned(spark, sf):
+    """Habitat records with the zone of their envelope and that of their density, both within their region."""
+    u, a = enveloped(spark, sf)
+    zones = P.zoned(shown(P.density(projected(u), "sid", strata=("region",), least=0)), strata=("region",)).select("region", "sid", "spatial_zone")
+    return E.with_zones(u, E.selection(u, a)).join(zones, ["region", "sid"])
+
+
+@query(f"""{SPATIAL}, s AS (SELECT region, env_zone, count(*) AS n, avg(CASE WHEN zone = 'Hot' THEN 1e0 ELSE 0e0 END) AS hot, avg(CASE WHEN zone = 'Cold' THEN 1e0 ELSE 0e0 END) AS cold FROM h GROUP BY 1, 2),
+b AS (SELECT region, avg(CASE WHEN zone = 'Hot' THEN 1e0 ELSE 0e0 END) AS hot, avg(CASE WHEN zone = 'Cold' THEN 1e0 ELSE 0e0 END) AS cold FROM h GROUP BY 1)
+SELECT s.region, env_zone, n, round(s.hot, 9) AS hot_share, round(b.hot, 9) AS hot_base, round(s.hot / nullif(b.hot, 0), 9) AS hot_lift, round(s.cold, 9) AS cold_share, round(b.cold, 9) AS cold_base, round(s.cold / nullif(b.cold, 0), 9) AS cold_lift FROM s JOIN b USING (region)""")
+def density_overlap(spark, sf):
+    """Shares of hot and cold density zones in each envelope zone against those of all habitat records of the region, and their ratio."""
+    return E.zone_lift(spatially_zoned(spark, sf))
+
+
+@query(f"{SPATIAL} SELECT region, phys AS evt_phys, count(*) AS n, round(100e0 * count(*) / sum(count(*)) OVER (PARTITION BY region), 9) AS pct FROM h WHERE zone = 'Hot' GROUP BY 1, 2")
+def hotspot_classes(spark, sf):
+    """Share of each class among the hot records of a region."""
+    g = spatially_zoned(spark, sf).where("spatial_zone = 'Hot'").groupBy("region", "evt_phys").agg(F.count("*").alias("n"))
+    total = g.groupBy("region").agg(F.sum("n").alias("all_"))
+    return g.join(F.broadcast(total), "region").select("region", "evt_phys", "n", F.round(100.0 * F.col("n") / F.col("all_"), 9).alias("pct"))
+
+
+def _u(seed: int) -> str:
+    return f"((('0x' || substr(md5('{seed}:' || region || ':' || o_orderkey), 1, 13))::BIGINT + 1) / 4503599627370498e0)"
+
+
+RANDOM = f"bgp AS (SELECT region, o_orderkey AS point_id, min_lon + {_u(1)} * (max_lon - min_lon) AS lon, min_lat + {_u(2)} * (max_lat - min_lat) AS lat FROM orders CROSS JOIN fx_regions)"
+RANDOM_AVL = f"{RANDOM}, bga AS (SELECT b.region, b.point_id, a.* FROM bgp b JOIN avl a ON a.row_id = CAST(floor((48e0 - lat) / 0.01e0) AS INT) AND a.col_id = CAST(floor((lon + 74e0) / 0.01e0) AS INT))"
+
+
+def random_points(spark, sf):
+    """One background point in every region for each order, so their number grows with the table."""
+    ids = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("point_id"))
+    return S.background_points(ids, "point_id", fx(spark, sf, "fx_regions"))
+
+
+def random_available(spark, sf):
+    return E.with_nonveg(R.classified(R.sampled(R.indexed(random_points(spark, sf)), pixels(spark, sf)), fx(spark, sf, "fx_crosswalk")))
+
+
+@query(f"WITH {SIGHT.split(', clip AS')[0]}, {RANDOM} SELECT region, point_id, round(lon, 9) AS lon, round(lat, 9) AS lat FROM bgp")
+def background_points(spark, sf):
+    """F1."""
+    return random_points(spark, sf).select("region", "point_id", F.round("lon", 9).alias("lon"), F.round("lat", 9).alias("lat"))
+
+
+@query(f"{USED}, {RANDOM_AVL}, u AS (SELECT region, avg(CASE WHEN nonveg THEN 1e0 ELSE 0e0 END) AS u FROM used GROUP BY 1), a AS (SELECT region, count(*) AS n, avg(CASE WHEN nonveg THEN 1e0 ELSE 0e0 END) AS a FROM bga GROUP BY 1) SELECT region, n, round(100 * a, 9) AS background_pct, round(100 * u, 9) AS used_pct, u > 1.5 * a AS enriched FROM u JOIN a USING (region)")
+def background_rate(spark, sf):
+    """Non-vegetated share of random background points against that of the sightings, by region."""
+    rate = lambda df, n, *more: df.groupBy("region").agg(F.avg(F.col("nonveg").cast("double")).alias(n), *more)
+    both = rate(used(spark, sf), "u").join(rate(random_available(spark, sf), "a", F.count("*").alias("n")), "region")
+    return both.select("region", "n", F.round(100 * F.col("a"), 9).alias("background_pct"), F.round(100 * F.col("u"), 9).alias("used_pct"), (F.col("u") > 1.5 * F.col("a")).alias("enriched"))
+
+
+@query(env_sql("bga").replace(", edge AS (", f", {RANDOM_AVL}, edge AS (", 1) + " SELECT envelope_id, sightings, avail_n, round(used_pct, 9) AS used_pct, round(avail_pct, 9) AS avail_pct, round(selection_ratio, 9) AS selection_ratio, classification FROM cls")
+def background_selection(spark, sf):
+    """Selection with availability from random background points."""
+    return ratios(*enveloped(spark, sf, random_available(spark, sf)))
+
+
 @query(f"{USED} SELECT CASE sclass WHEN 111 THEN 'Water' WHEN 112 THEN 'Snow' WHEN 120 THEN 'Developed' WHEN 132 THEN 'Barren' WHEN 180 THEN 'Agriculture' ELSE phys || ' (via EVT_PHYS)' END AS label, count(*) AS n FROM used WHERE nonveg GROUP BY 1")
 def nonveg_breakdown(spark, sf):
     """D3, B9."""
@@ -321,21 +377,10 @@ def window_grid(spark, sf):
     return R.centre_grid(pixels(spark, sf), 4, bounds).select("row_id", "col_id", "grid_row", "grid_col")
 
 
-@query(f"""{PIX}, c AS (SELECT * FROM fx_pixels WHERE row_id % 40 = 0 AND col_id % 40 = 0)
-SELECT c.row_id * 1000 + c.col_id AS pid, CAST(sum(coalesce({MASK.format('p.evt')}, 0)) AS BIGINT) AS total, count(*) AS inside FROM c JOIN fx_pixels p ON p.row_id BETWEEN c.row_id - 4 AND c.row_id + 3 AND p.col_id BETWEEN c.col_id - 4 AND c.col_id + 3 GROUP BY 1""")
-def patch_windows(spark, sf):
-    """8 x 8 windows round a grid of centres, padded outside."""
-    centres = pixels(spark, sf).where("row_id % 40 = 0 and col_id % 40 = 0").select((F.col("row_id") * 1000 + F.col("col_id")).alias("pid"), "row_id", "col_id")
-    p = R.patches(centres, pixels(spark, sf), "pid", "evt", 8)
-    inside = R.patches(centres, pixels(spark, sf).withColumn("one", F.lit(1)), "pid", "one", 8)
-    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, v: a + v)
-    return p.select("pid", total("patch").alias("total")).join(inside.select("pid", total("patch").alias("inside")), "pid")
-
-
 @query(f"""{PIX}, {SIGHT}, pts AS (SELECT region, sid, CAST(floor((48e0 - lat) / 0.01e0) AS INT) AS r, CAST(floor((lon + 74e0) / 0.01e0) AS INT) AS c FROM coll),
 win AS (SELECT r, c, CAST(sum(coalesce({MASK.format('p.evt')}, 0)) AS BIGINT) AS total, count(*) AS inside FROM (SELECT DISTINCT r, c FROM pts) JOIN fx_pixels p ON p.row_id BETWEEN r - 32 AND r + 31 AND p.col_id BETWEEN c - 32 AND c + 31 GROUP BY 1, 2)
 SELECT region, sid, coalesce(total, 0) AS total, coalesce(inside, 0) AS inside FROM pts LEFT JOIN win USING (r, c)""")
-def patch_windows_all(spark, sf):
+def patch_windows(spark, sf):
     """The 64 x 64 window round every collapsed sighting, padded outside; sightings on one pixel share its window."""
     at = R.indexed(P.collapsed(clipped(spark, sf))).select("region", "sid", F.concat_ws(":", "row_id", "col_id").alias("pid"), "row_id", "col_id")
     centres = P.saved(at.select("pid", "row_id", "col_id").distinct())
@@ -344,16 +389,9 @@ def patch_windows_all(spark, sf):
     return at.join(windows, "pid").select("region", "sid", "total", "inside")
 
 
-@query(f"{PIX} SELECT r.row_id, r.col_id, s.ch AS value FROM fx_pixels r LEFT JOIN fx_pixels s ON s.row_id = CAST(floor((r.row_id + 0.5) / 3) AS INT) AND s.col_id = CAST(floor((r.col_id + 0.5) / 3) AS INT) WHERE r.row_id % 10 = 0")
+@query(f"{PIX} SELECT r.row_id, r.col_id, s.ch AS value FROM fx_pixels r LEFT JOIN fx_pixels s ON s.row_id = CAST(floor((r.row_id + 0.5) / 3) AS INT) AND s.col_id = CAST(floor((r.col_id + 0.5) / 3) AS INT)")
 def align_layers(spark, sf):
-    """Nearest resampling of a coarser grid."""
-    p = pixels(spark, sf)
-    return R.aligned(p.where("row_id % 10 = 0").select("row_id", "col_id"), p.select("row_id", "col_id", F.col("ch").alias("value")), 3.0)
-
-
-@query(ORACLE_SQL["align_layers"].replace(" WHERE r.row_id % 10 = 0", ""))
-def align_layers_all(spark, sf):
-    """C19, over every pixel."""
+    """Nearest resampling of a coarser grid, for every pixel."""
     p = pixels(spark, sf)
     return R.aligned(p.select("row_id", "col_id"), p.select("row_id", "col_id", F.col("ch").alias("value")), 3.0)
 

@@ -78,56 +78,33 @@ def spatial_blocks(spark, sf):
     return blocked(spark, sf).groupBy("region", "block_id").agg(F.count("*").alias("n"))
 
 
-HOLDOUT = f"""{BLOCKS}, cnt AS (SELECT block_id, count(*) AS c FROM blk WHERE region = 'NH' GROUP BY block_id),
-hold AS (SELECT block_id, CASE WHEN coalesce(sum(c) OVER (ORDER BY md5('42:' || block_id), block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < round_even((SELECT sum(c) FROM cnt) * 0.2, 0) THEN 'val' ELSE 'train' END AS split FROM cnt)"""
-
-
-@query(f"{HOLDOUT} SELECT block_id, split FROM hold")
-def block_holdout(spark, sf):
-    """E3, G5, for NH; block_holdout_regions has all regions."""
-    return S.block_holdout(blocked(spark, sf).where("region = 'NH'"))
-
-
 HASH = """CAST(((('0x' || substr(md5('42:' || block_id), 1, 16))::UBIGINT % 10000) * 1616 + ('0x' || substr(md5('42:' || block_id), 17, 16))::UBIGINT % 10000) % 10000 AS INT)"""
 
 
-@query(f"{BLOCKS} SELECT DISTINCT block_id, {HASH} AS share FROM blk")
-def hash_split(spark, sf):
-    """The md5 remainder that splits blocks without positives, by block name; hash_split_regions keeps regions apart."""
-    return blocked(spark, sf).select("block_id").distinct().withColumn("share", hash_share(42, F.col("block_id")))
-
-
-@query(f"""{HOLDOUT}, b AS (SELECT DISTINCT block_id FROM blk) SELECT b.block_id, coalesce(hold.split, CASE WHEN {HASH.replace("block_id", "b.block_id")} < (SELECT avg(CASE WHEN split = 'val' THEN 1e0 ELSE 0e0 END) FROM hold) * 10000 THEN 'val' ELSE 'train' END) AS split FROM b LEFT JOIN hold USING (block_id)""")
-def split_lookup(spark, sf):
-    """Block split with the hash fallback at the share of val blocks, by NH's holdout and the block's name; split_lookup_regions keeps regions apart."""
-    pts = blocked(spark, sf)
-    return S.with_split(pts.select("block_id").distinct(), S.block_holdout(pts.where("region = 'NH'")))
-
-
-HOLDOUTS = f"""{BLOCKS}, cnt AS (SELECT region, block_id, count(*) AS c FROM blk GROUP BY region, block_id),
+HOLDOUT = f"""{BLOCKS}, cnt AS (SELECT region, block_id, count(*) AS c FROM blk GROUP BY region, block_id),
 hold AS (SELECT region, block_id, CASE WHEN coalesce(sum(c) OVER (PARTITION BY region ORDER BY md5('42:' || block_id), block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < round_even(sum(c) OVER (PARTITION BY region) * 0.2, 0) THEN 'val' ELSE 'train' END AS split FROM cnt)"""
 
 
-@query(f"{HOLDOUTS} SELECT region, block_id, split FROM hold")
-def block_holdout_regions(spark, sf):
+@query(f"{HOLDOUT} SELECT region, block_id, split FROM hold")
+def block_holdout(spark, sf):
     """E3, G5, within each region."""
     return S.block_holdout(blocked(spark, sf), group=("region",))
 
 
 @query(f"{BLOCKS} SELECT DISTINCT region, block_id, {HASH} AS share FROM blk")
-def hash_split_regions(spark, sf):
-    """B21 by region and block."""
+def hash_split(spark, sf):
+    """The md5 remainder that splits blocks without positives, by region and block."""
     return blocked(spark, sf).select("region", "block_id").distinct().withColumn("share", hash_share(42, F.col("block_id")))
 
 
 CANDIDATES = FX["fx_candidates"]
 
 
-@query(f"""{HOLDOUTS}, cand AS (SELECT region, {X} AS x, {Y} AS y FROM ({CANDIDATES}) JOIN fx_regions ON {IN_BOX}),
+@query(f"""{HOLDOUT}, cand AS (SELECT region, {X} AS x, {Y} AS y FROM ({CANDIDATES}) JOIN fx_regions ON {IN_BOX}),
 b AS (SELECT DISTINCT region, CAST(floor((x - x0) / 3000e0) AS BIGINT) || '_' || CAST(floor((y - y0) / 3000e0) AS BIGINT) AS block_id FROM cand JOIN org USING (region) UNION SELECT region, block_id FROM blk),
 part AS (SELECT region, avg(CASE WHEN split = 'val' THEN 1e0 ELSE 0e0 END) AS val FROM hold GROUP BY region)
 SELECT b.region, b.block_id, coalesce(hold.split, CASE WHEN {HASH.replace("block_id", "b.block_id")} < part.val * 10000 THEN 'val' ELSE 'train' END) AS split FROM b JOIN part USING (region) LEFT JOIN hold ON hold.region = b.region AND hold.block_id = b.block_id""")
-def split_lookup_regions(spark, sf):
+def split_lookup(spark, sf):
     """C15 within each region: the blocks of sightings and of candidates, which may have no sighting and are then drawn by hash."""
     pts = habitat_points(spark, sf)
     origin = F.broadcast(pts.groupBy("region").agg(F.min("x").alias("x0"), F.min("y").alias("y0")))
@@ -161,7 +138,7 @@ def visit_concentration(spark, sf):
     return P.collapsed(clipped(spark, sf)).groupBy((F.col("sid") % 7 == 0).alias("exotic")).agg(F.percentile("n_visits", F.lit(0.5)).alias("median_visits"), F.round(F.avg("n_visits"), 9).alias("mean_visits"), multi.alias("multi_pct"))
 
 
-def _kde(extra: str = "0e0", dims: int = 2, where: str = "true", strata: str = "") -> str:
+def kde_sql(extra: str = "0e0", dims: int = 2, where: str = "true", strata: str = "") -> str:
     norm = f"pow(2 * pi(), {dims / 2!r}) * pow(3000e0, {dims})"
     by = f"PARTITION BY region{strata and ', ' + strata}"
     same = "AND a.region = b.region" + (f" AND a.{strata} = b.{strata}" if strata else "")
@@ -183,19 +160,20 @@ def shown(df):
     return df.select("region", "sid", F.round(F.col("density") * 1e12, 3).alias("density"))
 
 
-@query(f"{PTS}, {_kde()} SELECT region, sid, round(density * 1e12, 3) AS density FROM dens")
+@query(f"{PTS}, {kde_sql()} SELECT region, sid, round(density * 1e12, 3) AS density FROM dens")
 def kde_spatial(spark, sf):
     """D7, within each region."""
     return shown(P.density(classed(spark, sf), "sid", strata=("region",), least=0))
 
 
-@query(f"{PTS}, {_kde()} SELECT region, zone AS spatial_zone, n > 0 AS any FROM (SELECT region, zone, count(*) AS n FROM (SELECT region, {ZONES} AS zone FROM dens) GROUP BY region, zone)")
+@query(f"{PTS}, {kde_sql()} SELECT region, zone AS spatial_zone, count(*) AS n FROM (SELECT region, {ZONES} AS zone FROM (SELECT region, round(density * 1e12, 3) AS density FROM dens)) GROUP BY ALL")
 def kde_zones(spark, sf):
-    """Which zones occur (counts at the very decile depend on the last bits of the sums)."""
-    return P.zoned(P.density(classed(spark, sf), "sid", strata=("region",), least=0), strata=("region",)).groupBy("region", "spatial_zone").agg((F.count("*") > 0).alias("any"))
+    """Records in each zone; densities are rounded before the deciles, as they are shown."""
+    dens = shown(P.density(classed(spark, sf), "sid", strata=("region",), least=0))
+    return P.zoned(dens, strata=("region",)).groupBy("region", "spatial_zone").agg(F.count("*").alias("n"))
 
 
-@query(f"{PTS}, {_kde(strata='phys')} SELECT region, sid, round(CASE WHEN n >= 30 THEN density * 1e12 END, 3) AS density FROM dens")
+@query(f"{PTS}, {kde_sql(strata='phys')} SELECT region, sid, round(CASE WHEN n >= 30 THEN density * 1e12 END, 3) AS density FROM dens")
 def kde_stratified(spark, sf):
     """D9."""
     return shown(P.density(classed(spark, sf), "sid", strata=("region", "phys")))
@@ -205,7 +183,7 @@ Z = "((a.year - b.year) / a.dev * 3000e0)"
 PTS_DEV = f"{PROJ}, pts AS (SELECT *, CASE WHEN stddev_pop(year) OVER (PARTITION BY region) = 0 THEN 1 ELSE stddev_pop(year) OVER (PARTITION BY region) END AS dev FROM proj)"
 
 
-@query(f"{PTS_DEV}, {_kde(extra=f'{Z} * {Z}', dims=3)} SELECT region, sid, round(density * 1e15, 3) AS density FROM dens")
+@query(f"{PTS_DEV}, {kde_sql(extra=f'{Z} * {Z}', dims=3)} SELECT region, sid, round(density * 1e15, 3) AS density FROM dens")
 def kde_joint(spark, sf):
     """With a standardised third axis."""
     return P.density(classed(spark, sf), "sid", strata=("region",), extra=("year",), least=0).select("region", "sid", F.round(F.col("density") * 1e15, 3).alias("density"))
@@ -213,12 +191,16 @@ def kde_joint(spark, sf):
 
 def _surface(by: str) -> str:
     same = " AND ".join(f"g.{c} = p.{c}" for c in by.split(", "))
-    return f"""grid AS (SELECT {by}, i, j, x0 + i * (x1 - x0) / 19 AS x, y0 + j * (y1 - y0) / 19 AS y FROM (SELECT {by}, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM pts GROUP BY {by} HAVING count(*) >= 20), (SELECT unnest(range(20)) AS i), (SELECT unnest(range(20)) AS j)),
+    return f"""grid AS (SELECT {by}, i, j, x0 + i * (x1 - x0) / 149 AS x, y0 + j * (y1 - y0) / 149 AS y FROM (SELECT {by}, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM pts GROUP BY {by} HAVING count(*) >= 20), (SELECT unnest(range(150)) AS i), (SELECT unnest(range(150)) AS j)),
     s AS (SELECT {', '.join('g.' + c for c in by.split(', '))}, i, j, sum(exp(-((g.x - p.x) * (g.x - p.x) + (g.y - p.y) * (g.y - p.y)) / (2 * 9e6))) AS d FROM grid g JOIN pts p ON {same} AND (g.x - p.x) * (g.x - p.x) + (g.y - p.y) * (g.y - p.y) <= 324e6 GROUP BY ALL),
     top AS (SELECT *, max(d) OVER (PARTITION BY {by}) AS top FROM s)"""
 
 
-def surface(points, by, n=20, least=20):
+#: Nodes a side of a density surface.
+NODES = 150
+
+
+def surface(points, by, n=NODES, least=20):
     """For each class with enough points a regular grid over their extent and the density summed at its nodes, with the class's greatest (top)."""
     box = points.groupBy(*by).agg(F.count("*").alias("many"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
     at = lambda lo, hi, k: F.col(lo) + F.col(k) * (F.col(hi) - F.col(lo)) / (n - 1)
@@ -229,10 +211,14 @@ def surface(points, by, n=20, least=20):
     return s.join(F.broadcast(s.groupBy(*by).agg(F.max("d").alias("top"))), list(by))
 
 
-@query(f"{PTS}, {_surface('region')} SELECT region, CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(d, 6) AS d FROM top WHERE d >= 0.005 * top")
+@query(f"""{PTS}, {_surface('region')}, ranked AS (SELECT *, 22500 - count(*) OVER (PARTITION BY region) + row_number() OVER (PARTITION BY region ORDER BY round(d, 6), i, j) - 1 AS pos FROM top)
+SELECT region, CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(d, 6) AS d, round(100e0 * pos / 22499, 6) AS pct FROM ranked WHERE d >= 0.005 * top""")
 def density_surface(spark, sf):
-    """D11 with its mask at half a percent of the greatest value."""
-    return surface(classed(spark, sf), ("region",)).where("d >= 0.005 * top").select("region", "i", "j", F.round("d", 6).alias("d"))
+    """Percentile rank (0 to 100) of the density over all nodes, those without any come first, with the mask at half a percent of the greatest value."""
+    s = surface(classed(spark, sf), ("region",)).withColumn("shown", F.round("d", 6))
+    ranked = running(s, ["shown", "i", "j"], ("region",)).join(F.broadcast(s.groupBy("region").agg(F.count("*").alias("some"))), "region")
+    pct = 100.0 * (NODES * NODES - F.col("some") + F.col("pos_") - 1) / (NODES * NODES - 1)
+    return ranked.where("d >= 0.005 * top").select("region", "i", "j", F.col("shown").alias("d"), F.round(pct, 6).alias("pct"))
 
 
 @query(f"{PTS}, cnt AS (SELECT region, CAST(floor(x / 3000e0) AS BIGINT) AS bx, count(*) AS n FROM pts GROUP BY 1, 2) SELECT region, bx, n, round(100e0 * (row_number() OVER (PARTITION BY region ORDER BY n, bx) - 1) / greatest(count(*) OVER (PARTITION BY region) - 1, 1), 9) AS pct FROM cnt")

@@ -86,9 +86,9 @@ def test_running_equals_one_window(spark):
 
 def test_availability_counts_every_pixel(spark, sf):
     every = available(spark, sf).where("not nonveg").count()
-    assert QUERIES["selection_ratio_all"](spark, sf).agg(F.sum("avail_n")).collect()[0][0] == every
-    assert QUERIES["align_layers_all"](spark, sf).count() == pixels(spark, sf).count()
-    assert QUERIES["patch_windows_all"](spark, sf).count() == QUERIES["collapse_visits"](spark, sf).count()
+    assert QUERIES["selection_ratio"](spark, sf).agg(F.sum("avail_n")).collect()[0][0] == every
+    assert QUERIES["align_layers"](spark, sf).count() == pixels(spark, sf).count()
+    assert QUERIES["patch_windows"](spark, sf).count() == QUERIES["collapse_visits"](spark, sf).count()
 
 
 def test_holdout_within_each_group(spark):
