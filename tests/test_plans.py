@@ -4,6 +4,7 @@ import hashlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ def con(sf):
 
 def plain(df):
     def one(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return ""
         return "%.9g" % (float(v) + 0.0) if isinstance(v, (int, float, np.number)) and not isinstance(v, (bool, np.bool_)) else str(v)
 
