@@ -71,5 +71,24 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def met(left: DataFrame, right: DataFrame, key: str, weight: str, share: int = 1000) -> DataFrame:
+    """left, left-joined by key to right (written; one row a key; weight: how many rows of left have that key).
+
+    Where right is large, its rows that stand for more than a share-th of all rows, at most `share` of them, are broadcast; the rows of
+    left that they serve, and those without a key, are spread over all tasks by a salt, so that no key of left makes a task of its own.
+    """
+    out = [c for c in right.columns if c != key]
+    if right.limit(BROADCAST_ROWS // 10 + 1).count() <= BROADCAST_ROWS // 10:
+        return left.join(F.broadcast(right), key, "left")
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    hot = F.col(weight) * share > total
+    named = lambda df, name: df.select(F.col(key).alias(f"{name}key"), F.struct(*out).alias(name))
+    served = left.join(F.broadcast(named(right.where(hot), "hot_")), F.col(key) == F.col("hot_key"), "left").drop("hot_key")
+    salt = F.when(F.col(key).isNull() | F.col("hot_").isNotNull(), F.monotonically_increasing_id() % 4096 + 1).otherwise(0)
+    rest = named(right.where(~hot), "rest_").withColumn("salt_r", F.lit(0).cast("long"))
+    both = served.withColumn("salt_", salt).join(rest, (F.col(key) == F.col("rest_key")) & (F.col("salt_") == F.col("salt_r")), "left")
+    return both.select(*left.columns, *(F.coalesce(F.col("hot_")[c], F.col("rest_")[c]).alias(c) for c in out))
+
+
 def union(*frames: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)

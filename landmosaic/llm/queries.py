@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, covertree, editcount, langid, minhash, mixing, packing, pii, quality
+from . import align, ann, chat, covertree, editcount, langid, merkle, minhash, mixing, packing, pii, quality, urls
 from .common import table, written
 
 
@@ -79,7 +79,23 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", F.size(turns).cast("long").alias("n_turns"), F.sha2(whole.cast("binary"), 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss.cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_ann, op3_pii, op4_embed_dedup, op5_minhash, op6_langid, op7_token_counts, op8_quality, op9_packing, op10_chat)}
+#: The rules of op11 (verdict, host, path).
+RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op11_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages").select("page_id", "url"), RULES).select("page_id", "host", "path", "rule", "verdict", F.round("p_block", 4).alias("p_block"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents")).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_ann, op3_pii, op4_embed_dedup, op5_minhash, op6_langid, op7_token_counts, op8_quality, op9_packing, op10_chat, op11_urls, op12_merkle, op13_align)}
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -98,6 +114,48 @@ SELECT conv_id, count(*) AS n_turns,
 FROM rows GROUP BY conv_id
 """
 
+#: crc32 of the decimal doc_id, bit by bit from the ASCII codes of its characters; trees are folded level by level.
+ORACLE_SQL["op12_merkle"] = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, coalesce('s' || lang, 'n') AS tree, n_chars, CAST(doc_id AS VARCHAR) AS d, CAST(n_chars AS VARCHAR) AS n0, CAST(CAST(n_chars AS HUGEINT) + 1 AS VARCHAR) AS n1,
+    coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS tail,
+    xor(list_reduce(list_prepend(4294967295, list_transform(range(1, CAST(length(CAST(doc_id AS VARCHAR)) AS BIGINT) + 1), lambda i: CAST(ascii(substr(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT))),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) AS crc
+  FROM documents),
+leaf AS (
+  SELECT doc_id, tree, sha256(head || coalesce(strlen(n0) || ':' || n0, '-') || tail) AS leaf,
+    CASE WHEN crc % 7 = 0 THEN sha256(head || coalesce(strlen(n1) || ':' || n1, '-') || tail) ELSE sha256(head || coalesce(strlen(n0) || ':' || n0, '-') || tail) END AS changed
+  FROM docs),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaf),
+sizes AS (SELECT tree, count(*) AS n FROM placed GROUP BY tree),
+up(tree, lvl, pos, hash, n) AS (
+  SELECT tree, 0, pos, leaf, n FROM placed JOIN sizes USING (tree)
+  UNION ALL
+  SELECT tree, lvl + 1, pos // 2, sha256(string_agg(hash, '' ORDER BY pos)), (n + 1) // 2 FROM up WHERE n > 1 GROUP BY tree, lvl, n, pos // 2),
+subs AS (SELECT tree, lvl AS depth, hash AS subroot, row_number() OVER (ORDER BY tree) - 1 AS pos FROM up WHERE n = 1),
+above(lvl, pos, hash, n) AS (
+  SELECT 0, pos, subroot, (SELECT count(*) FROM subs) FROM subs
+  UNION ALL
+  SELECT lvl + 1, pos // 2, sha256(string_agg(hash, '' ORDER BY pos)), (n + 1) // 2 FROM above WHERE n > 1 GROUP BY lvl, n, pos // 2),
+top AS (SELECT lvl AS depth, hash AS root FROM above WHERE n = 1),
+steps AS (
+  SELECT p.tree, p.pos, u.lvl, CASE WHEN u.pos < (p.pos >> u.lvl) THEN u.hash ELSE '' END AS l, CASE WHEN u.pos > (p.pos >> u.lvl) THEN u.hash ELSE '' END AS r
+  FROM placed p JOIN subs s USING (tree) JOIN up u ON u.tree = p.tree AND u.lvl < s.depth AND u.pos = xor(p.pos >> u.lvl, 1)
+  UNION ALL
+  SELECT p.tree, p.pos, s.depth + a.lvl, CASE WHEN a.pos < (s.pos >> a.lvl) THEN a.hash ELSE '' END, CASE WHEN a.pos > (s.pos >> a.lvl) THEN a.hash ELSE '' END
+  FROM placed p JOIN subs s USING (tree) JOIN above a ON a.lvl < (SELECT depth FROM top) AND a.pos = xor(s.pos >> a.lvl, 1)),
+listed AS (
+  SELECT p.tree, p.pos, coalesce(string_agg(l || r, '' ORDER BY lvl), '') AS siblings FROM placed p LEFT JOIN steps t ON t.tree = p.tree AND t.pos = p.pos GROUP BY p.tree, p.pos),
+fold(tree, pos, lvl, hash, last) AS (
+  SELECT p.tree, p.pos, 0, p.changed, s.depth + (SELECT depth FROM top) FROM placed p JOIN subs s USING (tree)
+  UNION ALL
+  SELECT f.tree, f.pos, f.lvl + 1, sha256(coalesce(t.l, '') || f.hash || coalesce(t.r, '')), last
+  FROM fold f LEFT JOIN steps t ON t.tree = f.tree AND t.pos = f.pos AND t.lvl = f.lvl WHERE f.lvl < last)
+SELECT p.doc_id, p.leaf, s.subroot, root, sha256(siblings) AS proof_sha256, f.hash AS folded_root, f.hash = root AS verified
+FROM placed p JOIN subs s USING (tree) JOIN listed l ON l.tree = p.tree AND l.pos = p.pos JOIN fold f ON f.tree = p.tree AND f.pos = p.pos AND f.lvl = f.last, top
+"""
+
 ORACLE_SQL["op1_mixing"] = r"""
 WITH RECURSIVE sized AS (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS mix_key,

@@ -17,14 +17,16 @@ _LATIN = re.compile(r"[\t-\r -~\x85\xa0-\xff]*\Z")
 _CONTROL = re.compile(r"[\x1c-\x1f]")
 
 
-def byte_characters() -> dict[int, str]:
-    """For str.translate: each Latin-1 character beyond ASCII as the characters that stand for its UTF-8 bytes in a byte-level vocabulary.
-
-    A byte that is a printable Latin-1 character stands for itself, the others are numbered from 256 on.
-    """
+def byte_signs() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: a printable Latin-1 character for itself, the others are numbered from 256 on."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
     rest = [b for b in range(256) if b not in plain]
-    sign = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+def byte_characters() -> dict[int, str]:
+    """For str.translate: each Latin-1 character beyond ASCII as the characters that stand for its UTF-8 bytes in a byte-level vocabulary."""
+    sign = byte_signs()
     return {c: "".join(sign[b] for b in chr(c).encode()) for c in range(128, 256)}
 
 
