@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -14,24 +13,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batched, met, small, written
-from .tokens import Recent, byte_signs
+from .tokens import byte_signs
 
-#: Both tokenizers end a token before a space that follows a character other than white space, and neither looks back across it.
-_CUT = re.compile(r"(?<=\S)(?= )")
-_ODD = re.compile(r"\A |\s ")
-#: Longer parts aren't kept in the cache.
-LONGEST = 64
 #: A pair is one number: the first tokenizer's id times this, plus the second's (whose ids are smaller).
 SECOND = 2**15
+#: Texts of a batch are encoded together up to so many characters.
+TOGETHER = 200_000
 
-NO_TOKENS = (0, 0, 0, "", b"")
 SCHEMA = "key string, times long, n_a long, n_b long, n_groups long, groups_sha256 string, pairs array<int>, counts array<int>"
 
 
 class Aligner:
     """Tokens of space + text by a byte-level BPE file (A) and of text by a sentencepiece model (B), cut into groups where both end."""
 
-    def __init__(self, a_path: str, b_path: str, most: int = 150_000):
+    def __init__(self, a_path: str, b_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
@@ -40,43 +35,55 @@ class Aligner:
         self.a.encode_special_tokens = True
         byte = {sign: b for b, sign in byte_signs().items()}
         names = {i: t for t, i in self.a.get_vocab(with_added_tokens=True).items()}
-        self.a_bytes = {i: bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode() for i, t in names.items()}
+        self.a_bytes = [bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode() for t in (names.get(i, "") for i in range(max(names) + 1))]
         ids = range(self.b.get_piece_size())
         self.b_bytes = [bytes([int(self.b.id_to_piece(i)[3:-1], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode() for i in ids]
-        if len(self.b_bytes) > SECOND or max(self.a_bytes) * SECOND >= 2**31:
+        if len(self.b_bytes) > SECOND or len(self.a_bytes) * SECOND > 2**31:
             raise ValueError("pairs of these vocabularies don't fit 31 bits")
-        self.space = self.b.encode("a ")[len(self.b.encode("a")) :]
-        self.parts = Recent(self.aligned, most)
-
-    def aligned(self, part: str) -> tuple[int, int, int, str, bytes] | None:
-        """n_a, n_b, n_groups, the groups as text and the pairs (32-bit) of space + part; None if a tokenizer doesn't give back its bytes."""
-        a = self.a.encode(f" {part}", add_special_tokens=False).ids
-        b = self.b.encode(part, num_threads=1) if part else self.space
-        whole, a_bytes, b_bytes = f" {part}".encode(), [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(a_bytes) != whole or b"".join(b_bytes) != whole:
-            return None
-        groups, pairs, i, j = [], [], 0, 0
-        a_ends, b_ends = np.cumsum([len(x) for x in a_bytes]), np.cumsum([len(x) for x in b_bytes])
-        _, a_at, b_at = np.intersect1d(a_ends, b_ends, assume_unique=True, return_indices=True)
-        for p, q in zip(a_at.tolist(), b_at.tolist()):
-            groups.append(f"{','.join(map(str, a[i : p + 1]))}|{','.join(map(str, b[j : q + 1]))}")
-            pairs.append(a[p] * SECOND + b[q])
-            i, j = p + 1, q + 1
-        return len(a), len(b), len(groups), ";".join(groups), np.array(pairs, np.int32).tobytes()
-
-    def of(self, text: str) -> list[tuple]:
-        """The parts' alignments; empty if the text has no tokens."""
-        if _ODD.search(text):
-            parts = [p[1:] for p in _CUT.split(f" {text}")]
-        else:
-            parts = text.split(" ")
-        found = [self.parts[p] if len(p) <= LONGEST else self.aligned(p) for p in parts]
-        return [] if None in found else found
+        self.a_size, self.b_size = (np.array([len(x) for x in side]) for side in (self.a_bytes, self.b_bytes))
+        # how each id is written: A's inside and at the end of its part of a group, then B's
+        self.written = [f"{i}{end}" for many, ends in ((len(self.a_bytes), ",|"), (len(self.b_bytes), ",;")) for end in ends for i in range(many)]
+
+    def encoded(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
+        """The ids of both tokenizers; special tokens' strings are plain text."""
+        for part in _together(texts):
+            yield from zip((e.ids for e in self.a.encode_batch_fast([f" {t}" for t in part], add_special_tokens=False)), self.b.encode(part, num_threads=1))
+
+    def aligned(self, text: str, a: list[int], b: list[int]) -> tuple[int, int, int, str, np.ndarray]:
+        """n_a, n_b, n_groups, the groups as text, the pairs; nothing if a tokenizer doesn't give back the text's bytes."""
+        whole = f" {text}".encode()
+        if b"".join(map(self.a_bytes.__getitem__, a)) != whole or b"".join(map(self.b_bytes.__getitem__, b)) != whole:
+            return 0, 0, 0, "", np.zeros(0, np.int32)
+        a, b = np.array(a), np.array(b)
+        a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        _, a_last, b_last = np.intersect1d(a_end, b_end, assume_unique=True, return_indices=True)
+        # the written order: a group's A ids come after the B ids of the groups before it, its B ids after its A ids
+        a_code, b_code = a.copy(), b + 2 * len(self.a_bytes)
+        a_code[a_last] += len(self.a_bytes)
+        b_code[b_last] += len(self.b_bytes)
+        line = np.empty(len(a) + len(b), np.int64)
+        a_group, b_group = np.searchsorted(a_last, np.arange(len(a))), np.searchsorted(b_last, np.arange(len(b)))
+        line[np.arange(len(a)) + np.concatenate(([0], b_last + 1))[a_group]] = a_code
+        line[np.arange(len(b)) + a_last[b_group] + 1] = b_code
+        groups = "".join(map(self.written.__getitem__, line.tolist()))[:-1]
+        return len(a), len(b), len(a_last), groups, (a[a_last] * SECOND + b[b_last]).astype(np.int32)
+
+
+def _together(texts: list[str]) -> Iterator[list[str]]:
+    part, size = [], 0
+    for t in texts:
+        if part and size + len(t) > TOGETHER:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t)
+    if part:
+        yield part
 
 
 @cache
 def aligner(a_path: str, b_path: str) -> Aligner:
-    """One per worker process, so that its cache lives on between tasks."""
+    """One per worker process."""
     return Aligner(a_path, b_path)
 
 
@@ -84,18 +91,17 @@ def _measured(a_path: str, b_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = aligner(a_path, b_path)
         for batch in batches:
-            rows, pairs, counts = [], [], []
-            for key, text in zip(batch["key"].to_pylist(), batch["text"].to_pylist()):
-                found = known.of(text)
-                groups = ";".join(f[3] for f in found)
-                kinds, many = np.unique(np.frombuffer(b"".join(f[4] for f in found), np.int32), return_counts=True)
-                rows.append((key, sum(f[0] for f in found), sum(f[1] for f in found), sum(f[2] for f in found), hashlib.sha256(groups.encode()).hexdigest() if found else ""))
+            texts, rows, pairs, counts = batch["text"].to_pylist(), [], [], []
+            for text, (a, b) in zip(texts, known.encoded(texts)):
+                n_a, n_b, n_groups, groups, links = known.aligned(text, a, b)
+                kinds, many = np.unique(links, return_counts=True)
+                rows.append((n_a, n_b, n_groups, hashlib.sha256(groups.encode()).hexdigest() if n_a else ""))
                 pairs.append(kinds)
                 counts.append(many.astype(np.int32))
             ends = pa.array(np.cumsum([0, *map(len, pairs)]), pa.int32())
             lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x) if x else [], pa.int32())) for x in (pairs, counts)]
-            key, n_a, n_b, n_groups, digest = zip(*rows) if rows else ((),) * 5
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.string()), batch["times"], *(pa.array(x, pa.int64()) for x in (n_a, n_b, n_groups)), pa.array(digest, pa.string()), *lists], names=[c.split()[0] for c in SCHEMA.split(", ")])
+            n_a, n_b, n_groups, digest = zip(*rows) if rows else ((),) * 4
+            yield pa.RecordBatch.from_arrays([batch["key"], batch["times"], *(pa.array(x, pa.int64()) for x in (n_a, n_b, n_groups)), pa.array(digest, pa.string()), *lists], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
     return run
 
