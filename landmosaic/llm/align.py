@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import os
 from collections.abc import Iterator
 from functools import cache
 
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batched, met, small, written
-from .tokens import byte_signs
+from .tokens import ByteBpe, byte_signs
 
 #: A pair is one number: the first tokenizer's id times this, plus the second's (whose ids are smaller).
 SECOND = 2**15
@@ -27,14 +26,11 @@ class Aligner:
     """Tokens of space + text by a byte-level BPE file (A) and of text by a sentencepiece model (B), cut into groups where both end."""
 
     def __init__(self, a_path: str, b_path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a, self.b = Tokenizer.from_file(a_path), sentencepiece.SentencePieceProcessor(model_file=b_path)
-        self.a.encode_special_tokens = True
+        self.a, self.b = ByteBpe(a_path), sentencepiece.SentencePieceProcessor(model_file=b_path)
         byte = {sign: b for b, sign in byte_signs().items()}
-        names = {i: t for t, i in self.a.get_vocab(with_added_tokens=True).items()}
+        names = {i: t for t, i in self.a.whole.get_vocab(with_added_tokens=True).items()}
         self.a_bytes = [bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode() for t in (names.get(i, "") for i in range(max(names) + 1))]
         ids = range(self.b.get_piece_size())
         self.b_bytes = [bytes([int(self.b.id_to_piece(i)[3:-1], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode() for i in ids]
@@ -44,25 +40,29 @@ class Aligner:
         # how each id is written: A's inside and at the end of its part of a group, then B's
         self.written = [f"{i}{end}" for many, ends in ((len(self.a_bytes), ",|"), (len(self.b_bytes), ",;")) for end in ends for i in range(many)]
 
-    def encoded(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
+    def encoded(self, texts: list[str]) -> Iterator[tuple[np.ndarray, list[int]]]:
         """The ids of both tokenizers; special tokens' strings are plain text."""
         for part in _together(texts):
-            yield from zip((e.ids for e in self.a.encode_batch_fast([f" {t}" for t in part], add_special_tokens=False)), self.b.encode(part, num_threads=1))
+            yield from zip(map(self.a.ids, part), self.b.encode(part, num_threads=1))
 
-    def aligned(self, text: str, a: list[int], b: list[int]) -> tuple[int, int, int, str, np.ndarray]:
+    def aligned(self, text: str, a: np.ndarray, b: list[int]) -> tuple[int, int, int, str, np.ndarray]:
         """n_a, n_b, n_groups, the groups as text, the pairs; nothing if a tokenizer doesn't give back the text's bytes."""
         whole = f" {text}".encode()
-        if b"".join(map(self.a_bytes.__getitem__, a)) != whole or b"".join(map(self.b_bytes.__getitem__, b)) != whole:
+        if b"".join(map(self.a_bytes.__getitem__, a.tolist())) != whole or b"".join(map(self.b_bytes.__getitem__, b)) != whole:
             return 0, 0, 0, "", np.zeros(0, np.int32)
-        a, b = np.array(a), np.array(b)
+        b = np.array(b)
         a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
-        _, a_last, b_last = np.intersect1d(a_end, b_end, assume_unique=True, return_indices=True)
+        ends = np.zeros(len(whole) + 1, np.int8)
+        ends[a_end] = 1
+        ends[b_end] += 1
+        a_ends, b_ends = ends[a_end] == 2, ends[b_end] == 2
+        a_last, b_last = np.flatnonzero(a_ends), np.flatnonzero(b_ends)
         # the written order: a group's A ids come after the B ids of the groups before it, its B ids after its A ids
         a_code, b_code = a.copy(), b + 2 * len(self.a_bytes)
         a_code[a_last] += len(self.a_bytes)
         b_code[b_last] += len(self.b_bytes)
         line = np.empty(len(a) + len(b), np.int64)
-        a_group, b_group = np.searchsorted(a_last, np.arange(len(a))), np.searchsorted(b_last, np.arange(len(b)))
+        a_group, b_group = np.cumsum(a_ends) - a_ends, np.cumsum(b_ends) - b_ends
         line[np.arange(len(a)) + np.concatenate(([0], b_last + 1))[a_group]] = a_code
         line[np.arange(len(b)) + a_last[b_group] + 1] = b_code
         groups = "".join(map(self.written.__getitem__, line.tolist()))[:-1]

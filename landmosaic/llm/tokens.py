@@ -8,6 +8,7 @@ from array import array
 from collections.abc import Callable
 from functools import cache
 
+import numpy as np
 from tokenizers import Tokenizer
 
 #: Letters and digits of lower-cased Latin-1, and with them the split pattern of the word_bpe_49k tokenizer file (fixed by that file).
@@ -86,6 +87,34 @@ class WordBpe:
         return [self._ids(t) for t in texts]
 
 
+#: The split pattern of byte-level files, for Latin-1 texts (fixed by those files).
+_UPPER = "A-Z\xc0-\xd6\xd8-\xde"
+_SPACE = "\t-\r \x85\xa0"
+_BYTE_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_UPPER}{_LETTERS}]+| ?[{_DIGITS}]+| ?[^{_SPACE}{_UPPER}{_LETTERS}{_DIGITS}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+
+
+class ByteBpe:
+    """ids(text): what Tokenizer.encode(space + text) of a byte-level BPE file gives, special tokens' strings being plain text.
+
+    Merges never cross pieces of the split pattern, and pieces repeat, so those of Latin-1 texts are cached; other texts go through the
+    whole tokenizer.
+    """
+
+    def __init__(self, path: str, most: int = 150_000, longest: int = 64):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = True
+        merge, signs, self.longest = self.whole.model.tokenize, {c: s for c, s in byte_signs().items() if c < 128} | byte_characters(), longest
+        self.find = lambda piece: array("I", [t.id for t in merge(piece.translate(signs))]).tobytes()
+        self.pieces = Recent(self.find, most)
+
+    def ids(self, text: str) -> np.ndarray:
+        if not _LATIN.match(text):
+            return np.array(self.whole.encode(f" {text}", add_special_tokens=False).ids, np.int64)
+        found = (self.pieces[p] if len(p) <= self.longest else self.find(p) for p in _BYTE_PIECES.findall(f" {text}"))
+        return np.frombuffer(b"".join(found), np.uint32).astype(np.int64)
+
+
 @cache
 def word_bpe(path: str) -> WordBpe:
     """One per worker process, so that its cache lives on between tasks."""
