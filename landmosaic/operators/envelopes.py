@@ -7,68 +7,96 @@ import itertools
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.binning import env_zone, envelope_id, inner_edges, nonvegetated, right_closed, selection_class
+from ..functions.binning import MIN_AVAILABLE, env_zone, envelope_id, inner_edges, nonvegetated, right_closed, selection_class
+from .points import saved
 from .ranks import running
 
 #: A scheme: column to 'raw' or a number of quantile bins.
 SCHEME = {"evt_phys": "raw", "sclass": "raw", "evh": 2}
 
 
-def edges(used: DataFrame, scheme: dict = SCHEME) -> DataFrame:
-    """One row: the edges of every quantile column, fitted on the used records."""
-    return used.agg(*(inner_edges(c, n).alias(f"edges_{c}") for c, n in scheme.items() if n != "raw"))
+#: Envelopes are a region's own: its edges, counts, shares and classes.
+GROUP = ("region",)
+EXCLUDED = "Non-Vegetated (excluded)"
 
 
-def with_envelope(df: DataFrame, fitted: DataFrame, scheme: dict = SCHEME) -> DataFrame:
+def edges(used: DataFrame, scheme: dict = SCHEME, group: tuple[str, ...] = GROUP) -> DataFrame:
+    """A row for each group: the edges of every quantile column, fitted on its used records."""
+    return used.groupBy(*group).agg(F.count("*").alias("fitted_n"), *(inner_edges(c, n).alias(f"edges_{c}") for c, n in scheme.items() if n != "raw"))
+
+
+def with_envelope(df: DataFrame, fitted: DataFrame, scheme: dict = SCHEME, group: tuple[str, ...] = GROUP) -> DataFrame:
+    """df with envelope_id by its group's edges (a row for each region, broadcast); groups without edges drop out."""
     parts = {c: (F.coalesce(F.col(c).cast("string"), F.lit("nan")) if n == "raw" else right_closed(F.col(c), F.col(f"edges_{c}"))) for c, n in scheme.items()}
-    out = df.crossJoin(F.broadcast(fitted)).withColumn("envelope_id", envelope_id(parts))
-    return out.drop(*(c for c in fitted.columns))
+    out = df.join(F.broadcast(fitted), list(group)).withColumn("envelope_id", envelope_id(parts))
+    return out.drop(*(c for c in fitted.columns if c not in group))
 
 
 def with_nonveg(df: DataFrame) -> DataFrame:
     return df.withColumn("nonveg", nonvegetated(F.col("sclass"), F.col("evt_phys")))
 
 
-def selection(used: DataFrame, available: DataFrame) -> DataFrame:
-    """Envelope metrics: counts and shares of used and available records, their ratio (NULL if unavailable) and its class.
+def selection(used: DataFrame, available: DataFrame, group: tuple[str, ...] = GROUP) -> DataFrame:
+    """Envelope metrics of each group: counts and shares of its used and available records, their ratio (NULL if unavailable) and its class.
 
     available may be counted already: a column n_ is then the number of records that a row stands for.
     """
-    u = used.groupBy("envelope_id").agg(F.count("*").alias("sightings"))
-    a = available.groupBy("envelope_id").agg((F.sum("n_") if "n_" in available.columns else F.count("*")).alias("avail_n"))
-    both = u.join(a, "envelope_id", "full_outer").select("envelope_id", F.coalesce("sightings", F.lit(0)).alias("sightings"), F.coalesce("avail_n", F.lit(0)).alias("avail_n"))
-    totals = both.agg(F.sum("sightings").alias("nu_"), F.sum("avail_n").alias("na_"))
-    shares = both.crossJoin(F.broadcast(totals)).withColumn("used_pct", 100.0 * F.col("sightings") / F.col("nu_")).withColumn("avail_pct", 100.0 * F.col("avail_n") / F.col("na_"))
+    keys = [*group, "envelope_id"]
+    u = used.groupBy(*keys).agg(F.count("*").alias("sightings"))
+    a = available.groupBy(*keys).agg((F.sum("n_") if "n_" in available.columns else F.count("*")).alias("avail_n"))
+    both = u.join(a, keys, "full_outer").select(*keys, F.coalesce("sightings", F.lit(0)).alias("sightings"), F.coalesce("avail_n", F.lit(0)).alias("avail_n"))
+    totals = both.groupBy(*group).agg(F.sum("sightings").alias("nu_"), F.sum("avail_n").alias("na_"))
+    share = lambda c, n: F.try_divide(100.0 * F.col(c), F.col(n))
+    shares = both.join(F.broadcast(totals), list(group)).withColumn("used_pct", share("sightings", "nu_")).withColumn("avail_pct", share("avail_n", "na_"))
     ratio = shares.withColumn("selection_ratio", F.when(F.col("avail_n") > 0, F.col("used_pct") / F.col("avail_pct")))
     return ratio.withColumn("classification", selection_class(F.col("avail_n"), F.col("selection_ratio"))).drop("nu_", "na_")
 
 
-def counted(df: DataFrame, viable: int = 30) -> DataFrame:
-    """One row: number of envelopes, median and greatest count, singletons, viable ones."""
-    c = df.groupBy("envelope_id").agg(F.count("*").alias("n"))
-    return c.agg(F.count("*").alias("n_envelopes"), F.percentile("n", F.lit(0.5)).alias("median_n"), F.max("n").alias("max_n"), F.sum((F.col("n") == 1).cast("long")).alias("singletons"), F.sum((F.col("n") >= viable).cast("long")).alias("viable"))
+def counted(df: DataFrame, viable: int = 30, group: tuple[str, ...] = GROUP) -> DataFrame:
+    """A row for each group: number of envelopes, median and greatest count, singletons, viable ones."""
+    c = df.groupBy(*group, "envelope_id").agg(F.count("*").alias("n"))
+    return c.groupBy(*group).agg(F.count("*").alias("n_envelopes"), F.percentile("n", F.lit(0.5)).alias("median_n"), F.max("n").alias("max_n"), F.sum((F.col("n") == 1).cast("long")).alias("singletons"), F.sum((F.col("n") >= viable).cast("long")).alias("viable"))
 
 
-def rarest(df: DataFrame, share: float = 10.0) -> DataFrame:
-    """envelope_id, n, cum_pct of the rarest envelopes, up to this share of all records (ties by id).
+def rarest(df: DataFrame, share: float = 10.0, group: tuple[str, ...] = GROUP) -> DataFrame:
+    """group, envelope_id, n, cum_pct of each group's rarest envelopes, up to this share of its records (ties by id).
 
     Envelopes are few next to records, so the running sum goes over the aggregate only.
     """
-    c = running(df.groupBy("envelope_id").agg(F.count("*").alias("n")), ["n", "envelope_id"], (), ("n",))
-    total = df.agg(F.count("*").alias("t_"))
-    return c.crossJoin(F.broadcast(total)).withColumn("cum_pct", 100.0 * F.col("run_n") / F.col("t_")).where(F.col("cum_pct") <= share).select("envelope_id", "n", "cum_pct")
+    c = running(df.groupBy(*group, "envelope_id").agg(F.count("*").alias("n")), ["n", "envelope_id"], group, ("n",))
+    total = df.groupBy(*group).agg(F.count("*").alias("t_"))
+    return c.join(F.broadcast(total), list(group)).withColumn("cum_pct", 100.0 * F.col("run_n") / F.col("t_")).where(F.col("cum_pct") <= share).select(*group, "envelope_id", "n", "cum_pct")
 
 
-def with_zones(used: DataFrame, metrics: DataFrame) -> DataFrame:
-    """used with env_zone by its envelope's class. Without any availability, where selection can't be judged, the rarest envelopes
-    (up to a tenth of the records) are the avoided ones and all others proportional."""
-    judged = metrics.agg(F.sum("avail_n").alias("judged_"))
-    rare = rarest(used).select("envelope_id", F.lit(True).alias("rare_"))
-    joined = used.join(metrics.select("envelope_id", F.col("classification").alias("class_")), "envelope_id", "left").join(rare, "envelope_id", "left").crossJoin(F.broadcast(judged))
+def extremes(metrics: DataFrame, k: int = 5, least: int = MIN_AVAILABLE, group: tuple[str, ...] = GROUP) -> DataFrame:
+    """group, list, place, envelope_id and metrics of the k envelopes with most sightings, and of the k most selected and most avoided of those that can be judged (ties by id)."""
+    judged = (F.col("avail_n") >= least) & F.col("selection_ratio").isNotNull()
+    lists = {"most seen": (F.lit(True), F.desc("sightings")), "most selected": (judged, F.desc("selection_ratio")), "most avoided": (judged, F.asc("selection_ratio"))}
+    out = None
+    for name, (which, order) in lists.items():
+        place = F.row_number().over(Window.partitionBy(*group).orderBy(order, "envelope_id"))
+        part = metrics.where(which).withColumn("place", place).where(F.col("place") <= k).withColumn("list", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def with_zones(used: DataFrame, metrics: DataFrame, group: tuple[str, ...] = GROUP) -> DataFrame:
+    """used with env_zone by its envelope's class in its group. In a group without any availability, where selection can't be judged,
+    the rarest envelopes (up to a tenth of the records) are the avoided ones and all others proportional."""
+    keys = [*group, "envelope_id"]
+    judged = metrics.groupBy(*group).agg(F.sum("avail_n").alias("judged_"))
+    rare = rarest(used, group=group).select(*keys, F.lit(True).alias("rare_"))
+    joined = used.join(metrics.select(*keys, F.col("classification").alias("class_")), keys, "left").join(rare, keys, "left").join(F.broadcast(judged), list(group), "left")
     plain = F.when(F.col("rare_"), "Avoided Envelope").otherwise("Proportional Envelope")
     return joined.withColumn("env_zone", F.when(F.coalesce("judged_", F.lit(0)) > 0, env_zone(F.col("class_"))).otherwise(plain)).drop("class_", "rare_", "judged_")
 
 
+def with_excluded(zoned: DataFrame, records: DataFrame) -> DataFrame:
+    """The habitat records' zones merged back to all records: non-vegetated ones have no envelope and their own label."""
+    bare = records.where("nonveg").withColumn("envelope_id", F.lit(None).cast("string")).withColumn("env_zone", F.lit(EXCLUDED))
+    return zoned.unionByName(bare, allowMissingColumns=True)
+
+
 def zone_lift(df: DataFrame) -> DataFrame:
     """For each (region, env_zone): records, their shares of hot and cold spatial zones, those of the whole region, and the ratios (NULL over 0)."""
     parts = {"hot": "Hot", "cold": "Cold"}
@@ -87,11 +115,11 @@ def breakdown(df: DataFrame) -> DataFrame:
     return df.where("nonveg").groupBy(F.coalesce(labels[F.col("sclass")], F.concat("evt_phys", F.lit(" (via EVT_PHYS)"))).alias("label")).agg(F.count("*").alias("n"))
 
 
-def variants(df: DataFrame, columns: dict[str, tuple]) -> DataFrame:
-    """Distinct label tuples of all variants with their counts: columns maps a column to its variants ('raw' or bin numbers)."""
-    fitted = df.agg(*(inner_edges(c, v).alias(f"e_{c}_{v}") for c, vs in columns.items() for v in vs if v != "raw"), F.count("*").alias("all_"))
+def variants(df: DataFrame, columns: dict[str, tuple], group: tuple[str, ...] = GROUP) -> DataFrame:
+    """Distinct label tuples of all variants of a group with their counts: columns maps a column to its variants ('raw' or bin numbers)."""
+    fitted = df.groupBy(*group).agg(*(inner_edges(c, v).alias(f"e_{c}_{v}") for c, vs in columns.items() for v in vs if v != "raw"), F.count("*").alias("all_"))
     labels = [(F.concat(F.lit(f"{c}:"), F.coalesce(F.col(c).cast("string"), F.lit("nan"))) if v == "raw" else F.concat(F.lit(f"{c}:"), right_closed(F.col(c), F.col(f"e_{c}_{v}"), "NA"))).alias(f"{c}_{v}") for c, vs in columns.items() for v in vs]
-    wide = df.crossJoin(F.broadcast(fitted)).select(*labels)
+    wide = df.join(F.broadcast(fitted), list(group)).select(*group, *labels)
     return wide.groupBy(*wide.columns).agg(F.count("*").alias("n_"))
 
 
@@ -101,24 +129,24 @@ def schemes(columns: dict[str, tuple]) -> list[tuple[str, ...]]:
     return [tuple(x for x in pick if x) for pick in itertools.product(*options) if any(pick)]
 
 
-def sweep(spark: SparkSession, df: DataFrame, columns: dict[str, tuple], viable: int = 30, batch: int = 256) -> DataFrame:
-    """bin_tuning rows of all schemes. Records are first reduced to distinct label tuples; then each batch of schemes
-    explodes only those, and groups by (scheme, key)."""
-    tuples = variants(df, columns)
+def sweep(spark: SparkSession, df: DataFrame, columns: dict[str, tuple], viable: int = 30, batch: int = 256, group: tuple[str, ...] = GROUP) -> DataFrame:
+    """bin_tuning rows of all schemes by group. Records are first reduced to distinct label tuples, written once; then each batch of schemes
+    explodes only those, and groups by (group, scheme, key)."""
+    tuples = saved(variants(df, columns, group))
     names = schemes(columns)
     out = None
     for i in range(0, len(names), batch):
         keys = F.array(*(F.struct(F.lit("+".join(s)).alias("combo"), F.lit(len(s)).alias("n_vars"), F.concat_ws("|", *s).alias("key")) for s in names[i : i + batch]))
-        rows = tuples.select("n_", F.explode(keys).alias("k")).groupBy("k.combo", "k.n_vars", "k.key").agg(F.sum("n_").alias("c"))
+        rows = tuples.select(*group, "n_", F.explode(keys).alias("k")).groupBy(*group, "k.combo", "k.n_vars", "k.key").agg(F.sum("n_").alias("c"))
         out = rows if out is None else out.unionByName(rows)
-    return scheme_metrics(out, viable)
+    return scheme_metrics(out, viable, group)
 
 
-def scheme_metrics(counts: DataFrame, viable: int = 30) -> DataFrame:
-    """counts (combo, n_vars, c) to number, viable, coverage, evenness, singleton share, median and score of each scheme."""
-    w = Window.partitionBy("combo")
+def scheme_metrics(counts: DataFrame, viable: int = 30, group: tuple[str, ...] = GROUP) -> DataFrame:
+    """counts (group, combo, n_vars, c) to number, viable, coverage, evenness, singleton share, median and score of each scheme."""
+    w = Window.partitionBy(*group, "combo")
     p = F.col("c") / F.sum("c").over(w)
-    g = counts.withColumn("p", p).groupBy("combo", "n_vars").agg(
+    g = counts.withColumn("p", p).groupBy(*group, "combo", "n_vars").agg(
         F.count("*").alias("n_envelopes"),
         F.sum((F.col("c") >= viable).cast("long")).alias("n_viable"),
         (100.0 * F.sum(F.when(F.col("c") >= viable, F.col("c")).otherwise(0)) / F.sum("c")).alias("coverage_pct"),

@@ -64,10 +64,14 @@ def classified(df: DataFrame, crosswalk: DataFrame, default: str = "Unmapped") -
     return joined.withColumn("evt_phys", F.coalesce("evt_phys", F.lit(default))).drop("value_")
 
 
-def nearest_year(wanted: DataFrame, available: DataFrame) -> DataFrame:
-    """wanted (year, feature) with layer_year: the nearest available year, the earlier one in a tie; only keys are joined."""
-    pairs = wanted.select("year", "feature").distinct().join(F.broadcast(available.select("feature", F.col("year").alias("y_"))), "feature")
-    return pairs.groupBy("year", "feature").agg(F.min_by("y_", F.struct(F.abs(F.col("y_") - F.col("year")), "y_")).alias("layer_year"))
+def nearest_year(wanted: DataFrame, available: DataFrame, group: tuple[str, ...] = ("region",)) -> DataFrame:
+    """wanted (group, year, feature) with layer_year: the nearest year that the group has of the feature, the earlier one in a tie.
+
+    Only keys are joined; what a group has no year of drops out.
+    """
+    keys = [*group, "feature"]
+    pairs = wanted.select(*keys, "year").distinct().join(available.select(*keys, F.col("year").alias("y_")).distinct(), keys)
+    return pairs.groupBy(*keys, "year").agg(F.min_by("y_", F.struct(F.abs(F.col("y_") - F.col("year")), "y_")).alias("layer_year"))
 
 
 def valid_year(chosen: DataFrame, health: DataFrame) -> DataFrame:

@@ -25,14 +25,26 @@ LABELLED = f"""lab AS (SELECT g.*, coalesce(c.evt_phys, 'Unmapped') AS phys FROM
 USED = f"{PIX}, {SIGHT}, {GOOD}, {LABELLED}, used AS (SELECT s.region, s.sid, s.n_visits, s.lon, s.lat, a.* FROM coll s JOIN avl a ON a.row_id = CAST(floor((48e0 - lat) / 0.01e0) AS INT) AND a.col_id = CAST(floor((lon + 74e0) / 0.01e0) AS INT))"
 
 
-def env_sql(background: str = "avl") -> str:
-    return f"""{USED}, edge AS (SELECT quantile_cont(evh, 0.5) AS mid FROM used WHERE NOT nonveg),
-ue AS (SELECT u.*, 'EVT_PHYS:' || phys || '|SCLASS:' || sclass || '|EVH:' || CASE WHEN evh > mid THEN 'Q2' ELSE 'Q1' END AS envelope_id FROM used u, edge WHERE NOT nonveg),
-ae AS (SELECT a.*, 'EVT_PHYS:' || phys || '|SCLASS:' || sclass || '|EVH:' || CASE WHEN evh > mid THEN 'Q2' ELSE 'Q1' END AS envelope_id FROM {background} a, edge WHERE NOT nonveg),
-uc AS (SELECT envelope_id, count(*) AS sightings FROM ue GROUP BY 1), ac AS (SELECT envelope_id, count(*) AS avail_n FROM ae GROUP BY 1),
-sel AS (SELECT *, CASE WHEN avail_n > 0 THEN used_pct / avail_pct END AS selection_ratio FROM (SELECT coalesce(uc.envelope_id, ac.envelope_id) AS envelope_id, coalesce(sightings, 0) AS sightings, coalesce(avail_n, 0) AS avail_n,
-  100e0 * coalesce(sightings, 0) / (SELECT sum(sightings) FROM uc) AS used_pct, 100e0 * coalesce(avail_n, 0) / (SELECT sum(avail_n) FROM ac) AS avail_pct FROM uc FULL JOIN ac ON uc.envelope_id = ac.envelope_id)),
-cls AS (SELECT *, CASE WHEN avail_n < 15 THEN 'Landscape-Rare (availability too low to judge)' WHEN selection_ratio >= 2 THEN 'Selected' WHEN selection_ratio <= 0.5 THEN 'Avoided' ELSE 'Proportional' END AS classification FROM sel)"""
+def _u(seed: int) -> str:
+    return f"((('0x' || substr(md5('{seed}:' || region || ':' || o_orderkey), 1, 13))::BIGINT + 1) / 4503599627370498e0)"
+
+
+RANDOM = f"bgp AS (SELECT region, o_orderkey AS point_id, min_lon + {_u(1)} * (max_lon - min_lon) AS lon, min_lat + {_u(2)} * (max_lat - min_lat) AS lat FROM orders CROSS JOIN fx_regions)"
+RANDOM_AVL = f"{RANDOM}, bga AS (SELECT b.region, b.point_id, a.* FROM bgp b JOIN avl a ON a.row_id = CAST(floor((48e0 - lat) / 0.01e0) AS INT) AND a.col_id = CAST(floor((lon + 74e0) / 0.01e0) AS INT))"
+PIXEL_AVL = "bga AS (SELECT r.region, a.* FROM avl a JOIN fx_regions r ON round(-74 + (a.col_id + 0.5) * 0.01e0, 6) BETWEEN min_lon AND max_lon AND round(48 - (a.row_id + 0.5) * 0.01e0, 6) BETWEEN min_lat AND max_lat)"
+
+
+def env_sql(background: str = RANDOM_AVL) -> str:
+    name = "'EVT_PHYS:' || phys || '|SCLASS:' || sclass || '|EVH:' || CASE WHEN evh > mid THEN 'Q2' ELSE 'Q1' END AS envelope_id"
+    return f"""{USED}, {background}, edge AS (SELECT region, quantile_cont(evh, 0.5) AS mid FROM used WHERE NOT nonveg GROUP BY region),
+ue AS (SELECT u.*, {name} FROM used u JOIN edge USING (region) WHERE NOT nonveg),
+ae AS (SELECT a.*, {name} FROM bga a JOIN edge USING (region) WHERE NOT nonveg),
+uc AS (SELECT region, envelope_id, count(*) AS sightings FROM ue GROUP BY ALL), ac AS (SELECT region, envelope_id, count(*) AS avail_n FROM ae GROUP BY ALL),
+bth AS (SELECT region, envelope_id, coalesce(sightings, 0) AS sightings, coalesce(avail_n, 0) AS avail_n FROM uc FULL JOIN ac USING (region, envelope_id)),
+sel AS (SELECT *, CASE WHEN avail_n > 0 THEN used_pct / avail_pct END AS selection_ratio FROM (SELECT *, 100e0 * sightings / sum(sightings) OVER (PARTITION BY region) AS used_pct, 100e0 * avail_n / sum(avail_n) OVER (PARTITION BY region) AS avail_pct FROM bth)),
+cls AS (SELECT *, CASE WHEN avail_n < 15 THEN 'Landscape-Rare (availability too low to judge)' WHEN selection_ratio >= 2 THEN 'Selected' WHEN selection_ratio <= 0.5 THEN 'Avoided' ELSE 'Proportional' END AS classification FROM sel),
+cumul AS (SELECT *, 100e0 * sum(sightings) OVER (PARTITION BY region ORDER BY sightings, envelope_id ROWS UNBOUNDED PRECEDING) / sum(sightings) OVER (PARTITION BY region) AS cum FROM uc),
+rare AS (SELECT * FROM cumul WHERE cum <= 10)"""
 
 
 ENV = env_sql()
@@ -50,10 +62,11 @@ def available(spark, sf):
     return E.with_nonveg(R.classified(good_pixels(spark, sf), fx(spark, sf, "fx_crosswalk")))
 
 
-def available_tuples(spark, sf):
-    """Distinct values of the scheme's columns among the good pixels with their number (n_): labels are made for these, not for every pixel."""
-    tuples = good_pixels(spark, sf).groupBy("evt", "sclass", "evh").agg(F.count("*").alias("n_"))
-    return E.with_nonveg(R.classified(tuples, fx(spark, sf, "fx_crosswalk")))
+def available_by_region(spark, sf):
+    """Distinct values of the scheme's columns among the good pixels whose centre a region's box holds, with their number (n_): labels are made for these, not for every pixel."""
+    lon, lat = F.round(-74 + (F.col("col_id") + 0.5) * 0.01, 6), F.round(48 - (F.col("row_id") + 0.5) * 0.01, 6)
+    inside = P.clipped(good_pixels(spark, sf).select("evt", "sclass", "evh", lon.alias("lon"), lat.alias("lat")), fx(spark, sf, "fx_regions"))
+    return E.with_nonveg(R.classified(inside.groupBy("region", "evt", "sclass", "evh").agg(F.count("*").alias("n_")), fx(spark, sf, "fx_crosswalk")))
 
 
 def used(spark, sf):
@@ -61,11 +74,21 @@ def used(spark, sf):
     return E.with_nonveg(R.classified(R.sampled(at, pixels(spark, sf)), fx(spark, sf, "fx_crosswalk")))
 
 
+def random_points(spark, sf):
+    """One background point in every region for each order, so their number grows with the table."""
+    ids = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("point_id"))
+    return S.background_points(ids, "point_id", fx(spark, sf, "fx_regions"))
+
+
+def random_available(spark, sf):
+    return E.with_nonveg(R.classified(R.sampled(R.indexed(random_points(spark, sf)), pixels(spark, sf)), fx(spark, sf, "fx_crosswalk")))
+
+
 def enveloped(spark, sf, background=None):
-    """Envelope ids, by the edges of the used records, of these and of the background (every pixel, or what is given). The used records are written once."""
+    """Envelope ids, by the edges of the region's used records, of these and of the region's background (random points, or what is given). The used records are written once."""
     u = P.saved(used(spark, sf).where("not nonveg"))
     fitted = E.edges(u)
-    background = (available_tuples(spark, sf) if background is None else background).where("not nonveg")
+    background = (random_available(spark, sf) if background is None else background).where("not nonveg")
     return E.with_envelope(u, fitted), E.with_envelope(background, fitted)
 
 
@@ -84,84 +107,82 @@ def sample_tiles(spark, sf):
     return inside.join(got, "point").select("region", "sid", F.col("evt").cast("double").alias("evt"), "ch")
 
 
-@query(f"{ENV} SELECT envelope_id, sightings, avail_n, round(used_pct, 9) AS used_pct, round(avail_pct, 9) AS avail_pct, round(selection_ratio, 9) AS selection_ratio, classification FROM cls")
+METRICS = "region, envelope_id, sightings, avail_n, round(used_pct, 9) AS used_pct, round(avail_pct, 9) AS avail_pct, round(selection_ratio, 9) AS selection_ratio, classification"
+
+
+def shown_metrics(s, *more):
+    return s.select("region", "envelope_id", "sightings", "avail_n", *(F.round(c, 9).alias(c) for c in ("used_pct", "avail_pct", "selection_ratio")), "classification", *more)
+
+
+@query(f"{ENV} SELECT {METRICS} FROM cls")
 def selection_ratio(spark, sf):
-    """D5, D6, C8, C20, B14, B15, B19, B22, with availability on every pixel."""
-    return ratios(*enveloped(spark, sf))
+    """Each region's sightings against its own random background points, by its own edges."""
+    return shown_metrics(E.selection(*enveloped(spark, sf)))
 
 
-def ratios(u, a):
-    s = E.selection(u, a)
-    return s.select("envelope_id", "sightings", "avail_n", *(F.round(c, 9).alias(c) for c in ("used_pct", "avail_pct", "selection_ratio")), "classification")
+@query(f"{env_sql(PIXEL_AVL)} SELECT {METRICS} FROM cls")
+def pixel_selection(spark, sf):
+    """D6 with availability on every pixel of the region's box instead of random points."""
+    return shown_metrics(E.selection(*enveloped(spark, sf, available_by_region(spark, sf))))
 
 
-@query(f"{ENV} SELECT envelope_id, classification, round(selection_ratio, 9) AS selection_ratio FROM cls WHERE avail_n >= 15 AND selection_ratio IS NOT NULL ORDER BY selection_ratio DESC, envelope_id LIMIT 10")
-def most_selected(spark, sf):
-    """the limit is the feature."""
-    return most(*enveloped(spark, sf))
+@query(f"{ENV} SELECT region, envelope_id, avail_n FROM cls WHERE avail_n > 0")
+def background_selection(spark, sf):
+    """Availability of each envelope among the region's random background points."""
+    return enveloped(spark, sf)[1].groupBy("region", "envelope_id").agg(F.count("*").alias("avail_n"))
 
 
-def most(u, a):
-    s = E.selection(u, a).where("avail_n >= 15 and selection_ratio is not null")
-    return s.orderBy(F.desc("selection_ratio"), "envelope_id").limit(10).select("envelope_id", "classification", F.round("selection_ratio", 9).alias("selection_ratio"))
+@query(f"""{ENV}, top AS (SELECT *, 'most seen' AS list, row_number() OVER (PARTITION BY region ORDER BY sightings DESC, envelope_id) AS place FROM cls
+UNION ALL SELECT *, 'most selected', row_number() OVER (PARTITION BY region ORDER BY selection_ratio DESC, envelope_id) FROM cls WHERE avail_n >= 15
+UNION ALL SELECT *, 'most avoided', row_number() OVER (PARTITION BY region ORDER BY selection_ratio, envelope_id) FROM cls WHERE avail_n >= 15) SELECT {METRICS}, list, CAST(place AS INT) AS place FROM top WHERE place <= 5""")
+def most_selected(spark, sf):
+    """the envelopes with most sightings, the most selected and the most avoided ones of each region; the limit is the feature."""
+    return shown_metrics(E.extremes(E.selection(*enveloped(spark, sf))), "list", "place")
 
 
 ZONE = "coalesce(CASE WHEN classification LIKE 'Landscape-Rare%' THEN 'Landscape-Rare Envelope' ELSE classification || ' Envelope' END, 'Proportional Envelope')"
 
 
-@query(f"{ENV} SELECT {ZONE} AS env_zone, count(*) AS records FROM ue LEFT JOIN cls USING (envelope_id) GROUP BY 1")
+@query(f"{ENV} SELECT region, {ZONE} AS env_zone, count(*) AS records FROM ue LEFT JOIN cls USING (region, envelope_id) GROUP BY 1, 2 UNION ALL SELECT region, 'Non-Vegetated (excluded)', count(*) FROM used WHERE nonveg GROUP BY 1")
 def class_lookup(spark, sf):
-    """Each record's envelope class, with a default."""
-    return classes(*enveloped(spark, sf))
+    """Each record's envelope class in its region, with the default of unknown envelopes and that of non-vegetated records."""
+    u, a = enveloped(spark, sf)
+    return zone_counts(E.with_excluded(E.with_zones(u, E.selection(u, a)), used(spark, sf)))
 
 
-def classes(u, a):
-    return E.with_zones(u, E.selection(u, a)).groupBy("env_zone").agg(F.count("*").alias("records"))
+def zone_counts(zoned):
+    return zoned.groupBy("region", "env_zone").agg(F.count("*").alias("records"))
 
 
-@query(f"""{ENV}, rare AS (SELECT envelope_id FROM (SELECT *, 100e0 * sum(sightings) OVER (ORDER BY sightings, envelope_id ROWS UNBOUNDED PRECEDING) / (SELECT sum(sightings) FROM uc) AS cum FROM uc) WHERE cum <= 10)
-SELECT CASE WHEN envelope_id IN (SELECT envelope_id FROM rare) THEN 'Avoided Envelope' ELSE 'Proportional Envelope' END AS env_zone, count(*) AS records FROM ue GROUP BY 1""")
+@query(f"{ENV} SELECT region, CASE WHEN envelope_id IN (SELECT envelope_id FROM rare WHERE rare.region = ue.region) THEN 'Avoided Envelope' ELSE 'Proportional Envelope' END AS env_zone, count(*) AS records FROM ue GROUP BY 1, 2")
 def zones_without_background(spark, sf):
-    """Where no background can be had, the rarest envelopes count as avoided."""
+    """Where no background can be had, the region's rarest envelopes count as avoided."""
     u, a = enveloped(spark, sf)
-    return classes(u, a.where("false"))
+    return zone_counts(E.with_zones(u, E.selection(u, a.where("false"))))
 
 
-@query(f"{ENV} SELECT count(*) AS n_envelopes, median(sightings) AS median_n, max(sightings) AS max_n, CAST(count(*) FILTER (sightings = 1) AS BIGINT) AS singletons, CAST(count(*) FILTER (sightings >= 30) AS BIGINT) AS viable FROM uc")
+@query(f"{ENV} SELECT region, count(*) AS n_envelopes, median(sightings) AS median_n, max(sightings) AS max_n, CAST(count(*) FILTER (sightings = 1) AS BIGINT) AS singletons, CAST(count(*) FILTER (sightings >= 30) AS BIGINT) AS viable FROM uc GROUP BY region")
 def envelope_counts(spark, sf):
     """D2."""
     return E.counted(enveloped(spark, sf)[0])
 
 
-@query(f"{ENV} SELECT envelope_id, sightings AS n, round(cum, 9) AS cum_pct FROM (SELECT *, 100e0 * sum(sightings) OVER (ORDER BY sightings, envelope_id ROWS UNBOUNDED PRECEDING) / (SELECT sum(sightings) FROM uc) AS cum FROM uc) WHERE cum <= 10")
+@query(f"{ENV} SELECT region, envelope_id, sightings AS n, round(cum, 9) AS cum_pct FROM rare")
 def rare_envelopes(spark, sf):
     """E2."""
-    return E.rarest(enveloped(spark, sf)[0]).select("envelope_id", "n", F.round("cum_pct", 9).alias("cum_pct"))
+    return E.rarest(enveloped(spark, sf)[0]).select("region", "envelope_id", "n", F.round("cum_pct", 9).alias("cum_pct"))
 
 
-@query(f"""{ENV}, rare AS (SELECT envelope_id FROM (SELECT *, 100e0 * sum(sightings) OVER (ORDER BY sightings, envelope_id ROWS UNBOUNDED PRECEDING) / (SELECT sum(sightings) FROM uc) AS cum FROM uc) WHERE cum <= 10)
-SELECT region, count(*) AS n, CAST(sum(n_visits) AS BIGINT) AS visits FROM ue WHERE envelope_id IN (SELECT envelope_id FROM rare) GROUP BY region""")
+@query(f"{ENV} SELECT region, count(*) AS n, CAST(sum(n_visits) AS BIGINT) AS visits FROM ue SEMI JOIN rare USING (region, envelope_id) GROUP BY region")
 def rare_records(spark, sf):
     """C11."""
     u, _ = enveloped(spark, sf)
-    return u.join(E.rarest(u).select("envelope_id"), "envelope_id", "left_semi").groupBy("region").agg(F.count("*").alias("n"), F.sum("n_visits").alias("visits"))
-
-
-@query(f"{ENV} SELECT classification, round(avg(CASE WHEN n_visits > 2 THEN 1e0 ELSE 0e0 END), 9) AS hot_share, round(count(*) / CAST((SELECT count(*) FROM ue) AS DOUBLE), 9) AS share FROM ue LEFT JOIN cls USING (envelope_id) GROUP BY 1")
-def zone_overlap(spark, sf):
-    """Share of records with more than two visits in each class, and the classes' shares."""
-    return overlap(*enveloped(spark, sf))
-
-
-def overlap(u, a):
-    joined = u.join(E.selection(u, a).select("envelope_id", "classification"), "envelope_id", "left")
-    g = joined.groupBy("classification").agg(F.avg((F.col("n_visits") > 2).cast("double")).alias("hot_share"), F.count("*").alias("n"))
-    return g.select("classification", F.round("hot_share", 9).alias("hot_share"), F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 9).alias("share"))
+    return u.join(E.rarest(u).select("region", "envelope_id"), ["region", "envelope_id"], "left_semi").groupBy("region").agg(F.count("*").alias("n"), F.sum("n_visits").alias("visits"))
 
 
 SPATIAL = f"""{ENV}, pts AS (SELECT u.region, u.sid, u.envelope_id, u.phys, {X} AS x, {Y} AS y FROM ue u), {kde_sql()},
 zn AS (SELECT region, sid, {ZONES} AS zone FROM (SELECT region, sid, round(density * 1e12, 3) AS density FROM dens)),
-h AS (SELECT p.region, phys, zone, {ZONE} AS env_zone FROM pts p JOIN zn USING (region, sid) LEFT JOIN cls USING (envelope_id))"""
+h AS (SELECT p.region, phys, zone, {ZONE} AS env_zone FROM pts p JOIN zn USING (region, sid) LEFT JOIN cls USING (region, envelope_id))"""
 
 
 def spatially_zoned(spark, sf):
@@ -187,24 +208,6 @@ def hotspot_classes(spark, sf):
     return g.join(F.broadcast(total), "region").select("region", "evt_phys", "n", F.round(100.0 * F.col("n") / F.col("all_"), 9).alias("pct"))
 
 
-def _u(seed: int) -> str:
-    return f"((('0x' || substr(md5('{seed}:' || region || ':' || o_orderkey), 1, 13))::BIGINT + 1) / 4503599627370498e0)"
-
-
-RANDOM = f"bgp AS (SELECT region, o_orderkey AS point_id, min_lon + {_u(1)} * (max_lon - min_lon) AS lon, min_lat + {_u(2)} * (max_lat - min_lat) AS lat FROM orders CROSS JOIN fx_regions)"
-RANDOM_AVL = f"{RANDOM}, bga AS (SELECT b.region, b.point_id, a.* FROM bgp b JOIN avl a ON a.row_id = CAST(floor((48e0 - lat) / 0.01e0) AS INT) AND a.col_id = CAST(floor((lon + 74e0) / 0.01e0) AS INT))"
-
-
-def random_points(spark, sf):
-    """One background point in every region for each order, so their number grows with the table."""
-    ids = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("point_id"))
-    return S.background_points(ids, "point_id", fx(spark, sf, "fx_regions"))
-
-
-def random_available(spark, sf):
-    return E.with_nonveg(R.classified(R.sampled(R.indexed(random_points(spark, sf)), pixels(spark, sf)), fx(spark, sf, "fx_crosswalk")))
-
-
 @query(f"WITH {SIGHT.split(', clip AS')[0]}, {RANDOM} SELECT region, point_id, round(lon, 9) AS lon, round(lat, 9) AS lat FROM bgp")
 def background_points(spark, sf):
     """F1."""
@@ -219,12 +222,6 @@ def background_rate(spark, sf):
     return both.select("region", "n", F.round(100 * F.col("a"), 9).alias("background_pct"), F.round(100 * F.col("u"), 9).alias("used_pct"), (F.col("u") > 1.5 * F.col("a")).alias("enriched"))
 
 
-@query(env_sql("bga").replace(", edge AS (", f", {RANDOM_AVL}, edge AS (", 1) + " SELECT envelope_id, sightings, avail_n, round(used_pct, 9) AS used_pct, round(avail_pct, 9) AS avail_pct, round(selection_ratio, 9) AS selection_ratio, classification FROM cls")
-def background_selection(spark, sf):
-    """Selection with availability from random background points."""
-    return ratios(*enveloped(spark, sf, random_available(spark, sf)))
-
-
 @query(f"{USED} SELECT CASE sclass WHEN 111 THEN 'Water' WHEN 112 THEN 'Snow' WHEN 120 THEN 'Developed' WHEN 132 THEN 'Barren' WHEN 180 THEN 'Agriculture' ELSE phys || ' (via EVT_PHYS)' END AS label, count(*) AS n FROM used WHERE nonveg GROUP BY 1")
 def nonveg_breakdown(spark, sf):
     """D3, B9."""
@@ -254,13 +251,13 @@ def layers(spark, sf):
     return fx(spark, sf, "fx_layers")
 
 
-@query(f"""{LAYERS}, y AS (SELECT DISTINCT CAST(2016 + event_id % 9 AS INT) AS year FROM events), p AS (SELECT DISTINCT y.year, feature FROM y CROSS JOIN lay)
-SELECT p.year, p.feature, arg_min(lay.year, abs(lay.year - p.year) * 10000 + lay.year) AS layer_year FROM p JOIN lay USING (feature) GROUP BY 1, 2""")
+@query(f"""{LAYERS}, y AS (SELECT DISTINCT CAST(2016 + event_id % 9 AS INT) AS year FROM events), p AS (SELECT DISTINCT region, y.year, feature FROM y CROSS JOIN lay)
+SELECT p.region, p.year, p.feature, arg_min(lay.year, abs(lay.year - p.year) * 10000 + lay.year) AS layer_year FROM p JOIN lay USING (region, feature) GROUP BY 1, 2, 3""")
 def nearest_layer_year(spark, sf):
-    """Nearest year, ties to the earlier."""
+    """For each region and feature the nearest year that the region has, ties to the earlier."""
     years = spark.read.parquet(f"{sf}/events.parquet").select((2016 + F.col("event_id") % 9).cast("int").alias("year")).distinct()
-    have = layers(spark, sf).select("year", "feature").distinct()
-    return R.nearest_year(years.crossJoin(F.broadcast(have.select("feature").distinct())), have)
+    have = layers(spark, sf)
+    return R.nearest_year(years.crossJoin(F.broadcast(have.select("region", "feature").distinct())), have).select("region", "year", "feature", "layer_year")
 
 
 LONG = f"{PIX}, long AS (SELECT 'evt' AS feature, 2022 + col_id % 3 AS year, CASE WHEN col_id % 3 = 1 THEN -9999 ELSE evt END AS value FROM fx_pixels UNION ALL SELECT 'fdist', 2022 + col_id % 3, CASE WHEN col_id % 3 = 2 THEN -32768 ELSE fdist END FROM fx_pixels), ok AS (SELECT feature, year, {MASK.format('value')} AS v FROM long)"
@@ -284,7 +281,7 @@ def valid_layer_year(spark, sf):
     """An invalid choice falls back to the latest valid year."""
     h = R.health(layered(spark, sf), ("feature", "year")).select("feature", "year", (~F.col("empty")).alias("valid"))
     wanted = spark.createDataFrame([(2022,), (2023,), (2024,)], "year int").crossJoin(h.select("feature").distinct())
-    return R.valid_year(R.nearest_year(wanted, h.select("feature", "year")), h).select("year", "feature", "layer_year")
+    return R.valid_year(R.nearest_year(wanted, h.select("feature", "year"), group=()), h).select("year", "feature", "layer_year")
 
 
 @query(f"{LONG} SELECT feature, CAST(max(year) AS INT) AS year FROM (SELECT feature, year FROM ok GROUP BY 1, 2 HAVING count(v) / CAST(count(*) AS DOUBLE) >= 0.05) GROUP BY feature")
@@ -327,17 +324,17 @@ SWEEP = {"evt_phys": ("raw",), "sclass": ("raw",), "evh": (2, 4), "ch": (3,)}
 
 
 def _sweep_sql() -> str:
-    e = lambda c, n: f"(SELECT list_sort(list_distinct(quantile_cont({c}, [{', '.join(repr(i / n) for i in range(1, n))}]))) FROM hab)"
+    e = lambda c, n: f"(SELECT list_sort(list_distinct(quantile_cont({c}, [{', '.join(repr(i / n) for i in range(1, n))}]))) FROM hab b WHERE b.region = hab.region)"
     lab = lambda c, n: f"'{c}:Q' || (len(list_filter({e(c, n)}, lambda x: {c} > x)) + 1)"
-    cols = f"'evt_phys:' || phys AS evt_phys_raw, 'sclass:' || sclass AS sclass_raw, {lab('evh', 2)} AS evh_2, {lab('evh', 4)} AS evh_4, {lab('ch', 3)} AS ch_3"
+    cols = f"region, 'evt_phys:' || phys AS evt_phys_raw, 'sclass:' || sclass AS sclass_raw, {lab('evh', 2)} AS evh_2, {lab('evh', 4)} AS evh_4, {lab('ch', 3)} AS ch_3"
     parts = []
     for s in E.schemes(SWEEP):
         keys = " || '|' || ".join(s)
-        parts.append(f"SELECT '{'+'.join(s)}' AS combo, {len(s)} AS n_vars, {keys} AS key, count(*) AS c FROM lb GROUP BY 3")
+        parts.append(f"SELECT region, '{'+'.join(s)}' AS combo, {len(s)} AS n_vars, {keys} AS key, count(*) AS c FROM lb GROUP BY 1, 4")
     return f"""{USED}, hab AS (SELECT * FROM used WHERE NOT nonveg), lb AS (SELECT {cols} FROM hab), k AS ({' UNION ALL '.join(parts)}),
-    g AS (SELECT combo, n_vars, c, c / CAST(sum(c) OVER (PARTITION BY combo) AS DOUBLE) AS p FROM k),
-    m AS (SELECT combo, n_vars, count(*) AS n_envelopes, CAST(count(*) FILTER (c >= 30) AS BIGINT) AS n_viable, 100e0 * coalesce(sum(c) FILTER (c >= 30), 0) / sum(c) AS coverage_pct, CASE WHEN count(*) > 1 THEN sum(-p * ln(p)) / ln(count(*)) ELSE 0 END AS evenness, 100e0 * count(*) FILTER (c = 1) / count(*) AS singleton_pct, median(c) AS median_per_env FROM g GROUP BY 1, 2)
-    SELECT combo, CAST(n_vars AS INT) AS n_vars, n_envelopes, n_viable, round(coverage_pct, 6) AS coverage_pct, round(evenness, 6) AS evenness, round(singleton_pct, 6) AS singleton_pct, median_per_env, round(coverage_pct / 100 * evenness * ln(1 + n_viable), 6) AS score FROM m"""
+    g AS (SELECT region, combo, n_vars, c, c / CAST(sum(c) OVER (PARTITION BY region, combo) AS DOUBLE) AS p FROM k),
+    m AS (SELECT region, combo, n_vars, count(*) AS n_envelopes, CAST(count(*) FILTER (c >= 30) AS BIGINT) AS n_viable, 100e0 * coalesce(sum(c) FILTER (c >= 30), 0) / sum(c) AS coverage_pct, CASE WHEN count(*) > 1 THEN sum(-p * ln(p)) / ln(count(*)) ELSE 0 END AS evenness, 100e0 * count(*) FILTER (c = 1) / count(*) AS singleton_pct, median(c) AS median_per_env FROM g GROUP BY 1, 2, 3)
+    SELECT region, combo, CAST(n_vars AS INT) AS n_vars, n_envelopes, n_viable, round(coverage_pct, 6) AS coverage_pct, round(evenness, 6) AS evenness, round(singleton_pct, 6) AS singleton_pct, median_per_env, round(coverage_pct / 100 * evenness * ln(1 + n_viable), 6) AS score FROM m"""
 
 
 def swept(spark, sf):
@@ -348,14 +345,14 @@ def swept(spark, sf):
 def scheme_sweep(spark, sf):
     """D18, D19, B16."""
     rounded = (F.round(c, 6).alias(c) for c in ("coverage_pct", "evenness", "singleton_pct"))
-    return swept(spark, sf).select("combo", "n_vars", "n_envelopes", "n_viable", *rounded, "median_per_env", F.round("score", 6).alias("score"))
+    return swept(spark, sf).select("region", "combo", "n_vars", "n_envelopes", "n_viable", *rounded, "median_per_env", F.round("score", 6).alias("score"))
 
 
-@query(f"SELECT n_vars, combo, score FROM ({_sweep_sql()}) QUALIFY row_number() OVER (PARTITION BY n_vars ORDER BY score DESC, combo) = 1")
+@query(f"SELECT region, n_vars, combo, score FROM ({_sweep_sql()}) QUALIFY row_number() OVER (PARTITION BY region, n_vars ORDER BY score DESC, combo) = 1")
 def best_schemes(spark, sf):
-    """the best scheme of each size."""
-    w = Window.partitionBy("n_vars").orderBy(F.desc("score"), "combo")
-    return swept(spark, sf).withColumn("score", F.round("score", 6)).withColumn("rn", F.row_number().over(w)).where("rn = 1").select("n_vars", "combo", "score")
+    """a region's best scheme of each size."""
+    w = Window.partitionBy("region", "n_vars").orderBy(F.desc("score"), "combo")
+    return swept(spark, sf).withColumn("score", F.round("score", 6)).withColumn("rn", F.row_number().over(w)).where("rn = 1").select("region", "n_vars", "combo", "score")
 
 
 @query(f"{PIX} SELECT count(evt) AS evt, count(DISTINCT evt) AS evt_kinds, count(fdist) AS fdist, count(DISTINCT fdist) AS fdist_kinds FROM fx_pixels")

@@ -85,13 +85,23 @@ def test_running_equals_one_window(spark):
     assert ranks.running(df.limit(0), ["v", "id"]).count() == 0
 
 
-def test_availability_counts_every_pixel(spark, sf):
-    every = available(spark, sf).where("not nonveg").count()
-    assert QUERIES["selection_ratio"](spark, sf).agg(F.sum("avail_n")).collect()[0][0] == every
+def test_availability_counts_every_pixel_of_a_region(spark, sf):
+    boxes = points.regions(spark)
+    lon, lat = F.round(-74 + (F.col("col_id") + 0.5) * 0.01, 6), F.round(48 - (F.col("row_id") + 0.5) * 0.01, 6)
+    every = points.clipped(available(spark, sf).where("not nonveg").withColumn("lon", lon).withColumn("lat", lat), boxes).groupBy("region").count()
+    got = QUERIES["pixel_selection"](spark, sf).groupBy("region").agg(F.sum("avail_n"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, every.collect()))
     assert QUERIES["align_layers"](spark, sf).count() == pixels(spark, sf).count()
     assert QUERIES["patch_windows"](spark, sf).count() == QUERIES["collapse_visits"](spark, sf).count()
 
 
+def test_zones_of_a_region_without_background(spark):
+    used = spark.createDataFrame([("A", "x")] * 20 + [("A", "y")] + [("B", "x")] * 3, "region string, envelope_id string")
+    seen = spark.createDataFrame([("A", "x")] * 30 + [("A", "y")] * 30, "region string, envelope_id string")
+    zones = {(r["region"], r["envelope_id"]): r["env_zone"] for r in envelopes.with_zones(used, envelopes.selection(used, seen)).distinct().collect()}
+    assert zones == {("A", "x"): "Proportional Envelope", ("A", "y"): "Avoided Envelope", ("B", "x"): "Proportional Envelope"}
+
+
 def test_holdout_within_each_group(spark):
     rows = [(g, f"{b}_{b % 3}") for k, g in enumerate(("ME", "NH", "VT")) for b in range(12) for _ in range(1 + b * (k + 2) % 7)]
     df = spark.createDataFrame(rows, "region string, block_id string")
