@@ -16,9 +16,8 @@ BANDWIDTH = 3000.0
 CUTOFF = 6.0
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a Parquet table in the shared checkpoint folder (in local mode a folder of our own where none is set)."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The shared checkpoint folder (in local mode one of our own where none is set)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("landmosaic.points.dir", None)
     if not base:
         master = spark.conf.get("spark.master", "local")
@@ -26,9 +25,14 @@ def saved(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="landmosaic-")
         spark.conf.set("landmosaic.points.dir", base)
-    path = f"{base.rstrip('/')}/points-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a Parquet table in the shared folder."""
+    path = f"{shared_folder(df.sparkSession)}/points-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def regions(spark: SparkSession) -> DataFrame:
