@@ -13,10 +13,11 @@ REQUIRED = ("evt", "evh", "evc", "sclass", "ch", "cc")
 
 
 def dense(df: DataFrame, keys: tuple[str, ...], row: Column, col: Column, value: Column, side: int, fill=None) -> DataFrame:
-    """keys, data: a flat side x side array per key, `fill` where there's no row; first rows of the array, then the whole."""
+    """keys, data: a flat side x side array per key, `fill` where there's no row; first rows of the array, then the whole. Of a repeated pixel the greatest value counts."""
     line = F.transform(F.sequence(F.lit(0), F.lit(side - 1)), lambda i: F.coalesce(F.col("m_")[i], F.lit(fill).cast("int")))
     rows = df.select(*keys, row.cast("int").alias("r_"), col.cast("int").alias("c_"), value.cast("int").alias("v_"))
-    lines = rows.groupBy(*keys, "r_").agg(F.map_from_entries(F.collect_list(F.struct("c_", "v_"))).alias("m_")).select(*keys, "r_", line.alias("line_"))
+    each = F.array_sort(F.collect_set(F.struct("c_", "v_")))
+    lines = rows.groupBy(*keys, "r_").agg(each.alias("e_")).withColumn("m_", F.map_from_entries(F.expr("filter(e_, (e, i) -> i = size(e_) - 1 OR e_[i + 1].c_ <> e.c_)"))).select(*keys, "r_", line.alias("line_"))
     blank = F.array_repeat(F.lit(fill).cast("int"), side)
     whole = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(side - 1)), lambda i: F.coalesce(F.col("m_")[i], blank)))
     return lines.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("r_", "line_"))).alias("m_")).select(*keys, whole.alias("data"))

@@ -114,7 +114,9 @@ CELL = "-74 + (col_id + 0.5) * 0.01e0 AS x, 48 - (row_id + 0.5) * 0.01e0 AS yc"
 ctr AS (SELECT row_id, col_id, {CELL} FROM lo WHERE row_id % {STRIDE} = 0 AND col_id % {STRIDE} = 0),
 reg AS (SELECT r.region, c.* FROM ctr c JOIN fx_regions r ON c.x BETWEEN min_lon AND max_lon AND c.yc BETWEEN min_lat AND max_lat),
 one AS (SELECT DISTINCT row_id, col_id FROM reg),
-wide AS (SELECT o.row_id, o.col_id, sum(logit) / 4096e0 AS m FROM one o CROSS JOIN (SELECT unnest(range(64)) AS i) CROSS JOIN (SELECT unnest(range(64)) AS j) JOIN lo ON lo.row_id = o.row_id - 32 + i AND lo.col_id = o.col_id - 32 + j GROUP BY ALL),
+den AS (SELECT r AS row_id, c AS col_id, coalesce(logit, 0) AS v FROM (SELECT unnest(range(640)) AS r) CROSS JOIN (SELECT unnest(range(820)) AS c) LEFT JOIN lo ON row_id = r AND col_id = c),
+down AS (SELECT row_id, col_id, sum(v) OVER (PARTITION BY col_id ORDER BY row_id ROWS BETWEEN 32 PRECEDING AND 31 FOLLOWING) AS s FROM den),
+wide AS (SELECT row_id, col_id, sum(s) OVER (PARTITION BY row_id ORDER BY col_id ROWS BETWEEN 32 PRECEDING AND 31 FOLLOWING) / 4096e0 AS m FROM down WHERE row_id % {STRIDE} = 0),
 mid AS (SELECT o.row_id, o.col_id, sum(logit) / 4e0 AS m FROM one o CROSS JOIN (SELECT unnest(range(2)) AS i) CROSS JOIN (SELECT unnest(range(2)) AS j) JOIN lo ON lo.row_id = o.row_id - 1 + i AND lo.col_id = o.col_id - 1 + j GROUP BY ALL)
 SELECT region, CAST(row_id // {STRIDE} AS INT) AS grid_row, CAST(col_id // {STRIDE} AS INT) AS grid_col, round(x, 6) AS x, round(yc, 6) AS y, 0.08e0 AS a, round(-74 + 0.005e0, 6) AS c, -0.08e0 AS e, round(48 - 0.005e0, 6) AS f, round(1 / (1 + exp(-(0.5e0 * mid.m + 0.5e0 * wide.m) / {TEMPERATURE})), 6) AS p
 FROM reg JOIN wide USING (row_id, col_id) JOIN mid USING (row_id, col_id)""")
