@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.binning import unmasked
 from ..functions.geo import pixel_col, pixel_row
+from .points import saved
 
 FEATURES = ("evt", "evh", "evc", "sclass", "fdist", "ch", "cc")
 REQUIRED = ("evt", "evh", "evc", "sclass", "ch", "cc")
@@ -75,6 +76,36 @@ def nearest_year(wanted: DataFrame, available: DataFrame, group: tuple[str, ...]
     return pairs.groupBy(*keys, "year").agg(F.min_by("y_", F.struct(F.abs(F.col("y_") - F.col("year")), "y_")).alias("layer_year"))
 
 
+def write_tiles(tiles: DataFrame, path: str) -> DataFrame:
+    """The tile table (region, feature, year, tile_r, tile_c, data), partitioned by layer and read back."""
+    keys = ("region", "feature", "year")
+    tiles.repartition(*keys).write.mode("overwrite").partitionBy(*keys).parquet(path)
+    return tiles.sparkSession.read.schema(tiles.schema).parquet(path)
+
+
+def sampled_by_year(points: DataFrame, tiles: DataFrame, layers: DataFrame, features: tuple[str, ...], size: int = 64) -> DataFrame:
+    """points (region, year, row_id, col_id) with a column per feature: the pixel of the region's layer nearest to the point's year.
+
+    tiles: as write_tiles() gives them; layers: region, feature, year. Points that share region, year and pixel are looked up once, so a
+    tile meets at most size * size of them for each year. Which layers and tiles are asked for is a small table that prunes
+    the partitions at run time. NULL where the region has no such layer, the pixel has no data or lies outside.
+    """
+    keys = ["region", "year", "row_id", "col_id"]
+    spots = saved(points.select(*keys).distinct())
+    wanted = spots.select("region", "year").distinct().join(layers.where(F.col("feature").isin(*features)).select("region", "feature").distinct(), "region")
+    chosen = saved(nearest_year(wanted, layers))
+    at = spots.join(F.broadcast(chosen), ["region", "year"]).withColumns({"tile_r": F.floor(F.col("row_id") / size), "tile_c": F.floor(F.col("col_id") / size)})
+    at = at.withColumn("place", ((F.pmod("row_id", F.lit(size))) * size + F.pmod("col_id", F.lit(size)) + 1).cast("int"))
+    tile = ["region", "feature", "layer_year", "tile_r", "tile_c"]
+    asked = saved(at.select(*tile).distinct())
+    read = tiles.withColumnRenamed("year", "layer_year")
+    if asked.limit(1_000_001).count() <= 1_000_000:  # the comparison lets Spark turn the keys into a filter on partitions
+        read = read.join(F.broadcast(asked.where(F.col("layer_year") > -1_000_000)), tile, "left_semi")
+    hits = at.join(read, tile).select(*keys, "feature", unmasked(F.element_at("data", F.col("place"))).alias("value"))
+    wide = hits.groupBy(*keys).agg(*(F.max(F.when(F.col("feature") == f, F.col("value"))).alias(f) for f in features))
+    return points.join(wide, keys, "left")
+
+
 def valid_year(chosen: DataFrame, health: DataFrame) -> DataFrame:
     """chosen with layer_year replaced by the feature's latest valid year where its own choice is invalid (health: feature, year, valid)."""
     latest = health.where("valid").groupBy("feature").agg(F.max("year").alias("latest_"))

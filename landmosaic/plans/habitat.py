@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from ..operators import envelopes as E
 from ..operators import points as P
 from ..operators import raster as R
 from ..operators import sampling as S
-from .fixtures import fx, with_fx
+from .fixtures import FX, fx, with_fx
 from .points import COLLAPSED, X, Y, ZONES, clipped, kde_sql, shown
 from .registry import query
 
@@ -260,6 +262,41 @@ def nearest_layer_year(spark, sf):
     return R.nearest_year(years.crossJoin(F.broadcast(have.select("region", "feature").distinct())), have).select("region", "year", "feature", "layer_year")
 
 
+YEARLY = ("evt", "sclass", "evh", "ch")
+
+
+def yearly_tiles(spark, sf):
+    """The layers' tiles inside their region's box: a layer's values are the pixels' plus its years since 2016. Written by region, feature and year."""
+    size = 64
+    boxes = fx(spark, sf, "fx_regions")
+    lows = boxes.select("region", *(F.floor(v / size).alias(k) for k, v in {"r0": (48 - F.col("max_lat")) / 0.01, "r1": (48 - F.col("min_lat")) / 0.01, "c0": (F.col("min_lon") + 74) / 0.01, "c1": (F.col("max_lon") + 74) / 0.01}.items()))
+    last = boxes.agg(F.floor((48 - F.min("min_lat")) / 0.01 / size)).first()[0]
+    base = R.tiled(pixels(spark, sf).where(F.col("row_id") < (last + 1) * size), YEARLY, size)
+    placed = base.join(F.broadcast(lows), F.col("tile_r").between(F.col("r0"), F.col("r1")) & F.col("tile_c").between(F.col("c0"), F.col("c1"))).select("region", "feature", "tile_r", "tile_c", "data")
+    dated = placed.join(F.broadcast(layers(spark, sf)), ["region", "feature"])
+    moved = F.transform("data", lambda v: F.when(v.isin(*B.SENTINELS), v).otherwise(v + F.col("year") - 2016))
+    return R.write_tiles(dated.select("region", "feature", "year", "tile_r", "tile_c", moved.alias("data")), f"{P.shared_folder(spark)}/tiles-{uuid.uuid4().hex}")
+
+
+def yearly_points(spark, sf):
+    return R.indexed(P.collapsed(clipped(spark, sf))).select("region", "sid", "year", "row_id", "col_id")
+
+
+def _yearly_sql() -> str:
+    value = lambda f: f"max(CASE WHEN feature = '{f}' THEN {MASK.format('p.' + f)} + layer_year - 2016 END) AS {f}"
+    return f"""{PIX}, {SIGHT}, lay AS ({FX["fx_layers"]}), pts AS (SELECT region, sid, year, CAST(floor((48e0 - lat) / 0.01e0) AS INT) AS row_id, CAST(floor((lon + 74e0) / 0.01e0) AS INT) AS col_id FROM coll),
+    choice AS (SELECT w.region, w.year, feature, arg_min(lay.year, abs(lay.year - w.year) * 10000 + lay.year) AS layer_year FROM (SELECT DISTINCT region, year FROM pts) w JOIN lay USING (region) GROUP BY ALL),
+    got AS (SELECT t.region, t.sid, {', '.join(map(value, YEARLY))} FROM pts t JOIN choice c ON c.region = t.region AND c.year = t.year JOIN fx_pixels p ON p.row_id = t.row_id AND p.col_id = t.col_id GROUP BY ALL)
+    SELECT region, sid, year, {', '.join(f'CAST(g.{f} AS DOUBLE) AS {f}' for f in YEARLY)} FROM pts LEFT JOIN got g USING (region, sid)"""
+
+
+@query(_yearly_sql())
+def sample_by_year(spark, sf):
+    """Each sighting's pixel from its region's layer nearest to its own year, over tiles pruned by layer."""
+    got = R.sampled_by_year(yearly_points(spark, sf), yearly_tiles(spark, sf), layers(spark, sf), YEARLY)
+    return got.select("region", "sid", "year", *(F.col(f).cast("double").alias(f) for f in YEARLY))
+
+
 LONG = f"{PIX}, long AS (SELECT 'evt' AS feature, 2022 + col_id % 3 AS year, CASE WHEN col_id % 3 = 1 THEN -9999 ELSE evt END AS value FROM fx_pixels UNION ALL SELECT 'fdist', 2022 + col_id % 3, CASE WHEN col_id % 3 = 2 THEN -32768 ELSE fdist END FROM fx_pixels), ok AS (SELECT feature, year, {MASK.format('value')} AS v FROM long)"
 
 
@@ -386,11 +423,15 @@ def patch_windows(spark, sf):
     return at.join(windows, "pid").select("region", "sid", "total", "inside")
 
 
-@query(f"{PIX} SELECT r.row_id, r.col_id, s.ch AS value FROM fx_pixels r LEFT JOIN fx_pixels s ON s.row_id = CAST(floor((r.row_id + 0.5) / 3) AS INT) AND s.col_id = CAST(floor((r.col_id + 0.5) / 3) AS INT)")
+@query(f"""{PIX}, al AS (SELECT r.row_id // 64 AS tile_r, r.col_id // 64 AS tile_c, r.row_id % 64 * 64 + r.col_id % 64 + 1 AS place, s.ch AS value FROM fx_pixels r LEFT JOIN fx_pixels s ON s.row_id = CAST(floor((r.row_id + 0.5) / 3) AS INT) AND s.col_id = CAST(floor((r.col_id + 0.5) / 3) AS INT))
+SELECT CAST(tile_r AS BIGINT) AS tile_r, CAST(tile_c AS BIGINT) AS tile_c, count(*) AS n, count(value) AS held, CAST(coalesce(sum(value), 0) AS BIGINT) AS total, CAST(coalesce(sum(value * place), 0) AS BIGINT) AS placed FROM al GROUP BY ALL""")
 def align_layers(spark, sf):
-    """Nearest resampling of a coarser grid, for every pixel."""
+    """Nearest resampling of a coarser grid for every pixel, as checksums (the sum, and that weighted by place) of each tile of 64 x 64."""
     p = pixels(spark, sf)
-    return R.aligned(p.select("row_id", "col_id"), p.select("row_id", "col_id", F.col("ch").alias("value")), 3.0)
+    out = R.aligned(p.select("row_id", "col_id"), p.select("row_id", "col_id", F.col("ch").alias("value")), 3.0)
+    place = F.col("row_id") % 64 * 64 + F.col("col_id") % 64 + 1
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return out.groupBy(F.floor(F.col("row_id") / 64).alias("tile_r"), F.floor(F.col("col_id") / 64).alias("tile_c")).agg(F.count("*").alias("n"), F.count("value").alias("held"), total("value").alias("total"), total(F.col("value") * place).alias("placed"))
 
 
 @query(f"{PIX}, q AS (SELECT quantile_cont(ch, 0.02) AS a, quantile_cont(ch, 0.98) AS b FROM fx_pixels) SELECT ch, round(CASE WHEN ch >= 20 THEN pow(greatest(least((ch - a) / (b - a), 1), 0), 3) END, 9) AS shade, count(*) AS n FROM fx_pixels, q GROUP BY 1, 2")
