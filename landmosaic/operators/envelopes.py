@@ -143,16 +143,21 @@ def sweep(spark: SparkSession, df: DataFrame, columns: dict[str, tuple], viable:
 
 
 def scheme_metrics(counts: DataFrame, viable: int = 30, group: tuple[str, ...] = GROUP) -> DataFrame:
-    """counts (group, combo, n_vars, c) to number, viable, coverage, evenness, singleton share, median and score of each scheme."""
-    w = Window.partitionBy(*group, "combo")
-    p = F.col("c") / F.sum("c").over(w)
-    g = counts.withColumn("p", p).groupBy(*group, "combo", "n_vars").agg(
+    """counts (group, combo, n_vars, c) to number, viable ones, their coverage of the records, evenness among them, singleton share, median and score of each scheme.
+
+    evenness is the Shannon entropy of the viable envelopes' shares over the greatest possible; 0 for fewer than two of them.
+    """
+    keys = [*group, "combo", "n_vars"]
+    held = F.when(F.col("c") >= viable, F.col("c"))
+    g = counts.groupBy(*keys).agg(
         F.count("*").alias("n_envelopes"),
-        F.sum((F.col("c") >= viable).cast("long")).alias("n_viable"),
-        (100.0 * F.sum(F.when(F.col("c") >= viable, F.col("c")).otherwise(0)) / F.sum("c")).alias("coverage_pct"),
-        F.sum(-F.col("p") * F.log("p")).alias("h_"),
+        F.count(held).alias("n_viable"),
+        F.coalesce(F.sum(held), F.lit(0)).alias("held_"),
+        (100.0 * F.coalesce(F.sum(held), F.lit(0)) / F.sum("c")).alias("coverage_pct"),
+        F.sum(held * F.log(held.cast("double"))).alias("h_"),
         (100.0 * F.sum((F.col("c") == 1).cast("long")) / F.count("*")).alias("singleton_pct"),
         F.percentile("c", F.lit(0.5)).alias("median_per_env"),
     )
-    g = g.withColumn("evenness", F.when(F.col("n_envelopes") > 1, F.col("h_") / F.log(F.col("n_envelopes").cast("double"))).otherwise(0.0)).drop("h_")
+    entropy = F.log(F.col("held_").cast("double")) - F.col("h_") / F.col("held_")
+    g = g.withColumn("evenness", F.when(F.col("n_viable") > 1, entropy / F.log(F.col("n_viable").cast("double"))).otherwise(0.0)).drop("h_", "held_")
     return g.withColumn("score", F.col("coverage_pct") / 100 * F.col("evenness") * F.log1p(F.col("n_viable").cast("double")))

@@ -369,8 +369,8 @@ def _sweep_sql() -> str:
         keys = " || '|' || ".join(s)
         parts.append(f"SELECT region, '{'+'.join(s)}' AS combo, {len(s)} AS n_vars, {keys} AS key, count(*) AS c FROM lb GROUP BY 1, 4")
     return f"""{USED}, hab AS (SELECT * FROM used WHERE NOT nonveg), lb AS (SELECT {cols} FROM hab), k AS ({' UNION ALL '.join(parts)}),
-    g AS (SELECT region, combo, n_vars, c, c / CAST(sum(c) OVER (PARTITION BY region, combo) AS DOUBLE) AS p FROM k),
-    m AS (SELECT region, combo, n_vars, count(*) AS n_envelopes, CAST(count(*) FILTER (c >= 30) AS BIGINT) AS n_viable, 100e0 * coalesce(sum(c) FILTER (c >= 30), 0) / sum(c) AS coverage_pct, CASE WHEN count(*) > 1 THEN sum(-p * ln(p)) / ln(count(*)) ELSE 0 END AS evenness, 100e0 * count(*) FILTER (c = 1) / count(*) AS singleton_pct, median(c) AS median_per_env FROM g GROUP BY 1, 2, 3)
+    g AS (SELECT region, combo, n_vars, c, CASE WHEN c >= 30 THEN c END AS v, CASE WHEN c >= 30 THEN c / CAST(sum(c) FILTER (c >= 30) OVER (PARTITION BY region, combo) AS DOUBLE) END AS p FROM k),
+    m AS (SELECT region, combo, n_vars, count(*) AS n_envelopes, count(v) AS n_viable, 100e0 * coalesce(sum(v), 0) / sum(c) AS coverage_pct, CASE WHEN count(v) > 1 THEN sum(-p * ln(p)) / ln(count(v)) ELSE 0 END AS evenness, 100e0 * count(*) FILTER (c = 1) / count(*) AS singleton_pct, median(c) AS median_per_env FROM g GROUP BY 1, 2, 3)
     SELECT region, combo, CAST(n_vars AS INT) AS n_vars, n_envelopes, n_viable, round(coverage_pct, 6) AS coverage_pct, round(evenness, 6) AS evenness, round(singleton_pct, 6) AS singleton_pct, median_per_env, round(coverage_pct / 100 * evenness * ln(1 + n_viable), 6) AS score FROM m"""
 
 
