@@ -11,6 +11,7 @@ from ..functions import binning as B
 from ..functions import scores as C
 from ..functions.geo import projected
 from ..operators import envelopes as E
+from ..operators import lattice as L
 from ..operators import points as P
 from ..operators import raster as R
 from ..operators import sampling as S
@@ -392,6 +393,14 @@ def best_schemes(spark, sf):
     return swept(spark, sf).withColumn("score", F.round("score", 6)).withColumn("rn", F.row_number().over(w)).where("rn = 1").select("region", "n_vars", "combo", "score")
 
 
+@query(None)
+def full_sweep(spark, sf):
+    """Every scheme of nine variables and all their variants (29,999) in each region, by the lattice; tests compare it with direct grouping."""
+    records = used(spark, sf).where("not nonveg").withColumn("evt_group", F.regexp_extract("evt_phys", "^[A-Za-z]+", 0))
+    rounded = (F.round(c, 6).alias(c) for c in ("coverage_pct", "evenness", "singleton_pct", "score"))
+    return L.sweep(spark, records).select("region", "combo", "n_vars", "n_envelopes", "n_viable", "median_per_env", *rounded)
+
+
 @query(f"{PIX} SELECT count(evt) AS evt, count(DISTINCT evt) AS evt_kinds, count(fdist) AS fdist, count(DISTINCT fdist) AS fdist_kinds FROM fx_pixels")
 def usable_columns(spark, sf):
     """Presence and number of kinds of each column in one pass."""
