@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .patches import few
-from .points import saved
+from .shared import saved
 
 
 def fitted(rows: DataFrame, features: tuple[str, ...], smoothing: float = 1.0) -> tuple[DataFrame, float]:

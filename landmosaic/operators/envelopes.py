@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.binning import MIN_AVAILABLE, env_zone, envelope_id, inner_edges, nonvegetated, right_closed, selection_class
-from .points import saved
 from .ranks import running
+from .shared import saved
 
 #: A scheme: column to 'raw' or a number of quantile bins.
 SCHEME = {"evt_phys": "raw", "sclass": "raw", "evh": 2}

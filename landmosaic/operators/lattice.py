@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.binning import disturbance, inner_edges, right_closed
 from .envelopes import GROUP, scheme_metrics
-from .points import saved
+from .shared import saved
 
 #: Every variable of the sweep and its variants (fixed values): its codes as they are, so many quantile bins, or disturbed or not.
 VARIABLES = {"evt": ("raw",), "evt_phys": ("raw",), "evt_group": ("raw",), "sclass": ("raw",)} | {c: ("q2", "q3", "q4", "q5") for c in ("evh", "evc", "ch", "cc")} | {"fdist": ("raw", "binary")}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.binning import unmasked
 from ..functions.scores import probability
-from .points import saved
+from .shared import saved
 
 #: Pixels a side of the tiles in which windows are summed.
 TILE = 128

@@ -3,38 +3,19 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.binning import zone
 from ..functions.geo import cells
+from .ranks import quantiles
+from .shared import saved, shared_folder
 
 BANDWIDTH = 3000.0
 CUTOFF = 6.0
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The shared checkpoint folder (in local mode one of our own where none is set)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("landmosaic.points.dir", None)
-    if not base:
-        master = spark.conf.get("spark.master", "local")
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="landmosaic-")
-        spark.conf.set("landmosaic.points.dir", base)
-    return base.rstrip("/")
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a Parquet table in the shared folder."""
-    path = f"{shared_folder(df.sparkSession)}/points-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def regions(spark: SparkSession) -> DataFrame:
     """The region boxes (fixed values); they overlap, so a point may be in several."""
     rows = [("ME", -71.158, 42.889, -66.852, 47.555), ("NH", -72.626, 42.605, -70.600, 45.398), ("VT", -73.510, 42.632, -71.422, 45.112)]
@@ -152,8 +133,8 @@ def density(df: DataFrame, key: str, strata: tuple[str, ...] = (), extra: tuple[
 
 
 def zoned(df: DataFrame, strata: tuple[str, ...] = ()) -> DataFrame:
-    """df with spatial_zone by the deciles of its density, of all rows or within strata."""
-    cuts = F.percentile("density", F.array(F.lit(0.1), F.lit(0.9))).alias("cuts_")
-    edges = df.groupBy(*strata).agg(cuts) if strata else df.agg(cuts)
-    joined = df.join(F.broadcast(edges), list(strata)) if strata else df.crossJoin(F.broadcast(edges))
-    return joined.withColumn("spatial_zone", zone(F.col("density"), F.col("cuts_"))).drop("cuts_")
+    """df with spatial_zone by the deciles of its density, of all rows or within strata (exact, by selection); without a density Moderate."""
+    edges = quantiles(df, "density", (0.1, 0.9), strata).withColumnsRenamed({c: f"at_{c}" for c in strata})
+    same = [F.col(c).eqNullSafe(F.col(f"at_{c}")) for c in strata]
+    joined = df.join(F.broadcast(edges), same, "left") if strata else df.crossJoin(F.broadcast(edges))
+    return joined.withColumn("spatial_zone", zone(F.col("density"), F.col("cuts_"))).drop("cuts_", *(f"at_{c}" for c in strata))

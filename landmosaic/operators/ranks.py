@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .points import saved
+from .shared import saved
 
 
 def running(df: DataFrame, order: list[Column | str], group: tuple[str, ...] = (), sums: tuple[str, ...] = ()) -> DataFrame:
@@ -29,3 +29,28 @@ def running(df: DataFrame, order: list[Column | str], group: tuple[str, ...] = (
     same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(k)) for c, k in zip((*group, "part_"), names)))
     moved = {"pos_": F.col("pos_") + F.col("n_")} | {f"run_{c}": F.col(f"run_{c}") + F.col(f"s_{c}") for c in sums}
     return rows.join(offsets, same).withColumns(moved).drop("part_", "n_", *(f"s_{c}" for c in sums), *names)
+
+
+def quantiles(df: DataFrame, column: str, shares: tuple[float, ...], group: tuple[str, ...] = ()) -> DataFrame:
+    """group, cuts_: the exact quantiles (linear interpolation) of the column's values that aren't NULL, by selection.
+
+    percentile() keeps every distinct double of a group in one task. Here distinct values with their counts are dealt by ranges of
+    the order, and only the values at the wanted positions are brought together. A group without values has no row; without
+    groups there is always one, NULL for no values.
+    """
+    value = F.col(column).cast("double")
+    counts = running(df.select(*group, value.alias("v_")).where("v_ IS NOT NULL").groupBy(*group, "v_").agg(F.count("*").alias("n")), ["v_"], group, ("n",))
+    kept = saved(counts.select(*group, "v_", (F.col("run_n") - F.col("n")).alias("from_"), F.col("run_n").alias("to_")))
+    total = kept.groupBy(*group).agg(F.max("to_").alias("total_")).withColumnsRenamed({c: f"of_{c}" for c in group})
+    same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in group]
+    placed = kept.join(F.broadcast(total), same) if group else kept.crossJoin(F.broadcast(total))
+    at = [(F.col("total_") - 1) * F.lit(float(p)) for p in shares]
+    here = lambda k: (F.col("from_") <= k) & (k < F.col("to_"))
+    wanted = reduce(lambda a, b: a | b, (here(f(h)) for h in at for f in (F.floor, F.ceil)))
+
+    def cut(h: Column) -> Column:
+        low, high = (F.max(F.when(here(f(h)), F.col("v_"))) for f in (F.floor, F.ceil))
+        upper, place = F.max(F.ceil(h)), F.max(h)
+        return F.when(upper == place, low).otherwise((upper - place) * low + (place - upper + 1) * high)
+
+    return placed.where(wanted).groupBy(*group).agg(F.array(*map(cut, at)).alias("cuts_"))

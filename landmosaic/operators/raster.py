@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.binning import unmasked
 from ..functions.geo import pixel_col, pixel_row
-from .points import saved
+from .ranks import quantiles
+from .shared import saved
 
 FEATURES = ("evt", "evh", "evc", "sclass", "fdist", "ch", "cc")
 REQUIRED = ("evt", "evh", "evc", "sclass", "ch", "cc")
@@ -187,7 +188,7 @@ def centre_grid(pixels: DataFrame, stride: int, bounds: tuple[int, int, int, int
 
 def stretched(df: DataFrame, column: str, low: float = 0.02, high: float = 0.98, power: float = 3.0, floor: float | None = None) -> DataFrame:
     """df with `shade` (0 to 1): percentile stretch, then a power; NULL below `floor`."""
-    cut = df.agg(F.percentile(column, F.array(F.lit(low), F.lit(high))).alias("cut_"))
+    cut = quantiles(df, column, (low, high)).withColumnRenamed("cuts_", "cut_")
     span = F.greatest(F.col("cut_")[1] - F.col("cut_")[0], F.lit(1e-12))
     shade: Column = F.pow(F.greatest(F.least((F.col(column) - F.col("cut_")[0]) / span, F.lit(1.0)), F.lit(0.0)), F.lit(power))
     shown = F.col(column).isNotNull() & (F.lit(True) if floor is None else F.col(column) >= floor)

@@ -203,6 +203,16 @@ def density_overlap(spark, sf):
     return E.zone_lift(spatially_zoned(spark, sf))
 
 
+@query(f"""{USED}, pts AS (SELECT region, sid, phys, {X} AS x, {Y} AS y FROM used), {kde_sql(strata='phys')}, d AS (SELECT region, sid, phys, CASE WHEN n >= 30 THEN round(density * 1e12, 3) END AS density FROM dens JOIN pts USING (region, sid)),
+q AS (SELECT *, quantile_cont(density, 0.1) OVER w AS lo, quantile_cont(density, 0.9) OVER w AS hi FROM d WINDOW w AS (PARTITION BY region, phys))
+SELECT region, sid, phys AS evt_phys, density, CASE WHEN density >= hi THEN 'Hot' WHEN density <= lo THEN 'Cold' ELSE 'Moderate' END AS spatial_zone FROM q""")
+def kde_stratified_zones(spark, sf):
+    """Densities and their deciles within each class of a region; classes under 30 records have no density and are Moderate."""
+    dens = P.density(projected(used(spark, sf).select("region", "sid", "evt_phys", "lon", "lat")), "sid", strata=("region", "evt_phys"))
+    shown_ = dens.select("region", "sid", "evt_phys", F.round(F.col("density") * 1e12, 3).alias("density"))
+    return P.zoned(shown_, strata=("region", "evt_phys"))
+
+
 @query(f"{SPATIAL} SELECT region, phys AS evt_phys, count(*) AS n, round(100e0 * count(*) / sum(count(*)) OVER (PARTITION BY region), 9) AS pct FROM h WHERE zone = 'Hot' GROUP BY 1, 2")
 def hotspot_classes(spark, sf):
     """Share of each class among the hot records of a region."""

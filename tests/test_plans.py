@@ -128,3 +128,18 @@ def test_sampling_by_year_prunes_layers(spark, tmp_path):
     got = raster.sampled_by_year(pts, written, layers, ("evt", "ch"), size=2)
     assert {r["sid"]: (r["evt"], r["ch"]) for r in got.collect()} == {1: (20160, 20300), 2: (20207, 20307), 3: (20181, None), 4: (20160, 20300), 5: (None, None), 6: (None, None)}
     assert "dynamicpruning" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_quantiles_equal_interpolation(spark):
+    r = np.random.default_rng(4)
+    rows = [("a", float(v)) for v in r.normal(size=501)] + [("b", float(v)) for v in r.integers(0, 4, 40)] + [("c", 2.5), ("d", None), (None, 1.0), (None, 2.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(7)
+    shares = (0.0, 0.02, 0.1, 0.25, 0.5, 0.9, 0.98, 1.0)
+    got = {x["g"]: x["cuts_"] for x in ranks.quantiles(df, "v", shares, ("g",)).collect()}
+    assert set(got) == {"a", "b", "c", None}
+    for g, cuts in got.items():
+        assert cuts == pytest.approx(list(np.quantile([v for k, v in rows if k == g], shares)), abs=1e-12)
+    assert ranks.quantiles(df.select("v"), "v", shares).first()[0] == pytest.approx(list(np.quantile([v for _, v in rows if v is not None], shares)), abs=1e-12)
+    assert ranks.quantiles(df.limit(0), "v", shares).count() == 1 and ranks.quantiles(df.limit(0), "v", shares, ("g",)).count() == 0
+    zones = points.zoned(df.withColumnRenamed("v", "density"), ("g",)).groupBy("g", "spatial_zone").count().collect()
+    assert {(x["g"], x["spatial_zone"]) for x in zones if x["g"] in ("d", "c")} == {("d", "Moderate"), ("c", "Hot")} and sum(x["count"] for x in zones) == len(rows)
