@@ -96,18 +96,24 @@ def weighted_sample(df: DataFrame, key: str, targets: DataFrame, nonveg_cap: flo
 
 
 def balanced_batches(df: DataFrame, key: str, batch: int = 8, seed: int = 42) -> DataFrame:
-    """batch_id, slot, key, y: batches alternate between a quarter and three quarters of positives; the rarer class is recycled."""
-    n = df.groupBy("y").agg(F.count("*").alias("n_"))
-    rows = running(df.select(key, "y", uniform(seed, F.col(key)).alias("draw_")), ["draw_", key], ("y",)).select(key, "y", (F.col("pos_") - 1).alias("pos_"))
-    total = n.agg(F.max("n_").alias("most_"), F.count("*").alias("classes_"))
-    few = batch // 4
-    slots = total.where("classes_ = 2").withColumn("batch_id", F.explode(F.sequence(F.lit(0).cast("long"), 2 * F.ceil(F.col("most_") / batch) - 1))).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(batch - 1))))
+    """batch_id, slot, key, y: batches alternate between a quarter and three quarters of positives; a class is dealt anew, in another
+    order, each time it is used up, so a cycle holds every row of it once. A missing class is an error."""
+    n = {r["y"]: r["n_"] for r in df.groupBy("y").agg(F.count("*").alias("n_")).collect()}  # a row for each class
+    if set(n) != {0, 1}:
+        raise ValueError(f"balanced batches need both classes; found {sorted(n, key=str)}")
+    few, rounds = batch // 4, -(-max(n.values()) // batch)
+    cycles = {y: -(-rounds * batch // many) for y, many in n.items()}
+    dealt = df.select(key, "y", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("y") == 1, cycles[1] - 1).otherwise(cycles[0] - 1).cast("long"))).alias("cycle_"))
+    draw = uniform(seed, F.concat_ws(":", "cycle_", F.col(key).cast("string")))
+    rows = running(dealt.withColumn("draw_", draw), ["draw_", key], ("y", "cycle_")).select(key, "y", "cycle_", (F.col("pos_") - 1).alias("pos_"))
+    slots = df.sparkSession.range(2 * rounds).select(F.col("id").alias("batch_id"), F.explode(F.sequence(F.lit(0), F.lit(batch - 1))).alias("slot"))
     many = F.when(F.col("batch_id") % 2 == 0, few).otherwise(batch - few)
     y = F.when(F.col("slot") < many, 1).otherwise(0)
     earlier = F.floor(F.col("batch_id") / 2) * batch + F.when(F.col("batch_id") % 2 == 1, F.when(y == 1, few).otherwise(batch - few)).otherwise(0)
     place = earlier + F.when(y == 1, F.col("slot")).otherwise(F.col("slot") - many)
-    slots = slots.select("batch_id", "slot", y.alias("y"), place.alias("place_")).join(F.broadcast(n), "y").withColumn("pos_", F.col("place_") % F.col("n_"))
-    return slots.join(rows, ["y", "pos_"]).select("batch_id", "slot", key, "y")
+    size = F.when(y == 1, n[1]).otherwise(n[0])
+    slots = slots.select("batch_id", "slot", y.alias("y"), F.floor(place / size).alias("cycle_"), (place % size).alias("pos_"))
+    return slots.join(rows, ["y", "cycle_", "pos_"]).select("batch_id", "slot", key, "y")
 
 
 def training_frame(positives: DataFrame, negatives: DataFrame) -> DataFrame:

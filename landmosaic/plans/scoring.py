@@ -134,10 +134,12 @@ def ensemble_scores(spark, sf):
     return M.ensemble(members(spark, sf)).select("point_id", "y", F.round("logit", 7).alias("logit"))
 
 
-@query(f"""{PT}, r AS (SELECT point_id, y, row_number() OVER (PARTITION BY y ORDER BY ('0x' || substr(md5('42:' || point_id), 1, 13))::BIGINT, point_id) - 1 AS pos FROM pt), n AS (SELECT y, count(*) AS n FROM pt GROUP BY y),
+@query(f"""{PT}, n AS (SELECT y, count(*) AS n FROM pt GROUP BY y),
 s AS (SELECT b AS batch_id, s AS slot, CASE WHEN s < CASE WHEN b % 2 = 0 THEN 2 ELSE 6 END THEN 1 ELSE 0 END AS y FROM (SELECT unnest(range(0, CAST(2 * ceil((SELECT max(n) FROM n) / 8e0) AS BIGINT))) AS b), (SELECT unnest(range(8)) AS s)),
-q AS (SELECT *, (b.batch_id // 2) * 8 + CASE WHEN batch_id % 2 = 1 THEN CASE WHEN y = 1 THEN 2 ELSE 6 END ELSE 0 END + CASE WHEN y = 1 THEN slot ELSE slot - CASE WHEN batch_id % 2 = 0 THEN 2 ELSE 6 END END AS place FROM s b)
-SELECT batch_id, CAST(slot AS INT) AS slot, point_id, CAST(r.y AS INT) AS y FROM q JOIN n USING (y) JOIN r ON r.y = q.y AND r.pos = q.place % n.n WHERE (SELECT count(*) FROM n) = 2""")
+q AS (SELECT *, (b.batch_id // 2) * 8 + CASE WHEN batch_id % 2 = 1 THEN CASE WHEN y = 1 THEN 2 ELSE 6 END ELSE 0 END + CASE WHEN y = 1 THEN slot ELSE slot - CASE WHEN batch_id % 2 = 0 THEN 2 ELSE 6 END END AS place FROM s b),
+c AS (SELECT DISTINCT y, place // n AS cyc FROM q JOIN n USING (y)),
+r AS (SELECT point_id, y, cyc, row_number() OVER (PARTITION BY y, cyc ORDER BY ('0x' || substr(md5('42:' || cyc || ':' || point_id), 1, 13))::BIGINT, point_id) - 1 AS pos FROM pt JOIN c USING (y))
+SELECT batch_id, CAST(slot AS INT) AS slot, point_id, CAST(r.y AS INT) AS y FROM q JOIN n USING (y) JOIN r ON r.y = q.y AND r.cyc = q.place // n.n AND r.pos = q.place % n.n""")
 def balanced_batches(spark, sf):
     """E12."""
     return S.balanced_batches(points(spark, sf), "point_id").select("batch_id", "slot", "point_id", "y")

@@ -143,3 +143,15 @@ def test_quantiles_equal_interpolation(spark):
     assert ranks.quantiles(df.limit(0), "v", shares).count() == 1 and ranks.quantiles(df.limit(0), "v", shares, ("g",)).count() == 0
     zones = points.zoned(df.withColumnRenamed("v", "density"), ("g",)).groupBy("g", "spatial_zone").count().collect()
     assert {(x["g"], x["spatial_zone"]) for x in zones if x["g"] in ("d", "c")} == {("d", "Moderate"), ("c", "Hot")} and sum(x["count"] for x in zones) == len(rows)
+
+
+def test_each_cycle_deals_a_class_once_in_a_new_order(spark):
+    df = spark.createDataFrame([(i, int(i < 5)) for i in range(45)], "point_id long, y int")
+    got = sampling.balanced_batches(df, "point_id").orderBy("batch_id", "slot").collect()
+    assert len(got) == 2 * 5 * 8 and all(sum(r["y"] for r in got[k : k + 8]) == (2 if k % 16 == 0 else 6) for k in range(0, 80, 8))
+    rare = [r["point_id"] for r in got if r["y"] == 1]
+    cycles = [rare[k : k + 5] for k in range(0, 40, 5)]
+    assert all(sorted(c) == list(range(5)) for c in cycles) and len({tuple(c) for c in cycles}) > 4
+    assert sorted(r["point_id"] for r in got if r["y"] == 0) == list(range(5, 45))
+    with pytest.raises(ValueError):
+        sampling.balanced_batches(df.where("y = 1"), "point_id")
