@@ -164,9 +164,12 @@ def sanitised(docs: DataFrame, threshold: float = 0.9, support: int = 3) -> Data
     Null text counts as empty; rows, null ids and repeated rows stay as they are. Other columns named base, spans or clean
     are replaced. The texts aren't shuffled as long as the table of terms is small enough to broadcast.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    terms = cooccurring_terms(docs, threshold, support).select(F.col("mark").alias("pii_mark"), F.col("terms").alias("pii_terms"))
-    rows = docs.drop("base", "spans", "clean").withColumn("pii_found", F.md5(F.col("text").cast("binary")))
+    kept = [c for c in docs.columns if c not in ("base", "spans", "clean")]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("pii_row"))  # so no other name can clash
+    whole = F.col("pii_row")["text"]
+    text = F.coalesce(whole, F.lit(""))
+    terms = cooccurring_terms(docs.select("text"), threshold, support).select(F.col("mark").alias("pii_mark"), F.col("terms").alias("pii_terms"))
+    rows = rows.withColumn("pii_found", F.md5(whole.cast("binary")))
     rows = rows.join(small(terms, 200_000), F.col("pii_found") == F.col("pii_mark"), "left")
     span = lambda k: lambda m: F.struct(F.lit(k).alias("kind"), m["start"].alias("start"), m["end"].alias("end"))
     base = F.concat(*(F.transform(v, span(k)) for k, v in found(text).items())).cast(f"array<{SPAN}>")
@@ -176,7 +179,7 @@ def sanitised(docs: DataFrame, threshold: float = 0.9, support: int = 3) -> Data
     extra = F.transform(F.filter(known, apart), span("term"))
     rows = rows.withColumn("spans", F.concat("base", extra).cast(f"array<{SPAN}>"))
     clean = generalised(text, merged(F.col("spans")))
-    return rows.withColumn("clean", F.when(F.col("text").isNotNull(), clean)).drop("pii_found", "pii_mark", "pii_terms")
+    return rows.withColumn("clean", F.when(whole.isNotNull(), clean)).select("pii_row.*", "base", "spans", "clean")
 
 
 def joined(spans: Column) -> Column:
