@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batched, in_batches
+from .common import batched, in_batches, written
 from .shingles import stream, word_hashes
 
 PASSAGE_WORDS = 64
@@ -91,9 +91,9 @@ class GatedAttention:
         if not len(labels) or len(set(labels)) < 2:
             self.constant = float(np.mean(labels)) if len(labels) else 0.5
             return self
-        every = np.vstack(bags)
-        self.mean, self.scale = every.mean(axis=0), every.std(axis=0) + 1e-3
-        bags = [(b - self.mean) / self.scale for b in bags]
+        n = sum(map(len, bags))
+        self.mean = sum(b.sum(axis=0, dtype=float) for b in bags) / n
+        self.scale = np.sqrt(sum(((b - self.mean) ** 2).sum(axis=0) for b in bags) / n) + 1e-3
         one, two = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
         r, t = np.random.default_rng(2), 0
         for epoch in range(epochs):
@@ -101,7 +101,7 @@ class GatedAttention:
             for s in range(0, len(order), batch):
                 pick = order[s : s + batch]
                 sizes = np.array([len(bags[i]) for i in pick])
-                g, t = self._gradient(np.vstack([bags[i] for i in pick]), np.cumsum(sizes) - sizes, sizes, labels[pick]), t + 1
+                g, t = self._gradient((np.vstack([bags[i] for i in pick]) - self.mean) / self.scale, np.cumsum(sizes) - sizes, sizes, labels[pick]), t + 1
                 for k, v in self.p.items():
                     grad = g[k] + decay * v
                     one[k] = 0.9 * one[k] + 0.1 * grad
@@ -122,11 +122,13 @@ class GatedAttention:
         return {"W": x.T @ pre, "b": pre.sum(axis=0), "V": f["h"].T @ dv, "U": f["h"].T @ du, "w": (f["v"] * f["u"]).T @ de, "c": f["z"].T @ out, "d": np.array([out.sum()])}
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> GatedAttention:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, passages: int = 200_000) -> GatedAttention:
     """Fit on a bounded sample: the `sample` labelled documents that are first by a hash of their doc_id, with all their passages.
 
-    labels has doc_id and quality; rows with other values than 0 and 1 don't count, and of several labels of a
-    document the lower one does. Without labels the score is 0.5, with labels of one kind their mean.
+    Of these, documents of over a hundredth of `passages` (2,000, or 128,000 words) are left out of the fit, and the others are taken by
+    that hash until they have `passages` in all (4 * WIDTH bytes each on the driver), so long texts can't fill its memory. labels has doc_id and quality; rows with
+    other values than 0 and 1 don't count, and of several labels of a document the lower one does; of rows that repeat a doc_id, the
+    least encoded one. Without labels the score is 0.5, with labels of one kind their mean.
     """
     good = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     picked = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -135,9 +137,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> GatedAttent
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "quality": pdf["quality"], "bag": [encode(t).astype("<f4").tobytes() for t in pdf["text"]]})
 
-    rows = in_batches(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), bags, "doc_id long, quality int, bag binary").toPandas()
-    rows = rows.sort_values(["doc_id", "bag"])
-    return GatedAttention().fit([np.frombuffer(b, "<f4").reshape(-1, WIDTH).astype(float) for b in rows["bag"]], rows["quality"].to_numpy(float))
+    rows = in_batches(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), bags, "doc_id long, quality int, bag binary")
+    rows = written(rows.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("bag").alias("bag")))
+    sizes = rows.select("doc_id", (F.length("bag") / (4 * WIDTH)).alias("n_")).where(F.col("n_") * 100 <= passages)
+    running = F.sum("n_").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # at most `sample` rows of two numbers
+    taken = sizes.withColumn("run_", running).where(F.col("run_") <= passages).select("doc_id")
+    chosen = rows.join(F.broadcast(taken), "doc_id").toPandas().sort_values("doc_id")
+    return GatedAttention().fit([np.frombuffer(b, "<f4").reshape(-1, WIDTH) for b in chosen["bag"]], chosen["quality"].to_numpy(float))
 
 
 def scored(docs: DataFrame, model: GatedAttention) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from landmosaic.llm import queries
+from landmosaic.llm import quality, queries
 from landmosaic.llm.common import table, written
 
 
@@ -39,3 +39,23 @@ def test_oracles(spark, name):
     assert sorted(got.columns) == columns
     key = lambda df: sorted(map(tuple, df[columns].astype(str).to_numpy()))
     assert key(got) == key(want)
+
+
+def test_dedup_keeps_one_of_repeated_rows(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text, "a"), (1, text, "a"), (1, text, "b"), (2, text, "a"), (3, "other words here", None), (None, "no id", "c"), (None, "no id", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted(map(str, (tuple(r) for r in corpus_pipeline.dedup_stage(spark, docs, "").collect())))
+    assert got == sorted(map(str, [(1, text, "a"), (3, "other words here", None), (None, "no id", "c"), (None, "no id", "c")]))
+
+
+def test_quality_fit_is_bounded_by_passages(spark):
+    words = lambda i, n: " ".join(f"w{(i * 31 + j) % 97}" for j in range(n))
+    docs = spark.createDataFrame([(i, words(i, 64 * 3) if i % 2 else "Zz9 " * 64 * 3) for i in range(40)] + [(50, words(1, 64 * 90)), (1, words(1, 64 * 3))], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(50, 0)], "doc_id long, quality int")
+    whole = quality.train(docs, labels)
+    cut = quality.train(docs, labels.where("doc_id <> 50"), passages=600)
+    left = quality.train(docs.where("doc_id <> 50"), labels, passages=600)
+    probe = [quality.encode(words(3, 500)), quality.encode("Zz9 " * 90), quality.encode("")]
+    assert list(cut.score(probe)) == list(left.score(probe)) and whole.score(probe)[0] > 0.5 > whole.score(probe)[1]
+    assert quality.train(docs, labels, passages=50).score(probe)[0] == 0.5
