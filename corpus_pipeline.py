@@ -21,10 +21,18 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, 0.8) the document with the least doc_id stays."""
+    """Of each group of near-duplicates (five-word shingles, 0.8) the document with the least doc_id stays.
+
+    Of rows that repeat both doc_id and text, one stays (that with the least other columns as JSON); only ids that repeat are grouped.
+    """
     found = minhash.near_duplicates(docs, k=5, percent=80)
     dropped = written(found.where("not kept").select("doc_id").distinct())
-    return docs.join(small(dropped), "doc_id", "left_anti").select(*docs.columns)
+    repeated = written(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    kept = docs.join(small(dropped), "doc_id", "left_anti").select(*docs.columns)
+    row = F.struct(*docs.columns)
+    once = kept.join(small(repeated), "doc_id", "left_anti").select(*docs.columns)
+    again = kept.join(small(repeated), "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min_by(row, F.to_json(row)).alias("row"))
+    return once.unionByName(again.select("row.*"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
