@@ -76,3 +76,35 @@ def cells(df: DataFrame, size: float, neighbours: bool = False) -> DataFrame:
         return df.withColumn("cx", cx).withColumn("cy", cy)
     near = F.array(*(F.struct((cx + i).alias("cx"), (cy + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
     return df.withColumn("cell", F.explode(near)).select("*", "cell.cx", "cell.cy").drop("cell")
+
+
+def albers_terms(p1: Column, p2: Column, lat0: Column) -> dict[str, Column]:
+    """n, c and rho0 of an Albers projection whose parallels and origin are columns."""
+    e2 = FLATTENING * (2 - FLATTENING)
+    e = math.sqrt(e2)
+    m = lambda s: F.sqrt(1 - s * s) / F.sqrt(1 - e2 * s * s)
+    q = lambda s: (1 - e2) * (s / (1 - e2 * s * s) - F.log((1 - e * s) / (1 + e * s)) / (2 * e))
+    s0, s1, s2 = (F.sin(F.radians(v)) for v in (lat0, p1, p2))
+    n = (m(s1) ** 2 - m(s2) ** 2) / (q(s2) - q(s1))
+    c = m(s1) ** 2 + n * q(s1)
+    return {"n_": n, "c_": c, "rho0_": A * F.sqrt(c - n * q(s0)) / n}
+
+
+def to_albers(lon: Column, lat: Column, n: Column, c: Column, rho0: Column, lon0: Column) -> tuple[Column, Column]:
+    """x and y in metres, by the terms of albers_terms()."""
+    e = math.sqrt(FLATTENING * (2 - FLATTENING))
+    s = F.sin(F.radians(lat))
+    q = (1 - e * e) * (s / (1 - e * e * s * s) - F.log((1 - e * s) / (1 + e * s)) / (2 * e))
+    rho, theta = A * F.sqrt(c - n * q) / n, n * F.radians(lon - lon0)
+    return rho * F.sin(theta), rho0 - rho * F.cos(theta)
+
+
+def from_albers(x: Column, y: Column, n: Column, c: Column, rho0: Column, lon0: Column) -> tuple[Column, Column]:
+    """lon and lat of x and y: the authalic latitude by its series (below a millimetre on the ground)."""
+    e2 = FLATTENING * (2 - FLATTENING)
+    e = math.sqrt(e2)
+    q = (c - (x * x + (rho0 - y) ** 2) * n * n / (A * A)) / n
+    pole = 1 - (1 - e2) / (2 * e) * math.log((1 - e) / (1 + e))
+    b = F.asin(q / pole)
+    lat = b + (e2 / 3 + 31 * e2**2 / 180 + 517 * e2**3 / 5040) * F.sin(2 * b) + (23 * e2**2 / 360 + 251 * e2**3 / 3780) * F.sin(4 * b) + 761 * e2**3 / 45360 * F.sin(6 * b)
+    return lon0 + F.degrees(F.atan2(x, rho0 - y) / n), F.degrees(lat)

@@ -45,6 +45,20 @@ def best_threshold(df: DataFrame, score: str = "logit") -> DataFrame:
     return cut.unionByName(end).orderBy(F.desc("accuracy"), "threshold").limit(1)
 
 
+def best_cut(df: DataFrame, key: str = "point_id", score: str = "logit") -> DataFrame:
+    """threshold, correct of the first best place to cut the rows in order of score (ties by key): places inside a tie count too.
+
+    Midway between the scores at the place, 1e-6 beyond the ends.
+    """
+    at = running(df.select(key, score, "y"), [score, key], (), ("y",)).select(F.col("pos_").alias("k"), F.col(score).alias("s"), F.col("run_y").alias("below"))
+    totals = F.broadcast(df.agg(F.sum("y").alias("p_"), F.count("*").alias("n_"), F.min(score).alias("low_"), F.max(score).alias("top_")))
+    cuts = at.crossJoin(totals).select("k", (F.col("k") - 2 * F.col("below") + F.col("p_")).alias("correct")).unionByName(totals.select(F.lit(0).cast("long").alias("k"), F.col("p_").alias("correct")))
+    best = cuts.orderBy(F.desc("correct"), "k").limit(1).crossJoin(totals).withColumnRenamed("k", "cut_")
+    near = at.join(F.broadcast(best), F.expr("k BETWEEN cut_ AND cut_ + 1")).groupBy("cut_").agg(F.avg("s").alias("mid_"), F.first("correct").alias("correct"), F.first("n_").alias("n_"), F.first("low_").alias("low_"), F.first("top_").alias("top_"))
+    threshold = F.when(F.col("cut_") == 0, F.col("low_") - 1e-6).when(F.col("cut_") >= F.col("n_"), F.col("top_") + 1e-6).otherwise(F.col("mid_"))
+    return near.select(threshold.alias("threshold"), "correct")
+
+
 def summary(df: DataFrame) -> DataFrame:
     """Accuracy, strict accuracy (0.75 / 0.25 band), hedged share, predicted-positive share, logit mean and deviation, losses, collapse flag."""
     p, y = probability(F.col("logit")), F.col("y")
@@ -77,17 +91,36 @@ def fit_temperature(df: DataFrame, low: float = 0.02, high: float = 20.0, points
     lo, hi = low, high
     for _ in range(rounds):
         grid = [lo * (hi / lo) ** (i / (points - 1)) for i in range(points)]
-        row = counts.agg(*(F.sum(F.col("c") * cross_entropy(F.col("logit") * g, F.col("y"))).alias(f"g{i}") for i, g in enumerate(grid))).first()
-        if row[0] is None:
+        scales = F.broadcast(df.sparkSession.createDataFrame(list(enumerate(grid)), "i int, g double"))
+        loss = F.sum(F.col("c") * cross_entropy(F.col("logit") * F.col("g"), F.col("y")))
+        row = counts.crossJoin(scales).groupBy("i").agg(loss.alias("loss")).where("loss is not null").orderBy("loss", "i").first()
+        if row is None:
             counts.unpersist()
             return 1.0
-        best = min(range(points), key=lambda i: row[i])
-        lo, hi = grid[max(0, best - 1)], grid[min(points - 1, best + 1)]
+        lo, hi = grid[max(0, row["i"] - 1)], grid[min(points - 1, row["i"] + 1)]
     counts.unpersist()
     return (lo * hi) ** 0.5
 
 
-def divergence(history: DataFrame, patience: int = 2) -> DataFrame:
+def calibration_report(df: DataFrame, key: str = "point_id", bins: int = 15) -> DataFrame:
+    """stage (before, after), temperature, brier, nll, ece, mce, auc, ap, ranking_preserved (both stages have the same AUC) and verdict.
+
+    The temperature divides the logits; above 1.05 the scores were overconfident, below 0.95 underconfident.
+    """
+    temperature = 1 / fit_temperature(df)
+    verdict = "overconfident" if temperature > 1.05 else "underconfident" if temperature < 0.95 else "calibrated"
+    both = None
+    for stage, t in (("before", 1.0), ("after", temperature)):
+        at = df.withColumn("logit", F.col("logit") / t)
+        row = summary(at).select(F.lit(stage).alias("stage"), F.lit(temperature).alias("temperature"), "brier", "nll")
+        row = row.crossJoin(calibration_error(reliability(at, bins))).crossJoin(roc_auc(at)).crossJoin(average_precision(at, key))
+        both = row if both is None else both.unionByName(row)
+    every = Window.partitionBy(F.lit(1))  # two rows
+    same = F.max("auc").over(every) - F.min("auc").over(every) < 1e-9
+    return both.withColumn("ranking_preserved", same).withColumn("verdict", F.lit(verdict))
+
+
+def divergence(history: DataFrame, patience: int = 3) -> DataFrame:
     """run_id, epoch at which the guard fires: strict rises while auc and ap fall for `patience` epochs; the streak then starts anew."""
     by = Window.partitionBy("run_id").orderBy("epoch")
     bad = (F.col("strict") > F.lag("strict").over(by)) & (F.col("auc") < F.lag("auc").over(by)) & (F.col("ap") < F.lag("ap").over(by))

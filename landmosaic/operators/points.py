@@ -138,3 +138,18 @@ def zoned(df: DataFrame, strata: tuple[str, ...] = ()) -> DataFrame:
     same = [F.col(c).eqNullSafe(F.col(f"at_{c}")) for c in strata]
     joined = df.join(F.broadcast(edges), same, "left") if strata else df.crossJoin(F.broadcast(edges))
     return joined.withColumn("spatial_zone", zone(F.col("density"), F.col("cuts_"))).drop("cuts_", *(f"at_{c}" for c in strata))
+
+
+def visit_verdict(df: DataFrame, flag: str, group: tuple[str, ...] = (), more: float = 1.3, less: float = 0.7) -> DataFrame:
+    """group, n, mean_visits, median_visits, multi_pct of the flagged records, others and mean_others of the rest, verdict (visited more, visited less, inconclusive).
+
+    One aggregate of n_visits for both sides; the median is that of integers. A group without one of the sides has no row.
+    """
+    yes, v = F.col(flag), F.col("n_visits")
+    mine = lambda c: F.when(yes, c)
+    out = df.groupBy(*group).agg(
+        F.count(mine(v)).alias("n"), F.avg(mine(v)).alias("mean_visits"), F.percentile(mine(v), F.lit(0.5)).alias("median_visits"), (100 * F.avg(mine((v > 1).cast("double")))).alias("multi_pct"),
+        F.count(F.when(~yes, v)).alias("others"), F.avg(F.when(~yes, v)).alias("mean_others"),
+    )
+    verdict = F.when(F.col("mean_visits") > F.col("mean_others") * more, "visited more").when(F.col("mean_visits") < F.col("mean_others") * less, "visited less").otherwise("inconclusive")
+    return out.where("n > 0 and others > 0").withColumn("verdict", verdict)

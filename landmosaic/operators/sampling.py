@@ -123,3 +123,17 @@ def training_frame(positives: DataFrame, negatives: DataFrame) -> DataFrame:
         raise ValueError("both sides need lon and lat")
     side = lambda df, label: df.select(*shared, (F.coalesce(F.col("weight").cast("double"), F.lit(1.0)) if "weight" in df.columns else F.lit(1.0)).alias("weight"), F.lit(label).alias("label"))
     return side(positives, 1).unionByName(side(negatives, 0))
+
+
+def dated(points: DataFrame, newest: int) -> DataFrame:
+    """points whose missing years are the latest year among them; `newest` (the latest layer's year) where none has one."""
+    latest = points.agg(F.max("year").alias("latest_"))
+    return points.crossJoin(F.broadcast(latest)).withColumn("year", F.coalesce("year", "latest_", F.lit(newest)).cast("int")).drop("latest_")
+
+
+def balance(rows: DataFrame, group: tuple[str, ...] = ("region", "split"), views: int = 4, severe: float = 3.0) -> DataFrame:
+    """group, positives, negatives, seen (positives times their views), ratio of seen to negatives, majority_pct (the accuracy of calling all positive)
+    and whether the ratio is severe. rows: group, label; a split without negatives is compared with one."""
+    n = rows.groupBy(*group).agg(F.sum((F.col("label") == 1).cast("long")).alias("positives"), F.sum((F.col("label") == 0).cast("long")).alias("negatives"))
+    seen = F.col("positives") * views
+    return n.withColumns({"seen": seen, "ratio": seen / F.greatest("negatives", F.lit(1)), "majority_pct": 100.0 * seen / F.greatest(seen + F.col("negatives"), F.lit(1)), "severe": seen / F.greatest("negatives", F.lit(1)) > severe})

@@ -21,4 +21,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import habitat, negatives, patches, points, scoring  # noqa: E402, F401
+from . import diagnosis, files, grids, habitat, negatives, patches, points, scoring  # noqa: E402, F401

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scores as C
 from ..operators import metrics as M
 from ..operators import sampling as S
+from ..operators.shared import saved
 from .fixtures import fx, with_fx
 from .habitat import used
 from .registry import query
@@ -88,19 +89,38 @@ def calibration_error(spark, sf):
     return M.calibration_error(M.reliability(points(spark, sf))).select(F.round("ece", 9).alias("ece"), F.round("mce", 9).alias("mce"))
 
 
-@query(None)
+def _fit_sql() -> str:
+    """Six rounds of a geometric grid of 33 scales, each narrowed to the neighbours of the least loss."""
+    out, scaled = ["f0 AS (SELECT 0.02e0 AS lo, 20e0 AS hi)"], CE.replace("logit", "(logit * g)")
+    for i in range(6):
+        out.append(f"g{i} AS (SELECT i, lo * pow(hi / lo, i / 32e0) AS g FROM f{i}, (SELECT unnest(range(33)) AS i))")
+        out.append(f"l{i} AS (SELECT i, any_value(g) AS g, sum({scaled}) AS loss FROM g{i}, pt GROUP BY i)")
+        out.append(f"b{i} AS (SELECT arg_min(i, loss) AS b FROM l{i})")
+        out.append(f"f{i + 1} AS (SELECT (SELECT g FROM l{i} WHERE i = greatest(0, b - 1)) AS lo, (SELECT g FROM l{i} WHERE i = least(32, b + 1)) AS hi FROM b{i})")
+    return ", ".join(out) + ", fit AS (SELECT 1 / sqrt(lo * hi) AS t FROM f6)"
+
+
+@query(f"""{PT}, {_fit_sql()}, st AS (SELECT 'before' AS stage, point_id, logit, y FROM pt UNION ALL SELECT 'after', point_id, logit / t, y FROM pt, fit), pr AS (SELECT *, {P_} AS p FROM st),
+m AS (SELECT stage, avg(pow(p - y, 2)) AS brier, avg({CE}) AS nll FROM pr GROUP BY 1),
+g AS (SELECT stage, count(*) AS n, abs(avg(p) - avg(y)) AS gap FROM (SELECT stage, least(floor(p * 15), 14) AS bin, p, y FROM pr) GROUP BY stage, bin), c AS (SELECT stage, sum(gap * n) / sum(n) AS ece, max(gap) AS mce FROM g GROUP BY 1),
+k AS (SELECT stage, y, rank() OVER (PARTITION BY stage ORDER BY logit) + (count(*) OVER (PARTITION BY stage, logit) - 1) / 2e0 AS rk, sum(y) OVER w AS h, row_number() OVER w AS i FROM st WINDOW w AS (PARTITION BY stage ORDER BY logit DESC, point_id ROWS UNBOUNDED PRECEDING)),
+a AS (SELECT stage, (sum(rk) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2e0) / (sum(y) * (count(*) - sum(y))) AS auc, sum(h / CAST(i AS DOUBLE)) FILTER (y = 1) / sum(y) AS ap FROM k GROUP BY 1)
+SELECT stage, round(t, 3) AS temperature, round(brier, 5) AS brier, round(nll, 5) AS nll, round(auc, 9) AS auc, round(ap, 9) AS ap, CASE WHEN stage = 'before' THEN round(ece, 9) ELSE round(ece, 3) END AS ece, CASE WHEN stage = 'before' THEN round(mce, 9) ELSE round(mce, 2) END AS mce,
+ (SELECT max(auc) - min(auc) < 1e-9 FROM a) AS ranking_preserved, CASE WHEN t > 1.05 THEN 'overconfident' WHEN t < 0.95 THEN 'underconfident' ELSE 'calibrated' END AS verdict FROM m JOIN c USING (stage) JOIN a USING (stage), fit""")
 def temperature_scaling(spark, sf):
-    """The fitted scale, metrics and AUC of the scores before and after, and the verdict."""
-    pt = points(spark, sf)
-    scale = M.fit_temperature(pt)
-    both = None
-    for stage, g in (("before", 1.0), ("after", scale)):
-        at = pt.withColumn("logit", F.col("logit") * g)
-        row = M.summary(at).select(F.lit(stage).alias("stage"), F.lit(g).alias("scale"), "brier", "nll")
-        row = row.crossJoin(M.calibration_error(M.reliability(at))).crossJoin(M.roc_auc(at))
-        both = row if both is None else both.unionByName(row)
-    verdict = F.when(F.col("scale") > 1.05, "underconfident").when(F.col("scale") < 0.95, "overconfident").otherwise("calibrated")
-    return both.withColumn("verdict", verdict)
+    """The fitted temperature, metrics and ranking of the scores before and after, and the verdict. Figures that hang on the fit's last digits are rounded."""
+    r = M.calibration_report(saved(points(spark, sf)))
+    first = F.col("stage") == "before"
+    return r.select("stage", F.round("temperature", 3).alias("temperature"), F.round("brier", 5).alias("brier"), F.round("nll", 5).alias("nll"), F.round("auc", 9).alias("auc"), F.round("ap", 9).alias("ap"),
+                    F.when(first, F.round("ece", 9)).otherwise(F.round("ece", 3)).alias("ece"), F.when(first, F.round("mce", 9)).otherwise(F.round("mce", 2)).alias("mce"), "ranking_preserved", "verdict")
+
+
+@query(f"""{PT}, o AS (SELECT logit AS s, row_number() OVER w AS k, 2 * sum(y) OVER w AS twice FROM pt WINDOW w AS (ORDER BY logit, point_id ROWS UNBOUNDED PRECEDING)), t AS (SELECT sum(y) AS p, count(*) AS n, min(logit) AS lo, max(logit) AS hi FROM pt),
+c AS (SELECT k, k - twice + p AS correct FROM o, t UNION ALL SELECT 0, p FROM t), b AS (SELECT * FROM c ORDER BY correct DESC, k LIMIT 1)
+SELECT round(CASE WHEN b.k = 0 THEN lo - 1e-6 WHEN b.k = n THEN hi + 1e-6 ELSE (SELECT avg(s) FROM o WHERE o.k BETWEEN b.k AND b.k + 1) END, 6) AS threshold, CAST(correct AS BIGINT) AS correct FROM b, t""")
+def best_cut(spark, sf):
+    """E6 with cuts inside ties."""
+    return M.best_cut(points(spark, sf)).select(F.round("threshold", 6).alias("threshold"), F.col("correct").cast("long").alias("correct"))
 
 
 EP = with_fx("fx_epochs")

@@ -17,23 +17,41 @@ def coordinate_columns(columns: list[str]) -> tuple[str, str] | None:
     return (found[0], found[1]) if all(found) else None
 
 
+def _files(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """The paths under a folder that match, from the listing alone."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path")
+
+
+def _headers(spark: SparkSession, files: list[str]) -> DataFrame:
+    """file, head: the first line of each; at most the first block of a file is read, line by line."""
+    lines = spark.read.text(files).where("_metadata.file_block_start = 0").select(F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("at"))
+    return lines.groupBy("file").agg(F.min_by("value", "at").alias("head"))
+
+
 def read_sightings(spark: SparkSession, path: str) -> DataFrame:
-    """lon, lat, state, year of all CSV files of a folder; state and year come from the file's name, other names are skipped.
+    """lon, lat, state, year of all CSV files of a folder; state and year come from the file's name (or that of the folder that
+    write_sightings() made of it), other names are skipped.
 
-    Files are listed by Spark and read once per distinct header line (a handful), so columns resolve by header.
+    Files (one a state and year) are listed by Spark and read once per distinct header line (a handful), so columns resolve by header.
     """
-    lines = spark.read.text(path, wholetext=True, pathGlobFilter="*.csv").select(F.col("_metadata.file_path").alias("file"), F.split("value", r"\r?\n", 2)[0].alias("head"), F.col("_metadata.file_name").alias("name"))
-    heads = lines.where(F.col("name").rlike(SIGHTINGS_NAME)).groupBy("head").agg(F.collect_list("file").alias("files")).collect()
+    place = lambda c: F.regexp_replace(c, r"^.*[/=]([A-Za-z]{2}_sightings_\d{4}\.csv)(/[^/]*)?$", "$1")
+    files = [r["path"] for r in _files(spark, path, "*.csv").where(place("path").rlike(SIGHTINGS_NAME)).collect()]
     out = spark.createDataFrame([], "lon double, lat double, state string, year int")
-    for row in heads:
+    for row in _headers(spark, files).groupBy("head").agg(F.collect_list("file").alias("files")).collect() if files else []:
         named = coordinate_columns([c.strip().strip('"') for c in row["head"].split(",")])
         if named:
-            name = F.col("_metadata.file_name")
+            name = place(F.col("_metadata.file_path"))
             part = spark.read.csv(row["files"], header=True).select("*", F.upper(F.regexp_extract(name, SIGHTINGS_NAME, 1)).alias("state_"), F.regexp_extract(name, SIGHTINGS_NAME, 2).cast("int").alias("year_"))
             out = out.unionByName(part.select(F.col(named[0]).cast("double").alias("lon"), F.col(named[1]).cast("double").alias("lat"), F.col("state_").alias("state"), F.col("year_").alias("year")))
     return out.dropna(subset=["lon", "lat"])
 
 
+def write_sightings(df: DataFrame, path: str) -> None:
+    """df (state, year and more) as one CSV data set named STATE_sightings_YEAR.csv for each state and year."""
+    named = df.withColumn("name", F.concat(F.col("state"), F.lit("_sightings_"), F.col("year").cast("string"), F.lit(".csv"))).drop("state", "year")
+    named.repartition("name").write.mode("overwrite").partitionBy("name").csv(path, header=True)
+
+
 def read_occurrences(spark: SparkSession, path: str, schema: str = "stateProvince string, year int, decimalLongitude double, decimalLatitude double") -> DataFrame:
     return spark.read.csv(path, sep="\t", header=True, schema=schema)
 
@@ -46,12 +64,12 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_crosswalk(spark: SparkSession, path: str) -> DataFrame:
-    """value, evt_phys, evt_group of the newest table (by name); headers trimmed and upper-cased; the last duplicate wins."""
-    files = spark.read.text(path, pathGlobFilter="LF*.csv").select(F.col("_metadata.file_path").alias("f"))
-    newest = files.agg(F.max("f")).first()[0]
+    """value, evt_phys, evt_group of the newest table (by name, LF*.csv: a file or a folder of parts); headers trimmed and upper-cased; the last duplicate wins."""
+    root = F.regexp_extract("path", r"^(.*LF[^/]*\.csv)", 1)
+    newest = _files(spark, path, "*.csv").select(root.alias("root")).where("root <> ''").agg(F.max(F.struct(F.substring_index("root", "/", -1), "root"))).first()[0]
     if newest is None:
         raise FileNotFoundError(f"no crosswalk table in {path}")
-    df = spark.read.csv(newest, header=True)
+    df = spark.read.csv(newest["root"], header=True)
     df = df.toDF(*(c.strip().upper() for c in df.columns)).withColumn("ord_", F.monotonically_increasing_id())
     group = F.col("EVT_GP_N") if "EVT_GP_N" in df.columns else F.lit(None).cast("string")
     last = Window.partitionBy("VALUE").orderBy(F.desc("ord_"))

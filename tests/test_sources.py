@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from landmosaic.sources import tables as T
-from landmosaic.streaming.ingest import held, ingest
+from landmosaic.streaming.ingest import append_new, held, ingest, sink_rows
 
 
 def test_sightings(spark, tmp_path):
@@ -59,3 +59,33 @@ def test_ingest_drops_seen_ids_over_runs(spark, tmp_path):
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert sorted(r["gbif_id"] for r in spark.read.parquet(sink).collect()) == ["1", "2", "3"]
     assert held(spark, sink, 1, 1, 1).first()["held"] == 3
+
+
+def test_batches_and_streams_share_a_sink(spark, tmp_path):
+    row = lambda i, v=1: ("sp", "S", 1.0, 2.0, "2020-01-01", 2020, 1, "ME", i, v, None)
+    frame = lambda *rows: spark.createDataFrame(list(rows), T.CANDIDATES)
+    src, sink = str(tmp_path / "src"), str(tmp_path / "sink")
+    assert sink_rows(spark, sink) is None
+    append_new(frame(row("1", 5), row("1", 4), row("2"), row(None)), sink, "a")
+    frame(row("2", 9), row("3")).write.parquet(f"{src}/x")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    ingest(spark, f"{src}/*", sink, str(tmp_path / "cp"))
+    frame(row("4"), row("1", 0)).write.parquet(f"{src}/y")
+    ingest(spark, f"{src}/*", sink, str(tmp_path / "cp"))
+    ingest(spark, f"{src}/*", sink, str(tmp_path / "another"))  # from the start again, under another name
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    append_new(frame(row("1", 5), row("1", 4), row("2"), row(None)), sink, "a")  # delivered twice
+    got = sorted((r["gbif_id"], r["how_many"]) for r in sink_rows(spark, sink).collect())
+    assert got == [("1", 4), ("2", 1), ("3", 1), ("4", 1)]
+    with pytest.raises(ValueError, match="not"):
+        append_new(frame(row("9")).withColumn("year", F.col("year").cast("string")), sink, "b")
+    with pytest.raises(ValueError, match="not"):
+        append_new(frame(row("9")).drop("month"), sink, "b")
+
+
+def test_sightings_sink_is_read_back(spark, tmp_path):
+    rows = [(-70.5, 44.0, "ME", 2020), (-71.0, 43.5, "NH", 2021), (-71.5, 43.0, "NH", 2021)]
+    T.write_sightings(spark.createDataFrame(rows, "longitude double, latitude double, state string, year int"), str(tmp_path / "s"))
+    assert sorted(map(tuple, T.read_sightings(spark, str(tmp_path / "s")).collect())) == sorted(rows)
+    (tmp_path / "none").mkdir()
+    assert T.read_sightings(spark, str(tmp_path / "none")).count() == 0
