@@ -15,6 +15,30 @@ from .shared import saved
 #: Every variable of the sweep and its variants (fixed values): its codes as they are, so many quantile bins, or disturbed or not.
 VARIABLES = {"evt": ("raw",), "evt_phys": ("raw",), "evt_group": ("raw",), "sclass": ("raw",)} | {c: ("q2", "q3", "q4", "q5") for c in ("evh", "evc", "ch", "cc")} | {"fdist": ("raw", "binary")}
 
+#: Variables that say nothing if all their values are one, as where no attribute table was read.
+MACROS = ("evt_phys", "evt_group")
+
+
+def verdicts(df: DataFrame, variables: tuple[str, ...] = tuple(VARIABLES), group: tuple[str, ...] = GROUP, macros: tuple[str, ...] = MACROS) -> DataFrame:
+    """group, variable, n (rows with a value), single (no two values differ), usable: n > 0 and, for macros, not single.
+
+    One pass that keeps count, least and greatest value of each variable: no set of values is held and no row is repeated.
+    A variable that df lacks, or that is null throughout, has n = 0 and is single; no rows, no groups.
+    """
+    at = lambda v: F.col(v) if v in df.columns else F.lit(None).cast("string")
+    found = df.groupBy(*group).agg(*(F.struct(F.count(at(v)).alias("n"), F.coalesce(F.min(at(v)) == F.max(at(v)), F.lit(True)).alias("single")).alias(f"u_{v}") for v in variables))
+    each = F.explode(F.array(*(F.struct(F.lit(v).alias("variable"), f"u_{v}.n", f"u_{v}.single") for v in variables)))
+    rows = found.select(*group, each.alias("v")).select(*group, "v.*")
+    return rows.withColumn("usable", (F.col("n") > 0) & ~(F.col("variable").isin(*macros) & F.col("single")))
+
+
+def without_unusable(swept: DataFrame, judged: DataFrame, group: tuple[str, ...] = GROUP) -> DataFrame:
+    """The schemes (combo) of a sweep all of whose variables are usable in their group, by verdicts(): a few rows a group."""
+    bad = judged.where("not usable").groupBy(*group).agg(F.collect_set("variable").alias("bad_"))
+    named = F.transform(F.split("combo", r" \+ "), lambda c: F.substring_index(c, "(", 1))
+    joined = swept.join(bad, list(group), "left")
+    return joined.where(F.col("bad_").isNull() | ~F.arrays_overlap(named, "bad_")).drop("bad_")
+
 
 @dataclass
 class Plan:
@@ -60,7 +84,7 @@ def _labels(df: DataFrame, variables: dict[str, tuple[str, ...]], group: tuple[s
     return df.join(F.broadcast(fitted), list(group)).select(*group, *out), names, columns
 
 
-def usable(df: DataFrame, variables: dict[str, tuple[str, ...]] = VARIABLES, named: tuple[str, ...] = ("evt_phys", "evt_group")) -> dict[str, tuple[str, ...]]:
+def usable(df: DataFrame, variables: dict[str, tuple[str, ...]] = VARIABLES, named: tuple[str, ...] = MACROS) -> dict[str, tuple[str, ...]]:
     """The variables that are there, have a value and, for the macro classes, more than one."""
     have = [v for v in variables if v in df.columns]
     row = df.agg(*(F.count(v).alias(f"n_{v}") for v in have), *(F.approx_count_distinct(v).alias(f"k_{v}") for v in have if v in named)).first() if have else {}
@@ -114,7 +138,10 @@ def cells(spark: SparkSession, df: DataFrame, variables: dict[str, tuple[str, ..
 
 
 def sweep(spark: SparkSession, df: DataFrame, variables: dict[str, tuple[str, ...]] = VARIABLES, viable: int = 30, group: tuple[str, ...] = GROUP) -> DataFrame:
-    """group, combo, n_vars and the metrics of every scheme over the usable variables; no rows without any."""
+    """group, combo, n_vars and the metrics of every scheme over the usable variables; no rows without any.
+
+    A variable counts as usable here if it is so in all rows together; without_unusable() then drops the schemes of groups where it isn't.
+    """
     good = usable(df, variables)
     if not good:
         return scheme_metrics(df.select(*group, F.lit("").alias("combo"), F.lit(0).alias("n_vars"), F.lit(0).cast("long").alias("c")).where("false"), viable, group)

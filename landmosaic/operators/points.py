@@ -47,14 +47,15 @@ def clip_diagnostics(df: DataFrame, boxes: DataFrame) -> DataFrame:
 
 
 def collapsed(df: DataFrame, key: tuple[str, ...] = ("region",), places: int = 5) -> DataFrame:
-    """One row per rounded location: the latest year's first row, with n_visits, first_year, last_year; one shuffle."""
-    at = [*key, F.round("lon", places), F.round("lat", places)]
-    w = Window.partitionBy(*at)
-    return (
-        df.withColumn("rn_", F.row_number().over(w.orderBy(F.desc("year"), "sid")))
-        .withColumns({"n_visits": F.count("*").over(w), "first_year": F.min("year").over(w), "last_year": F.max("year").over(w)})
-        .where("rn_ = 1").drop("rn_")
-    )
+    """One row per rounded location: the latest year's first row, with n_visits, first_year, last_year; one shuffle.
+
+    An aggregation, not a window, so the records of a much used pin are combined within tasks before the shuffle.
+    """
+    counts = {"n_visits": F.count("*"), "first_year": F.min("year"), "last_year": F.max("year")}
+    row = F.struct(*(c for c in df.columns if c not in counts))
+    order = F.struct(F.col("year").isNull(), -F.col("year"), "sid")  # years descending, those without one last
+    at = [*(F.col(c).alias(f"at_{c}") for c in key), F.round("lon", places).alias("at_lon"), F.round("lat", places).alias("at_lat")]
+    return df.groupBy(*at).agg(F.min_by(row, order).alias("row_"), *(v.alias(c) for c, v in counts.items())).select("row_.*", *counts)
 
 
 def pairs_within(a: DataFrame, b: DataFrame, radius: float, same: tuple[str, ...] = ()) -> DataFrame:

@@ -9,7 +9,7 @@ from ..operators import points as P
 from ..operators import raster as R
 from ..operators import sampling as S
 from .fixtures import FX, fx, with_fx
-from .habitat import LABELLED, GOOD, PIX, SIGHT, USED, pixels, used
+from .habitat import LABELLED, GOOD, PIX, SIGHT, SPATIAL, USED, pixels, spatially_zoned, used
 from .negatives import drawn
 from .points import IN_BOX, PROJ, clipped, habitat_points
 from .registry import ORACLE_SQL, query
@@ -24,7 +24,8 @@ def visit_verdict(spark, sf):
     return P.visit_verdict(rows, "exotic", ("region",)).select("region", "n", F.round("mean_visits", 9).alias("mean_visits"), "median_visits", F.round("multi_pct", 9).alias("multi_pct"), "others", F.round("mean_others", 9).alias("mean_others"), "verdict")
 
 
-FLAGGED = f"""{PIX}, {SIGHT}, {GOOD}, {LABELLED}, flagged AS (SELECT c.region, c.sid, c.year, round(c.lon, 5) AS lon, round(c.lat, 5) AS lat, a.nonveg FROM clip c LEFT JOIN avl a ON a.row_id = CAST(floor((48e0 - lat) / 0.01e0) AS INT) AND a.col_id = CAST(floor((lon + 74e0) / 0.01e0) AS INT))"""
+FLAGS = """flagged AS (SELECT c.region, c.sid, c.year, round(c.lon, 5) AS lon, round(c.lat, 5) AS lat, a.nonveg FROM clip c LEFT JOIN avl a ON a.row_id = CAST(floor((48e0 - lat) / 0.01e0) AS INT) AND a.col_id = CAST(floor((lon + 74e0) / 0.01e0) AS INT))"""
+FLAGGED = f"{PIX}, {SIGHT}, {GOOD}, {LABELLED}, {FLAGS}"
 
 
 def flagged(spark, sf):
@@ -51,6 +52,17 @@ def duplicates_by_flag(spark, sf):
     return g.groupBy("region", "subset").agg(F.sum("n").alias("records"), F.count("*").alias("locations"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("repeated"), F.max("n").alias("most"))
 
 
+@query(f"""{SPATIAL}, {FLAGS}, hot AS (SELECT region, round(lon, 5) AS lon, round(lat, 5) AS lat FROM ue JOIN zn USING (region, sid) WHERE zone = 'Hot'),
+g AS (SELECT f.region, CASE WHEN hot.lon IS NULL THEN 'elsewhere' ELSE 'hotspot' END AS subset, f.lon, f.lat, count(*) AS n FROM flagged f LEFT JOIN hot ON hot.region = f.region AND hot.lon = f.lon AND hot.lat = f.lat WHERE NOT f.nonveg GROUP BY 1, 2, 3, 4)
+SELECT region, subset, CAST(sum(n) AS BIGINT) AS records, count(*) AS locations, CAST(sum(CASE WHEN n > 1 THEN n ELSE 0 END) AS BIGINT) AS repeated, max(n) AS most FROM g GROUP BY 1, 2""")
+def duplicates_in_hotspots(spark, sf):
+    """D15 on habitat records in the region's density hotspots, against those elsewhere; records are counted by location before the join."""
+    g = flagged(spark, sf).where("not nonveg").groupBy("region", "lon", "lat").agg(F.count("*").alias("n"))
+    hot = spatially_zoned(spark, sf).where("spatial_zone = 'Hot'").select("region", F.round("lon", 5).alias("lon"), F.round("lat", 5).alias("lat"), F.lit("hotspot").alias("subset"))
+    g = g.join(hot, ["region", "lon", "lat"], "left").withColumn("subset", F.coalesce("subset", F.lit("elsewhere")))
+    return g.groupBy("region", "subset").agg(F.sum("n").alias("records"), F.count("*").alias("locations"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("repeated"), F.max("n").alias("most"))
+
+
 @query(f"""{PROJ}, fx_candidates AS ({FX["fx_candidates"]}), neg AS ({ORACLE_SQL["weighted_negatives"]}), r AS (SELECT region, CASE WHEN sid % 5 = 0 THEN 'val' ELSE 'train' END AS split, 1 AS label FROM proj
 UNION ALL SELECT region, split, 0 FROM neg JOIN fx_candidates USING (gbif_id) JOIN fx_regions ON {IN_BOX}), n AS (SELECT region, split, CAST(sum(label) AS BIGINT) AS positives, CAST(count(*) - sum(label) AS BIGINT) AS negatives FROM r GROUP BY 1, 2)
 SELECT *, 4 * positives AS seen, round(4e0 * positives / greatest(negatives, 1), 9) AS ratio, round(400e0 * positives / (4 * positives + negatives), 9) AS majority_pct, 4e0 * positives / greatest(negatives, 1) > 3 AS severe FROM n""")

@@ -403,12 +403,27 @@ def best_schemes(spark, sf):
     return swept(spark, sf).withColumn("score", F.round("score", 6)).withColumn("rn", F.row_number().over(w)).where("rn = 1").select("region", "n_vars", "combo", "score")
 
 
+def swept_records(spark, sf):
+    """Habitat records with the nine variables of the sweep."""
+    return used(spark, sf).where("not nonveg").withColumn("evt_group", F.regexp_extract("evt_phys", "^[A-Za-z]+", 0))
+
+
 @query(None)
 def full_sweep(spark, sf):
     """Every scheme of nine variables and all their variants (29,999) in each region, by the lattice; tests compare it with direct grouping."""
-    records = used(spark, sf).where("not nonveg").withColumn("evt_group", F.regexp_extract("evt_phys", "^[A-Za-z]+", 0))
+    records = swept_records(spark, sf)
     rounded = (F.round(c, 6).alias(c) for c in ("coverage_pct", "evenness", "singleton_pct", "score"))
-    return L.sweep(spark, records).select("region", "combo", "n_vars", "n_envelopes", "n_viable", "median_per_env", *rounded)
+    return L.without_unusable(L.sweep(spark, records), L.verdicts(records)).select("region", "combo", "n_vars", "n_envelopes", "n_viable", "median_per_env", *rounded)
+
+
+SWEPT = f"{USED}, h AS (SELECT *, phys AS evt_phys, regexp_extract(phys, '^[A-Za-z]+') AS evt_group FROM used WHERE NOT nonveg)"
+
+
+@query(f"""{SWEPT}, v AS ({" UNION ALL ".join(f"SELECT region, '{v}' AS variable, count({v}) AS n, count(DISTINCT {v}) AS kinds FROM h GROUP BY region" for v in L.VARIABLES)})
+SELECT region, variable, n, kinds < 2 AS single, n > 0 AND NOT (kinds < 2 AND variable IN ('evt_phys', 'evt_group')) AS usable FROM v""")
+def column_verdicts(spark, sf):
+    """Which of the sweep's nine variables are usable in each region."""
+    return L.verdicts(swept_records(spark, sf))
 
 
 @query(f"{PIX} SELECT count(evt) AS evt, count(DISTINCT evt) AS evt_kinds, count(fdist) AS fdist, count(DISTINCT fdist) AS fdist_kinds FROM fx_pixels")

@@ -63,3 +63,20 @@ def test_plan_covers_all_schemes_and_parents_are_finer():
 
 def test_nothing_to_sweep(spark):
     assert lattice.sweep(spark, spark.createDataFrame([("A", None)], "region string, evh int")).count() == 0
+
+
+def test_verdicts_are_by_region(spark):
+    """A class that is one value in a region, or a column null throughout there, drops its schemes in that region alone."""
+    rows = [("A" if i < 60 else "B", "one" if i < 60 else f"c{i % 3}", i % 4, None if i >= 60 else i % 5) for i in range(120)]
+    df = spark.createDataFrame(rows, "region string, evt_phys string, sclass int, ch int")
+    variables = {v: lattice.VARIABLES[v] for v in ("evt_phys", "sclass", "ch", "cc")}
+    got = {(r["region"], r["variable"]): (r["n"], r["single"], r["usable"]) for r in lattice.verdicts(df, tuple(variables)).collect()}
+    assert got == {
+        ("A", "evt_phys"): (60, True, False), ("A", "sclass"): (60, False, True), ("A", "ch"): (60, False, True), ("A", "cc"): (0, True, False),
+        ("B", "evt_phys"): (60, False, True), ("B", "sclass"): (60, False, True), ("B", "ch"): (0, True, False), ("B", "cc"): (0, True, False),
+    }
+    swept = lattice.without_unusable(lattice.sweep(spark, df, variables, viable=5), lattice.verdicts(df, tuple(variables))).collect()
+    schemes = {r: {x["combo"] for x in swept if x["region"] == r} for r in "AB"}
+    assert not any("evt_phys" in c for c in schemes["A"]) and any("ch(" in c for c in schemes["A"]) and "sclass(raw)" in schemes["A"]
+    assert schemes["B"] == {"evt_phys(raw)", "sclass(raw)", "evt_phys(raw) + sclass(raw)"}
+    assert lattice.verdicts(df.limit(0), tuple(variables)).count() == 0

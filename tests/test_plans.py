@@ -155,3 +155,15 @@ def test_each_cycle_deals_a_class_once_in_a_new_order(spark):
     assert sorted(r["point_id"] for r in got if r["y"] == 0) == list(range(5, 45))
     with pytest.raises(ValueError):
         sampling.balanced_batches(df.where("y = 1"), "point_id")
+
+
+def test_collapsed_takes_the_latest_years_first_record(spark):
+    """Ties of year go to the least sid; records without a year come last; rows of one pin are one group however many."""
+    rows = [("A", 3, 2020, 1.000001, 2.0), ("A", 2, 2020, 1.000002, 2.0), ("A", 1, 2019, 1.0, 2.0), ("A", 9, None, 1.0, 2.0), ("B", 5, None, 1.0, 2.0), ("B", 4, None, 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "region string, sid long, year int, lon double, lat double")
+    got = {r["region"]: (r["sid"], r["year"], r["lon"], r["n_visits"], r["first_year"], r["last_year"]) for r in points.collapsed(df).collect()}
+    assert got == {"A": (2, 2020, 1.000002, 4, 2019, 2020), "B": (4, None, 1.0, 2, None, None)}
+    assert points.collapsed(df.limit(0)).count() == 0 and points.collapsed(df).columns == [*df.columns, "n_visits", "first_year", "last_year"]
+    many = spark.range(5000).selectExpr("'A' AS region", "id AS sid", "2000 AS year", "1D AS lon", "2D AS lat")
+    assert [(r["sid"], r["n_visits"]) for r in points.collapsed(many).collect()] == [(0, 5000)]
+    assert "Window" not in points.collapsed(many)._jdf.queryExecution().executedPlan().toString()
