@@ -11,20 +11,13 @@ from pyspark.sql import functions as F
 
 from ..functions.binning import unmasked
 from ..functions.scores import probability
-from .shared import saved
+from .shared import few, saved
 
 #: Pixels a side of the tiles in which windows are summed.
 TILE = 128
-#: Keys of at most so many rows are broadcast.
-FEW = 1_000_000
 SUMS = "row_id int, col_id int, feature string, code int, n long, total double"
 
 
-def few(df: DataFrame) -> DataFrame:
-    """df (written) with a broadcast hint if it has few rows."""
-    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
-
-
 def _on_tiles(spots: DataFrame, before: int, after: int, tile: int) -> DataFrame:
     """A row for each tile that the rows and columns from `before` up to `after` pixels round a spot touch."""
     reach = lambda c: F.explode(F.sequence(F.floor((F.col(c) - before) / tile), F.floor((F.col(c) + after) / tile)))

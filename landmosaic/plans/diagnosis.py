@@ -33,6 +33,7 @@ def flagged(spark, sf):
     at = R.indexed(clipped(spark, sf))
     spots = at.select("row_id", "col_id").distinct()
     flags = E.with_nonveg(R.classified(R.sampled(spots, pixels(spark, sf)), fx(spark, sf, "fx_crosswalk"))).groupBy("row_id", "col_id").agg(F.max("nonveg").alias("nonveg"))
+    flags = P.saved(flags)
     return at.join(flags, ["row_id", "col_id"], "left").select("region", "sid", "year", F.round("lon", 5).alias("lon"), F.round("lat", 5).alias("lat"), "nonveg")
 
 

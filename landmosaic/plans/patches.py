@@ -83,7 +83,7 @@ def coded(spark, sf):
     block = F.concat_ws("_", F.floor(x / 3000), F.floor(y / 3000))
     values = pixels(spark, sf).select("row_id", "col_id", *(unmasked(F.col(c)).alias(c) for c in CODES))
     rows = patch_points(spark, sf).withColumn("val", hash_share(42, block) < 2000)
-    return rows.join(values, ["row_id", "col_id"]).select("kind", "id", "y", "weight", "val", *CODES)
+    return rows.join(R.asked(rows, values), ["row_id", "col_id"]).select("kind", "id", "y", "weight", "val", *CODES)
 
 
 @query(f"{CODED}, {bayes_sql('held')} SELECT feature, code, round(log_odds, 9) AS log_odds FROM odds UNION ALL SELECT 'prior', NULL, round(prior, 9) FROM prior")
