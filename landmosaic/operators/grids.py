@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import albers_terms, from_albers, to_albers
-from .shared import saved
+from .shared import few, saved
 
 GRID = "feature string, p1 double, p2 double, lat0 double, lon0 double, x_left double, y_top double, res double, n_rows int, n_cols int"
 TERMS = ("n_", "c_", "rho0_")
@@ -80,10 +80,10 @@ def centres(pixels: DataFrame, grids: DataFrame) -> DataFrame:
 def sampled_by_grid(points: DataFrame, grids: DataFrame, values: DataFrame, key: tuple[str, ...], features: tuple[str, ...]) -> DataFrame:
     """key and a column per feature: the value of each layer's own pixel under a point (values: feature, row_id, col_id, value).
 
-    Points that share a layer's pixel look it up once; NULL outside a layer or without data.
+    Points that share a layer's pixel look it up once; the values asked for are picked out before any shuffle as long as they are few. NULL outside a layer or without data.
     """
     at = saved(located(points.select(*key, "lon", "lat"), grids).where("inside").select(*key, "feature", "row_id", "col_id"))
-    spots = at.select("feature", "row_id", "col_id").distinct()
-    found = values.join(spots, ["feature", "row_id", "col_id"], "left_semi").groupBy("feature", "row_id", "col_id").agg(F.max("value").alias("value"))
+    spots = few(saved(at.select("feature", "row_id", "col_id").distinct()))
+    found = saved(values.join(spots, ["feature", "row_id", "col_id"], "left_semi").groupBy("feature", "row_id", "col_id").agg(F.max("value").alias("value")))
     wide = at.join(found, ["feature", "row_id", "col_id"]).groupBy(*key).agg(*(F.max(F.when(F.col("feature") == f, F.col("value"))).alias(f) for f in features))
     return points.select(*key).distinct().join(wide, list(key), "left")
