@@ -1,8 +1,14 @@
 """What a query does not do as its tables grow: rasters sent through the driver or shuffled whole, pairs of all near points."""
 
+import random
+
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from landmosaic.operators import raster
+from landmosaic.operators import kernel, points, raster
+from landmosaic.operators.nearest import closest
+from landmosaic.plans import fixtures
 from landmosaic.plans.fixtures import fx
 from landmosaic.plans.registry import QUERIES
 
@@ -13,13 +19,13 @@ def plan_of(df):
 
 @pytest.fixture
 def world(spark, sf):
-    points = spark.createDataFrame([(i, i % 7, i % 5) for i in range(50)], "id int, row_id long, col_id long")
-    return points, fx(spark, sf, "fx_pixels")
+    spots = spark.createDataFrame([(i, i % 7, i % 5) for i in range(50)], "id int, row_id long, col_id long")
+    return spots, fx(spark, sf, "fx_pixels")
 
 
 def test_sampling_sends_only_the_asked_pixels_keys_to_the_driver(world):
-    points, pixels = world
-    plan = plan_of(raster.sampled(points, pixels))
+    spots, pixels = world
+    plan = plan_of(raster.sampled(spots, pixels))
     assert plan.count("BroadcastExchange") == 1 and "SortMergeJoin" in plan
     sent = plan[plan.index("BroadcastExchange") :]
     assert "explode" not in sent
@@ -28,3 +34,62 @@ def test_sampling_sends_only_the_asked_pixels_keys_to_the_driver(world):
 def test_aligned_layers_are_shuffled_not_sent(spark, sf):
     plan = plan_of(QUERIES["align_layers"](spark, sf))
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_sums_by_nodes_equal_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    spots = [(k % 2, 4000.0 + rng.uniform(0, 3300), -2000.0 + rng.uniform(0, 3300), 600.0 * (k % 3), 1 + k % 4) for k in range(2400)]
+    spots += [(0, rng.uniform(-30000, 30000), rng.uniform(-30000, 30000), 0.0, 1) for _ in range(300)]
+    spots += [(1, 4000.0 + 18000 + rng.uniform(0, 700), rng.uniform(-300, 300), 600.0, 2) for _ in range(400)]
+    df = spark.createDataFrame(spots, "g int, x double, y double, z double, many long")
+    monkeypatch.setattr(kernel, "CROWDED", 100)
+    got = {(r["g"], r["x"], r["y"], r["z"]): r["s_"] for r in kernel.summed(df, ("g",), ["z"], 3000.0, 6.0).collect()}
+    want = {(r["g"], r["x"], r["y"], r["z"]): r["s_"] for r in points._paired(df, ("g",), ["z"], 3000.0).collect()}
+    assert got.keys() == want.keys()
+    assert max(abs(got[k] - v) / v for k, v in want.items()) < 1e-11
+
+
+def test_crowded_cells_make_no_row_for_each_pair(spark):
+    rng = random.Random(6)
+    df = spark.createDataFrame([(i, rng.uniform(100, 1400), rng.uniform(100, 1400)) for i in range(3000)], "id int, x double, y double")
+    plan = plan_of(points.density(df, "id", least=0))
+    assert "FlatMapCoGroupsInPandas" in plan
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_closest_equals_all_pairs(seed):
+    rng = np.random.default_rng(seed)
+    a, b = rng.uniform(-500, 1500, (2, 700)), rng.normal(300, 10 ** (seed + 0.5), (2, 3000))
+    d = np.sqrt((a[0][:, None] - b[0]) ** 2 + (a[1][:, None] - b[1]) ** 2).min(1)
+    assert np.array_equal(closest(*a, *b, 400.0), np.where(d <= 400, d, np.inf))
+    assert np.isinf(closest(*a, *b[:, :0], 400.0)).all()
+
+
+def test_nearest_makes_no_row_for_each_pair(spark):
+    a = spark.createDataFrame([(1, 0.0, 0.0), (2, 900.0, 0.0), (3, None, 1.0), (4, 5000.0, 0.0)], "id int, x double, y double")
+    b = spark.createDataFrame([(0.0, 3.0), (0.0, 3.0), (0.0, 4.0), (None, None)], "x double, y double")
+    near = points.nearest_within(a, b, "id", 1000.0)
+    assert {r["id"]: r["distance"] and round(r["distance"], 6) for r in near.collect()} == {1: 3.0, 2: 900.005, 3: None, 4: None}
+    assert "FlatMapCoGroupsInPandas" in plan_of(near)
+    assert sorted(r["id"] for r in points.buffered_out(a, b, "id", 300.0).collect()) == [2, 3, 4]
+
+
+def test_pixels_are_counted_before_bins_are_fitted(spark, sf, monkeypatch):
+    monkeypatch.setattr(fixtures, "TILES_A_TASK", 100)
+    assert fixtures.fx(spark, sf, "fx_pixels").rdd.getNumPartitions() >= 15
+    plan = plan_of(QUERIES["binned_columns"](spark, sf))
+    assert "explode" not in plan
+
+
+@pytest.mark.parametrize("spread", (10.0, 300.0))
+def test_thinning_a_crowd_keeps_what_taking_in_order_keeps(spark, monkeypatch, spread):
+    rng = random.Random(int(spread))
+    rows = [(i, rng.uniform(-spread, spread), rng.uniform(-spread, spread), rng.random()) for i in range(400)] + [(900, None, 1.0, 0.5), (901, None, 1.0, 0.4)]
+    df = spark.createDataFrame(rows, "id int, x double, y double, p double")
+    monkeypatch.setattr(points, "pairs_within", None)  # no table of all near pairs
+    want, taken = {900, 901}, []
+    for i, x, y, _ in sorted((r for r in rows if r[1] is not None), key=lambda r: r[3]):
+        if all((x - u) ** 2 + (y - v) ** 2 >= 900 for u, v in taken):
+            taken.append((x, y))
+            want.add(i)
+    assert {r["id"] for r in points.thinned(df, "id", 30.0, F.col("p")).collect()} == want
