@@ -31,6 +31,20 @@ def test_sampling_sends_only_the_asked_pixels_keys_to_the_driver(world):
     assert "explode" not in sent
 
 
+@pytest.mark.parametrize("most", (100_000, 3))
+def test_asked_pixels_are_sent_as_bits_of_blocks(spark, monkeypatch, most):
+    spots = spark.createDataFrame([(r, c) for r in range(-16, 16) for c in range(-20, 12) if (r * 7 + c) % 3] + [(None, 1), (2, None)], "row_id int, col_id int")
+    pixels = spark.range(4096).selectExpr("id div 64 - 30 as row_id", "id % 64 - 40 as col_id", "id as v")
+    sent, few = [], raster.few
+    monkeypatch.setattr(raster, "few", lambda df, *rows: sent.append(df.count()) or few(df, *rows))
+    monkeypatch.setattr(raster, "ASKED_BLOCKS", most, raising=False)
+    got = raster.asked(spots, pixels)
+    want = pixels.join(spots.distinct(), ["row_id", "col_id"], "left_semi")
+    assert got.columns == pixels.columns and sorted(got.collect()) == sorted(want.collect()) and want.count() > 600
+    assert sent == [20]  # blocks, not 682 pixels
+    assert ("BroadcastExchange" in plan_of(got)) == (most > 3)
+
+
 def test_aligned_layers_are_shuffled_not_sent(spark, sf):
     plan = plan_of(QUERIES["align_layers"](spark, sf))
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
