@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: A side of a join is broadcast only if it has at most this many rows of fixed width (16 bytes or so each).
 BROADCAST_ROWS = 1_000_000
 #: Python workers are handed batches of at most so many bytes, whatever the number of rows.
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -3,9 +3,11 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from landmosaic.llm.common import in_batches
 from landmosaic.operators import kernel, points, raster
 from landmosaic.operators.nearest import closest
 from landmosaic.plans import fixtures
@@ -107,3 +109,10 @@ def test_thinning_a_crowd_keeps_what_taking_in_order_keeps(spark, monkeypatch, s
             taken.append((x, y))
             want.add(i)
     assert {r["id"] for r in points.thinned(df, "id", 30.0, F.col("p")).collect()} == want
+
+
+def test_python_workers_get_small_batches(spark):
+    texts = spark.range(0, 120, 1, 1).select(F.expr("repeat('x', 100000)").alias("text"))
+    sizes = in_batches(texts, lambda batches: (pd.DataFrame({"n": [int(b["text"].str.len().sum())]}) for b in batches), "n long")
+    got = [r["n"] for r in sizes.collect()]
+    assert sum(got) == 12_000_000 and max(got) <= 2_200_000
