@@ -1,6 +1,7 @@
 """What a query does not do as its tables grow: rasters sent through the driver or shuffled whole, pairs of all near points."""
 
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from landmosaic.llm.common import in_batches
-from landmosaic.operators import kernel, points, raster
+from landmosaic.operators import envelopes, kernel, points, raster
 from landmosaic.operators.nearest import closest
 from landmosaic.plans import fixtures
 from landmosaic.plans.fixtures import fx
@@ -19,6 +20,18 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def sent(df):
+    """The part of the plan below each broadcast."""
+    lines, out = plan_of(df).split("\n"), []
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line and "ReusedExchange" not in line:
+            depth = line.index("BroadcastExchange")
+            below = lines[i + 1 :]
+            end = next((k for k, x in enumerate(below) if len(x) - len(x.lstrip(" :+-*()0123456789")) <= depth), len(below))
+            out.append("\n".join(below[:end]))
+    return out
+
+
 @pytest.fixture
 def world(spark, sf):
     spots = spark.createDataFrame([(i, i % 7, i % 5) for i in range(50)], "id int, row_id long, col_id long")
@@ -116,3 +129,24 @@ def test_python_workers_get_small_batches(spark):
     sizes = in_batches(texts, lambda batches: (pd.DataFrame({"n": [int(b["text"].str.len().sum())]}) for b in batches), "n long")
     got = [r["n"] for r in sizes.collect()]
     assert sum(got) == 12_000_000 and max(got) <= 2_200_000
+
+
+@pytest.mark.parametrize("n", (20, 400))
+def test_density_sends_no_points_or_nodes_to_the_driver(spark, n):
+    rng = random.Random(3)
+    df = spark.createDataFrame([(k, k % 2, rng.uniform(0, 3000), rng.uniform(0, 3000)) for k in range(n)], "sid long, g int, x double, y double")
+    plan = points.density(df, "sid", strata=("g",), least=0)
+    assert "SortMergeJoin" in plan_of(plan) and sent(plan)
+    assert not [x for x in sent(plan) if re.search(r"\b(x|s_x|bx|node)#", x)]
+
+
+def test_zones_and_shares_do_not_repeat_what_made_their_rows(spark):
+    df = spark.range(100).selectExpr("id % 3 AS region", "id", "id * 0.5 AS density")
+    assert "Range" not in plan_of(points.zoned(df, ("region",)))
+    used = spark.range(60).selectExpr("concat('r', id % 2) AS region", "concat('e', id % 5) AS envelope_id")
+    assert "Range" not in plan_of(envelopes.selection(used, used.where("envelope_id <> 'e0'")))
+
+
+@pytest.mark.parametrize("name", ("density_overlap", "hotspot_classes"))
+def test_shares_of_zones_are_made_from_written_counts(spark, sf, name):
+    assert "SortMergeJoin" not in plan_of(QUERIES[name](spark, sf))
