@@ -8,6 +8,7 @@ from ..operators import envelopes as E
 from ..operators import points as P
 from ..operators import raster as R
 from ..operators import sampling as S
+from ..operators.shared import few
 from .fixtures import FX, fx, with_fx
 from .habitat import LABELLED, GOOD, PIX, SIGHT, SPATIAL, USED, pixels, spatially_zoned, used
 from .negatives import drawn
@@ -33,8 +34,7 @@ def flagged(spark, sf):
     at = R.indexed(clipped(spark, sf))
     spots = at.select("row_id", "col_id").distinct()
     flags = E.with_nonveg(R.classified(R.sampled(spots, pixels(spark, sf)), fx(spark, sf, "fx_crosswalk"))).groupBy("row_id", "col_id").agg(F.max("nonveg").alias("nonveg"))
-    flags = P.saved(flags)
-    return at.join(flags, ["row_id", "col_id"], "left").select("region", "sid", "year", F.round("lon", 5).alias("lon"), F.round("lat", 5).alias("lat"), "nonveg")
+    return at.join(few(P.saved(flags)), ["row_id", "col_id"], "left").select("region", "sid", "year", F.round("lon", 5).alias("lon"), F.round("lat", 5).alias("lat"), "nonveg")
 
 
 @query(f"{FLAGGED} SELECT region, lon, lat, count(*) AS n, CAST(count(*) FILTER (nonveg) AS BIGINT) AS n_nonveg, min(year) AS first_year, max(year) AS last_year FROM flagged GROUP BY 1, 2, 3 HAVING count(*) > 1")
@@ -60,7 +60,7 @@ def duplicates_in_hotspots(spark, sf):
     """D15 on habitat records in the region's density hotspots, against those elsewhere; records are counted by location before the join."""
     g = flagged(spark, sf).where("not nonveg").groupBy("region", "lon", "lat").agg(F.count("*").alias("n"))
     hot = spatially_zoned(spark, sf).where("spatial_zone = 'Hot'").select("region", F.round("lon", 5).alias("lon"), F.round("lat", 5).alias("lat"), F.lit("hotspot").alias("subset"))
-    g = g.join(hot, ["region", "lon", "lat"], "left").withColumn("subset", F.coalesce("subset", F.lit("elsewhere")))
+    g = g.join(hot.hint("merge"), ["region", "lon", "lat"], "left").withColumn("subset", F.coalesce("subset", F.lit("elsewhere")))
     return g.groupBy("region", "subset").agg(F.sum("n").alias("records"), F.count("*").alias("locations"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("repeated"), F.max("n").alias("most"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from landmosaic.llm.common import in_batches
 from landmosaic.operators import envelopes, kernel, points, raster
 from landmosaic.operators.nearest import closest
+from landmosaic.operators.shared import few, saved
 from landmosaic.plans import fixtures
 from landmosaic.plans.fixtures import fx
 from landmosaic.plans.registry import QUERIES
@@ -150,3 +151,18 @@ def test_zones_and_shares_do_not_repeat_what_made_their_rows(spark):
 @pytest.mark.parametrize("name", ("density_overlap", "hotspot_classes"))
 def test_shares_of_zones_are_made_from_written_counts(spark, sf, name):
     assert "SortMergeJoin" not in plan_of(QUERIES[name](spark, sf))
+
+
+def test_hotspots_and_many_flagged_pixels_are_not_sent(spark, sf, monkeypatch):
+    from landmosaic.plans import diagnosis
+
+    out = QUERIES["duplicates_in_hotspots"](spark, sf)
+    assert out.collect() and not [x for x in sent(out) if "hotspot" in x]
+    monkeypatch.setattr(diagnosis, "few", lambda df: few(df, 3), raising=False)
+    assert not [x for x in sent(diagnosis.flagged(spark, sf)) if "nonveg#" in x]
+
+
+def test_few_sends_at_most_100_000_rows(spark):
+    keys = saved(spark.range(100_001))
+    joined = lambda df: plan_of(spark.range(10).join(df, "id"))
+    assert "SortMergeJoin" in joined(few(keys)) and "BroadcastHashJoin" in joined(few(keys.where("id > 0")))
