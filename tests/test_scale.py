@@ -166,3 +166,11 @@ def test_few_sends_at_most_100_000_rows(spark):
     keys = saved(spark.range(100_001))
     joined = lambda df: plan_of(spark.range(10).join(df, "id"))
     assert "SortMergeJoin" in joined(few(keys)) and "BroadcastHashJoin" in joined(few(keys.where("id > 0")))
+
+
+def test_class_lookup_samples_its_records_once(spark, sf, monkeypatch):
+    from landmosaic.plans import habitat
+
+    calls = []
+    monkeypatch.setattr(habitat, "used", lambda *a, f=habitat.used: calls.append(a) or f(*a))
+    assert QUERIES["class_lookup"](spark, sf).count() and len(calls) == 1
