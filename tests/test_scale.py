@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from landmosaic.llm.common import in_batches
@@ -174,3 +175,12 @@ def test_class_lookup_samples_its_records_once(spark, sf, monkeypatch):
     calls = []
     monkeypatch.setattr(habitat, "used", lambda *a, f=habitat.used: calls.append(a) or f(*a))
     assert QUERIES["class_lookup"](spark, sf).count() and len(calls) == 1
+
+
+@pytest.mark.parametrize("name", ("bayes_auc", "best_schemes", "zones_without_background", "pixel_selection", "sample_tiles", "scheme_sweep"))
+def test_no_step_of_a_query_sends_pixels_to_the_driver(spark, sf, monkeypatch, name):
+    plans, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **b: plans.append(self._df) or write(self, *a, **b))
+    plans.append(QUERIES[name](spark, sf))
+    below = [re.split(r"\n.*(?:Aggregate|Join)", f"\n{x}")[0] for df in plans for x in sent(df)]  # down to the first join or aggregate
+    assert below and not [x for x in below if "Generate explode" in x]
